@@ -2,20 +2,24 @@
 
 A plain ``Window.partitionBy(key).orderBy(ts)`` sends every row of one key to one
 task. When one order, user or source holds a third of all rows, that task is the
-whole job. These helpers split each key's timeline into time buckets and compute
+whole job. ``running`` splits each key's timeline into time buckets and computes
 in two levels:
 
 1. inside (key, bucket): an ordinary window, so a hot key spreads over as many
    tasks as it has buckets;
 2. across buckets: a per-(key, bucket) summary (one row per bucket) carries the
-   value in from earlier buckets through a window over the small summary table.
+   value in from earlier buckets through a window over that small table, joined
+   back on (key, bucket).
 
-The result equals the single-window form for every bucket size (tests check this).
+The input is hash-partitioned once on (key, bucket); the in-bucket window, the
+bucket summary and the join back all reuse that one exchange, so chained passes
+do not recompute earlier ones. The result equals the single-window form for every
+bucket size (tests check this against a plain window and a sequential loop).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,51 +28,67 @@ BUCKET = "__bucket"
 
 
 def with_bucket(df: DataFrame, ts_col: str, unit: str = "day") -> DataFrame:
-    """Add the time bucket column used by the helpers below."""
+    """Add the time bucket column used by ``running``."""
     return df.withColumn(BUCKET, F.date_trunc(unit, F.col(ts_col)))
 
 
-def _order_struct(order: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c) for c in order])
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+            lasts: Mapping[str, Column] | None = None,
+            sums: Mapping[str, Column] | None = None) -> DataFrame:
+    """Add, for every row, over the rows of the same key strictly before it in
+    ``order`` (ties impossible: ``order`` must end with a unique column):
+
+    * ``lasts[out]``: the last non-NULL value of the expression (NULL if none);
+    * ``sums[out]``: the sum of the expression (0 if none).
+
+    ``df`` must carry the bucket column (see ``with_bucket``).
+    """
+    keys = list(keys)
+    lasts = dict(lasts or {})
+    sums = dict(sums or {})
+    part = [*keys, BUCKET]
+    vals = {f"__v_{o}": c for o, c in {**lasts, **sums}.items()}
+    base = df.select("*", *[c.alias(n) for n, c in vals.items()]).repartition(*part)
+
+    w_in = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    order_struct = F.struct(*[F.col(c) for c in order])
+    local_cols, summary_aggs, carry_cols = [], [], []
+    for o in lasts:
+        v = f"__v_{o}"
+        local_cols.append(F.last(v, ignorenulls=True).over(w_in).alias(f"__l_{o}"))
+        # max_by skips NULL orderings, so a bucket without a value yields NULL.
+        summary_aggs.append(F.max_by(v, F.when(F.col(v).isNotNull(), order_struct)).alias(f"__b_{o}"))
+    for o in sums:
+        v = f"__v_{o}"
+        local_cols.append(F.coalesce(F.sum(v).over(w_in), F.lit(0)).alias(f"__l_{o}"))
+        summary_aggs.append(F.sum(v).alias(f"__b_{o}"))
+
+    local = base.select("*", *local_cols)
+    summary = base.groupBy(*part).agg(*summary_aggs)
+    w_b = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    for o in lasts:
+        carry_cols.append(F.last(f"__b_{o}", ignorenulls=True).over(w_b).alias(f"__c_{o}"))
+    for o in sums:
+        carry_cols.append(F.coalesce(F.sum(f"__b_{o}").over(w_b), F.lit(0)).alias(f"__c_{o}"))
+    carry = summary.select(*part, *carry_cols)
+
+    out = local.join(carry, part, "left")
+    finals = {}
+    for o in lasts:
+        finals[o] = F.coalesce(F.col(f"__l_{o}"), F.col(f"__c_{o}"))
+    for o in sums:
+        finals[o] = F.col(f"__l_{o}") + F.coalesce(F.col(f"__c_{o}"), F.lit(0))
+    drop = [*vals, *[f"__l_{o}" for o in finals], *[f"__c_{o}" for o in finals]]
+    return out.select("*", *[c.alias(o) for o, c in finals.items()]).drop(*drop)
 
 
 def running_last(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  value: str | Column, out: str) -> DataFrame:
-    """``out`` = last non-NULL ``value`` among rows of the same key strictly before
-    this row in ``order``. ``df`` must carry the bucket column (``with_bucket``)."""
-    keys = list(keys)
     val = F.col(value) if isinstance(value, str) else value
-    tmp = f"__v_{out}"
-    df = df.withColumn(tmp, val)
-    w_in = (Window.partitionBy(*keys, BUCKET).orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, -1))
-    local = df.withColumn(f"__local_{out}", F.last(tmp, ignorenulls=True).over(w_in))
-    # max_by skips rows whose ordering is NULL, so buckets without a value give NULL.
-    summary = (df.groupBy(*keys, BUCKET)
-               .agg(F.max_by(tmp, F.when(F.col(tmp).isNotNull(), _order_struct(order)))
-                    .alias("__bucket_last")))
-    w_b = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(*keys, BUCKET,
-                           F.last("__bucket_last", ignorenulls=True).over(w_b).alias(f"__carry_{out}"))
-    joined = local.join(carry, [*keys, BUCKET], "left")
-    return (joined.withColumn(out, F.coalesce(F.col(f"__local_{out}"), F.col(f"__carry_{out}")))
-            .drop(tmp, f"__local_{out}", f"__carry_{out}"))
+    return running(df, keys, order, lasts={out: val})
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                 value: str | Column, out: str) -> DataFrame:
-    """``out`` = sum of ``value`` over rows of the same key strictly before this row."""
-    keys = list(keys)
     val = F.col(value) if isinstance(value, str) else value
-    tmp = f"__v_{out}"
-    df = df.withColumn(tmp, val)
-    w_in = (Window.partitionBy(*keys, BUCKET).orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, -1))
-    local = df.withColumn(f"__local_{out}", F.coalesce(F.sum(tmp).over(w_in), F.lit(0)))
-    summary = df.groupBy(*keys, BUCKET).agg(F.sum(tmp).alias("__bucket_sum"))
-    w_b = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(*keys, BUCKET,
-                           F.coalesce(F.sum("__bucket_sum").over(w_b), F.lit(0)).alias(f"__carry_{out}"))
-    joined = local.join(carry, [*keys, BUCKET], "left")
-    return (joined.withColumn(out, F.col(f"__local_{out}") + F.coalesce(F.col(f"__carry_{out}"), F.lit(0)))
-            .drop(tmp, f"__local_{out}", f"__carry_{out}"))
+    return running(df, keys, order, sums={out: val})

@@ -320,6 +320,123 @@ SELECT transaction_id, display_id, customer_name, customer_email, customer_conta
 FROM tx
 """
 
+_W1 = "OVER (PARTITION BY order_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_STRIP = r"regexp_replace(reason, '^\s+|\s+$', '', 'g')"
+FOLD_SQL = f"""
+, ev AS (
+  SELECT ce.*, t.status AS base_status, t.payment_status AS base_pay, t.void_status AS base_void
+  FROM ce JOIN txl t ON ce.order_id = t.transaction_id),
+v1 AS (
+  SELECT *, CASE WHEN action IN ('VOID', 'REVERT_VOID') AND is_admin
+                  AND (action = 'REVERT_VOID' OR length({_STRIP}) > 0)
+             THEN CASE WHEN action = 'VOID' THEN 'Voided' ELSE 'Active' END END AS tv
+  FROM ev),
+v2 AS (SELECT *, coalesce(last_value(tv IGNORE NULLS) {_W1}, base_void) AS void_before FROM v1),
+p1 AS (
+  SELECT *, action IN ('PAY', 'Ready to Claim', 'Claimed') AND void_before = 'Active'
+            AND coalesce(base_status != 'Claimed', TRUE) AS valid
+  FROM v2),
+p2 AS (
+  SELECT *, coalesce(sum(CASE WHEN valid AND action = 'PAY' AND is_admin THEN 1 ELSE 0 END) {_W1}, 0)
+            AS flips
+  FROM p1),
+p3 AS (
+  SELECT *, last_value(CASE WHEN valid AND action = 'PAY' AND NOT is_admin THEN flips END IGNORE NULLS)
+            {_W1} AS anchor
+  FROM p2),
+p4 AS (
+  SELECT *, CASE WHEN anchor IS NOT NULL
+                 THEN CASE WHEN (flips - anchor) % 2 = 0 THEN 'Paid' ELSE 'Unpaid' END
+                 WHEN flips % 2 = 0 THEN base_pay
+                 WHEN base_pay = 'Paid' THEN 'Unpaid' ELSE 'Paid' END AS paid_before
+  FROM p3),
+s1 AS (
+  SELECT *, valid AND action IN ('Ready to Claim', 'Claimed') AND paid_before = 'Paid' AS cand FROM p4),
+s2 AS (
+  SELECT *, coalesce(last_value(CASE WHEN cand THEN action END IGNORE NULLS) {_W1}, base_status)
+              AS status_before,
+            coalesce(last_value(CASE WHEN cand AND action = 'Claimed' THEN TRUE END IGNORE NULLS) {_W1},
+                     FALSE) AS after_claim
+  FROM s1),
+s3 AS (
+  SELECT *,
+    CASE WHEN action IN ('VOID', 'REVERT_VOID') AND NOT is_admin THEN 'not_admin'
+         WHEN action = 'VOID' AND coalesce(length({_STRIP}) = 0, TRUE) THEN 'blank_reason'
+         WHEN action = 'VOID' AND void_before = 'Voided' THEN 'already_voided'
+         WHEN action = 'REVERT_VOID' AND void_before = 'Active' THEN 'not_voided'
+         WHEN action IN ('VOID', 'REVERT_VOID') THEN NULL
+         WHEN NOT coalesce(base_status != 'Claimed', TRUE) OR after_claim THEN 'order_claimed'
+         WHEN void_before = 'Voided' THEN 'order_voided'
+         WHEN action = 'PAY' AND NOT is_admin AND paid_before = 'Paid' THEN 'staff_on_paid'
+         WHEN action != 'PAY' AND paid_before != 'Paid' THEN 'unpaid'
+         WHEN action != 'PAY' AND action = status_before THEN 'no_change' END AS reject_reason
+  FROM s2),
+ann AS (
+  SELECT event_id, ts, order_id, action, actor_id, is_admin, {_STRIP} AS reason,
+    CASE WHEN action IN ('VOID', 'REVERT_VOID') THEN 'void' WHEN action = 'PAY' THEN 'payment'
+         ELSE 'status' END AS kind,
+    reject_reason IS NULL AS accepted, reject_reason,
+    CASE WHEN action IN ('VOID', 'REVERT_VOID') THEN void_before WHEN action = 'PAY' THEN paid_before
+         ELSE status_before END AS old_value,
+    CASE WHEN action = 'VOID' THEN 'Voided' WHEN action = 'REVERT_VOID' THEN 'Active'
+         WHEN action = 'PAY' THEN CASE WHEN is_admin THEN CASE WHEN paid_before = 'Paid' THEN 'Unpaid'
+                                                              ELSE 'Paid' END
+                                       ELSE 'Paid' END
+         ELSE action END AS new_value,
+    base_status, base_pay, base_void
+  FROM s3)
+"""
+
+
+def _fold_last(kind: str, select: str) -> str:
+    return FOLD_SQL + f"""
+SELECT order_id AS transaction_id, {select},
+       count(*) OVER (PARTITION BY order_id) AS accepted_changes
+FROM ann WHERE accepted AND kind = '{kind}'
+QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, event_id DESC) = 1
+"""
+
+
+Q["fold_voids"] = _fold_last("void", """new_value AS void_status,
+       CASE WHEN new_value = 'Voided' THEN reason END AS void_reason,
+       CASE WHEN new_value = 'Voided' THEN ts END AS void_at""")
+Q["fold_payment_toggles"] = _fold_last("payment", "new_value AS payment_status")
+Q["fold_status_changes"] = _fold_last("status", "new_value AS status")
+
+Q["transition_guard"] = FOLD_SQL + """
+SELECT event_id, order_id AS transaction_id, action, kind, accepted, reject_reason FROM ann
+"""
+
+Q["audit_rows"] = FOLD_SQL + """
+SELECT event_id AS log_id, actor_id AS user_id,
+  CASE WHEN action IN ('VOID', 'REVERT_VOID') THEN action ELSE 'UPDATE' END AS action_type,
+  'Transaction' AS entity_type, order_id AS entity_id,
+  CASE WHEN action = 'VOID' THEN 'Voided ORD-' || CAST(order_id AS VARCHAR) || '. Reason: ' || reason
+       WHEN action = 'REVERT_VOID' THEN 'Reverted void on ORD-' || CAST(order_id AS VARCHAR) || '.'
+       WHEN action = 'PAY' THEN 'Payment: ' || new_value
+       ELSE 'Status: ' || new_value END AS description,
+  old_value, new_value, ts AS timestamp
+FROM ann WHERE accepted
+"""
+
+Q["pickup_outbox"] = FOLD_SQL + """
+, c AS (SELECT coalesce(max(CASE WHEN config_key = 'pickup_ready_subject' THEN config_value END),
+                        'Notification') AS subj,
+               coalesce(max(CASE WHEN config_key = 'pickup_ready_body' THEN config_value END), '')
+                 AS body FROM cfg)
+SELECT a.event_id, t.transaction_id, t.customer_email AS receiver,
+  replace(replace(c.subj, '{customer}', t.customer_name), '{order_id}', t.display_id) AS subject,
+  replace(replace(c.body, '{customer}', t.customer_name), '{order_id}', t.display_id) AS body,
+  a.ts AS queued_at
+FROM ann a JOIN tx t ON a.order_id = t.transaction_id CROSS JOIN c
+WHERE a.accepted AND a.action = 'Ready to Claim'
+  AND t.customer_email IS NOT NULL AND t.customer_email != ''
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {k: VIEWS_SQL + v for k, v in Q.items()}
+    """Full statements: the view CTEs, then each query (fold queries extend the CTEs)."""
+    out = {}
+    for k, v in Q.items():
+        out[k] = VIEWS_SQL + v if v.lstrip().startswith(",") else VIEWS_SQL + v
+    return out

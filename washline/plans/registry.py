@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from washline.operators import catalog, kpi, leaderboards, search
+from washline.operators import catalog, changes, kpi, leaderboards, outbox, search
 from washline.plans.context import AS_OF, WINDOW, Ctx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,39 @@ def _customer_emails(c: Ctx) -> DataFrame:
 def _scan_transactions(c: Ctx) -> DataFrame:
     """Full typed scan of the order headers (money as double)."""
     return c.tx.withColumn("total_amount", F.col("total_amount").cast("double"))
+
+
+# --- change folding ----------------------------------------------------------
+
+def _annotated(c: Ctx) -> DataFrame:
+    return changes.annotate(c.changes, c.tx_lean)
+
+
+@register("fold_voids")
+def _fold_voids(c: Ctx) -> DataFrame:
+    return changes.fold_voids(_annotated(c))
+
+
+@register("fold_payment_toggles")
+def _fold_payment_toggles(c: Ctx) -> DataFrame:
+    return changes.fold_payment_toggles(_annotated(c))
+
+
+@register("fold_status_changes")
+def _fold_status_changes(c: Ctx) -> DataFrame:
+    return changes.fold_status_changes(_annotated(c))
+
+
+@register("transition_guard")
+def _transition_guard(c: Ctx) -> DataFrame:
+    return changes.transition_guard(_annotated(c))
+
+
+@register("audit_rows")
+def _audit_rows(c: Ctx) -> DataFrame:
+    return changes.audit_rows(_annotated(c))
+
+
+@register("pickup_outbox")
+def _pickup_outbox(c: Ctx) -> DataFrame:
+    return outbox.pickup_outbox(_annotated(c), c.tx, c.config)
