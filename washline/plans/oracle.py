@@ -434,6 +434,136 @@ WHERE a.accepted AND a.action = 'Ready to Claim'
 """
 
 
+# --- pricing -------------------------------------------------------------------
+
+_ADDON_AMT = """
+  SELECT x.batch_id, sum(CASE WHEN a.pricing_type = 'Per Kg' THEN a.price * b.weight ELSE a.price END
+                         * x.quantity) AS addon_amt
+  FROM ba x JOIN ad a ON x.addon_id = a.addon_id JOIN tb b ON x.batch_id = b.batch_id
+  GROUP BY x.batch_id"""
+
+_LOADS = "CAST(CASE WHEN b.weight > 0 THEN ceil(b.weight / 7) ELSE 0 END AS BIGINT)"
+
+_PRICED = f"""
+  SELECT b.batch_id, b.transaction_id, b.service_id, {_LOADS} AS loads,
+         {_LOADS} * s.price_per_load AS base, coalesce(x.addon_amt, 0) AS addon
+  FROM tb b JOIN sv s ON b.service_id = s.service_id LEFT JOIN ({_ADDON_AMT}) x ON b.batch_id = x.batch_id
+  WHERE {_LOADS} > 0"""
+
+Q["price_cart"] = f"""
+SELECT batch_id, transaction_id, service_id, loads, CAST(base AS DOUBLE) AS base_amount,
+       CAST(addon AS DOUBLE) AS addon_amount, CAST(base + addon AS DOUBLE) AS subtotal
+FROM ({_PRICED})
+"""
+
+Q["price_cart_totals"] = f"""
+SELECT transaction_id, CAST(sum(base + addon) AS DOUBLE) AS cart_total, count(*) AS n_lines
+FROM ({_PRICED}) GROUP BY transaction_id
+"""
+
+Q["reprice_line"] = """
+SELECT b.batch_id, b.transaction_id, CAST(ceil(b.weight / 7) AS BIGINT) AS load_count,
+       CAST(CAST(ceil(b.weight / 7) AS BIGINT) * s.price_per_load AS DOUBLE) AS subtotal,
+       CAST(b.price_per_unit AS DOUBLE) AS price_per_unit, CAST(b.subtotal AS DOUBLE) AS old_subtotal
+FROM tb b JOIN sv s ON b.service_id = s.service_id
+"""
+
+Q["weight_mismatch"] = """
+SELECT b.transaction_id, b.batch_id, CAST(b.weight AS DOUBLE) AS weight,
+       CAST(f.w AS DOUBLE) AS order_weight
+FROM tb b JOIN (SELECT transaction_id, arg_min(weight, batch_id) AS w FROM tb GROUP BY transaction_id) f
+  ON b.transaction_id = f.transaction_id
+WHERE b.weight != f.w
+"""
+
+_SUMS = "SELECT transaction_id, sum(subtotal) AS s FROM tb GROUP BY transaction_id"
+
+Q["recompute_totals"] = f"""
+SELECT t.transaction_id, CAST(coalesce(x.s, 0) AS DOUBLE) AS total_amount,
+       CAST(t.total_amount AS DOUBLE) AS stored_total
+FROM txl t LEFT JOIN ({_SUMS}) x ON t.transaction_id = x.transaction_id
+"""
+
+Q["dq_total_drift"] = f"""
+SELECT t.transaction_id, CAST(t.total_amount AS DOUBLE) AS stored_total,
+       CAST(coalesce(x.s, 0) AS DOUBLE) AS line_total,
+       CAST(t.total_amount - coalesce(x.s, 0) AS DOUBLE) AS drift
+FROM txl t LEFT JOIN ({_SUMS}) x ON t.transaction_id = x.transaction_id
+WHERE t.total_amount != coalesce(x.s, 0)
+"""
+
+Q["cart_addon_qty"] = """
+SELECT batch_id, addon_id, CAST(sum(quantity) AS DOUBLE) AS quantity FROM ba GROUP BY batch_id, addon_id
+"""
+
+Q["cart_addon_text"] = """
+SELECT batch_id, string_agg(addon_name || ' x' || CAST(q AS VARCHAR), ', ' ORDER BY addon_id) AS addon_text
+FROM (SELECT x.batch_id, x.addon_id, a.addon_name, sum(x.quantity) AS q
+      FROM ba x JOIN ad a ON x.addon_id = a.addon_id GROUP BY x.batch_id, x.addon_id, a.addon_name)
+GROUP BY batch_id
+"""
+
+# --- receipts ------------------------------------------------------------------
+
+Q["receipt_lines"] = """
+SELECT b.batch_id, b.transaction_id, s.service_name, CAST(b.weight AS DOUBLE) AS weight,
+       CAST(b.subtotal AS DOUBLE) AS subtotal, printf('₱%.2f', b.subtotal) AS subtotal_text
+FROM tb b JOIN sv s ON b.service_id = s.service_id
+"""
+
+Q["receipt_typed"] = """
+SELECT b.batch_id, b.transaction_id, s.service_name, c.name AS cat_name, CAST(b.weight AS DOUBLE) AS weight,
+       b.load_count, CAST(b.subtotal AS DOUBLE) AS subtotal
+FROM tb b JOIN sv s ON b.service_id = s.service_id JOIN cat c ON b.category_id = c.category_id
+"""
+
+Q["receipt_addons"] = """
+SELECT x.batch_id, x.batch_addon_id, a.addon_name, CAST(x.quantity AS DOUBLE) AS quantity,
+       CAST(x.subtotal AS DOUBLE) AS subtotal
+FROM ba x JOIN ad a ON x.addon_id = a.addon_id
+"""
+
+Q["receipt_active"] = f"""
+SELECT t.transaction_id, t.display_id, t.customer_name, coalesce(p.ty, 'N/A') AS type_name,
+       CAST(coalesce(p.n, 0) AS BIGINT) AS n_lines, 'TOTAL: ' || {money('t.total_amount')} AS total_text,
+       'STATUS: ' || t.status || ' | ' || t.payment_status AS status_text
+FROM tx t LEFT JOIN (SELECT b.transaction_id, arg_min(c.name, b.batch_id) AS ty, count(*) AS n
+                     FROM tb b JOIN cat c ON b.category_id = c.category_id GROUP BY b.transaction_id) p
+  ON t.transaction_id = p.transaction_id
+"""
+
+_NL = "chr(10)"
+_WIDE = "'" + "=" * 40 + "'"
+_THIN = "'" + "-" * 40 + "'"
+_TITLE = "'" + "LAUNDRY RECEIPT".center(40) + "'"
+
+Q["receipt_history"] = f"""
+SELECT transaction_id, 0 AS section, CAST(NULL AS VARCHAR) AS batch_id, 0 AS sub,
+       CAST(NULL AS VARCHAR) AS item_id,
+       {_WIDE} || {_NL} || {_TITLE} || {_NL} || {_WIDE} || {_NL} || 'Order ID: ' || display_id || {_NL}
+       || 'Date: ' || strftime(created_at, '%Y-%m-%d %H:%M') || {_NL} || 'Customer: ' || customer_name
+       || {_NL} || 'Status: ' || status || ' | ' || payment_status || {_NL}
+       || CASE WHEN void_status = 'Voided' THEN {_NL} || '*** VOIDED ON ' || CAST(void_at AS VARCHAR)
+               || ' ***' || {_NL} || 'Reason: ' || coalesce(void_reason, 'None') || {_NL} ELSE '' END
+       || {_THIN} AS text
+FROM tx
+UNION ALL
+SELECT b.transaction_id, 1, b.batch_id, 0, NULL,
+       s.service_name || ' (' || CAST(b.weight AS VARCHAR) || 'kg)' || {_NL} || '  Subtotal: '
+       || {money('b.subtotal')}
+FROM tb b JOIN sv s ON b.service_id = s.service_id
+UNION ALL
+SELECT b.transaction_id, 1, x.batch_id, 1, x.batch_addon_id,
+       '  + Add-on: ' || a.addon_name || ' (' || {money('x.subtotal')} || ')'
+FROM ba x JOIN ad a ON x.addon_id = a.addon_id JOIN tb b ON x.batch_id = b.batch_id
+  JOIN sv s ON b.service_id = s.service_id
+UNION ALL
+SELECT transaction_id, 2, NULL, 0, NULL,
+       {_THIN} || {_NL} || 'TOTAL AMOUNT:          ' || {money('total_amount')} || {_NL} || {_WIDE}
+FROM tx
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Full statements: the view CTEs, then each query (fold queries extend the CTEs)."""
     out = {}

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from washline.operators import catalog, changes, kpi, leaderboards, outbox, search
+from washline.operators import catalog, changes, kpi, leaderboards, outbox, pricing, receipts, search
 from washline.plans.context import AS_OF, WINDOW, Ctx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,3 +213,73 @@ def _audit_rows(c: Ctx) -> DataFrame:
 @register("pickup_outbox")
 def _pickup_outbox(c: Ctx) -> DataFrame:
     return outbox.pickup_outbox(_annotated(c), c.tx, c.config)
+
+
+# --- pricing -----------------------------------------------------------------
+
+@register("price_cart")
+def _price_cart(c: Ctx) -> DataFrame:
+    return pricing.price_cart(c.batches_lean, c.batch_addons, c.services, c.addons, c.config)
+
+
+@register("price_cart_totals")
+def _price_cart_totals(c: Ctx) -> DataFrame:
+    exact = pricing.price_cart_exact(c.batches_lean, c.batch_addons, c.services, c.addons)
+    return pricing.price_cart_totals(exact)
+
+
+@register("reprice_line")
+def _reprice_line(c: Ctx) -> DataFrame:
+    return pricing.reprice_line(c.batches, c.services, c.config)
+
+
+@register("weight_mismatch")
+def _weight_mismatch(c: Ctx) -> DataFrame:
+    return pricing.weight_mismatch(c.batches_lean)
+
+
+@register("recompute_totals")
+def _recompute_totals(c: Ctx) -> DataFrame:
+    return pricing.recompute_totals(c.tx_lean, c.batches_lean)
+
+
+@register("dq_total_drift")
+def _dq_total_drift(c: Ctx) -> DataFrame:
+    return pricing.total_drift(c.tx_lean, c.batches_lean)
+
+
+@register("cart_addon_qty")
+def _cart_addon_qty(c: Ctx) -> DataFrame:
+    return pricing.cart_addon_qty(c.batch_addons)
+
+
+@register("cart_addon_text")
+def _cart_addon_text(c: Ctx) -> DataFrame:
+    return pricing.cart_addon_text(c.batch_addons, c.addons)
+
+
+# --- receipts ----------------------------------------------------------------
+
+@register("receipt_lines")
+def _receipt_lines(c: Ctx) -> DataFrame:
+    return receipts.receipt_lines(c.batches_lean, c.services)
+
+
+@register("receipt_typed")
+def _receipt_typed(c: Ctx) -> DataFrame:
+    return receipts.receipt_typed(c.batches, c.services, c.category)
+
+
+@register("receipt_addons")
+def _receipt_addons(c: Ctx) -> DataFrame:
+    return receipts.receipt_addons(c.batch_addons, c.addons)
+
+
+@register("receipt_active")
+def _receipt_active(c: Ctx) -> DataFrame:
+    return receipts.receipt_active(c.tx, c.batches, c.category)
+
+
+@register("receipt_history")
+def _receipt_history(c: Ctx) -> DataFrame:
+    return receipts.receipt_history(c.tx, c.batches_lean, c.services, c.batch_addons, c.addons)
