@@ -1,0 +1,25 @@
+"""Build nested (array-of-struct) rows without ever collecting an unbounded group.
+
+A key's items are split into chunks of about ``target`` items: the item count per
+key is a partial aggregate, and each item goes to chunk
+``pmod(hash(item id), ceil(count / target))``. A key with a third of all rows
+becomes many nested rows of bounded size instead of one giant array. Consumers
+treat (key, chunk) rows of one key as parts of the same nested value.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def collect_bounded(df: DataFrame, keys: Sequence[str], item: Column, item_id: str,
+                    out: str, target: int = 256) -> DataFrame:
+    keys = list(keys)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(target))).cast("long")
+    chunked = (df.join(counts, keys)
+               .withColumn("chunk", F.pmod(F.xxhash64(F.col(item_id)), chunks)))
+    return chunked.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(item)).alias(out))

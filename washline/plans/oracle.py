@@ -564,6 +564,99 @@ FROM tx
 """
 
 
+# --- loads, updates, deletes ------------------------------------------------------
+
+Q["order_explode_header"] = """
+SELECT t.transaction_id, t.customer_name, t.customer_email, CAST(sum(b.subtotal) AS DOUBLE) AS total_amount,
+       count(*) AS n_lines
+FROM tb b JOIN tx t ON b.transaction_id = t.transaction_id
+GROUP BY t.transaction_id, t.customer_name, t.customer_email
+"""
+
+Q["order_explode_lines"] = """
+SELECT b.transaction_id, b.batch_id, b.service_id, b.category_id, CAST(b.weight AS DOUBLE) AS weight,
+       b.load_count, CAST(b.price_per_unit AS DOUBLE) AS price_per_unit, CAST(b.subtotal AS DOUBLE) AS subtotal
+FROM tb b JOIN tx t ON b.transaction_id = t.transaction_id
+"""
+
+Q["order_explode_addons"] = """
+SELECT x.batch_id, x.addon_id, CAST(sum(x.quantity) AS DOUBLE) AS quantity,
+       CAST(max(x.price) AS DOUBLE) AS unit_price, CAST(sum(x.subtotal) AS DOUBLE) AS total_price
+FROM ba x JOIN tb b ON x.batch_id = b.batch_id JOIN tx t ON b.transaction_id = t.transaction_id
+GROUP BY x.batch_id, x.addon_id
+"""
+
+Q["append_with_defaults"] = f"""
+SELECT transaction_id, display_id, customer_name,
+       CASE WHEN length(regexp_replace(customer_email, '^\\s+|\\s+$', '', 'g')) > 0
+            THEN regexp_replace(customer_email, '^\\s+|\\s+$', '', 'g') END AS customer_email,
+       CAST(NULL AS VARCHAR) AS customer_contact, CAST(NULL AS VARCHAR) AS overall_note, pickup_date,
+       'In-queue' AS status, 'Unpaid' AS payment_status, CAST(total_amount AS DOUBLE) AS total_amount,
+       created_by, 'Active' AS void_status, CAST(NULL AS VARCHAR) AS void_reason,
+       CAST(NULL AS TIMESTAMP) AS void_at, TIMESTAMP '{AS_OF} 00:00:00' AS created_at,
+       TIMESTAMP '{AS_OF} 00:00:00' AS updated_at
+FROM tx WHERE {CREATED}
+"""
+
+_LO = sql_in_window("x", WINDOW, AS_OF).split("'")[1]
+Q["insert_ignore"] = f"""
+, ids AS (SELECT transaction_id, created_at,
+                    'ORD-' || CAST(CAST(epoch(created_at) AS BIGINT) AS VARCHAR) AS display_id FROM txl),
+inc AS (SELECT * FROM ids WHERE created_at >= TIMESTAMP '{_LO}' - INTERVAL 7 DAY
+        QUALIFY row_number() OVER (PARTITION BY display_id ORDER BY transaction_id) = 1)
+SELECT display_id, transaction_id, created_at FROM inc
+WHERE display_id NOT IN (SELECT display_id FROM ids WHERE created_at < TIMESTAMP '{_LO}')
+"""
+
+Q["apply_updates"] = """
+, u AS (SELECT user_id AS service_id, ts, event_id, CAST(value AS DECIMAL(10,2)) AS price,
+                  CASE WHEN event_id % 4 = 0 THEN '' ELSE 'desc-' || CAST(event_id AS VARCHAR) END AS d
+           FROM events WHERE event_type = 'purchase'),
+lp AS (SELECT service_id, price, ts FROM u
+       QUALIFY row_number() OVER (PARTITION BY service_id ORDER BY ts DESC, event_id DESC) = 1),
+ld AS (SELECT service_id, d FROM u WHERE length(trim(d)) > 0
+       QUALIFY row_number() OVER (PARTITION BY service_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT s.service_id, s.service_name, coalesce(ld.d, s.description) AS description,
+       CAST(coalesce(lp.price, s.price_per_load) AS DOUBLE) AS price_per_load, s.status, lp.ts AS updated_at
+FROM sv s LEFT JOIN lp ON s.service_id = lp.service_id LEFT JOIN ld ON s.service_id = ld.service_id
+"""
+
+Q["delete_restrict"] = """
+SELECT service_id, CASE WHEN service_id IN (SELECT service_id FROM tb) THEN 'refused' ELSE 'deleted' END
+         AS outcome
+FROM sv WHERE status = 'Inactive'
+"""
+
+Q["delete_cascade"] = """
+, k AS (SELECT transaction_id FROM txl WHERE void_status = 'Voided'),
+gl AS (SELECT batch_id FROM tb WHERE transaction_id IN (SELECT transaction_id FROM k)),
+ga AS (SELECT batch_addon_id FROM ba WHERE batch_id IN (SELECT batch_id FROM gl))
+SELECT 'transactions' AS table_name,
+       count(CASE WHEN transaction_id IN (SELECT transaction_id FROM k) THEN 1 END) AS deleted_rows,
+       count(CASE WHEN transaction_id NOT IN (SELECT transaction_id FROM k) THEN 1 END) AS remaining_rows
+FROM txl
+UNION ALL
+SELECT 'transaction_batches', count(CASE WHEN batch_id IN (SELECT batch_id FROM gl) THEN 1 END),
+       count(CASE WHEN batch_id NOT IN (SELECT batch_id FROM gl) THEN 1 END) FROM tb
+UNION ALL
+SELECT 'batch_addons', count(CASE WHEN batch_addon_id IN (SELECT batch_addon_id FROM ga) THEN 1 END),
+       count(CASE WHEN batch_addon_id NOT IN (SELECT batch_addon_id FROM ga) THEN 1 END) FROM ba
+"""
+
+Q["delete_set_null"] = """
+SELECT transaction_id,
+       CASE WHEN created_by IN (SELECT user_id FROM us WHERE status = 'Inactive') THEN NULL
+            ELSE created_by END AS created_by
+FROM txl
+"""
+
+Q["last_login"] = """
+SELECT u.user_id, u.username, l.last_login
+FROM us u LEFT JOIN (SELECT user_id, max(ts) AS last_login FROM events WHERE event_type = 'signup'
+                     GROUP BY user_id) l ON u.user_id = l.user_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Full statements: the view CTEs, then each query (fold queries extend the CTEs)."""
     out = {}

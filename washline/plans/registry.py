@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from washline.operators import catalog, changes, kpi, leaderboards, outbox, pricing, receipts, search
+from washline.operators import catalog, changes, kpi, leaderboards, outbox, pricing, receipts, search, sinks
+from washline.functions import timewin
 from washline.plans.context import AS_OF, WINDOW, Ctx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -283,3 +284,89 @@ def _receipt_active(c: Ctx) -> DataFrame:
 @register("receipt_history")
 def _receipt_history(c: Ctx) -> DataFrame:
     return receipts.receipt_history(c.tx, c.batches_lean, c.services, c.batch_addons, c.addons)
+
+
+# --- loads, updates, deletes -------------------------------------------------
+
+def _nested(c: Ctx) -> DataFrame:
+    return sinks.nested_orders(c.tx, c.batches, c.batch_addons)
+
+
+@register("order_explode_header")
+def _order_explode_header(c: Ctx) -> DataFrame:
+    return sinks.order_explode_header(_nested(c))
+
+
+@register("order_explode_lines")
+def _order_explode_lines(c: Ctx) -> DataFrame:
+    return sinks.order_explode_lines(_nested(c))
+
+
+@register("order_explode_addons")
+def _order_explode_addons(c: Ctx) -> DataFrame:
+    return sinks.order_explode_addons(_nested(c))
+
+
+@register("append_with_defaults")
+def _append_with_defaults(c: Ctx) -> DataFrame:
+    """New submissions of the report month: only the order form's columns given."""
+    sub = c.tx.where(timewin.in_window("created_at", WINDOW, AS_OF)).select(
+        "transaction_id", "display_id", "customer_name", "customer_email", "pickup_date",
+        "total_amount", "created_by")
+    out = sinks.append_with_defaults(sub, "transactions", sinks.TX_TYPES, AS_OF)
+    return out.withColumn("total_amount", F.col("total_amount").cast("double"))
+
+
+@register("insert_ignore")
+def _insert_ignore(c: Ctx) -> DataFrame:
+    """Orders keyed by second-resolution display ids: submissions from a week before
+    the report month on, against everything stored before the month."""
+    ids = sinks.timestamp_display_ids(c.tx_lean)
+    lo, _ = timewin.bounds(WINDOW, AS_OF)
+    base = ids.where(F.col("created_at") < timewin.ts_lit(lo))
+    incoming = ids.where(F.col("created_at") >= timewin.ts_lit(lo) - F.expr("INTERVAL 7 DAYS"))
+    return sinks.insert_ignore(base, incoming, "display_id", "transaction_id")
+
+
+def _service_updates(c: Ctx) -> DataFrame:
+    e = c.t.events.where(F.col("event_type") == "purchase")
+    return e.select(F.col("user_id").alias("service_id"), "ts", "event_id",
+                    F.col("value").cast("decimal(10,2)").alias("price_per_load"),
+                    F.when(F.col("event_id") % 4 == 0, F.lit(""))
+                     .otherwise(F.concat(F.lit("desc-"), F.col("event_id").cast("string")))
+                    .alias("description"))
+
+
+@register("apply_updates")
+def _apply_updates(c: Ctx) -> DataFrame:
+    out = sinks.apply_updates(c.services, _service_updates(c), "service_id", ["ts", "event_id"],
+                              overwrite=["price_per_load"], keep_if_blank=["description"])
+    return out.withColumn("price_per_load", F.col("price_per_load").cast("double"))
+
+
+@register("delete_restrict")
+def _delete_restrict(c: Ctx) -> DataFrame:
+    """Delete every inactive service; services still used by a line are refused."""
+    req = c.services.where(F.col("status") == "Inactive").select("service_id")
+    return sinks.delete_restrict(c.services, [(c.batches_lean, "service_id")], "service_id", req)
+
+
+@register("delete_cascade")
+def _delete_cascade(c: Ctx) -> DataFrame:
+    """Delete every voided order with its lines and add-on lines."""
+    keys = c.tx_lean.where(F.col("void_status") == "Voided").select("transaction_id")
+    return sinks.delete_cascade(c.tx_lean, c.batches_lean, c.batch_addons, keys)
+
+
+@register("delete_set_null")
+def _delete_set_null(c: Ctx) -> DataFrame:
+    """Delete inactive users; orders they created keep a NULL creator."""
+    keys = c.users.where(F.col("status") == "Inactive").select("user_id")
+    return sinks.delete_set_null(c.tx_lean.select("transaction_id", "created_by"), "created_by",
+                                 keys, "user_id")
+
+
+@register("last_login")
+def _last_login(c: Ctx) -> DataFrame:
+    logins = c.t.events.where(F.col("event_type") == "signup").select("user_id", "ts")
+    return sinks.last_login(c.users, logins)
