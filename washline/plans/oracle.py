@@ -657,6 +657,101 @@ FROM us u LEFT JOIN (SELECT user_id, max(ts) AS last_login FROM events WHERE eve
 """
 
 
+# --- data quality ------------------------------------------------------------------
+
+_VIEW = {"transactions": "tx", "services": "sv", "addons": "ad", "category": "cat", "users": "us",
+         "transaction_batches": "tb", "batch_addons": "ba"}
+
+
+def _union(parts: list[str]) -> str:
+    return "\nUNION ALL\n".join(parts)
+
+
+Q["dq_nulls"] = _union([
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(CASE WHEN {c} IS NULL THEN 1 END) AS null_count "
+    f"FROM {_VIEW[t]}" for t, cols in schemas.NOT_NULL.items() for c in cols])
+
+_ENUM_PARTS = []
+for (_t, _c), _dom in schemas.ENUMS.items():
+    if _t in _VIEW:
+        _in = ", ".join(_sql_str(v) for v in _dom)
+        _ENUM_PARTS.append(f"SELECT '{_t}' AS table_name, '{_c}' AS column_name, "
+                           f"count(CASE WHEN {_c} IS NOT NULL AND {_c} NOT IN ({_in}) THEN 1 END) AS bad_count "
+                           f"FROM {_VIEW[_t]}")
+Q["dq_enum"] = _union(_ENUM_PARTS)
+
+Q["dq_length"] = _union([
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, {n} AS max_len, "
+    f"count(CASE WHEN length({c}) > {n} THEN 1 END) AS violations FROM {_VIEW[t]}"
+    for (t, c), n in schemas.LENGTHS.items() if t in _VIEW])
+
+Q["dq_unique"] = _union([
+    f"SELECT '{t}' AS table_name, '{','.join(k)}' AS key_name, count(*) AS duplicate_keys, "
+    f"CAST(coalesce(sum(n), 0) AS BIGINT) AS duplicate_rows FROM (SELECT {', '.join(k)}, count(*) AS n "
+    f"FROM {_VIEW[t]} WHERE {' AND '.join(x + ' IS NOT NULL' for x in k)} GROUP BY {', '.join(k)} "
+    f"HAVING count(*) > 1)" for t, keys in schemas.UNIQUE.items() if t in _VIEW for k in keys])
+
+Q["dq_fk_orphans"] = _union([
+    f"SELECT '{ch}.{fk}->{pa}.{pk}' AS fk_name, count(*) AS orphan_count FROM {_VIEW[ch]} "
+    f"WHERE {fk} IS NOT NULL AND {fk} NOT IN (SELECT {pk} FROM {_VIEW[pa]} WHERE {pk} IS NOT NULL)"
+    for ch, fk, pa, pk, _ in schemas.FOREIGN_KEYS if ch in _VIEW and pa in _VIEW])
+
+Q["dq_name_digits"] = _union([
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, "
+    f"count(CASE WHEN regexp_matches({c}, '[0-9]') THEN 1 END) AS violations FROM {_VIEW[t]}"
+    for t, c in [("transactions", "customer_name"), ("users", "full_name")]])
+
+_BLANK = "coalesce(length(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')) = 0, TRUE)"
+Q["dq_required"] = _union([
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, "
+    f"count(CASE WHEN {_BLANK.format(c=c)} THEN 1 END) AS blank_count FROM {_VIEW[t]}"
+    for t, c in [("transactions", "customer_name"), ("services", "service_name"), ("addons", "addon_name"),
+                 ("category", "name"), ("users", "username"), ("users", "full_name")]])
+
+Q["dq_pickup_date"] = """
+SELECT transaction_id, created_at, pickup_date FROM txl WHERE pickup_date < date_trunc('day', created_at)
+"""
+
+Q["display_id_collisions"] = """
+SELECT display_id, count(*) AS n_orders, min(transaction_id) AS first_id, max(transaction_id) AS last_id
+FROM (SELECT transaction_id, 'ORD-' || CAST(CAST(epoch(created_at) AS BIGINT) AS VARCHAR) AS display_id FROM txl)
+GROUP BY display_id HAVING count(*) > 1
+"""
+
+_SPECIAL = "[" + "".join("\\" + ch if ch in "\\^]-[" else ch for ch in schemas.SPECIAL_CHARS) + "]"
+Q["text_rule_profile"] = f"""
+SELECT lang, source, count(*) AS n_rows,
+  count(CASE WHEN coalesce(length(text) < 8, TRUE) THEN 1 END) AS fail_length,
+  count(CASE WHEN coalesce(NOT regexp_matches(text, '\\p{{Lu}}'), TRUE) THEN 1 END) AS fail_upper,
+  count(CASE WHEN coalesce(NOT regexp_matches(text, '\\p{{Ll}}'), TRUE) THEN 1 END) AS fail_lower,
+  count(CASE WHEN coalesce(NOT regexp_matches(text, '\\p{{Nd}}'), TRUE) THEN 1 END) AS fail_digit,
+  count(CASE WHEN coalesce(NOT regexp_matches(text, {_sql_str(_SPECIAL)}), TRUE) THEN 1 END) AS fail_special,
+  count(CASE WHEN coalesce(length(text) < 8, TRUE) OR coalesce(NOT regexp_matches(text, '\\p{{Lu}}'), TRUE)
+               OR coalesce(NOT regexp_matches(text, '\\p{{Ll}}'), TRUE)
+               OR coalesce(NOT regexp_matches(text, '\\p{{Nd}}'), TRUE)
+               OR coalesce(NOT regexp_matches(text, {_sql_str(_SPECIAL)}), TRUE) THEN 1 END) AS fail_any
+FROM documents GROUP BY lang, source
+"""
+
+Q["format_money"] = f"""
+SELECT transaction_id, {money('total_amount')} AS amount_text, printf('₱%.2f', total_amount) AS amount_plain
+FROM txl
+"""
+
+_WP = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+Q["valid_window_join"] = f"""
+, u AS (SELECT user_id, event_id, ts, event_type = 'view' AS is_tok FROM events
+        WHERE event_type IN ('view', 'click')),
+m AS (SELECT *, last_value(CASE WHEN is_tok THEN event_id END IGNORE NULLS) {_WP} AS token_id,
+                last_value(CASE WHEN is_tok THEN ts END IGNORE NULLS) {_WP} AS issued_at FROM u),
+a AS (SELECT *, token_id IS NOT NULL AND ts < issued_at + INTERVAL 10 MINUTE AS in_win FROM m WHERE NOT is_tok),
+b AS (SELECT *, last_value(CASE WHEN in_win THEN token_id END IGNORE NULLS) {_WP} AS prev_tok FROM a)
+SELECT event_id AS attempt_id, user_id, ts, token_id, issued_at,
+       in_win AND coalesce(prev_tok != token_id, TRUE) AS valid
+FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Full statements: the view CTEs, then each query (fold queries extend the CTEs)."""
     out = {}

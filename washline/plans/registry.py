@@ -12,7 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from washline.operators import catalog, changes, kpi, leaderboards, outbox, pricing, receipts, search, sinks
+from washline.operators import (catalog, changes, kpi, leaderboards, outbox, pricing, quality,
+                                receipts, search, sinks, validity)
+from washline.functions.formatting import money, money_plain
 from washline.functions import timewin
 from washline.plans.context import AS_OF, WINDOW, Ctx
 
@@ -370,3 +372,76 @@ def _delete_set_null(c: Ctx) -> DataFrame:
 def _last_login(c: Ctx) -> DataFrame:
     logins = c.t.events.where(F.col("event_type") == "signup").select("user_id", "ts")
     return sinks.last_login(c.users, logins)
+
+
+# --- data quality ------------------------------------------------------------
+
+def _dq_tables(c: Ctx) -> dict[str, DataFrame]:
+    return {"transactions": c.tx, "services": c.services, "addons": c.addons,
+            "category": c.category, "users": c.users, "transaction_batches": c.batches,
+            "batch_addons": c.batch_addons}
+
+
+@register("dq_nulls")
+def _dq_nulls(c: Ctx) -> DataFrame:
+    return quality.dq_nulls(_dq_tables(c))
+
+
+@register("dq_enum")
+def _dq_enum(c: Ctx) -> DataFrame:
+    return quality.dq_enum(_dq_tables(c))
+
+
+@register("dq_length")
+def _dq_length(c: Ctx) -> DataFrame:
+    return quality.dq_length(_dq_tables(c))
+
+
+@register("dq_unique")
+def _dq_unique(c: Ctx) -> DataFrame:
+    return quality.dq_unique(_dq_tables(c))
+
+
+@register("dq_fk_orphans")
+def _dq_fk_orphans(c: Ctx) -> DataFrame:
+    return quality.dq_fk_orphans(_dq_tables(c))
+
+
+@register("dq_name_digits")
+def _dq_name_digits(c: Ctx) -> DataFrame:
+    return quality.dq_name_digits(_dq_tables(c))
+
+
+@register("dq_required")
+def _dq_required(c: Ctx) -> DataFrame:
+    return quality.dq_required(_dq_tables(c))
+
+
+@register("dq_pickup_date")
+def _dq_pickup_date(c: Ctx) -> DataFrame:
+    return quality.dq_pickup_date(c.tx_lean)
+
+
+@register("display_id_collisions")
+def _display_id_collisions(c: Ctx) -> DataFrame:
+    return quality.display_id_collisions(sinks.timestamp_display_ids(c.tx_lean))
+
+
+@register("text_rule_profile")
+def _text_rule_profile(c: Ctx) -> DataFrame:
+    return quality.text_rule_profile(c.t.documents, "text", ["lang", "source"])
+
+
+@register("format_money")
+def _format_money(c: Ctx) -> DataFrame:
+    return c.tx_lean.select("transaction_id", money("total_amount").alias("amount_text"),
+                            money_plain("total_amount").alias("amount_plain"))
+
+
+@register("valid_window_join")
+def _valid_window_join(c: Ctx) -> DataFrame:
+    """Codes issued by 'view' events, attempts made by 'click' events."""
+    e = c.t.events
+    issues = e.where(F.col("event_type") == "view").select("user_id", "event_id", "ts")
+    attempts = e.where(F.col("event_type") == "click").select("user_id", "event_id", "ts")
+    return validity.valid_window_join(issues, attempts)
