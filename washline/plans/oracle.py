@@ -752,6 +752,33 @@ FROM b
 """
 
 
+# --- streaming forms (equal to their batch forms) ------------------------------------
+
+Q["stream_daily_sales"] = f"""
+SELECT date_trunc('day', created_at) AS t_date, {dsum('total_amount')} AS daily_total
+FROM txl WHERE {ACTIVE} GROUP BY 1
+"""
+
+Q["stream_order_state"] = FOLD_SQL + """
+, acc AS (SELECT * FROM ann WHERE accepted),
+lv AS (SELECT order_id, new_value FROM acc WHERE kind = 'void'
+       QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, event_id DESC) = 1),
+lp AS (SELECT order_id, new_value FROM acc WHERE kind = 'payment'
+       QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, event_id DESC) = 1),
+ls AS (SELECT order_id, new_value FROM acc WHERE kind = 'status'
+       QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, event_id DESC) = 1),
+o AS (SELECT order_id, count(*) AS n, any_value(base_void) AS bv, any_value(base_pay) AS bp,
+             any_value(base_status) AS bs FROM acc GROUP BY order_id)
+SELECT o.order_id AS transaction_id, coalesce(lv.new_value, o.bv) AS void_status,
+       coalesce(lp.new_value, o.bp) AS payment_status, coalesce(ls.new_value, o.bs) AS status,
+       o.n AS accepted_changes
+FROM o LEFT JOIN lv ON o.order_id = lv.order_id LEFT JOIN lp ON o.order_id = lp.order_id
+  LEFT JOIN ls ON o.order_id = ls.order_id
+"""
+
+Q["stream_outbox"] = Q["pickup_outbox"]
+
+
 def oracle_sql() -> dict[str, str]:
     """Full statements: the view CTEs, then each query (fold queries extend the CTEs)."""
     out = {}

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from washline.operators import (catalog, changes, kpi, leaderboards, outbox, pricing, quality,
                                 receipts, search, sinks, validity)
 from washline.functions.formatting import money, money_plain
+from washline.streaming import streams
 from washline.functions import timewin
 from washline.plans.context import AS_OF, WINDOW, Ctx
 
@@ -445,3 +446,20 @@ def _valid_window_join(c: Ctx) -> DataFrame:
     issues = e.where(F.col("event_type") == "view").select("user_id", "event_id", "ts")
     attempts = e.where(F.col("event_type") == "click").select("user_id", "event_id", "ts")
     return validity.valid_window_join(issues, attempts)
+
+
+# --- streaming forms ---------------------------------------------------------
+
+@register("stream_daily_sales")
+def _stream_daily_sales(c: Ctx) -> DataFrame:
+    return streams.daily_sales(c.spark, c.t.root)
+
+
+@register("stream_order_state")
+def _stream_order_state(c: Ctx) -> DataFrame:
+    return streams.order_state(streams.order_fold_events(c.spark, c.t.root))
+
+
+@register("stream_outbox")
+def _stream_outbox(c: Ctx) -> DataFrame:
+    return streams.outbox(c.spark, c.t.root)
