@@ -11,19 +11,25 @@ in two levels:
    value in from earlier buckets through a window over that small table, joined
    back on (key, bucket).
 
-The input is hash-partitioned once on (key, bucket); the in-bucket window, the
-bucket summary and the join back all reuse that one exchange, so chained passes
-do not recompute earlier ones. The result equals the single-window form for every
-bucket size (tests check this against a plain window and a sequential loop).
+Each pass reads its input twice (the in-bucket window and the bucket summary), so
+the input is checkpointed first: a reliable checkpoint into the session's
+``spark.checkpoint.dir`` cuts the lineage, so chained passes never recompute earlier
+ones, and a lost executor costs a re-read, not a re-run of the whole chain. The
+checkpoint keeps the (key, bucket) hash partitioning of the previous pass, so only
+the first pass shuffles the rows. The result equals the single-window form for
+every bucket size (tests check this against a plain window and a sequential loop).
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from washline.session import ensure_checkpoint_dir
+
 BUCKET = "__bucket"
 
 
@@ -32,6 +38,17 @@ def with_bucket(df: DataFrame, ts_col: str, unit: str = "day") -> DataFrame:
     return df.withColumn(BUCKET, F.date_trunc(unit, F.col(ts_col)))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint (lineage cut) of ``df`` computed once: the rows are kept
+    while the checkpoint files are written, then released."""
+    ensure_checkpoint_dir(df.sparkSession)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist(blocking=False)
+
+
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
             lasts: Mapping[str, Column] | None = None,
             sums: Mapping[str, Column] | None = None) -> DataFrame:
@@ -48,7 +65,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     sums = dict(sums or {})
     part = [*keys, BUCKET]
     vals = {f"__v_{o}": c for o, c in {**lasts, **sums}.items()}
-    base = df.select("*", *[c.alias(n) for n, c in vals.items()]).repartition(*part)
+    base = checkpointed(df.select("*", *[c.alias(n) for n, c in vals.items()]))
 
     w_in = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     order_struct = F.struct(*[F.col(c) for c in order])
