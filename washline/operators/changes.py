@@ -188,14 +188,18 @@ def apply_folds(tx: DataFrame, annotated: DataFrame) -> DataFrame:
            .join(p.withColumnRenamed("payment_status", "_ps"), "transaction_id", "left")
            .join(s.withColumnRenamed("status", "_st"), "transaction_id", "left"))
     changed_void = F.col("_vs").isNotNull()
+
+    def old(c: str) -> Column:
+        return F.col(c) if c in tx.columns else F.lit(None).cast("string" if c == "void_reason" else "timestamp_ntz")
+
     return out.select(
         *[c for c in tx.columns if c not in ("status", "payment_status", "void_status",
                                              "void_reason", "void_at")],
         F.coalesce("_st", "status").alias("status"),
         F.coalesce("_ps", "payment_status").alias("payment_status"),
         F.when(changed_void, F.col("_vs")).otherwise(F.col("void_status")).alias("void_status"),
-        F.when(changed_void, F.col("_vr")).otherwise(F.col("void_reason")).alias("void_reason"),
-        F.when(changed_void, F.col("_va")).otherwise(F.col("void_at")).alias("void_at"),
+        F.when(changed_void, F.col("_vr")).otherwise(old("void_reason")).alias("void_reason"),
+        F.when(changed_void, F.col("_va")).otherwise(old("void_at")).alias("void_at"),
     )
 
 
