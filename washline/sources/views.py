@@ -25,50 +25,46 @@ MONEY = "decimal(10,2)"
 WEIGHT = "decimal(8,2)"
 
 
-def _ts_add_days(days: Column | int, ts: str) -> Column:
-    days_sql = days if isinstance(days, str) else str(days)
-    return F.expr(f"timestampadd(DAY, {days_sql}, {ts})")
+_VOID = "o_orderkey % 20 = 0"
+_VOID_AT = f"CASE WHEN {_VOID} THEN timestampadd(DAY, 3, o_orderdate) END"
+_EMAIL = "concat('user', CAST(o_custkey % 100 AS STRING), '@example.com')"
+
+# Column expressions of the order header view, in schema order. Written as SQL
+# expression strings: each column is one call to the JVM, parsed there.
+TX_COLUMNS: list[tuple[str, str]] = [
+    ("transaction_id", "o_orderkey"),
+    ("display_id", "concat('ORD-', CAST(o_orderkey AS STRING))"),
+    ("customer_name", "c_name"),
+    ("customer_email", f"CASE WHEN o_custkey % 5 = 0 THEN NULL WHEN o_custkey % 7 = 0 THEN '' "
+                       f"WHEN o_custkey % 3 = 0 THEN upper({_EMAIL}) ELSE {_EMAIL} END"),
+    ("customer_contact", "CAST(NULL AS STRING)"),
+    ("overall_note", "CAST(NULL AS STRING)"),
+    ("pickup_date", "timestampadd(DAY, CASE WHEN o_orderkey % 50 = 0 THEN -1 ELSE 2 END, o_orderdate)"),
+    ("status", "CASE o_orderstatus WHEN 'O' THEN 'In-queue' WHEN 'P' THEN 'Ready to Claim' "
+               "WHEN 'F' THEN 'Claimed' END"),
+    ("payment_status", "CASE WHEN substring(o_orderpriority, 1, 1) IN ('1', '2', '3') THEN 'Paid' "
+                       "ELSE 'Unpaid' END"),
+    ("total_amount", f"CAST(o_totalprice AS {MONEY})"),
+    ("created_by", "o_custkey % 10"),
+    ("void_status", f"CASE WHEN {_VOID} THEN 'Voided' ELSE 'Active' END"),
+    ("void_reason", f"CASE WHEN {_VOID} THEN concat('void-', CAST(o_orderkey AS STRING)) END"),
+    ("void_at", _VOID_AT),
+    ("created_at", "o_orderdate"),
+    ("updated_at", f"coalesce({_VOID_AT}, o_orderdate)"),
+]
+
+
+def _exprs(cols: list[tuple[str, str]], skip: set[str] = frozenset()) -> list[str]:
+    return [f"{e} AS {n}" for n, e in cols if n not in skip]
 
 
 def transactions(t: Tables, with_customer: bool = True) -> DataFrame:
     """Order headers. ``with_customer=False`` drops customer_name and its join."""
-    key = F.col("o_orderkey")
-    ck = F.col("o_custkey")
-    voided = key % 20 == 0
-    email_base = F.concat(F.lit("user"), (ck % 100).cast("string"), F.lit("@example.com"))
-    cols = [
-        key.alias("transaction_id"),
-        F.concat(F.lit("ORD-"), key.cast("string")).alias("display_id"),
-    ]
-    if with_customer:
-        cols.append(F.col("c_name").alias("customer_name"))
-    cols += [
-        F.when(ck % 5 == 0, F.lit(None).cast("string"))
-         .when(ck % 7 == 0, F.lit(""))
-         .when(ck % 3 == 0, F.upper(email_base))
-         .otherwise(email_base).alias("customer_email"),
-        F.lit(None).cast("string").alias("customer_contact"),
-        F.lit(None).cast("string").alias("overall_note"),
-        _ts_add_days("CASE WHEN o_orderkey % 50 = 0 THEN -1 ELSE 2 END", "o_orderdate")
-        .alias("pickup_date"),
-        F.when(F.col("o_orderstatus") == "O", "In-queue")
-         .when(F.col("o_orderstatus") == "P", "Ready to Claim")
-         .when(F.col("o_orderstatus") == "F", "Claimed").alias("status"),
-        F.when(F.substring("o_orderpriority", 1, 1).isin("1", "2", "3"), "Paid")
-         .otherwise("Unpaid").alias("payment_status"),
-        F.col("o_totalprice").cast(MONEY).alias("total_amount"),
-        (ck % 10).alias("created_by"),
-        F.when(voided, "Voided").otherwise("Active").alias("void_status"),
-        F.when(voided, F.concat(F.lit("void-"), key.cast("string"))).alias("void_reason"),
-        F.when(voided, _ts_add_days(3, "o_orderdate")).alias("void_at"),
-        F.col("o_orderdate").alias("created_at"),
-        F.coalesce(F.when(voided, _ts_add_days(3, "o_orderdate")), F.col("o_orderdate"))
-        .alias("updated_at"),
-    ]
     o = t.orders
     if with_customer:
         o = o.join(t.customer.select("c_custkey", "c_name"), o.o_custkey == F.col("c_custkey"))
-    return o.select(*cols)
+        return o.selectExpr(*_exprs(TX_COLUMNS))
+    return o.selectExpr(*_exprs(TX_COLUMNS, {"customer_name"}))
 
 
 def category(t: Tables) -> DataFrame:
@@ -85,13 +81,13 @@ def category(t: Tables) -> DataFrame:
     )
 
 
+BATCH_ID = ("concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), "
+            "CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING), CAST(to_date(l_shipdate) AS STRING))")
+_WEIGHT = f"CAST(l_quantity AS {WEIGHT})"
+
+
 def batch_id_expr() -> Column:
-    return F.concat_ws(
-        "-",
-        F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
-        F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
-        F.to_date("l_shipdate").cast("string"),
-    )
+    return F.expr(BATCH_ID)
 
 
 def load_count_expr(weight: Column, kg_per_load: Column | float = 7) -> Column:
@@ -100,75 +96,64 @@ def load_count_expr(weight: Column, kg_per_load: Column | float = 7) -> Column:
     return F.when(weight > 0, F.ceil(weight / limit)).otherwise(F.lit(0)).cast("long")
 
 
+BATCH_COLUMNS: list[tuple[str, str]] = [
+    ("batch_id", BATCH_ID),
+    ("transaction_id", "l_orderkey"),
+    ("service_id", "l_partkey"),
+    ("category_id", "category_id"),
+    ("load_count", f"CAST(CASE WHEN {_WEIGHT} > 0 THEN ceil({_WEIGHT} / CAST(7 AS {WEIGHT})) "
+                   f"ELSE 0 END AS BIGINT)"),
+    ("weight", _WEIGHT),
+    ("price_per_unit", f"CAST(p_retailprice AS {MONEY})"),
+    ("subtotal", f"CAST(l_extendedprice AS {MONEY})"),
+    ("special_notes", "CAST(NULL AS STRING)"),
+    ("created_at", "l_shipdate"),
+]
+
+
 def transaction_batches(t: Tables, with_part: bool = True) -> DataFrame:
-    """Order lines. ``with_part=False`` leaves out category_id and price_per_unit."""
-    weight = F.col("l_quantity").cast(WEIGHT)
-    cols = [
-        batch_id_expr().alias("batch_id"),
-        F.col("l_orderkey").alias("transaction_id"),
-        F.col("l_partkey").alias("service_id"),
-    ]
-    if with_part:
-        cols.append(F.col("category_id"))
-    cols += [load_count_expr(weight).alias("load_count"), weight.alias("weight")]
-    if with_part:
-        cols.append(F.col("p_retailprice").cast(MONEY).alias("price_per_unit"))
-    cols += [
-        F.col("l_extendedprice").cast(MONEY).alias("subtotal"),
-        F.lit(None).cast("string").alias("special_notes"),
-        F.col("l_shipdate").alias("created_at"),
-    ]
+    """Order lines. ``with_part=False`` leaves out category_id and price_per_unit
+    (and the join with part they need)."""
     li = t.lineitem
-    if with_part:
-        p = t.part.select("p_partkey", "p_type", "p_retailprice").join(
-            F.broadcast(category(t).select("category_id", F.col("name").alias("p_type"))),
-            "p_type", "left")
-        li = li.join(p, li.l_partkey == p.p_partkey)
-    return li.select(*cols)
+    if not with_part:
+        return li.selectExpr(*_exprs(BATCH_COLUMNS, {"category_id", "price_per_unit"}))
+    p = t.part.select("p_partkey", "p_type", "p_retailprice").join(
+        F.broadcast(category(t).select("category_id", F.col("name").alias("p_type"))),
+        "p_type", "left")
+    return li.join(p, li.l_partkey == p.p_partkey).selectExpr(*_exprs(BATCH_COLUMNS))
+
+
+_ADDON_SUB = f"CAST(CAST(l_extendedprice AS {MONEY}) * CAST(l_discount AS DECIMAL(4,2)) AS {MONEY})"
 
 
 def batch_addons(t: Tables) -> DataFrame:
-    sub = (F.col("l_extendedprice").cast(MONEY) * F.col("l_discount").cast("decimal(4,2)")).cast(MONEY)
-    return t.lineitem.where(F.col("l_discount") > 0).select(
-        batch_id_expr().alias("batch_addon_id"),
-        batch_id_expr().alias("batch_id"),
-        F.col("l_suppkey").alias("addon_id"),
-        F.col("l_linenumber").cast(WEIGHT).alias("quantity"),
-        sub.alias("price"),
-        sub.alias("subtotal"),
-    )
+    return t.lineitem.where("l_discount > 0").selectExpr(
+        f"{BATCH_ID} AS batch_addon_id", f"{BATCH_ID} AS batch_id", "l_suppkey AS addon_id",
+        f"CAST(l_linenumber AS {WEIGHT}) AS quantity", f"{_ADDON_SUB} AS price",
+        f"{_ADDON_SUB} AS subtotal")
 
 
 def services(t: Tables) -> DataFrame:
-    return t.part.select(
-        F.col("p_partkey").alias("service_id"),
-        F.col("p_name").alias("service_name"),
-        F.col("p_brand").alias("description"),
-        F.col("p_retailprice").cast(MONEY).alias("price_per_load"),
-        F.when(F.col("p_size") > 45, "Inactive").otherwise("Active").alias("status"),
-    )
+    return t.part.selectExpr(
+        "p_partkey AS service_id", "p_name AS service_name", "p_brand AS description",
+        f"CAST(p_retailprice AS {MONEY}) AS price_per_load",
+        "CASE WHEN p_size > 45 THEN 'Inactive' ELSE 'Active' END AS status")
 
 
 def addons(t: Tables) -> DataFrame:
-    return t.supplier.select(
-        F.col("s_suppkey").alias("addon_id"),
-        F.col("s_name").alias("addon_name"),
-        F.lit(None).cast("string").alias("description"),
-        F.abs(F.col("s_acctbal")).cast(MONEY).alias("price"),
-        F.when(F.col("s_nationkey") % 2 == 0, "Fixed").otherwise("Per Kg").alias("pricing_type"),
-        F.when(F.col("s_acctbal") < 0, "Inactive").otherwise("Active").alias("status"),
-    )
+    return t.supplier.selectExpr(
+        "s_suppkey AS addon_id", "s_name AS addon_name", "CAST(NULL AS STRING) AS description",
+        f"CAST(abs(s_acctbal) AS {MONEY}) AS price",
+        "CASE WHEN s_nationkey % 2 = 0 THEN 'Fixed' ELSE 'Per Kg' END AS pricing_type",
+        "CASE WHEN s_acctbal < 0 THEN 'Inactive' ELSE 'Active' END AS status")
 
 
 def users(t: Tables) -> DataFrame:
-    return t.supplier.select(
-        F.col("s_suppkey").alias("user_id"),
-        F.col("s_name").alias("username"),
-        F.concat(F.lit("staff"), F.col("s_suppkey").cast("string"), F.lit("@example.com")).alias("email"),
-        F.col("s_name").alias("full_name"),
-        F.when(F.col("s_acctbal") < 0, "Inactive").otherwise("Active").alias("status"),
-        F.when(F.col("s_suppkey") % 3 == 0, "Admin").otherwise("Staff").alias("role"),
-    )
+    return t.supplier.selectExpr(
+        "s_suppkey AS user_id", "s_name AS username",
+        "concat('staff', CAST(s_suppkey AS STRING), '@example.com') AS email", "s_name AS full_name",
+        "CASE WHEN s_acctbal < 0 THEN 'Inactive' ELSE 'Active' END AS status",
+        "CASE WHEN s_suppkey % 3 = 0 THEN 'Admin' ELSE 'Staff' END AS role")
 
 
 def system_config(spark: SparkSession, overrides: DataFrame | None = None) -> DataFrame:
@@ -189,18 +174,8 @@ EVENT_ACTIONS = {"error": "VOID", "signup": "REVERT_VOID", "purchase": "PAY",
 
 def change_events(t: Tables) -> DataFrame:
     """The order change log: one row per requested change, in (ts, event_id) order."""
-    e = t.events
-    action = F.lit(None).cast("string")
-    for k, v in EVENT_ACTIONS.items():
-        action = F.when(F.col("event_type") == k, v).otherwise(action)
-    actor = F.col("event_id") % 10
-    return e.select(
-        "event_id",
-        "ts",
-        F.col("user_id").alias("order_id"),
-        action.alias("action"),
-        actor.alias("actor_id"),
-        (actor % 3 == 0).alias("is_admin"),
-        F.when(F.col("event_id") % 11 == 0, F.lit("  "))
-         .otherwise(F.concat(F.lit("r"), F.col("event_id").cast("string"))).alias("reason"),
-    ).where(F.col("action").isNotNull())
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_ACTIONS.items())
+    return t.events.where(F.col("event_type").isin(*EVENT_ACTIONS)).selectExpr(
+        "event_id", "ts", "user_id AS order_id", f"CASE event_type {cases} END AS action",
+        "event_id % 10 AS actor_id", "(event_id % 10) % 3 = 0 AS is_admin",
+        "CASE WHEN event_id % 11 = 0 THEN '  ' ELSE concat('r', CAST(event_id AS STRING)) END AS reason")
