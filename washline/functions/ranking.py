@@ -17,11 +17,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from washline.functions.running import checkpointed
+
 
 def global_row_number(df: DataFrame, order: Sequence[Column], out: str = "rank",
                       partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The rows are read twice (numbering and partition sizes): cut the lineage so
+    # the input is computed once and both reads see the same range partitions.
+    df = checkpointed(df)
     ranged = df.repartitionByRange(n, *order).withColumn("__pid", F.spark_partition_id())
     local = ranged.withColumn(
         "__rn", F.row_number().over(Window.partitionBy("__pid").orderBy(*order)))

@@ -18,15 +18,20 @@ def _limit(config: DataFrame | None) -> DataFrame | None:
     return None if config is None else F.broadcast(kg_per_load(config))
 
 
-def addon_amounts(lines: DataFrame, batch_addons: DataFrame, addons: DataFrame) -> DataFrame:
-    """Per line: add-on money = sum(price x (weight if 'Per Kg' else 1) x quantity),
-    aggregated per line before it meets the lines again."""
-    a = batch_addons.join(addons.select("addon_id", F.col("price").alias("_unit"), "pricing_type"),
-                          "addon_id")
-    w = lines.select("batch_id", "weight")
-    a = a.join(w, "batch_id")
+def _lines_with_addons(lines: DataFrame, batch_addons: DataFrame, addons: DataFrame,
+                       kg: F.Column | None, extra: list[str]) -> DataFrame:
+    """One row per priced line: loads and add-on money (price x (weight if 'Per Kg'
+    else 1) x quantity, summed), from a single lines-to-add-ons join whose hash
+    partitioning on the line id also serves the per-line aggregate."""
+    a = batch_addons.select("batch_id", "addon_id", "quantity").join(
+        addons.select("addon_id", F.col("price").alias("_unit"), "pricing_type"), "addon_id")
+    l = lines.select("batch_id", "transaction_id", "service_id", "weight", *extra)
     unit = F.when(F.col("pricing_type") == "Per Kg", F.col("_unit") * F.col("weight")).otherwise(F.col("_unit"))
-    return a.groupBy("batch_id").agg(F.sum(unit * F.col("quantity")).alias("_addon_amt"))
+    per_line = (l.join(a.drop("addon_id"), "batch_id", "left")
+                .groupBy("batch_id", "transaction_id", "service_id", "weight", *extra)
+                .agg(F.coalesce(F.sum(unit * F.col("quantity")), F.lit(0)).alias("_addon_amt")))
+    loads = load_count_expr(F.col("weight"), kg) if kg is not None else load_count_expr(F.col("weight"))
+    return per_line.withColumn("loads", loads).where(F.col("loads") > 0)
 
 
 def price_cart(lines: DataFrame, batch_addons: DataFrame, services: DataFrame, addons: DataFrame,
@@ -34,25 +39,19 @@ def price_cart(lines: DataFrame, batch_addons: DataFrame, services: DataFrame, a
     """Price every cart line from the current catalog.
 
     loads = ceil(weight / kg_per_load) (a line with no load is refused and left
-    out); base = loads x price per load; add-ons as in ``addon_amounts``.
+    out); base = loads x price per load; plus the line's add-on money.
     """
     limit = _limit(config)
-    l = lines.select("batch_id", "transaction_id", "service_id", "weight")
-    if limit is not None:
-        l = l.crossJoin(limit)
-        loads = load_count_expr(F.col("weight"), F.col("kg_per_load"))
-    else:
-        loads = load_count_expr(F.col("weight"))
-    l = l.withColumn("loads", loads).where(F.col("loads") > 0)
-    priced = l.join(services.select("service_id", "price_per_load"), "service_id")
-    priced = priced.join(addon_amounts(lines, batch_addons, addons), "batch_id", "left")
+    l = lines if limit is None else lines.crossJoin(limit)
+    kg = None if limit is None else F.col("kg_per_load")
+    per_line = _lines_with_addons(l, batch_addons, addons, kg, [] if limit is None else ["kg_per_load"])
+    priced = per_line.join(services.select("service_id", "price_per_load"), "service_id")
     base = F.col("loads") * F.col("price_per_load")
-    addon = F.coalesce(F.col("_addon_amt"), F.lit(0))
     return priced.select(
         "batch_id", "transaction_id", "service_id", "loads",
         base.cast("double").alias("base_amount"),
-        addon.cast("double").alias("addon_amount"),
-        (base + addon).cast("double").alias("subtotal"))
+        F.col("_addon_amt").cast("double").alias("addon_amount"),
+        (base + F.col("_addon_amt")).cast("double").alias("subtotal"))
 
 
 def price_cart_totals(priced_exact: DataFrame) -> DataFrame:
@@ -65,13 +64,10 @@ def price_cart_totals(priced_exact: DataFrame) -> DataFrame:
 def price_cart_exact(lines: DataFrame, batch_addons: DataFrame, services: DataFrame,
                      addons: DataFrame) -> DataFrame:
     """Line subtotals kept in DECIMAL for further sums."""
-    l = lines.select("batch_id", "transaction_id", "service_id", "weight")
-    l = l.withColumn("loads", load_count_expr(F.col("weight"))).where(F.col("loads") > 0)
-    priced = (l.join(services.select("service_id", "price_per_load"), "service_id")
-              .join(addon_amounts(lines, batch_addons, addons), "batch_id", "left"))
+    per_line = _lines_with_addons(lines, batch_addons, addons, None, [])
+    priced = per_line.join(services.select("service_id", "price_per_load"), "service_id")
     return priced.select("batch_id", "transaction_id",
-                         (F.col("loads") * F.col("price_per_load")
-                          + F.coalesce(F.col("_addon_amt"), F.lit(0))).alias("_subtotal"))
+                         (F.col("loads") * F.col("price_per_load") + F.col("_addon_amt")).alias("_subtotal"))
 
 
 def reprice_line(lines: DataFrame, services: DataFrame, config: DataFrame | None = None) -> DataFrame:

@@ -82,15 +82,15 @@ def receipt_history(tx: DataFrame, lines: DataFrame, services: DataFrame,
                  F.lit("Customer: "), F.col("customer_name"), nl,
                  F.lit("Status: "), F.col("status"), F.lit(" | "), F.col("payment_status"), nl,
                  banner, F.lit(RULE_THIN)).alias("text"))
-    body = lines.join(services.select("service_id", "service_name"), "service_id").select(
+    named = lines.join(services.select("service_id", "service_name"), "service_id")
+    body = named.select(
         "transaction_id", F.lit(1).alias("section"), "batch_id", F.lit(0).alias("sub"),
         F.lit(None).cast("string").alias("item_id"),
         F.concat(F.col("service_name"), F.lit(" ("), F.col("weight").cast("string"), F.lit("kg)"), nl,
                  F.lit("  Subtotal: "), money("subtotal")).alias("text"))
     # add-on rows need their order id: take it from the line they belong to
     extra = (batch_addons.join(addons.select("addon_id", "addon_name"), "addon_id")
-             .join(lines.select("batch_id", "transaction_id", "service_id")
-                   .join(services.select("service_id"), "service_id"), "batch_id")
+             .join(named.select("batch_id", "transaction_id"), "batch_id")
              .select("transaction_id", F.lit(1).alias("section"), "batch_id", F.lit(1).alias("sub"),
                      F.col("batch_addon_id").alias("item_id"),
                      F.concat(F.lit("  + Add-on: "), F.col("addon_name"), F.lit(" ("), money("subtotal"),
