@@ -13,24 +13,23 @@ Requests (one row each, ordered by (ts, event_id) per order):
   status is Claimed.
 
 The rules form an acyclic chain (void <- nothing; payment <- void; status <- void,
-payment), so the fold is four passes of running "previous value" windows per
+payment), so the fold is three passes of running "previous value" windows per
 order, each one a two-level (order, time bucket) window that a hot order cannot
 funnel into one task (``functions.running``):
 
 1. void state before each request = target of the last kept void/revert request;
-2. Admin pay toggles before each request (a running count);
-3. that count at the last Staff pay request before each request (payment resets
-   to Paid there), giving the payment state before each request by parity;
-4. status before each request and whether a Claimed move was accepted earlier.
+2. payment state before each request: Admin toggles counted since the last Staff
+   request (payment resets to Paid there), by parity (``payment_before``);
+3. status before each request and whether a Claimed move was accepted earlier.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from washline.functions.formatting import is_blank, strip
-from washline.functions.running import BUCKET, running, with_bucket
+from washline.functions.running import BUCKET, checkpointed, running, with_bucket
 
 ORDER = ["ts", "event_id"]
 KEYS = ["order_id"]
@@ -63,20 +62,10 @@ def annotate(changes: DataFrame, tx: DataFrame, bucket: str = "day") -> DataFram
     ev = running(ev, KEYS, ORDER, lasts={"_void_prev": target_v})
     ev = ev.withColumn("void_before", F.coalesce("_void_prev", "base_void"))
 
-    # 2./3. payment before each request
+    # 2./3. payment before each request (one two-level pass, see payment_before)
     base_open = F.coalesce(F.col("base_status") != "Claimed", F.lit(True))
     valid = action.isin("PAY", *STATUS_ACTIONS) & (F.col("void_before") == "Active") & base_open
-    ev = ev.withColumn("_valid", valid)
-    pay = F.col("_valid") & (action == "PAY")
-    ev = running(ev, KEYS, ORDER, sums={"_flips": F.when(pay & F.col("is_admin"), 1).otherwise(0)})
-    ev = running(ev, KEYS, ORDER,
-                 lasts={"_anchor": F.when(pay & ~F.col("is_admin"), F.col("_flips"))})
-    parity_since_staff = (F.col("_flips") - F.col("_anchor")) % 2
-    ev = ev.withColumn(
-        "paid_before",
-        F.when(F.col("_anchor").isNotNull(),
-               F.when(parity_since_staff == 0, F.lit("Paid")).otherwise(F.lit("Unpaid")))
-         .otherwise(F.when(F.col("_flips") % 2 == 0, F.col("base_pay")).otherwise(_flip(F.col("base_pay")))))
+    ev = payment_before(ev.withColumn("_valid", valid))
 
     # 4. status before each request, and the terminal Claimed move
     cand = F.col("_valid") & action.isin(*STATUS_ACTIONS) & (F.col("paid_before") == "Paid")
@@ -116,6 +105,40 @@ def annotate(changes: DataFrame, tx: DataFrame, bucket: str = "day") -> DataFram
     )
 
 
+def payment_before(ev: DataFrame) -> DataFrame:
+    """Add ``paid_before``: the payment state before each request.
+
+    An Admin pay request flips the state; a Staff one sets Paid. So the state before
+    a request is Paid xor (parity of Admin flips since the last Staff request), or
+    the base state xor (parity of all Admin flips) when no Staff request came first.
+    One two-level pass: inside each (order, bucket) two chained windows give the
+    flips before each request and that count at the last Staff request; a per-bucket
+    summary carried across buckets supplies both from earlier buckets.
+    """
+    part = [*KEYS, BUCKET]
+    pay = F.col("_valid") & (F.col("action") == "PAY")
+    rows = checkpointed(ev.withColumn("_flip", F.when(pay & F.col("is_admin"), 1).otherwise(0))
+                        .withColumn("_staff", pay & ~F.col("is_admin")))
+    w_in = Window.partitionBy(*part).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    local = (rows.withColumn("_f_loc", F.coalesce(F.sum("_flip").over(w_in), F.lit(0)))
+             .withColumn("_a_loc", F.last(F.when(F.col("_staff"), F.col("_f_loc")), ignorenulls=True).over(w_in)))
+    summary = local.groupBy(*part).agg(
+        F.sum("_flip").alias("_n_flip"),
+        F.max_by("_f_loc", F.when(F.col("_staff"), F.struct(*ORDER))).alias("_last_staff_f"))
+    w_b = Window.partitionBy(*KEYS).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (summary.withColumn("_f_in", F.coalesce(F.sum("_n_flip").over(w_b), F.lit(0)))
+             .withColumn("_g_in", F.last(F.col("_f_in") + F.col("_last_staff_f"), ignorenulls=True).over(w_b))
+             .select(*part, "_f_in", "_g_in"))
+    j = local.join(carry, part, "left")
+    flips = F.col("_f_in") + F.col("_f_loc")
+    anchor = F.coalesce(F.col("_f_in") + F.col("_a_loc"), F.col("_g_in"))
+    paid = (F.when(anchor.isNotNull(),
+                   F.when((flips - anchor) % 2 == 0, F.lit("Paid")).otherwise(F.lit("Unpaid")))
+             .otherwise(F.when(flips % 2 == 0, F.col("base_pay")).otherwise(_flip(F.col("base_pay")))))
+    return j.withColumn("paid_before", paid).drop(
+        "_flip", "_staff", "_f_loc", "_a_loc", "_f_in", "_g_in")
+
+
 def _per_order_last(acc: DataFrame, fields: list[str]) -> DataFrame:
     """Last accepted change per order, as a partial aggregate (no hot-key window)."""
     return acc.groupBy("order_id").agg(
