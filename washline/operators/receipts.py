@@ -73,15 +73,22 @@ def receipt_history(tx: DataFrame, lines: DataFrame, services: DataFrame,
     banner = F.when(voided, F.concat(nl, F.lit("*** VOIDED ON "), F.col("void_at").cast("string"),
                                      F.lit(" ***"), nl, F.lit("Reason: "),
                                      F.coalesce(F.col("void_reason"), F.lit("None")), nl)).otherwise(F.lit(""))
-    header = tx.select(
-        "transaction_id", F.lit(0).alias("section"), F.lit(None).cast("string").alias("batch_id"),
-        F.lit(0).alias("sub"), F.lit(None).cast("string").alias("item_id"),
-        F.concat(F.lit(RULE_WIDE), nl, F.lit(title.center(40)), nl, F.lit(RULE_WIDE), nl,
-                 F.lit("Order ID: "), F.col("display_id"), nl,
-                 F.lit("Date: "), datetime_text("created_at"), nl,
-                 F.lit("Customer: "), F.col("customer_name"), nl,
-                 F.lit("Status: "), F.col("status"), F.lit(" | "), F.col("payment_status"), nl,
-                 banner, F.lit(RULE_THIN)).alias("text"))
+    header_text = F.concat(
+        F.lit(RULE_WIDE), nl, F.lit(title.center(40)), nl, F.lit(RULE_WIDE), nl,
+        F.lit("Order ID: "), F.col("display_id"), nl,
+        F.lit("Date: "), datetime_text("created_at"), nl,
+        F.lit("Customer: "), F.col("customer_name"), nl,
+        F.lit("Status: "), F.col("status"), F.lit(" | "), F.col("payment_status"), nl,
+        banner, F.lit(RULE_THIN))
+    footer_text = F.concat(F.lit(RULE_THIN), nl, F.lit("TOTAL AMOUNT:          "), money("total_amount"), nl,
+                           F.lit(RULE_WIDE))
+    # header and footer rows of every order from one scan of the orders
+    ends = tx.select("transaction_id", F.explode(F.array(
+        F.struct(F.lit(0).alias("section"), header_text.alias("text")),
+        F.struct(F.lit(2).alias("section"), footer_text.alias("text")))).alias("_e"))
+    header = ends.select(
+        "transaction_id", F.col("_e.section").alias("section"), F.lit(None).cast("string").alias("batch_id"),
+        F.lit(0).alias("sub"), F.lit(None).cast("string").alias("item_id"), F.col("_e.text").alias("text"))
     named = lines.join(services.select("service_id", "service_name"), "service_id")
     body = named.select(
         "transaction_id", F.lit(1).alias("section"), "batch_id", F.lit(0).alias("sub"),
@@ -95,9 +102,4 @@ def receipt_history(tx: DataFrame, lines: DataFrame, services: DataFrame,
                      F.col("batch_addon_id").alias("item_id"),
                      F.concat(F.lit("  + Add-on: "), F.col("addon_name"), F.lit(" ("), money("subtotal"),
                               F.lit(")")).alias("text")))
-    footer = tx.select(
-        "transaction_id", F.lit(2).alias("section"), F.lit(None).cast("string").alias("batch_id"),
-        F.lit(0).alias("sub"), F.lit(None).cast("string").alias("item_id"),
-        F.concat(F.lit(RULE_THIN), nl, F.lit("TOTAL AMOUNT:          "), money("total_amount"), nl,
-                 F.lit(RULE_WIDE)).alias("text"))
-    return header.unionByName(body).unionByName(extra).unionByName(footer)
+    return header.unionByName(body).unionByName(extra)
