@@ -51,3 +51,20 @@ def enum_ordinal(col: str | Column, domain: list[str]) -> Column:
     arr = F.array(*[F.lit(v) for v in domain])
     c = _c(col)
     return F.when(c.isNotNull(), F.array_position(arr, c))
+
+
+# Wall-clock timestamps (timestamp_ntz) <-> instants, read as UTC whatever the
+# session time zone is, so day windows and epoch seconds never shift.
+_EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
+def ntz_epoch_seconds(col: str) -> Column:
+    return F.expr(f"timestampdiff(SECOND, {_EPOCH}, {col})")
+
+
+def ntz_to_instant(col: str) -> Column:
+    return F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, {_EPOCH}, {col}))")
+
+
+def instant_to_ntz(col: str) -> Column:
+    return F.expr(f"timestampadd(MICROSECOND, unix_micros({col}), {_EPOCH})")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from washline.functions.formatting import is_blank, strip
+from washline.functions.formatting import is_blank, ntz_epoch_seconds, strip
 from washline.functions.nesting import collect_bounded
 from washline.functions.timewin import ts_lit
 from washline.sources import schemas
@@ -114,8 +114,7 @@ def insert_ignore(base: DataFrame, incoming: DataFrame, key: str, tiebreak: str)
 def timestamp_display_ids(tx: DataFrame) -> DataFrame:
     """Order ids as the order form makes them: 'ORD-' + unix seconds of creation."""
     return tx.select("transaction_id", "created_at",
-                     F.concat(F.lit("ORD-"),
-                              F.unix_seconds(F.col("created_at").cast("timestamp")).cast("string"))
+                     F.concat(F.lit("ORD-"), ntz_epoch_seconds("created_at").cast("string"))
                      .alias("display_id"))
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from washline.functions.formatting import instant_to_ntz, ntz_to_instant
 from washline.session import checkpoint_dir
 from washline.sources import views
 from washline.sources.tables import Tables
@@ -70,7 +71,7 @@ def daily_sales_stream(spark: SparkSession, root: str, watermark: str = "1 day")
     orders = table_stream(spark, root, "orders")
     tx = views.transactions(SimpleNamespace(orders=orders), with_customer=False)
     active = tx.where(F.col("void_status") == "Active").withColumn(
-        "_ts", F.col("created_at").cast("timestamp"))
+        "_ts", ntz_to_instant("created_at"))
     return (active.withWatermark("_ts", watermark)
             .groupBy(F.window("_ts", "1 day").alias("w"))
             .agg(F.sum("total_amount").alias("_amt")))
@@ -79,7 +80,7 @@ def daily_sales_stream(spark: SparkSession, root: str, watermark: str = "1 day")
 def daily_sales(spark: SparkSession, root: str) -> DataFrame:
     """Complete-mode result: equals the batch daily trend over all time."""
     res = run_available_now(daily_sales_stream(spark, root), "daily_sales", mode="complete")
-    return res.select(F.col("w.start").cast("timestamp_ntz").alias("t_date"),
+    return res.select(instant_to_ntz("w.start").alias("t_date"),
                       F.col("_amt").cast("double").alias("daily_total"))
 
 
@@ -143,14 +144,14 @@ def order_fold_stream(spark: SparkSession, root: str) -> DataFrame:
     base = views.transactions(Tables(spark, root), with_customer=False).select(
         F.col("transaction_id").alias("order_id"), F.col("status").alias("base_status"),
         F.col("payment_status").alias("base_pay"), F.col("void_status").alias("base_void"))
-    joined = changes.join(base, "order_id").withColumn("ts", F.col("ts").cast("timestamp"))
+    joined = changes.join(base, "order_id").withColumn("ts", ntz_to_instant("ts"))
     return joined.groupBy("order_id").applyInPandasWithState(
         _fold_group, FOLD_OUT, FOLD_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def order_fold_events(spark: SparkSession, root: str) -> DataFrame:
     res = run_available_now(order_fold_stream(spark, root), "order_fold")
-    return res.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return res.withColumn("ts", instant_to_ntz("ts"))
 
 
 def order_state(folded: DataFrame) -> DataFrame:
@@ -200,4 +201,4 @@ def outbox(spark: SparkSession, root: str) -> DataFrame:
          .option("path", f"{base}/out").start())
     q.awaitTermination()
     res = run_available_now(outbox_stream(spark, root, f"{base}/out", FOLD_OUT), "outbox")
-    return res.withColumn("queued_at", F.col("queued_at").cast("timestamp_ntz"))
+    return res.withColumn("queued_at", instant_to_ntz("queued_at"))
