@@ -66,18 +66,40 @@ def dq_length(tables: dict[str, DataFrame]) -> DataFrame:
 
 def dq_unique(tables: dict[str, DataFrame]) -> DataFrame:
     """Per declared key: how many key values repeat, and how many rows they cover.
-    NULL keys are not duplicates (as in a UNIQUE index)."""
+    NULL keys are not duplicates (as in a UNIQUE index).
+
+    A table with several keys is checked in one scan: a grouping-sets aggregate (one
+    set per key) counts rows per key value, ``grouping_id`` tells the sets apart,
+    and a second, one-row aggregate turns the counts into the report. A single key
+    is a plain grouped count."""
     parts = []
     for t, keys in schemas.UNIQUE.items():
         if t not in tables:
             continue
-        for key in keys:
-            df = tables[t].where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key]))
-            dup = df.groupBy(*key).count().where(F.col("count") > 1)
+        if len(keys) == 1:
+            k = keys[0]
+            df = tables[t].where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k]))
+            dup = df.groupBy(*k).count().where(F.col("count") > 1)
             parts.append(dup.agg(
-                F.lit(t).alias("table_name"), F.lit(",".join(key)).alias("key_name"),
+                F.lit(t).alias("table_name"), F.lit(",".join(k)).alias("key_name"),
                 F.count(F.lit(1)).alias("duplicate_keys"),
                 F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("duplicate_rows")))
+            continue
+        cols = sorted({c for k in keys for c in k})
+        # grouping_id bit i (from the left) is 1 when cols[i] is not in the set
+        gids = [sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in k) for k in keys]
+        counts = (tables[t].groupingSets([list(k) for k in keys], *cols)
+                  .agg(F.count(F.lit(1)).alias("_n"), F.grouping_id().alias("_gid")))
+        aggs = []
+        for i, (k, gid) in enumerate(zip(keys, gids)):
+            dup = ((F.col("_gid") == gid) & (F.col("_n") > 1)
+                   & reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k]))
+            aggs += [F.count(F.when(dup, 1)).alias(f"k{i}"),
+                     F.coalesce(F.sum(F.when(dup, F.col("_n"))), F.lit(0)).cast("long").alias(f"r{i}")]
+        wide = counts.agg(*aggs)
+        stack = ", ".join(f"'{','.join(k)}', k{i}, r{i}" for i, k in enumerate(keys))
+        parts.append(wide.selectExpr(f"'{t}' AS table_name",
+                                     f"stack({len(keys)}, {stack}) AS (key_name, duplicate_keys, duplicate_rows)"))
     return _union(parts)
 
 
