@@ -43,15 +43,16 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def run_available_now(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_available_now(df: DataFrame, name: str, mode: str = "append", base: str | None = None) -> DataFrame:
     """Run a streaming DataFrame over all available input and return its sink.
 
     ``append``: a parquet file sink. ``complete``: each micro-batch's full result
     replaces the sink table (foreachBatch), for aggregates whose complete result is
-    wanted.
+    wanted. Passing the same ``base`` again resumes from the saved offsets and state,
+    so only new input is processed.
     """
     spark = df.sparkSession
-    base = _scratch(spark, name)
+    base = base or _scratch(spark, name)
     out, ckpt = f"{base}/out", f"{base}/checkpoint"
     w = df.writeStream.trigger(availableNow=True).option("checkpointLocation", ckpt).queryName(
         f"{name}_{uuid.uuid4().hex[:6]}")
@@ -77,6 +78,16 @@ def daily_sales_stream(spark: SparkSession, root: str, watermark: str = "1 day")
             .agg(F.sum("total_amount").alias("_amt")))
 
 
+def daily_sales_final(spark: SparkSession, root: str, base: str | None = None) -> DataFrame:
+    """Append mode: a day is written once the watermark (latest order time seen minus
+    one day) has passed its end, and never changes afterwards; orders arriving later
+    than the watermark are dropped. The newest days stay open until later input
+    moves the watermark."""
+    res = run_available_now(daily_sales_stream(spark, root), "daily_sales_final", mode="append", base=base)
+    return res.select(instant_to_ntz("w.start").alias("t_date"),
+                      F.col("_amt").cast("double").alias("daily_total"))
+
+
 def daily_sales(spark: SparkSession, root: str) -> DataFrame:
     """Complete-mode result: equals the batch daily trend over all time."""
     res = run_available_now(daily_sales_stream(spark, root), "daily_sales", mode="complete")
