@@ -26,14 +26,14 @@ from washline.sources import views
 from washline.sources.tables import Tables
 
 
-def table_stream(spark: SparkSession, root: str, name: str, max_files: int = 64) -> DataFrame:
+def table_stream(spark: SparkSession, root: str, name: str, max_bytes: int = 512 << 20) -> DataFrame:
     """A file stream over one table (a ``name.parquet`` folder or file under ``root``).
-    ``maxFilesPerTrigger`` bounds each micro-batch, and so the rows of any one key
-    that a stateful step sees at once."""
+    ``maxBytesPerTrigger`` bounds each micro-batch, and so the rows of any one key
+    that a stateful step holds at once, whatever the file sizes."""
     tables = Tables(spark, root)
     schema = tables.read(name).schema
     path = tables.path(name)
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(max_bytes))
     if os.path.isdir(path) or "://" in path:
         return reader.parquet(path)
     return reader.option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path))
