@@ -8,7 +8,7 @@ end, as on the Spark side, so both engines return identical values.
 
 from __future__ import annotations
 
-from washline.functions.timewin import WINDOWS, sql_in_window
+from washline.functions.timewin import WINDOWS, bounds, sql_in_window
 from washline.plans.context import AS_OF, WINDOW
 from washline.sources import schemas
 
@@ -598,7 +598,7 @@ SELECT transaction_id, display_id, customer_name,
 FROM tx WHERE {CREATED}
 """
 
-_LO = sql_in_window("x", WINDOW, AS_OF).split("'")[1]
+_LO = f"{bounds(WINDOW, AS_OF)[0]:%Y-%m-%d %H:%M:%S}"
 Q["insert_ignore"] = f"""
 , ids AS (SELECT transaction_id, created_at,
                     'ORD-' || CAST(CAST(epoch(created_at) AS BIGINT) AS VARCHAR) AS display_id FROM txl),
