@@ -8,7 +8,7 @@ def norm(v):
     if v is None:
         return "∅"
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else repr(round(v, 6))
+        return "nan" if math.isnan(v) else repr(v)   # exact: money is summed in decimal
     if hasattr(v, "isoformat"):
         return str(v).replace("T", " ")
     return str(v)
