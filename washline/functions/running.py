@@ -47,20 +47,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialized(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` once as a parquet table under ``spark.checkpoint.dir`` and read it
-    back: a lineage cut that evaluates the input a single time (the hash partitioning
-    is not kept; use ``checkpointed`` when the next step needs it)."""
-    import uuid
-
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
-    path = f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
             lasts: Mapping[str, Column] | None = None,
             sums: Mapping[str, Column] | None = None) -> DataFrame:

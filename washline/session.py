@@ -22,6 +22,8 @@ _BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # delete a reliable checkpoint's files once no DataFrame refers to it any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Call-site capture for error messages costs several JVM round trips per
     # DataFrame API call while a plan is being built; off for batch jobs.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
