@@ -42,14 +42,19 @@ def _simulate(base, events):
     return out, state
 
 
-@pytest.mark.parametrize("seed,bucket", [(1, "day"), (2, "hour"), (3, "minute"), (4, "day")])
-def test_fold_equals_sequential_loop(spark, seed, bucket):
+@pytest.mark.parametrize("seed,bucket,hot", [
+    (1, "day", 0),            # every order bucketed
+    (2, "hour", 0),
+    (3, "minute", 30),        # orders with > 30 requests bucketed, the rest plain windows
+    (4, "day", 1_000_000),    # every order on plain windows
+])
+def test_fold_equals_sequential_loop(spark, seed, bucket, hot):
     base, events = _random_log(seed)
     tx = spark.createDataFrame([(o, s, p, v) for o, s, p, v in base],
                                "transaction_id long, status string, payment_status string, void_status string")
     ev = spark.createDataFrame(events, "event_id long, ts timestamp_ntz, order_id long, action string, "
                                        "actor_id long, is_admin boolean, reason string")
-    ann = changes.annotate(ev, tx, bucket=bucket)
+    ann = changes.annotate(ev, tx, bucket=bucket, hot_threshold=hot)
     got = {r.event_id: r.accepted for r in ann.select("event_id", "accepted").collect()}
     expect, final = _simulate(base, events)
     assert got == expect

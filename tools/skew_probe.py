@@ -64,7 +64,8 @@ def run(sf_dir: str, mode: str) -> None:
         "order_id", F.when(F.col("event_id") % 3 == 0, F.lit(7)).otherwise(F.col("order_id")))
     tx = views.transactions(t, with_customer=False)
     if mode in ("day", "hour"):
-        out = changes.annotate(ev, tx, bucket=mode)
+        # the hot order (a third of the rows) is far above this threshold
+        out = changes.annotate(ev, tx, bucket=mode, hot_threshold=10_000)
     else:  # the plain form: one window partitioned by order only
         w = Window.partitionBy("order_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
         out = ev.withColumn("_prev", F.last("action", ignorenulls=True).over(w))

@@ -13,14 +13,17 @@ Requests (one row each, ordered by (ts, event_id) per order):
   status is Claimed.
 
 The rules form an acyclic chain (void <- nothing; payment <- void; status <- void,
-payment), so the fold is three passes of running "previous value" windows per
-order, each one a two-level (order, time bucket) window that a hot order cannot
-funnel into one task (``functions.running``):
+payment), so the fold is three "previous value" computations per order:
 
 1. void state before each request = target of the last kept void/revert request;
 2. payment state before each request: Admin toggles counted since the last Staff
-   request (payment resets to Paid there), by parity (``payment_before``);
+   request (payment resets to Paid there), by parity;
 3. status before each request and whether a Claimed move was accepted earlier.
+
+Orders of ordinary size run them as plain per-order windows (one shuffle, one sort,
+``state_plain``). Hot orders, counted first, run them as two-level (order, time
+bucket) passes that one order cannot funnel into one task (``state_bucketed``,
+``functions.running``). Both give identical rows.
 """
 
 from __future__ import annotations
@@ -40,39 +43,121 @@ def _flip(c: Column) -> Column:
     return F.when(c == "Paid", "Unpaid").otherwise("Paid")
 
 
-def annotate(changes: DataFrame, tx: DataFrame, bucket: str = "day") -> DataFrame:
+# Hot-order isolation: orders with more requests than this go through the bucketed
+# two-level passes; all others through plain per-order windows (one shuffle, no
+# checkpoints). At most MAX_HOT_ORDERS hot ids are collected (a bounded list, like a
+# runtime statistic); beyond that every order takes the bucketed path.
+HOT_ORDER_ROWS = 1_000_000
+MAX_HOT_ORDERS = 10_000
+
+def _action() -> Column:
+    return F.col("action")
+
+
+def _void_kind() -> Column:
+    return _action().isin("VOID", "REVERT_VOID")
+
+
+def _target_v() -> Column:
+    """Void state a kept void/revert request sets (NULL for every other request)."""
+    kept = _void_kind() & F.col("is_admin") & ((_action() == "REVERT_VOID") | ~is_blank("reason"))
+    return F.when(kept, F.when(_action() == "VOID", "Voided").otherwise("Active"))
+
+
+def _base_open() -> Column:
+    return F.coalesce(F.col("base_status") != "Claimed", F.lit(True))
+
+
+def _valid() -> Column:
+    return _action().isin("PAY", *STATUS_ACTIONS) & (F.col("void_before") == "Active") & _base_open()
+
+
+def _candidate() -> Column:
+    return F.col("_valid") & _action().isin(*STATUS_ACTIONS) & (F.col("paid_before") == "Paid")
+
+
+def _paid(flips: Column, anchor: Column) -> Column:
+    """Payment before a request from the Admin flips before it and that count at the
+    last Staff request before it (NULL when none)."""
+    return (F.when(anchor.isNotNull(),
+                   F.when((flips - anchor) % 2 == 0, F.lit("Paid")).otherwise(F.lit("Unpaid")))
+             .otherwise(F.when(flips % 2 == 0, F.col("base_pay")).otherwise(_flip(F.col("base_pay")))))
+
+
+def hot_orders(ev: DataFrame, threshold: int = HOT_ORDER_ROWS, limit: int = MAX_HOT_ORDERS) -> list | None:
+    """Ids of orders with more than ``threshold`` requests (a partial aggregate).
+    None when there are more than ``limit`` of them."""
+    hot = ev.groupBy("order_id").count().where(F.col("count") > threshold).select("order_id")
+    ids = [r.order_id for r in hot.limit(limit + 1).collect()]
+    return None if len(ids) > limit else ids
+
+
+def state_plain(ev: DataFrame) -> DataFrame:
+    """State before each request with ordinary per-order windows. All windows share
+    one partitioning and ordering, so they run after a single shuffle and sort."""
+    w = Window.partitionBy(*KEYS).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    ev = ev.withColumn("void_before", F.coalesce(F.last(_target_v(), ignorenulls=True).over(w),
+                                                 F.col("base_void")))
+    ev = ev.withColumn("_valid", _valid())
+    pay = F.col("_valid") & (_action() == "PAY")
+    ev = ev.withColumn("_flips", F.coalesce(F.sum(F.when(pay & F.col("is_admin"), 1).otherwise(0)).over(w),
+                                            F.lit(0)))
+    ev = ev.withColumn("_anchor", F.last(F.when(pay & ~F.col("is_admin"), F.col("_flips")),
+                                         ignorenulls=True).over(w))
+    ev = ev.withColumn("paid_before", _paid(F.col("_flips"), F.col("_anchor")))
+    cand = _candidate()
+    return (ev.withColumn("_status_prev", F.last(F.when(cand, _action()), ignorenulls=True).over(w))
+              .withColumn("_claimed_prev", F.last(F.when(cand & (_action() == "Claimed"), F.lit(True)),
+                                                  ignorenulls=True).over(w))
+              .drop("_flips", "_anchor"))
+
+
+def state_bucketed(ev: DataFrame, bucket: str = "day") -> DataFrame:
+    """The same state with two-level (order, time bucket) passes, for hot orders:
+    1. void state before each request = target of the last kept void/revert;
+    2./3. payment state (``payment_before``);
+    4. status before each request and whether a Claimed move came earlier."""
+    ev = with_bucket(ev, "ts", bucket)
+    ev = running(ev, KEYS, ORDER, lasts={"_void_prev": _target_v()})
+    ev = ev.withColumn("void_before", F.coalesce("_void_prev", "base_void")).drop("_void_prev")
+    ev = payment_before(ev.withColumn("_valid", _valid()))
+    cand = _candidate()
+    ev = running(ev, KEYS, ORDER, lasts={
+        "_status_prev": F.when(cand, _action()),
+        "_claimed_prev": F.when(cand & (_action() == "Claimed"), F.lit(True)),
+    })
+    return ev.drop(BUCKET)
+
+
+def annotate(changes: DataFrame, tx: DataFrame, bucket: str = "day",
+             hot_threshold: int = HOT_ORDER_ROWS) -> DataFrame:
     """Every change request with the order state before it, its acceptance, the
     reason for a refusal, and the old/new value it writes.
 
     ``changes``: event_id, ts, order_id, action, actor_id, is_admin, reason.
     ``tx``: the orders before any request (transaction_id, status, payment_status,
     void_status). Requests for unknown orders are dropped.
+    Orders with more than ``hot_threshold`` requests take the bucketed path (0: all
+    orders do); the two paths give identical rows.
     """
     base = tx.select(F.col("transaction_id").alias("order_id"),
                      F.col("status").alias("base_status"),
                      F.col("payment_status").alias("base_pay"),
                      F.col("void_status").alias("base_void"))
-    ev = with_bucket(changes.join(base, "order_id"), "ts", bucket)
-    action = F.col("action")
-    is_void_kind = action.isin("VOID", "REVERT_VOID")
-
-    # 1. void timeline
-    kept_v = is_void_kind & F.col("is_admin") & ((action == "REVERT_VOID") | ~is_blank("reason"))
-    target_v = F.when(kept_v, F.when(action == "VOID", "Voided").otherwise("Active"))
-    ev = running(ev, KEYS, ORDER, lasts={"_void_prev": target_v})
-    ev = ev.withColumn("void_before", F.coalesce("_void_prev", "base_void"))
-
-    # 2./3. payment before each request (one two-level pass, see payment_before)
-    base_open = F.coalesce(F.col("base_status") != "Claimed", F.lit(True))
-    valid = action.isin("PAY", *STATUS_ACTIONS) & (F.col("void_before") == "Active") & base_open
-    ev = payment_before(ev.withColumn("_valid", valid))
-
-    # 4. status before each request, and the terminal Claimed move
-    cand = F.col("_valid") & action.isin(*STATUS_ACTIONS) & (F.col("paid_before") == "Paid")
-    ev = running(ev, KEYS, ORDER, lasts={
-        "_status_prev": F.when(cand, action),
-        "_claimed_prev": F.when(cand & (action == "Claimed"), F.lit(True)),
-    })
+    ev = changes.join(base, "order_id")
+    hot = hot_orders(ev, hot_threshold) if hot_threshold > 0 else None
+    if hot is None:
+        ev = state_bucketed(ev, bucket)
+    elif not hot:
+        ev = state_plain(ev)
+    else:
+        is_hot = F.col("order_id").isin(*hot)
+        ev = state_plain(ev.where(~is_hot)).unionByName(state_bucketed(ev.where(is_hot), bucket))
+    return _decide(ev)
+
+
+def _decide(ev: DataFrame) -> DataFrame:
+    action, is_void_kind, base_open = _action(), _void_kind(), _base_open()
     ev = ev.withColumn("status_before", F.coalesce("_status_prev", "base_status"))
     after_claim = F.coalesce(F.col("_claimed_prev"), F.lit(False))
 
@@ -132,9 +217,7 @@ def payment_before(ev: DataFrame) -> DataFrame:
     j = local.join(carry, part, "left")
     flips = F.col("_f_in") + F.col("_f_loc")
     anchor = F.coalesce(F.col("_f_in") + F.col("_a_loc"), F.col("_g_in"))
-    paid = (F.when(anchor.isNotNull(),
-                   F.when((flips - anchor) % 2 == 0, F.lit("Paid")).otherwise(F.lit("Unpaid")))
-             .otherwise(F.when(flips % 2 == 0, F.col("base_pay")).otherwise(_flip(F.col("base_pay")))))
+    paid = _paid(flips, anchor)
     return j.withColumn("paid_before", paid).drop(
         "_flip", "_staff", "_f_loc", "_a_loc", "_f_in", "_g_in")
 
