@@ -90,3 +90,14 @@ def test_text_rule_profile(spark):
     r = quality.text_rule_profile(df, "text", ["grp"]).first()
     assert (r.n_rows, r.fail_length, r.fail_upper, r.fail_lower, r.fail_digit, r.fail_special, r.fail_any) == \
         (4, 2, 2, 2, 2, 2, 3)
+
+
+def test_validity_paths_agree(spark):
+    from washline.sources.tables import Tables
+    e = Tables(spark, "/root/testdata/sf0.001").events
+    iss = e.where(F.col("event_type") == "view").select("user_id", "event_id", "ts")
+    att = e.where(F.col("event_type") == "click").select("user_id", "event_id", "ts")
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    plain = rows(validity.valid_window_join(iss, att))
+    assert plain == rows(validity.valid_window_join(iss, att, hot_threshold=0))
+    assert plain == rows(validity.valid_window_join(iss, att, bucket="hour", hot_threshold=5))

@@ -37,6 +37,15 @@ def with_bucket(df: DataFrame, ts_col: str, unit: str = "day") -> DataFrame:
     return df.withColumn(BUCKET, F.date_trunc(unit, F.col(ts_col)))
 
 
+def hot_keys(df: DataFrame, key: str, threshold: int, limit: int = 10_000) -> list | None:
+    """Values of ``key`` with more than ``threshold`` rows (a partial aggregate; at
+    most ``limit`` ids come back to the driver, a bounded runtime statistic).
+    None when there are more than ``limit``: treat every key as hot then."""
+    hot = df.groupBy(key).count().where(F.col("count") > threshold).select(key)
+    ids = [r[0] for r in hot.limit(limit + 1).collect()]
+    return None if len(ids) > limit else ids
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (lineage cut) of ``df`` into ``spark.checkpoint.dir``.
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from washline.functions.formatting import is_blank, strip
-from washline.functions.running import BUCKET, checkpointed, running, with_bucket
+from washline.functions.running import BUCKET, checkpointed, hot_keys, running, with_bucket
 
 ORDER = ["ts", "event_id"]
 KEYS = ["order_id"]
@@ -85,11 +85,8 @@ def _paid(flips: Column, anchor: Column) -> Column:
 
 
 def hot_orders(ev: DataFrame, threshold: int = HOT_ORDER_ROWS, limit: int = MAX_HOT_ORDERS) -> list | None:
-    """Ids of orders with more than ``threshold`` requests (a partial aggregate).
-    None when there are more than ``limit`` of them."""
-    hot = ev.groupBy("order_id").count().where(F.col("count") > threshold).select("order_id")
-    ids = [r.order_id for r in hot.limit(limit + 1).collect()]
-    return None if len(ids) > limit else ids
+    """Ids of orders with more than ``threshold`` requests; None if over ``limit``."""
+    return hot_keys(ev, "order_id", threshold, limit)
 
 
 def state_plain(ev: DataFrame) -> DataFrame:

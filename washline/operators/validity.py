@@ -3,35 +3,69 @@
 For every attempt, the code in force is the latest one issued to the same user
 before the attempt (an as-of join); the attempt is valid when it falls inside that
 code's window and no earlier valid attempt already used the code. Both steps are
-running "previous value" passes (``functions.running``), so no pairs of rows are
-ever formed and a hot user is split by time bucket.
+running "previous value" steps, so no pairs of rows are ever formed: plain per-user
+windows for ordinary users, two-level (user, time bucket) passes for hot users
+(``functions.running``), who are counted first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from washline.functions.running import running, with_bucket
+from washline.functions.running import BUCKET, hot_keys, running, with_bucket
 
 VALIDITY = "INTERVAL 10 MINUTES"
+ORDER = ["ts", "event_id"]
+
+
+HOT_USER_ROWS = 1_000_000
+
+
+def _code() -> Column:
+    return F.when(F.col("_tok"), F.struct(F.col("event_id").alias("token_id"), F.col("ts").alias("issued_at")))
+
+
+def _attempts(u: DataFrame) -> DataFrame:
+    return (u.where(~F.col("_tok"))
+            .withColumn("token_id", F.col("_code.token_id"))
+            .withColumn("issued_at", F.col("_code.issued_at"))
+            .withColumn("in_window", F.col("token_id").isNotNull()
+                        & (F.col("ts") < F.col("issued_at") + F.expr(VALIDITY))))
+
+
+def _used() -> Column:
+    return F.when(F.col("in_window"), F.col("token_id"))
+
+
+def _plain(u: DataFrame, user: str) -> DataFrame:
+    """Ordinary users: two per-user windows on one partitioning."""
+    w = Window.partitionBy(user).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    a = _attempts(u.withColumn("_code", F.last(_code(), ignorenulls=True).over(w)))
+    return a.withColumn("_used", F.last(_used(), ignorenulls=True).over(w))
+
+
+def _bucketed(u: DataFrame, user: str, bucket: str) -> DataFrame:
+    """Hot users: the same two steps as two-level (user, time bucket) passes."""
+    u = running(with_bucket(u, "ts", bucket), [user], ORDER, lasts={"_code": _code()})
+    a = running(_attempts(u), [user], ORDER, lasts={"_used": _used()})
+    return a.drop(BUCKET)
 
 
 def valid_window_join(issues: DataFrame, attempts: DataFrame, user: str = "user_id",
-                      bucket: str = "day") -> DataFrame:
-    """``issues`` and ``attempts``: (user_id, event_id, ts). One row per attempt."""
+                      bucket: str = "day", hot_threshold: int = HOT_USER_ROWS) -> DataFrame:
+    """``issues`` and ``attempts``: (user_id, event_id, ts). One row per attempt.
+    Users with more than ``hot_threshold`` rows take the bucketed path (0: all)."""
     u = (issues.select(user, "event_id", "ts", F.lit(True).alias("_tok"))
          .unionByName(attempts.select(user, "event_id", "ts", F.lit(False).alias("_tok"))))
-    u = with_bucket(u, "ts", bucket)
-    order = ["ts", "event_id"]
-    u = running(u, [user], order, lasts={"_code": F.when(F.col("_tok"), F.struct(
-        F.col("event_id").alias("token_id"), F.col("ts").alias("issued_at")))})
-    a = (u.where(~F.col("_tok"))
-         .withColumn("token_id", F.col("_code.token_id"))
-         .withColumn("issued_at", F.col("_code.issued_at"))
-         .withColumn("in_window", F.col("token_id").isNotNull()
-                     & (F.col("ts") < F.col("issued_at") + F.expr(VALIDITY))))
-    a = running(a, [user], order, lasts={"_used": F.when(F.col("in_window"), F.col("token_id"))})
+    hot = hot_keys(u, user, hot_threshold) if hot_threshold > 0 else None
+    if hot is None:
+        a = _bucketed(u, user, bucket)
+    elif not hot:
+        a = _plain(u, user)
+    else:
+        is_hot = F.col(user).isin(*hot)
+        a = _plain(u.where(~is_hot), user).unionByName(_bucketed(u.where(is_hot), user, bucket))
     return a.select(F.col("event_id").alias("attempt_id"), user, "ts", "token_id", "issued_at",
                     (F.col("in_window") & F.coalesce(F.col("_used") != F.col("token_id"), F.lit(True)))
                     .alias("valid"))
