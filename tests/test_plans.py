@@ -30,15 +30,24 @@ def test_category_join_is_broadcast(spark):
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
 
 
-def test_fold_windows_are_split_by_time_bucket(spark):
-    df = QUERIES["transition_guard"](spark, SMALL)
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    specs = re.findall(r"windowspecdefinition\(([^)]*?)(?:, (?:ts|__bucket)#)", plan)
-    # every window over request rows is partitioned by (order, bucket); windows
-    # partitioned by order alone only run over the per-bucket summary
+def test_fold_windows_are_split_by_time_bucket_for_hot_orders(spark):
+    from washline.operators import changes
+    from washline.sources import views
+    from washline.sources.tables import Tables
+
+    t = Tables(spark, SMALL)
+    ev, tx = views.change_events(t), views.transactions(t, with_customer=False)
+    # hot_threshold=0: every order is treated as hot and takes the bucketed passes
+    hot = changes.annotate(ev, tx, hot_threshold=0)
+    plan = hot._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"windowspecdefinition\(order_id#\d+L, __bucket#", plan)
     assert not re.search(r"windowspecdefinition\(order_id#\d+L, ts#", plan), \
         "a window over requests is partitioned by order only"
-    assert specs
+    # ordinary orders: plain per-order windows after one shuffle, no checkpoint
+    plain = changes.annotate(ev, tx)
+    text = _plan(plain)
+    assert "Scan ExistingRDD" not in text
+    assert text.count("hashpartitioning(order_id") == 1
 
 
 def test_rank_is_not_a_single_partition_window_over_items(spark):
