@@ -84,5 +84,8 @@ def test_global_row_number(spark):
     order = [F.col("x").desc(), F.col("id").asc()]
     expect = {r.id: r.rn for r in df.select("id", F.row_number().over(Window.orderBy(*order)).alias("rn"))
               .collect()}
-    got = {r.id: r.rank for r in global_row_number(df, order, "rank", partitions=5).collect()}
+    got = {r.id: r.rank for r in global_row_number(df, order, "rank", partitions=5,
+                                                  single_task_rows=0).collect()}
     assert got == expect
+    small = {r.id: r.rank for r in global_row_number(df, order, "rank").collect()}
+    assert small == expect

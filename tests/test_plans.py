@@ -50,7 +50,13 @@ def test_fold_windows_are_split_by_time_bucket_for_hot_orders(spark):
     assert text.count("hashpartitioning(order_id") == 1
 
 
-def test_rank_is_not_a_single_partition_window_over_items(spark):
-    plan = _plan(QUERIES["service_leaderboard"](spark, SMALL))
-    # the only single-partition window is the offsets table (one row per partition)
-    assert "rangepartitioning" in plan.lower()
+def test_rank_is_not_a_single_partition_window_over_large_inputs(spark):
+    from pyspark.sql import functions as F
+    from washline.functions.ranking import global_row_number
+
+    df = spark.range(5000).select(F.col("id"), (F.col("id") % 17).alias("x"))
+    big = global_row_number(df, [F.col("x").desc(), F.col("id")], single_task_rows=1000)
+    assert "Arguments: rangepartitioning(x" in _plan(big)        # range exchange on the sort key
+    small = global_row_number(df, [F.col("x").desc(), F.col("id")])
+    plan = _plan(small)
+    assert "Arguments: rangepartitioning(x" not in plan and "Arguments: SinglePartition" in plan

@@ -1,8 +1,9 @@
 """A global row number that does not funnel all rows into one task.
 
 ``row_number().over(Window.orderBy(...))`` has no partition key, so Spark moves
-every row to a single partition. Here the rows are range-partitioned on the sort
-key, numbered inside each range, and shifted by the row count of all earlier
+every row to a single partition. That is used only after a size check shows the
+input is at most ``SINGLE_TASK_ROWS``; larger inputs are range-partitioned on the
+sort key, numbered inside each range, and shifted by the row count of all earlier
 ranges. The offsets table has one row per partition, so broadcasting it is
 bounded by the partition count, not by the data.
 
@@ -20,13 +21,20 @@ from pyspark.sql import functions as F
 from washline.functions.running import checkpointed
 
 
+# Inputs up to this many rows are numbered by one task (a bounded sort); larger
+# ones by range partitions and per-partition offsets.
+SINGLE_TASK_ROWS = 1_000_000
+
+
 def global_row_number(df: DataFrame, order: Sequence[Column], out: str = "rank",
-                      partitions: int | None = None) -> DataFrame:
+                      partitions: int | None = None, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The rows are read twice (numbering and partition sizes): cut the lineage so
-    # the input is computed once and both reads see the same range partitions.
+    # The rows are read more than once (size check, numbering, partition sizes): cut
+    # the lineage so the input is computed once and every read sees the same rows.
     df = checkpointed(df)
+    if df.count() <= single_task_rows:  # size checked: one task sorts a bounded input
+        return df.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("long"))
     ranged = df.repartitionByRange(n, *order).withColumn("__pid", F.spark_partition_id())
     local = ranged.withColumn(
         "__rn", F.row_number().over(Window.partitionBy("__pid").orderBy(*order)))
