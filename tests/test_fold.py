@@ -47,6 +47,8 @@ def _simulate(base, events):
     (2, "hour", 0),
     (3, "minute", 30),        # orders with > 30 requests bucketed, the rest plain windows
     (4, "day", 1_000_000),    # every order on plain windows
+    (5, 7, 0),                # buckets sized to ~7 rows per order
+    (6, 25, 30),              # sized buckets for the hot orders only
 ])
 def test_fold_equals_sequential_loop(spark, seed, bucket, hot):
     base, events = _random_log(seed)

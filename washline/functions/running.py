@@ -37,6 +37,25 @@ def with_bucket(df: DataFrame, ts_col: str, unit: str = "day") -> DataFrame:
     return df.withColumn(BUCKET, F.date_trunc(unit, F.col(ts_col)))
 
 
+def with_sized_buckets(df: DataFrame, keys: Sequence[str], ts_col: str, target_rows: int) -> DataFrame:
+    """Add a bucket column sized per key: each key's time span is cut into
+    ceil(rows / target_rows) equal slices, so buckets hold about ``target_rows`` rows
+    when a key's rows are spread over time, whatever the calendar. Meant for the
+    isolated hot keys: the per-key table has one row per key and is broadcast (its
+    size is bounded by the hot-key limit). Bucket ids grow with time, as
+    ``running`` needs."""
+    keys = list(keys)
+    us = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {ts_col})")
+    stats = (df.select(*keys, us.alias("_us")).groupBy(*keys)
+             .agg(F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_lo"), F.max("_us").alias("_hi")))
+    slices = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(target_rows)))
+    stats = stats.select(*keys, "_lo", F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / slices))
+                         .cast("long").alias("_width"))
+    return (df.join(F.broadcast(stats), keys)
+            .withColumn(BUCKET, F.floor((us - F.col("_lo")) / F.col("_width")).cast("long"))
+            .drop("_lo", "_width"))
+
+
 def hot_keys(df: DataFrame, key: str, threshold: int, limit: int = 10_000) -> list | None:
     """Values of ``key`` with more than ``threshold`` rows (a partial aggregate; at
     most ``limit`` ids come back to the driver, a bounded runtime statistic).

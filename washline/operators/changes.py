@@ -32,7 +32,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from washline.functions.formatting import is_blank, strip
-from washline.functions.running import BUCKET, checkpointed, hot_keys, running, with_bucket
+from washline.functions.running import (BUCKET, checkpointed, hot_keys, running, with_bucket,
+                                        with_sized_buckets)
 
 ORDER = ["ts", "event_id"]
 KEYS = ["order_id"]
@@ -49,6 +50,8 @@ def _flip(c: Column) -> Column:
 # runtime statistic); beyond that every order takes the bucketed path.
 HOT_ORDER_ROWS = 1_000_000
 MAX_HOT_ORDERS = 10_000
+# rows per time bucket aimed at for a hot order (see functions.running.with_sized_buckets)
+HOT_BUCKET_ROWS = 250_000
 
 def _action() -> Column:
     return F.col("action")
@@ -109,12 +112,17 @@ def state_plain(ev: DataFrame) -> DataFrame:
               .drop("_flips", "_anchor"))
 
 
-def state_bucketed(ev: DataFrame, bucket: str = "day") -> DataFrame:
+def state_bucketed(ev: DataFrame, bucket: str | int = "day") -> DataFrame:
     """The same state with two-level (order, time bucket) passes, for hot orders:
     1. void state before each request = target of the last kept void/revert;
     2./3. payment state (``payment_before``);
-    4. status before each request and whether a Claimed move came earlier."""
-    ev = with_bucket(ev, "ts", bucket)
+    4. status before each request and whether a Claimed move came earlier.
+    ``bucket``: a calendar unit ("day", "hour", ...) or a target number of rows per
+    bucket (each hot order's time span cut into slices of about that many rows)."""
+    if isinstance(bucket, int):
+        ev = with_sized_buckets(ev, KEYS, "ts", bucket)
+    else:
+        ev = with_bucket(ev, "ts", bucket)
     ev = running(ev, KEYS, ORDER, lasts={"_void_prev": _target_v()})
     ev = ev.withColumn("void_before", F.coalesce("_void_prev", "base_void")).drop("_void_prev")
     ev = payment_before(ev.withColumn("_valid", _valid()))
@@ -126,7 +134,7 @@ def state_bucketed(ev: DataFrame, bucket: str = "day") -> DataFrame:
     return ev.drop(BUCKET)
 
 
-def annotate(changes: DataFrame, tx: DataFrame, bucket: str = "day",
+def annotate(changes: DataFrame, tx: DataFrame, bucket: str | int = HOT_BUCKET_ROWS,
              hot_threshold: int = HOT_ORDER_ROWS) -> DataFrame:
     """Every change request with the order state before it, its acceptance, the
     reason for a refusal, and the old/new value it writes.
