@@ -101,3 +101,4 @@ def test_validity_paths_agree(spark):
     plain = rows(validity.valid_window_join(iss, att))
     assert plain == rows(validity.valid_window_join(iss, att, hot_threshold=0))
     assert plain == rows(validity.valid_window_join(iss, att, bucket="hour", hot_threshold=5))
+    assert plain == rows(validity.valid_window_join(iss, att, bucket=3, hot_threshold=5))

@@ -13,13 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from washline.functions.running import BUCKET, hot_keys, running, with_bucket
+from washline.functions.running import BUCKET, hot_keys, running, with_bucket, with_sized_buckets
 
 VALIDITY = "INTERVAL 10 MINUTES"
 ORDER = ["ts", "event_id"]
 
 
 HOT_USER_ROWS = 1_000_000
+HOT_BUCKET_ROWS = 250_000
 
 
 def _code() -> Column:
@@ -45,15 +46,17 @@ def _plain(u: DataFrame, user: str) -> DataFrame:
     return a.withColumn("_used", F.last(_used(), ignorenulls=True).over(w))
 
 
-def _bucketed(u: DataFrame, user: str, bucket: str) -> DataFrame:
-    """Hot users: the same two steps as two-level (user, time bucket) passes."""
-    u = running(with_bucket(u, "ts", bucket), [user], ORDER, lasts={"_code": _code()})
+def _bucketed(u: DataFrame, user: str, bucket: str | int) -> DataFrame:
+    """Hot users: the same two steps as two-level (user, time bucket) passes; buckets
+    are a calendar unit or sized to about ``bucket`` rows per user."""
+    u = with_sized_buckets(u, [user], "ts", bucket) if isinstance(bucket, int) else with_bucket(u, "ts", bucket)
+    u = running(u, [user], ORDER, lasts={"_code": _code()})
     a = running(_attempts(u), [user], ORDER, lasts={"_used": _used()})
     return a.drop(BUCKET)
 
 
 def valid_window_join(issues: DataFrame, attempts: DataFrame, user: str = "user_id",
-                      bucket: str = "day", hot_threshold: int = HOT_USER_ROWS) -> DataFrame:
+                      bucket: str | int = HOT_BUCKET_ROWS, hot_threshold: int = HOT_USER_ROWS) -> DataFrame:
     """``issues`` and ``attempts``: (user_id, event_id, ts). One row per attempt.
     Users with more than ``hot_threshold`` rows take the bucketed path (0: all)."""
     u = (issues.select(user, "event_id", "ts", F.lit(True).alias("_tok"))
