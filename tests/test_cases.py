@@ -224,3 +224,10 @@ def test_apply_updates_blank_keeps_value(spark):
         "id long, ts timestamp_ntz, event_id long, d string, p decimal(10,2)")
     r = sinks.apply_updates(base, upd, "id", ["ts", "event_id"], ["p"], ["d"]).first()
     assert (r.d, r.p) == ("new", Decimal("3.00"))
+
+
+def test_users_listed_in_role_enum_order(spark):
+    users = spark.createDataFrame([(3, "c", "C", "Staff", "Active"), (1, "a", "A", "Staff", "Active"),
+                                   (2, "b", "B", "Admin", "Inactive")],
+                                  "user_id long, username string, full_name string, role string, status string")
+    assert [r.user_id for r in search.users_by_role(users).collect()] == [2, 1, 3]
