@@ -102,3 +102,15 @@ def test_validity_paths_agree(spark):
     assert plain == rows(validity.valid_window_join(iss, att, hot_threshold=0))
     assert plain == rows(validity.valid_window_join(iss, att, bucket="hour", hot_threshold=5))
     assert plain == rows(validity.valid_window_join(iss, att, bucket=3, hot_threshold=5))
+
+
+def test_join_back_splits_hot_keys(spark):
+    from washline.functions.skew import join_back
+    rows = spark.range(300).select((F.when(F.col("id") < 200, 0).otherwise(F.col("id") % 7)).alias("k"),
+                                   F.col("id"))
+    per = rows.groupBy("k").agg(F.min("id").alias("m"))
+    plain = {tuple(r) for r in rows.join(per, "k").collect()}
+    split = join_back(rows, per, "k", threshold=50)           # key 0 has 200 rows: hot
+    assert {tuple(r) for r in split.select("k", "id", "m").collect()} == plain
+    plan = spark._jvm.PythonSQLUtils.explainString(split._jdf.queryExecution(), "formatted")
+    assert "BroadcastExchange" in plan

@@ -14,12 +14,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from washline.functions.skew import join_back
+
 
 def collect_bounded(df: DataFrame, keys: Sequence[str], item: Column, item_id: str,
                     out: str, target: int = 256) -> DataFrame:
     keys = list(keys)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     chunks = F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(target))).cast("long")
-    chunked = (df.join(counts, keys)
-               .withColumn("chunk", F.pmod(F.xxhash64(F.col(item_id)), chunks)))
+    joined = join_back(df, counts, keys[0]) if len(keys) == 1 else df.join(counts, keys)
+    chunked = joined.withColumn("chunk", F.pmod(F.xxhash64(F.col(item_id)), chunks))
     return chunked.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(item)).alias(out))

@@ -1,0 +1,31 @@
+"""Attach a per-key aggregate back to the rows of a table when one key may be hot.
+
+A plain equi-join puts every row of a hot key into one reduce task (AQE's skew-join
+split helps only when enabled). Here the hot keys are counted first (a partial
+aggregate; a bounded id list): rows of hot keys meet their per-key rows through a
+broadcast (at most ``limit`` rows, one per hot key), so they stay in the
+partitions they were read in; all other rows use an ordinary shuffle join.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from washline.functions.running import hot_keys
+
+HOT_KEY_ROWS = 1_000_000
+
+
+def join_back(rows: DataFrame, per_key: DataFrame, key: str, how: str = "inner",
+              threshold: int = HOT_KEY_ROWS) -> DataFrame:
+    """``rows`` joined with ``per_key`` (one row per key) on ``key``."""
+    hot = hot_keys(rows, key, threshold)
+    if hot is None:  # too many hot keys to list: leave the split to AQE
+        return rows.join(per_key, key, how)
+    if not hot:
+        return rows.join(per_key, key, how)
+    is_hot = F.col(key).isin(*hot)
+    hot_part = rows.where(is_hot).join(F.broadcast(per_key.where(is_hot)), key, how)
+    cold_part = rows.where(~is_hot).join(per_key.where(~is_hot), key, how)
+    return cold_part.unionByName(hot_part)
