@@ -53,6 +53,7 @@ MAX_HOT_ORDERS = 10_000
 # rows per time bucket aimed at for a hot order (see functions.running.with_sized_buckets)
 HOT_BUCKET_ROWS = 250_000
 
+
 def _action() -> Column:
     return F.col("action")
 
