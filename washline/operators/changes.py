@@ -157,6 +157,8 @@ def annotate(changes: DataFrame, tx: DataFrame, bucket: str | int = HOT_BUCKET_R
     elif not hot:
         ev = state_plain(ev)
     else:
+        # both subsets read the joined requests: compute the join once
+        ev = checkpointed(ev)
         is_hot = F.col("order_id").isin(*hot)
         ev = state_plain(ev.where(~is_hot)).unionByName(state_bucketed(ev.where(is_hot), bucket))
     return _decide(ev)

@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from washline.functions.running import BUCKET, hot_keys, running, with_bucket, with_sized_buckets
+from washline.functions.running import (BUCKET, checkpointed, hot_keys, running, with_bucket,
+                                        with_sized_buckets)
 
 VALIDITY = "INTERVAL 10 MINUTES"
 ORDER = ["ts", "event_id"]
@@ -67,6 +68,7 @@ def valid_window_join(issues: DataFrame, attempts: DataFrame, user: str = "user_
     elif not hot:
         a = _plain(u, user)
     else:
+        u = checkpointed(u)  # both subsets read it: compute the union once
         is_hot = F.col(user).isin(*hot)
         a = _plain(u.where(~is_hot), user).unionByName(_bucketed(u.where(is_hot), user, bucket))
     return a.select(F.col("event_id").alias("attempt_id"), user, "ts", "token_id", "issued_at",
