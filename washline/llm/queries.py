@@ -1,11 +1,13 @@
 """The registered queries of the training-data operators, and their SQL where SQL can say it."""
 
-from washline.llm import mixing
+from washline.llm import mixing, warc
 
 QUERIES = {
     "op2_mixing": mixing.op2_query,
+    "op5_warc": warc.op5_query,
 }
 
 ORACLE_SQL = {
     "op2_mixing": mixing.ORACLE_SQL,
+    "op5_warc": warc.ORACLE_SQL,
 }
