@@ -1,10 +1,11 @@
 """The registered queries of the training-data operators, and their SQL where SQL can say it."""
 
-from washline.llm import langid, mixing, warc
+from washline.llm import langid, mixing, neardup, warc
 
 QUERIES = {
     "op2_mixing": mixing.op2_query,
     "op5_warc": warc.op5_query,
+    "op6_neardup": neardup.op6_query,
     "op9_langid": langid.op9_query,
 }
 
