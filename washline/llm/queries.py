@@ -1,12 +1,13 @@
 """The registered queries of the training-data operators, and their SQL where SQL can say it."""
 
-from washline.llm import langid, mixing, neardup, substrings, warc
+from washline.llm import decontaminate, langid, mixing, neardup, substrings, warc
 
 QUERIES = {
     "op2_mixing": mixing.op2_query,
     "op4_substrings": substrings.op4_query,
     "op5_warc": warc.op5_query,
     "op6_neardup": neardup.op6_query,
+    "op7_decontaminate": decontaminate.op7_query,
     "op9_langid": langid.op9_query,
 }
 
