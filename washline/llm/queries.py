@@ -1,8 +1,10 @@
 """The registered queries of the training-data operators, and their SQL where SQL can say it."""
 
+import corpus_pipeline
 from washline.llm import decontaminate, langid, mixing, neardup, substrings, warc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op2_mixing": mixing.op2_query,
     "op4_substrings": substrings.op4_query,
     "op5_warc": warc.op5_query,
