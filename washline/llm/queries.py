@@ -1,7 +1,7 @@
 """The registered queries of the training-data operators, and their SQL where SQL can say it."""
 
 import corpus_pipeline
-from washline.llm import decontaminate, langid, mixing, neardup, substrings, warc
+from washline.llm import decontaminate, langid, mixing, neardup, quality, rules, substrings, warc
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -10,7 +10,9 @@ QUERIES = {
     "op5_warc": warc.op5_query,
     "op6_neardup": neardup.op6_query,
     "op7_decontaminate": decontaminate.op7_query,
+    "op8_rules": rules.op8_query,
     "op9_langid": langid.op9_query,
+    "op10_quality": quality.op10_query,
 }
 
 ORACLE_SQL = {
