@@ -3,13 +3,14 @@
 1. Every whole text gets a DartMinHash signature of its weighted five-word shingles. Equal texts
    are one node (their digest), so copies are never expanded.
 2. Banded joining. Nodes that share a band are candidates. A bucket is not expanded into pairs:
-   each node is paired with the bucket's first node only, and the exact weighted Jaccard similarity
+   each node is paired with the first node of one bucket only, and the exact weighted Jaccard similarity
    decides (links from signatures that agree in too few coordinates to reach the threshold are
    not verified). That joins most copies to their group.
 3. The exact way for the rest. Where a bucket still holds several components, the nodes outside
-   its largest component are compared with all nodes of the bucket, signature against signature, in
-   blocks of bounded size; pairs of different components that agree enough are verified exactly.
-   So no pair that shares a band is left undecided, and large groups of copies cost linear work.
+   its largest component are compared with all nodes of the bucket, in blocks of bounded size:
+   first signature against signature, then, for the nodes of pairs that agree enough, by exact
+   similarity. A block returns links that join components, never all its pairs. So no pair that
+   shares a band is left undecided.
 4. Connected components of the links are the classes.
 
 With 24 bands of 4 coordinates a pair at similarity 0.8 shares a band with probability
@@ -38,7 +39,7 @@ SHINGLE = 5
 #: at the threshold, so that less than one true link in a million is left out.
 AGREE = int(BANDS * ROWS * THRESHOLD - 5 * (BANDS * ROWS * THRESHOLD * (1 - THRESHOLD)) ** 0.5)
 #: Nodes of one bucket that one block of the exact comparison holds.
-BLOCK = 1000
+BLOCK = 500
 #: Bytes of text that a task hashes at a time.
 STEP_BYTES = 1 << 19
 
@@ -81,7 +82,7 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, texts in _steps(batch):
             x, doc = dart.multiset(*dart.shingles(texts, SHINGLE))
-            order = np.argsort(doc, kind="stable")
+            order = np.lexsort((x, doc))
             size = np.bincount(doc, minlength=len(texts)) if len(doc) else np.zeros(len(texts), int)
             yield pa.RecordBatch.from_arrays([
                 batch.column(1)[at:at + len(texts)],
@@ -111,40 +112,89 @@ def _verify(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFram
             .select("a", "b"))
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of different components within each (bucket, block) that agree often enough.
-
-    Rows come sorted by bucket and block, the compared rest (side 0) before the members (side 1).
+def _grid(visit):
+    """Iterate the (bucket, block) groups of sorted rows; rows of side 0 are compared with side 1."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(group: pd.DataFrame) -> pd.DataFrame | None:
+            rest, members = group[group["side"] == 0], group[group["side"] == 1]
+            return visit(rest, members) if len(rest) and len(members) else None
+
+        held = None
+        for batch in batches:
+            if held is not None:
+                batch = pd.concat([held, batch])
+            cell = batch[["band", "i", "j"]].ne(batch[["band", "i", "j"]].shift()).any(axis=1).cumsum()
+            groups = [g for _, g in batch.groupby(cell.to_numpy(), sort=False)]
+            held = groups.pop() if groups else None
+            found = [f for f in map(one, groups) if f is not None]
+            if found:
+                yield pd.concat(found)
+        if held is not None and (f := one(held)) is not None:
+            yield f
+    return run
+
+
+def _candidates(rest: pd.DataFrame, members: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of the rest: members of another component that agree enough, best first.
+
+    A pair that shares several bands is left to the first of them.
+    """
+    x = np.frombuffer(b"".join(rest["sig"]), np.uint32).reshape(len(rest), -1)
+    y = np.frombuffer(b"".join(members["sig"]), np.uint32).reshape(len(members), -1)
+    root, own, pos = members["root"].to_numpy(), rest["root"].to_numpy(), rest["pos"].iat[0]
+    for r in range(len(x)):
+        same = y == x[r]
+        agree = same.sum(1)
+        hit = np.flatnonzero((agree >= AGREE) & (root != own[r]))
+        if len(hit):
+            hit = hit[same[hit].reshape(len(hit), BANDS, ROWS).all(2).argmax(1) == pos]
+        if len(hit):
+            yield r, hit[np.argsort(-agree[hit], kind="stable")]
+
+
+def _mark(rest: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame | None:
+    """The rows of a group that take part in any candidate pair."""
+    left, right = [], np.zeros(len(members), bool)
+    for r, hit in _candidates(rest, members):
+        left.append(r)
+        right[hit] = True
+    if not left:
+        return None
+    keys = np.concatenate([rest["key"].to_numpy()[left], members["key"].to_numpy()[right]])
+    return pd.DataFrame({"band": rest["band"].iat[0], "key": keys})
+
+
+def _link(threshold: float):
+    def visit(rest: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame | None:
+        """Links between components of a group; pairs that its links already join are passed over."""
+        up: dict[bytes, bytes] = {}
+
+        def top(v: bytes) -> bytes:
+            while v in up:
+                v = up[v]
+            return v
+
+        out = []
+        xs, ys = rest["elements"].to_numpy(), members["elements"].to_numpy()
+        for r, hit in _candidates(rest, members):
+            for m in hit.tolist():
+                a, b = top(rest["root"].iat[r]), top(members["root"].iat[m])
+                if a == b:
+                    continue
+                both = len(np.intersect1d(xs[r], ys[m], assume_unique=True))
+                if both >= threshold * (len(xs[r]) + len(ys[m]) - both) - 1e-9:
+                    up[max(a, b)] = min(a, b)
+                    out.append((rest["key"].iat[r], members["key"].iat[m]))
+        return pd.DataFrame(out, columns=["a", "b"]) if out else None
+    return visit
+
+
+def _cells(members: DataFrame, columns: list[str]) -> DataFrame:
+    """Open buckets of ``members`` (band, pos, key, root, ...) as groups of bounded blocks.
+
+    In each bucket that holds several components, the rows outside the largest (side 0, blocks i)
+    meet all rows (side 1, blocks j).
     """
-    def pairs(group: pd.DataFrame) -> pd.DataFrame | None:
-        rest, members = group[group.side == 0], group[group.side == 1]
-        if not len(rest) or not len(members):
-            return None
-        x = np.frombuffer(b"".join(rest.sig), np.uint32).reshape(len(rest), -1)
-        y = np.frombuffer(b"".join(members.sig), np.uint32).reshape(len(members), -1)
-        root, out = members.root.to_numpy(), []
-        for i in range(len(x)):
-            hit = np.flatnonzero(((y == x[i]).sum(1) >= AGREE) & (root != rest.root.iat[i]))
-            if len(hit):
-                out.append(pd.DataFrame({"a": rest.key.iat[i], "b": members.key.to_numpy()[hit]}))
-        return pd.concat(out) if out else None
-
-    held = None
-    for batch in batches:
-        if held is not None:
-            batch = pd.concat([held, batch])
-        cell = batch[["band", "i", "j"]].ne(batch[["band", "i", "j"]].shift()).any(axis=1).cumsum()
-        groups = [g for _, g in batch.groupby(cell.to_numpy(), sort=False)]
-        held = groups.pop() if groups else None
-        found = [p for p in map(pairs, groups) if p is not None]
-        if found:
-            yield pd.concat(found)
-    if held is not None and (p := pairs(held)) is not None:
-        yield p
-
-
-def _rest(members: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of different components in the buckets ``members`` (band, key, root, sig)."""
     sizes = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(
         F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"),
         F.max("n").alias("most"), F.count(F.lit(1)).alias("roots")).where(F.col("roots") > 1)
@@ -154,15 +204,13 @@ def _rest(members: DataFrame) -> DataFrame:
     rows = members.join(sizes, "band")
     own = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    columns = ["band", "i", "j", "side", "key", "root", "sig"]
+    columns = ["band", "i", "j", "side", "pos", "key", "root", *columns]
     rest = (rows.where(F.col("root") != F.col("main")).withColumn("side", F.lit(0))
             .withColumn("i", own(F.col("ni"))).withColumn("j", every(F.col("nj"))))
     against = (rows.withColumn("side", F.lit(1))
                .withColumn("j", own(F.col("nj"))).withColumn("i", every(F.col("ni"))))
-    cells = rest.select(columns).unionByName(against.select(columns))
-    return (cells.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "side")
-            .mapInPandas(_compare, "a binary, b binary")
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return (rest.select(columns).unionByName(against.select(columns))
+            .repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "side"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -182,17 +230,19 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes, nodes_path = scratch_table(
         signed.where(F.size("bands") > 0).dropDuplicates(["key"]), "nodes")
 
-    bands = nodes.select("key", F.explode("bands").alias("band"))
+    bands = nodes.select("key", F.posexplode("bands").alias("pos", "band"))
     buckets = bands.groupBy("band").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n"))
     shared, shared_path = scratch_table(
         bands.join(buckets.where(F.col("n") > 1).drop("n"), "band"), "shared")
     sig = nodes.select(F.col("key").alias("_k"), "sig")
 
+    # each node with that first node of its buckets whose signature agrees best
     stars = shared.where(F.col("key") != F.col("first")).select("key", "first").distinct()
     stars = stars.join(sig, stars["key"] == sig["_k"]).select("key", "first", F.col("sig").alias("_x"))
     stars = stars.join(sig, stars["first"] == sig["_k"]).select("key", "first", "_x", "sig")
-    near = (stars.where(_agreement("_x", "sig") >= AGREE)
-            .groupBy(F.col("key").alias("b")).agg(F.min("first").alias("a")))
+    near = (stars.select("key", "first", _agreement("_x", "sig").alias("n"))
+            .where(F.col("n") >= AGREE).groupBy(F.col("key").alias("b"))
+            .agg(F.max_by("first", F.struct("n", "first")).alias("a")))
 
     own = nodes.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"))
     wanted = own.join(shared.select(F.col("key").alias("_k")).distinct(), "_k", "left_semi")
@@ -204,13 +254,21 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links, links_path = scratch_table(_verify(near, elements, threshold), "stars")
     roots, root_paths = components(links)
 
+    # the exact way for the rest: buckets that still hold several components
     top = roots.select(F.col("node").alias("_n"), "root")
     members = shared.join(top, shared["key"] == top["_n"], "left").select(
-        "band", "key", F.coalesce("root", "key").alias("root"))
-    members = members.join(sig, members["key"] == sig["_k"]).drop("_k")
-    late, late_path = scratch_table(_verify(_rest(members), elements, threshold), "late")
+        "band", "pos", "key", F.coalesce("root", "key").alias("root"))
+    signs = members.join(sig, members["key"] == sig["_k"]).drop("_k")
+    marked, marked_path = scratch_table(
+        _cells(signs, ["sig"]).mapInPandas(_grid(_mark), "band bigint, key binary").distinct(), "marked")
+    open_rows = (members.join(marked, ["band", "key"]).join(nodes.select("key", "sig"), "key")
+                 .join(elements, "key"))
+    late, late_path = scratch_table(
+        _cells(open_rows, ["sig", "elements"]).mapInPandas(
+            _grid(_link(threshold)), "a binary, b binary"), "late")
     roots, more_paths = components(links.unionByName(late))
-    drop_scratch(spark, shared_path, elements_path, links_path, late_path, nodes_path, *root_paths)
+    drop_scratch(spark, shared_path, elements_path, links_path, late_path, nodes_path, marked_path,
+                 *root_paths)
 
     top = roots.select(F.col("node").alias("_n"), "root")
     rows = signed.select("doc_id", "key")
