@@ -6,8 +6,9 @@ regression. Identity terms (groups of people) in labelled sentences are swapped
 the same kind, and the squared change of the score is penalised: a mention of a group then carries
 no weight of its own, so neutral mentions are not false positives.
 
-The sample is bounded (``max_per_label`` documents of each label, chosen by a hash of the id); the
-driver gets hashes of its words only. Scoring is an Arrow UDF over every whole text.
+The sample is bounded (``max_per_label`` documents of each label, chosen by a hash of the id).
+Features are counted and chosen on the executors; the driver gets the chosen ones of each sampled
+document only. Scoring is an Arrow UDF over every whole text.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from washline.llm.common import free_name, held_out
+from washline.llm.common import drop_scratch, free_name, held_out, scratch_table
 from washline.llm.textfeat import code_points, letter_table
 
 THRESHOLD = 0.3
@@ -102,31 +104,48 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _select(rows: list[np.ndarray], y: np.ndarray, min_docs: int, z: float) -> np.ndarray:
-    """Features whose share among toxic documents differs clearly from that among the others."""
-    if not len(rows) or y.all() or not y.any():
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(f, toxic, clean) of a task's rows (_y, f: distinct hashes): documents that have a feature."""
+    for batch in batches:
+        flat = batch.column(1).flatten().to_numpy()
+        y = np.asarray(batch.column(0).to_pylist(), bool)
+        mark = np.repeat(y, batch.column(1).value_lengths().to_numpy())
+        names, inverse, n = np.unique(flat, return_inverse=True, return_counts=True)
+        toxic = np.bincount(inverse, weights=mark, minlength=len(names)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(toxic), pa.array(n - toxic)],
+                                         names=["f", "toxic", "clean"])
+
+
+def select_features(rows: DataFrame, min_docs: int = 5, z: float = 5.0,
+                    max_features: int = 20_000) -> np.ndarray:
+    """Of ``rows`` (_y, f) the features whose share among toxic documents differs from the others'.
+
+    The ``max_features`` with the largest z make up the model at most.
+    """
+    n = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not n.get(True) or not n.get(False):
         return np.zeros(0, U)
-    flat = np.concatenate(rows)
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    names, inverse = np.unique(flat, return_inverse=True)
-    n = np.bincount(inverse, minlength=len(names))
-    pos = np.bincount(inverse, weights=y[doc], minlength=len(names))
-    np_, nn = y.sum(), (~y).sum()
-    p, q, share = pos / np_, (n - pos) / nn, n / (np_ + nn)
-    spread = np.sqrt(share * (1 - share) * (1 / np_ + 1 / nn)) + 1e-12
-    return names[(n >= min_docs) & (np.abs(p - q) / spread >= z)]
-
-
-def fit(rows: list[np.ndarray], y: np.ndarray, fairness: float = 5.0, l2: float = 1e-4,
-        steps: int = 400, min_docs: int = 5, z: float = 5.0, swaps: int = 4,
-        seed: int = 1) -> ToxicityModel:
-    """Fit on feature hashes per document (distinct) and labels ``y``.
+    total = float(n[True] + n[False])
+    share = (F.col("toxic") + F.col("clean")) / total
+    spread = F.sqrt(share * (1 - share) * (1 / n[True] + 1 / n[False])) + 1e-12
+    strength = F.abs(F.col("toxic") / n[True] - F.col("clean") / n[False]) / spread
+    found = (rows.select("_y", "f").mapInArrow(_counts, "f bigint, toxic bigint, clean bigint")
+             .groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+             .where((F.col("toxic") + F.col("clean") >= min_docs) & (strength >= z))
+             .orderBy(strength.desc(), "f").limit(max_features).select("f").toPandas())
+    return np.sort(found["f"].to_numpy(np.int64).view(U))
+
+
+def fit(names: np.ndarray, rows: list[np.ndarray], y: np.ndarray, fairness: float = 5.0,
+        l2: float = 1e-4, steps: int = 400, swaps: int = 4, seed: int = 1) -> ToxicityModel:
+    """Fit weights of the features ``names`` (sorted) on distinct hashes per document and labels ``y``.
+
+    Rows need hold no other features than ``names`` and the words of identity terms.
 
     ``fairness`` weighs the counterfactual penalty: mean over documents with identity terms and
     over up to ``swaps`` replacements of (score logit of the document - of its swapped copy)^2.
     """
     y = np.asarray(y, bool)
-    names = _select(rows, y, min_docs, z)
     share = float(y.mean()) if len(y) else 0.0
     share = min(max(share, 1e-3), 1 - 1e-3)
     model = ToxicityModel(names, np.zeros(len(names)), float(np.log(share / (1 - share))))
@@ -199,9 +218,19 @@ def train(docs: DataFrame, labels: DataFrame, max_per_label: int = 4_000,
     def hashed(text: pd.Series) -> pd.Series:
         return pd.Series([np.unique(word_features(t)).view(np.int64) for t in text])
 
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select(
-        "doc_id", "_y", hashed("text").alias("f")).toPandas().sort_values("doc_id")
-    return fit([np.asarray(f, np.int64).view(U) for f in rows["f"]], rows["_y"].to_numpy(bool),
+    rows, path = scratch_table(docs.select("doc_id", "text").join(sample, "doc_id").select(
+        "doc_id", "_y", hashed("text").alias("f")), "toxicity")
+    names = select_features(rows)
+    wanted = np.union1d(names, _identity()[1])
+
+    @F.pandas_udf("array<bigint>")
+    def known(f: pd.Series) -> pd.Series:
+        return pd.Series([np.intersect1d(np.asarray(x, np.int64).view(U), wanted).view(np.int64)
+                          for x in f])
+
+    got = rows.select("doc_id", "_y", known("f").alias("f")).toPandas().sort_values("doc_id")
+    drop_scratch(docs.sparkSession, path)
+    return fit(names, [np.asarray(f, np.int64).view(U) for f in got["f"]], got["_y"].to_numpy(bool),
                fairness=fairness)
 
 
