@@ -1,12 +1,13 @@
 """The registered queries of the training-data operators, and their SQL where SQL can say it."""
 
 import corpus_pipeline
-from washline.llm import decontaminate, langid, mixing, neardup, quality, rules, substrings, toxicity, warc
+from washline.llm import decontaminate, langid, mixing, neardup, quality, rules, substrings, toxicity, urlfilter, warc
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_toxicity": toxicity.op1_query,
     "op2_mixing": mixing.op2_query,
+    "op3_urlfilter": urlfilter.op3_query,
     "op4_substrings": substrings.op4_query,
     "op5_warc": warc.op5_query,
     "op6_neardup": neardup.op6_query,
