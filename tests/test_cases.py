@@ -80,7 +80,7 @@ def _changes(spark, rows, base):
              "is_admin boolean, reason string"
     ev = spark.createDataFrame([(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), 1, a, 0 if adm else 1,
                                  adm, rs) for i, (a, adm, rs) in enumerate(rows)], schema)
-    return changes.annotate(ev, base, bucket="day")
+    return changes.annotate(ev, base, partitions=3)
 
 
 def test_void_fold_first_reason_wins(spark):

@@ -1,12 +1,11 @@
-"""More hand-made cases: validity windows, outbox templates, nested orders, loads."""
+"""More hand-made cases: validity windows, outbox templates, cart rows, loads."""
 
 import datetime as dt
 from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from washline.functions.nesting import collect_bounded
-from washline.operators import outbox, quality, sinks, validity
+from washline.operators import outbox, pricing, quality, sinks, validity
 
 T0 = dt.datetime(2024, 1, 1, 12, 0, 0)
 
@@ -39,7 +38,7 @@ def test_outbox_templates_replace_in_order(spark):
     assert r.o == "Hi ORD-7!, order ORD-7"
 
 
-def test_nested_orders_round_trip(spark):
+def test_cart_rows_round_trip(spark):
     tx = spark.createDataFrame([(1, "A", None), (2, "B", "b@x")],
                                "transaction_id long, customer_name string, customer_email string")
     lines = spark.createDataFrame(
@@ -51,22 +50,14 @@ def test_nested_orders_round_trip(spark):
                                 ("a2", "l0", 3, Decimal("2"), Decimal("2.00"), Decimal("4.00"))],
                                "batch_addon_id string, batch_id string, addon_id long, quantity decimal(8,2), "
                                "price decimal(10,2), subtotal decimal(10,2)")
-    nested = sinks.nested_orders(tx, lines, ba, target=2)
-    assert nested.where("transaction_id = 1").count() >= 2          # 5 lines in chunks of ~2
-    head = {r.transaction_id: (r.n_lines, r.total_amount) for r in sinks.order_explode_header(nested).collect()}
+    cart = sinks.cart_lines(tx, lines)
+    head = {r.transaction_id: (r.n_lines, r.total_amount) for r in sinks.order_explode_header(cart).collect()}
     assert head == {1: (5, 12.5), 2: (2, 12.0)}
-    assert sinks.order_explode_lines(nested).count() == 7
-    add = sinks.order_explode_addons(nested).collect()
+    assert sinks.order_explode_lines(cart).count() == 7
+    add = sinks.order_explode_addons(sinks.cart_addons(cart, ba)).collect()
     assert [(a.addon_id, a.quantity, a.total_price) for a in add] == [(3, 3.0, 6.0)]
 
 
-def test_collect_bounded_chunks(spark):
-    df = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").cast("string").alias("i"))
-    out = collect_bounded(df, ["k"], F.col("i"), "i", "items", target=100)
-    sizes = [len(r.items) for r in out.collect()]
-    assert sum(sizes) == 1000 and len(sizes) == 10 and max(sizes) < 200
-
-
 def test_insert_ignore_first_wins(spark):
     base = spark.createDataFrame([("K1", 1)], "k string, id long")
     inc = spark.createDataFrame([("K1", 5), ("K2", 9), ("K2", 7)], "k string, id long")
@@ -98,19 +89,23 @@ def test_validity_paths_agree(spark):
     iss = e.where(F.col("event_type") == "view").select("user_id", "event_id", "ts")
     att = e.where(F.col("event_type") == "click").select("user_id", "event_id", "ts")
     rows = lambda df: {tuple(r) for r in df.collect()}
-    plain = rows(validity.valid_window_join(iss, att))
-    assert plain == rows(validity.valid_window_join(iss, att, hot_threshold=0))
-    assert plain == rows(validity.valid_window_join(iss, att, bucket="hour", hot_threshold=5))
-    assert plain == rows(validity.valid_window_join(iss, att, bucket=3, hot_threshold=5))
-
-
-def test_join_back_splits_hot_keys(spark):
-    from washline.functions.skew import join_back
-    rows = spark.range(300).select((F.when(F.col("id") < 200, 0).otherwise(F.col("id") % 7)).alias("k"),
-                                   F.col("id"))
-    per = rows.groupBy("k").agg(F.min("id").alias("m"))
-    plain = {tuple(r) for r in rows.join(per, "k").collect()}
-    split = join_back(rows, per, "k", threshold=50)           # key 0 has 200 rows: hot
-    assert {tuple(r) for r in split.select("k", "id", "m").collect()} == plain
-    plan = spark._jvm.PythonSQLUtils.explainString(split._jdf.queryExecution(), "formatted")
-    assert "BroadcastExchange" in plan
+    plain = rows(validity.valid_window_join(iss, att, partitions=1))
+    assert plain == rows(validity.valid_window_join(iss, att, partitions=6))
+    assert plain == rows(validity.valid_window_join(iss, att, partitions=50))
+
+
+def test_validity_keeps_every_attempt_of_a_null_user(spark):
+    t = dt.datetime(2024, 1, 1)
+    mins = lambda n: t + dt.timedelta(minutes=n)
+    sch = "user_id long, event_id long, ts timestamp_ntz"
+    iss = spark.createDataFrame([(None, 1, mins(0)), (7, 2, mins(0))], sch)
+    att = spark.createDataFrame([(None, 10 + i, mins(3 * i)) for i in range(5)] + [(7, 30, mins(1))], sch)
+    for partitions in (1, 4, 9):
+        got = {r.attempt_id: r.valid for r in validity.valid_window_join(iss, att, partitions=partitions).collect()}
+        assert got == {10: True, 11: False, 12: False, 13: False, 14: False, 30: True}
+
+
+def test_weight_mismatch_with_null_orders(spark):
+    lines = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (None, "c", 5.0), (None, "d", 6.0)],
+                                  "transaction_id long, batch_id string, weight double")
+    assert [r.batch_id for r in pricing.weight_mismatch(lines).collect()] == ["b"]

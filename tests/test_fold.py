@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from washline.functions.ranking import global_row_number
-from washline.functions.running import running, with_bucket
+from washline.functions.running import running
 from washline.operators import changes
 from washline.streaming.streams import step
 
@@ -42,21 +42,21 @@ def _simulate(base, events):
     return out, state
 
 
-@pytest.mark.parametrize("seed,bucket,hot", [
-    (1, "day", 0),            # every order bucketed
-    (2, "hour", 0),
-    (3, "minute", 30),        # orders with > 30 requests bucketed, the rest plain windows
-    (4, "day", 1_000_000),    # every order on plain windows
-    (5, 7, 0),                # buckets sized to ~7 rows per order
-    (6, 25, 30),              # sized buckets for the hot orders only
+@pytest.mark.parametrize("seed,orders,partitions", [
+    (1, 12, 1),     # no order crosses a partition
+    (2, 12, 4),
+    (3, 12, 40),    # every order crosses several
+    (4, 2, 9),
+    (5, 1, 7),      # one order holds all requests
+    (6, 150, 16),   # many orders, few requests each
 ])
-def test_fold_equals_sequential_loop(spark, seed, bucket, hot):
-    base, events = _random_log(seed)
+def test_fold_equals_sequential_loop(spark, seed, orders, partitions):
+    base, events = _random_log(seed, orders)
     tx = spark.createDataFrame([(o, s, p, v) for o, s, p, v in base],
                                "transaction_id long, status string, payment_status string, void_status string")
     ev = spark.createDataFrame(events, "event_id long, ts timestamp_ntz, order_id long, action string, "
                                        "actor_id long, is_admin boolean, reason string")
-    ann = changes.annotate(ev, tx, bucket=bucket, hot_threshold=hot)
+    ann = changes.annotate(ev, tx, partitions=partitions)
     got = {r.event_id: r.accepted for r in ann.select("event_id", "accepted").collect()}
     expect, final = _simulate(base, events)
     assert got == expect
@@ -65,29 +65,49 @@ def test_fold_equals_sequential_loop(spark, seed, bucket, hot):
     assert cur == final
 
 
-def test_running_equals_plain_window(spark):
+@pytest.mark.parametrize("keys,minutes", [
+    ([0, 1, 2], 5000),
+    ([None, None, None, 1], 5000),   # the NULL key holds most rows
+    ([7], 1),                        # one key, one timestamp
+    (list(range(400)), 5000),        # many keys
+])
+def test_running_equals_plain_window(spark, keys, minutes):
     rnd = random.Random(7)
-    rows = [(rnd.randrange(3), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rnd.randrange(5000)), i,
+    rows = [(rnd.choice(keys), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rnd.randrange(minutes)), i,
              rnd.choice([None, 1, 2, 3])) for i in range(500)]
     df = spark.createDataFrame(rows, "k long, ts timestamp_ntz, id long, v long")
     w = Window.partitionBy("k").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
     expect = {r.id: (r.l, r.s) for r in df.select(
         "id", F.last("v", ignorenulls=True).over(w).alias("l"),
         F.coalesce(F.sum("v").over(w), F.lit(0)).alias("s")).collect()}
-    for unit in ["hour", "day"]:
-        got = running(with_bucket(df, "ts", unit), ["k"], ["ts", "id"],
-                      lasts={"l": F.col("v")}, sums={"s": F.coalesce(F.col("v"), F.lit(0))})
+    for partitions in (1, 6, 50):
+        got = running(df, ["k"], ["ts", "id"], lasts={"l": F.col("v")},
+                      sums={"s": F.coalesce(F.col("v"), F.lit(0))}, partitions=partitions)
         assert {r.id: (r.l, r.s) for r in got.collect()} == expect
 
 
+def test_unknown_orders_are_refused(spark):
+    tx = spark.createDataFrame([(1, "In-queue", "Paid", "Active", "ORD-99")],
+                               "transaction_id long, status string, payment_status string, "
+                               "void_status string, display_id string")
+    t = dt.datetime(2024, 1, 1)
+    ev = spark.createDataFrame(
+        [(1, t, 1, "VOID", 5, True, "r"), (2, t, 2, "VOID", 5, True, "r"), (3, t, None, "PAY", 5, True, None)],
+        "event_id long, ts timestamp_ntz, order_id long, action string, actor_id long, is_admin boolean, "
+        "reason string")
+    ann = changes.annotate(ev, tx, partitions=3)
+    assert {r.event_id: r.reject_reason for r in ann.collect()} == {
+        1: None, 2: "unknown_order", 3: "unknown_order"}
+    assert [r.description for r in changes.audit_rows(ann).collect()] == ["Voided ORD-99. Reason: r"]
+
+
 def test_global_row_number(spark):
     rnd = random.Random(3)
     df = spark.createDataFrame([(i, rnd.randrange(20)) for i in range(300)], "id long, x long")
     order = [F.col("x").desc(), F.col("id").asc()]
     expect = {r.id: r.rn for r in df.select("id", F.row_number().over(Window.orderBy(*order)).alias("rn"))
               .collect()}
-    got = {r.id: r.rank for r in global_row_number(df, order, "rank", partitions=5,
-                                                  single_task_rows=0).collect()}
+    got = {r.id: r.rank for r in global_row_number(df, order, "rank", partitions=5).collect()}
     assert got == expect
     small = {r.id: r.rank for r in global_row_number(df, order, "rank").collect()}
     assert small == expect

@@ -30,33 +30,23 @@ def test_category_join_is_broadcast(spark):
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
 
 
-def test_fold_windows_are_split_by_time_bucket_for_hot_orders(spark):
+def test_fold_windows_are_split_by_range_partition(spark):
     from washline.operators import changes
     from washline.sources import views
     from washline.sources.tables import Tables
 
     t = Tables(spark, SMALL)
     ev, tx = views.change_events(t), views.transactions(t, with_customer=False)
-    # hot_threshold=0: every order is treated as hot and takes the bucketed passes
-    hot = changes.annotate(ev, tx, hot_threshold=0)
-    plan = hot._jdf.queryExecution().optimizedPlan().toString()
-    assert re.search(r"windowspecdefinition\(order_id#\d+L, __bucket#", plan)
-    assert not re.search(r"windowspecdefinition\(order_id#\d+L, ts#", plan), \
+    plan = changes.annotate(ev, tx)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"windowspecdefinition\(__part#\d+, order_id#", plan)
+    assert not re.search(r"windowspecdefinition\(order_id#", plan), \
         "a window over requests is partitioned by order only"
-    # ordinary orders: plain per-order windows after one shuffle, no checkpoint
-    plain = changes.annotate(ev, tx)
-    text = _plan(plain)
-    assert "Scan ExistingRDD" not in text
-    assert text.count("hashpartitioning(order_id") == 1
 
 
-def test_rank_is_not_a_single_partition_window_over_large_inputs(spark):
+def test_rank_numbers_inside_range_partitions(spark):
     from pyspark.sql import functions as F
     from washline.functions.ranking import global_row_number
 
     df = spark.range(5000).select(F.col("id"), (F.col("id") % 17).alias("x"))
-    big = global_row_number(df, [F.col("x").desc(), F.col("id")], single_task_rows=1000)
-    assert "Arguments: rangepartitioning(x" in _plan(big)        # range exchange on the sort key
-    small = global_row_number(df, [F.col("x").desc(), F.col("id")])
-    plan = _plan(small)
-    assert "Arguments: rangepartitioning(x" not in plan and "Arguments: SinglePartition" in plan
+    plan = global_row_number(df, [F.col("x").desc(), F.col("id")])._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"row_number\(\) windowspecdefinition\(__part#", plan)

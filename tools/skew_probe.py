@@ -63,10 +63,8 @@ def run(sf_dir: str, mode: str) -> None:
     ev = views.change_events(t).withColumn(
         "order_id", F.when(F.col("event_id") % 3 == 0, F.lit(7)).otherwise(F.col("order_id")))
     tx = views.transactions(t, with_customer=False)
-    if mode in ("day", "hour", "sized"):
-        # the hot order (a third of the rows) is far above this threshold
-        bucket = 1_000 if mode == "sized" else mode
-        out = changes.annotate(ev, tx, bucket=bucket, hot_threshold=10_000)
+    if mode == "cut":
+        out = changes.annotate(ev, tx)
     else:  # the plain form: one window partitioned by order only
         w = Window.partitionBy("order_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
         out = ev.withColumn("_prev", F.last("action", ignorenulls=True).over(w))
@@ -84,5 +82,5 @@ def ev_rows(sf_dir: str) -> int:
 
 if __name__ == "__main__":
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    for m in ("plain", "day", "hour", "sized"):
+    for m in ("plain", "cut"):
         run(sf, m)

@@ -1,14 +1,10 @@
 """A global row number that does not funnel all rows into one task.
 
-``row_number().over(Window.orderBy(...))`` has no partition key, so Spark moves
-every row to a single partition. That is used only after a size check shows the
-input is at most ``SINGLE_TASK_ROWS``; larger inputs are range-partitioned on the
-sort key, numbered inside each range, and shifted by the row count of all earlier
-ranges. The offsets table has one row per partition, so broadcasting it is
-bounded by the partition count, not by the data.
-
-The sort key must be a total order (end it with a unique id) so numbering is
-deterministic.
+Rows are range-partitioned on the sort key and written once with their partition; rows are numbered
+inside each partition and shifted by the row count of all earlier ones. The table of offsets has one
+row per partition, so broadcasting it is bounded by the partition count, not by the data.
+
+The sort key must be a total order (end it with a unique id) so numbering is deterministic.
 """
 
 from __future__ import annotations
@@ -18,32 +14,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from washline.functions.running import checkpointed
-
-
-# Inputs up to this many rows are numbered by one task (a bounded sort); larger
-# ones by range partitions and per-partition offsets.
-SINGLE_TASK_ROWS = 1_000_000
+from washline.functions.running import PART, checkpointed
 
 
 def global_row_number(df: DataFrame, order: Sequence[Column], out: str = "rank",
-                      partitions: int | None = None, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The rows are read more than once (size check, numbering, partition sizes): cut
-    # the lineage so the input is computed once and every read sees the same rows.
-    df = checkpointed(df)
-    if df.count() <= single_task_rows:  # size checked: one task sorts a bounded input
-        return df.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("long"))
-    ranged = df.repartitionByRange(n, *order).withColumn("__pid", F.spark_partition_id())
-    local = ranged.withColumn(
-        "__rn", F.row_number().over(Window.partitionBy("__pid").orderBy(*order)))
-    sizes = local.groupBy("__pid").agg(F.max("__rn").alias("__n"))
-    offsets = sizes.select(
-        "__pid",
-        F.coalesce(F.sum("__n").over(Window.orderBy("__pid")
-                                     .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        .alias("__off"))
-    return (local.join(F.broadcast(offsets), "__pid")
+                      partitions: int | None = None) -> DataFrame:
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpointed(df.repartitionByRange(n, *order).withColumn(PART, F.spark_partition_id()))
+    offsets = ranged.groupBy(PART).agg(F.count(F.lit(1)).alias("__n")).select(
+        F.col(PART).alias("__p"),
+        F.coalesce(F.sum("__n").over(Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("__off"))
+    local = ranged.withColumn("__rn", F.row_number().over(Window.partitionBy(PART).orderBy(*order)))
+    return (local.join(F.broadcast(offsets), F.col(PART) == F.col("__p"))
             .withColumn(out, (F.col("__off") + F.col("__rn")).cast("long"))
-            .drop("__pid", "__rn", "__off"))
+            .drop(PART, "__p", "__rn", "__off"))

@@ -1,137 +1,115 @@
 """Running ("as of the previous row") values per key that survive a hot key.
 
-A plain ``Window.partitionBy(key).orderBy(ts)`` sends every row of one key to one
-task. When one order, user or source holds a third of all rows, that task is the
-whole job. ``running`` splits each key's timeline into time buckets and computes
-in two levels:
-
-1. inside (key, bucket): an ordinary window, so a hot key spreads over as many
-   tasks as it has buckets;
-2. across buckets: a per-(key, bucket) summary (one row per bucket) carries the
-   value in from earlier buckets through a window over that small table, joined
-   back on (key, bucket).
-
-Each pass reads its input twice (the in-bucket window and the bucket summary), so
-the input is checkpointed first: a reliable checkpoint into the session's
-``spark.checkpoint.dir`` cuts the lineage, so chained passes never recompute earlier
-ones, and a lost executor costs a re-read, not a re-run of the whole chain. The
-checkpoint keeps the (key, bucket) hash partitioning of the previous pass, so only
-the first pass shuffles the rows. The result equals the single-window form for
-every bucket size (tests check this against a plain window and a sequential loop).
+A plain ``Window.partitionBy(key).orderBy(ts)`` sends every row of one key to one task. Here the
+rows are range-partitioned on (key, order) instead, so partitions are even whatever the keys are:
+a hot key, a burst of rows at one instant and the NULL key (a key like any other) are all split.
+The partition a row landed in is stored with it by one reliable write (``cut``), so every later
+pass sees the same cut.
+
+* Inside (partition, key) values come from ordinary windows.
+* Only keys that cross a partition's edge need a value from before: at most two (partition, key)
+  pairs per partition. ``crossing`` lists them, ``carry`` runs over their summaries, and ``attach``
+  joins the result back; these tables are bounded by the number of partitions, so they are
+  broadcast, and nothing depends on how many rows or keys there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from washline.session import ensure_checkpoint_dir
 
-BUCKET = "__bucket"
+PART = "__part"
 
 
-def with_bucket(df: DataFrame, ts_col: str, unit: str = "day") -> DataFrame:
-    """Add the time bucket column used by ``running``."""
-    return df.withColumn(BUCKET, F.date_trunc(unit, F.col(ts_col)))
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint (lineage cut) of ``df`` into ``spark.checkpoint.dir``."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
-def with_sized_buckets(df: DataFrame, keys: Sequence[str], ts_col: str, target_rows: int) -> DataFrame:
-    """Add a bucket column sized per key: each key's time span is cut into
-    ceil(rows / target_rows) equal slices, so buckets hold about ``target_rows`` rows
-    when a key's rows are spread over time, whatever the calendar. Meant for the
-    isolated hot keys: the per-key table has one row per key and is broadcast (its
-    size is bounded by the hot-key limit). Bucket ids grow with time, as
-    ``running`` needs."""
-    keys = list(keys)
-    us = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {ts_col})")
-    stats = (df.select(*keys, us.alias("_us")).groupBy(*keys)
-             .agg(F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_lo"), F.max("_us").alias("_hi")))
-    slices = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(target_rows)))
-    stats = stats.select(*keys, "_lo", F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / slices))
-                         .cast("long").alias("_width"))
-    return (df.join(F.broadcast(stats), keys)
-            .withColumn(BUCKET, F.floor((us - F.col("_lo")) / F.col("_width")).cast("long"))
-            .drop("_lo", "_width"))
+def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """``df`` range-partitioned on (keys, order), written once, with the partition as ``PART``.
 
+    ``order`` must end with a unique column."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *[F.col(c) for c in (*keys, *order)])
+    return checkpointed(ranged.withColumn(PART, F.spark_partition_id()))
 
-def hot_keys(df: DataFrame, key: str, threshold: int, limit: int = 10_000) -> list | None:
-    """Values of ``key`` with more than ``threshold`` rows (a partial aggregate; at
-    most ``limit`` ids come back to the driver, a bounded runtime statistic).
-    None when there are more than ``limit``: treat every key as hot then."""
-    hot = df.groupBy(key).count().where(F.col("count") > threshold).select(key)
-    ids = [r[0] for r in hot.limit(limit + 1).collect()]
-    return None if len(ids) > limit else ids
 
+def before(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
+    """The rows of the same partition and key strictly before a row."""
+    return Window.partitionBy(PART, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (lineage cut) of ``df`` into ``spark.checkpoint.dir``.
 
-    The eager checkpoint evaluates ``df`` for its count and again while writing; that
-    was measured cheaper than building an in-memory cache first (the inputs here are
-    a checkpoint read plus partition-local windows)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    on = left[PART] == right[f"_r{PART}"]
+    for k in keys:
+        on = on & left[k].eqNullSafe(right[f"_r{k}"])
+    return on
+
+
+def _renamed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.withColumnsRenamed({c: f"_r{c}" for c in (PART, *keys)})
+
+
+def crossing(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The (partition, key) pairs of keys found in several partitions: at most two per partition."""
+    pairs = rows.groupBy(PART, *keys).agg(F.count(F.lit(1)).alias("_n"))
+    several = pairs.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    return checkpointed(several.where(F.col("_n") > 1).select(PART, *keys))
+
+
+def edge_rows(rows: DataFrame, cross: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows whose summaries a carry needs."""
+    cross = _renamed(cross, keys)
+    return rows.join(F.broadcast(cross), _same(rows, cross, keys), "left_semi")
+
+
+def carry(summary: DataFrame, keys: Sequence[str], **values) -> DataFrame:
+    """Per (partition, key) of ``summary`` what comes in from the key's earlier partitions.
+
+    Each value is a function of the window over the earlier partitions; later values may use the
+    columns of earlier ones."""
+    w = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    for name, value in values.items():
+        summary = summary.withColumn(name, value(w))
+    return checkpointed(summary.select(PART, *keys, *values))
+
+
+def attach(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the carried columns, NULL for keys that do not cross an edge."""
+    carried = _renamed(carried, keys)
+    return rows.join(F.broadcast(carried), _same(rows, carried, keys), "left").drop(
+        *[f"_r{c}" for c in (PART, *keys)])
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
             lasts: Mapping[str, Column] | None = None,
-            sums: Mapping[str, Column] | None = None) -> DataFrame:
-    """Add, for every row, over the rows of the same key strictly before it in
-    ``order`` (ties impossible: ``order`` must end with a unique column):
+            sums: Mapping[str, Column] | None = None,
+            partitions: int | None = None) -> DataFrame:
+    """Add, for every row, over the rows of the same key strictly before it in ``order``:
 
     * ``lasts[out]``: the last non-NULL value of the expression (NULL if none);
     * ``sums[out]``: the sum of the expression (0 if none).
-
-    ``df`` must carry the bucket column (see ``with_bucket``).
     """
-    keys = list(keys)
-    lasts = dict(lasts or {})
-    sums = dict(sums or {})
-    part = [*keys, BUCKET]
-    vals = {f"__v_{o}": c for o, c in {**lasts, **sums}.items()}
-    base = checkpointed(df.select("*", *[c.alias(n) for n, c in vals.items()]))
-
-    w_in = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    order_struct = F.struct(*[F.col(c) for c in order])
-    local_cols, summary_aggs, carry_cols = [], [], []
-    for o in lasts:
-        v = f"__v_{o}"
-        local_cols.append(F.last(v, ignorenulls=True).over(w_in).alias(f"__l_{o}"))
-        # max_by skips NULL orderings, so a bucket without a value yields NULL.
-        summary_aggs.append(F.max_by(v, F.when(F.col(v).isNotNull(), order_struct)).alias(f"__b_{o}"))
-    for o in sums:
-        v = f"__v_{o}"
-        local_cols.append(F.coalesce(F.sum(v).over(w_in), F.lit(0)).alias(f"__l_{o}"))
-        summary_aggs.append(F.sum(v).alias(f"__b_{o}"))
-
-    local = base.select("*", *local_cols)
-    summary = base.groupBy(*part).agg(*summary_aggs)
-    w_b = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    for o in lasts:
-        carry_cols.append(F.last(f"__b_{o}", ignorenulls=True).over(w_b).alias(f"__c_{o}"))
-    for o in sums:
-        carry_cols.append(F.coalesce(F.sum(f"__b_{o}").over(w_b), F.lit(0)).alias(f"__c_{o}"))
-    carry = summary.select(*part, *carry_cols)
-
-    out = local.join(carry, part, "left")
-    finals = {}
-    for o in lasts:
-        finals[o] = F.coalesce(F.col(f"__l_{o}"), F.col(f"__c_{o}"))
-    for o in sums:
-        finals[o] = F.col(f"__l_{o}") + F.coalesce(F.col(f"__c_{o}"), F.lit(0))
-    drop = [*vals, *[f"__l_{o}" for o in finals], *[f"__c_{o}" for o in finals]]
-    return out.select("*", *[c.alias(o) for o, c in finals.items()]).drop(*drop)
-
-
-def running_last(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                 value: str | Column, out: str) -> DataFrame:
-    val = F.col(value) if isinstance(value, str) else value
-    return running(df, keys, order, lasts={out: val})
-
-
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                value: str | Column, out: str) -> DataFrame:
-    val = F.col(value) if isinstance(value, str) else value
-    return running(df, keys, order, sums={out: val})
+    keys, lasts, sums = list(keys), dict(lasts or {}), dict(sums or {})
+    rows = cut(df.select("*", *[c.alias(f"__v_{o}") for o, c in {**lasts, **sums}.items()]),
+               keys, order, partitions)
+    at = F.struct(*order)
+    summary = edge_rows(rows, crossing(rows, keys), keys).groupBy(PART, *keys).agg(
+        *[F.max_by(f"__v_{o}", F.when(F.col(f"__v_{o}").isNotNull(), at)).alias(f"__b_{o}") for o in lasts],
+        *[F.sum(f"__v_{o}").alias(f"__b_{o}") for o in sums])
+    come = carry(summary, keys,
+                 **{f"__c_{o}": (lambda w, o=o: F.last(f"__b_{o}", ignorenulls=True).over(w)) for o in lasts},
+                 **{f"__c_{o}": (lambda w, o=o: F.sum(f"__b_{o}").over(w)) for o in sums})
+    w = before(keys, order)
+    out = attach(rows, come, keys)
+    done = {o: F.coalesce(F.last(f"__v_{o}", ignorenulls=True).over(w), F.col(f"__c_{o}")) for o in lasts}
+    done |= {o: F.coalesce(F.sum(f"__v_{o}").over(w), F.lit(0)) + F.coalesce(F.col(f"__c_{o}"), F.lit(0))
+             for o in sums}
+    return out.select("*", *[c.alias(o) for o, c in done.items()]).drop(
+        PART, *[f"__{x}_{o}" for o in done for x in "vc"])

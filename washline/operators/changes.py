@@ -20,10 +20,10 @@ payment), so the fold is three "previous value" computations per order:
    request (payment resets to Paid there), by parity;
 3. status before each request and whether a Claimed move was accepted earlier.
 
-Orders of ordinary size run them as plain per-order windows (one shuffle, one sort,
-``state_plain``). Hot orders, counted first, run them as two-level (order, time
-bucket) passes that one order cannot funnel into one task (``state_bucketed``,
-``functions.running``). Both give identical rows.
+All three run over one cut of the requests (``functions.running``): ordinary windows
+inside a range partition, and for the orders that cross a partition's edge a small
+carry of void state, payment and status from one partition to the next. One order may
+hold any share of the requests.
 """
 
 from __future__ import annotations
@@ -32,8 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from washline.functions.formatting import is_blank, strip
-from washline.functions.running import (BUCKET, checkpointed, hot_keys, running, with_bucket,
-                                        with_sized_buckets)
+from washline.functions.running import PART, attach, before, carry, crossing, cut, edge_rows
 
 ORDER = ["ts", "event_id"]
 KEYS = ["order_id"]
@@ -44,16 +43,6 @@ def _flip(c: Column) -> Column:
     return F.when(c == "Paid", "Unpaid").otherwise("Paid")
 
 
-# Hot-order isolation: orders with more requests than this go through the bucketed
-# two-level passes; all others through plain per-order windows (one shuffle, no
-# checkpoints). At most MAX_HOT_ORDERS hot ids are collected (a bounded list, like a
-# runtime statistic); beyond that every order takes the bucketed path.
-HOT_ORDER_ROWS = 1_000_000
-MAX_HOT_ORDERS = 10_000
-# rows per time bucket aimed at for a hot order (see functions.running.with_sized_buckets)
-HOT_BUCKET_ROWS = 250_000
-
-
 def _action() -> Column:
     return F.col("action")
 
@@ -88,80 +77,88 @@ def _paid(flips: Column, anchor: Column) -> Column:
              .otherwise(F.when(flips % 2 == 0, F.col("base_pay")).otherwise(_flip(F.col("base_pay")))))
 
 
-def hot_orders(ev: DataFrame, threshold: int = HOT_ORDER_ROWS, limit: int = MAX_HOT_ORDERS) -> list | None:
-    """Ids of orders with more than ``threshold`` requests; None if over ``limit``."""
-    return hot_keys(ev, "order_id", threshold, limit)
-
-
-def state_plain(ev: DataFrame) -> DataFrame:
-    """State before each request with ordinary per-order windows. All windows share
-    one partitioning and ordering, so they run after a single shuffle and sort."""
-    w = Window.partitionBy(*KEYS).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    ev = ev.withColumn("void_before", F.coalesce(F.last(_target_v(), ignorenulls=True).over(w),
-                                                 F.col("base_void")))
-    ev = ev.withColumn("_valid", _valid())
-    pay = F.col("_valid") & (_action() == "PAY")
-    ev = ev.withColumn("_flips", F.coalesce(F.sum(F.when(pay & F.col("is_admin"), 1).otherwise(0)).over(w),
-                                            F.lit(0)))
-    ev = ev.withColumn("_anchor", F.last(F.when(pay & ~F.col("is_admin"), F.col("_flips")),
-                                         ignorenulls=True).over(w))
-    ev = ev.withColumn("paid_before", _paid(F.col("_flips"), F.col("_anchor")))
-    cand = _candidate()
-    return (ev.withColumn("_status_prev", F.last(F.when(cand, _action()), ignorenulls=True).over(w))
-              .withColumn("_claimed_prev", F.last(F.when(cand & (_action() == "Claimed"), F.lit(True)),
-                                                  ignorenulls=True).over(w))
-              .drop("_flips", "_anchor"))
-
-
-def state_bucketed(ev: DataFrame, bucket: str | int = "day") -> DataFrame:
-    """The same state with two-level (order, time bucket) passes, for hot orders:
-    1. void state before each request = target of the last kept void/revert;
-    2./3. payment state (``payment_before``);
-    4. status before each request and whether a Claimed move came earlier.
-    ``bucket``: a calendar unit ("day", "hour", ...) or a target number of rows per
-    bucket (each hot order's time span cut into slices of about that many rows)."""
-    if isinstance(bucket, int):
-        ev = with_sized_buckets(ev, KEYS, "ts", bucket)
-    else:
-        ev = with_bucket(ev, "ts", bucket)
-    ev = running(ev, KEYS, ORDER, lasts={"_void_prev": _target_v()})
-    ev = ev.withColumn("void_before", F.coalesce("_void_prev", "base_void")).drop("_void_prev")
-    ev = payment_before(ev.withColumn("_valid", _valid()))
-    cand = _candidate()
-    ev = running(ev, KEYS, ORDER, lasts={
-        "_status_prev": F.when(cand, _action()),
-        "_claimed_prev": F.when(cand & (_action() == "Claimed"), F.lit(True)),
-    })
-    return ev.drop(BUCKET)
-
-
-def annotate(changes: DataFrame, tx: DataFrame, bucket: str | int = HOT_BUCKET_ROWS,
-             hot_threshold: int = HOT_ORDER_ROWS) -> DataFrame:
+def _with_void(ev: DataFrame) -> DataFrame:
+    """Void state before each request, and whether it may change payment or status."""
+    last = F.last(_target_v(), ignorenulls=True).over(before(KEYS, ORDER))
+    return ev.withColumn("void_before", F.coalesce(last, F.col("_void_in"), F.col("base_void"))
+                         ).withColumn("_valid", _valid())
+
+
+def _pay() -> Column:
+    return F.col("_valid") & (_action() == "PAY")
+
+
+def _with_flips(ev: DataFrame) -> DataFrame:
+    """Admin flips before each request inside its partition, and that count at the last Staff one."""
+    w = before(KEYS, ORDER)
+    ev = ev.withColumn("_flips", F.coalesce(
+        F.sum(F.when(_pay() & F.col("is_admin"), 1).otherwise(0)).over(w), F.lit(0)))
+    return ev.withColumn("_anchor", F.last(F.when(_pay() & ~F.col("is_admin"), F.col("_flips")),
+                                           ignorenulls=True).over(w))
+
+
+def _with_paid(ev: DataFrame) -> DataFrame:
+    """Payment state before each request: parity of the flips since the last Staff request."""
+    come = F.coalesce(F.col("_flips_in"), F.lit(0))
+    flips = come + F.col("_flips")
+    anchor = F.coalesce(come + F.col("_anchor"), F.col("_anchor_in"))
+    return ev.withColumn("paid_before", _paid(flips, anchor))
+
+
+def state_before(ev: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``ev`` with the state before each request: void_before, paid_before, _status_prev and
+    _claimed_prev (status and whether a Claimed move was accepted earlier)."""
+    at = F.struct(*ORDER)
+    rows = cut(ev, KEYS, ORDER, partitions)
+    edge = edge_rows(rows, crossing(rows, KEYS), KEYS)
+
+    voids = carry(edge.groupBy(PART, *KEYS).agg(
+        F.max_by(_target_v(), F.when(_target_v().isNotNull(), at)).alias("_b")),
+        KEYS, _void_in=lambda w: F.last("_b", ignorenulls=True).over(w))
+    edge = _with_flips(_with_void(attach(edge, voids, KEYS)))
+
+    staff = _pay() & ~F.col("is_admin")
+    pays = carry(edge.groupBy(PART, *KEYS).agg(
+        F.sum(F.when(_pay() & F.col("is_admin"), 1).otherwise(0)).alias("_n"),
+        F.max_by("_flips", F.when(staff, at)).alias("_staff")),
+        KEYS, _flips_in=lambda w: F.coalesce(F.sum("_n").over(w), F.lit(0)),
+        _anchor_in=lambda w: F.last(F.col("_flips_in") + F.col("_staff"), ignorenulls=True).over(w))
+    edge = _with_paid(attach(edge, pays, KEYS))
+
+    moves = carry(edge.groupBy(PART, *KEYS).agg(
+        F.max_by(F.when(_candidate(), _action()), F.when(_candidate(), at)).alias("_b"),
+        F.max(F.when(_candidate() & (_action() == "Claimed"), F.lit(True))).alias("_c")),
+        KEYS, _status_in=lambda w: F.last("_b", ignorenulls=True).over(w),
+        _claimed_in=lambda w: F.max("_c").over(w))
+
+    out = attach(attach(attach(rows, voids, KEYS), pays, KEYS), moves, KEYS)
+    out = _with_paid(_with_flips(_with_void(out)))
+    w = before(KEYS, ORDER)
+    status = F.last(F.when(_candidate(), _action()), ignorenulls=True).over(w)
+    claimed = F.last(F.when(_candidate() & (_action() == "Claimed"), F.lit(True)), ignorenulls=True).over(w)
+    return (out.withColumn("_status_prev", F.coalesce(status, F.col("_status_in")))
+            .withColumn("_claimed_prev", F.coalesce(claimed, F.col("_claimed_in")))
+            .drop(PART, "_flips", "_anchor", "_void_in", "_flips_in", "_anchor_in", "_status_in",
+                  "_claimed_in"))
+
+
+def annotate(changes: DataFrame, tx: DataFrame, partitions: int | None = None) -> DataFrame:
     """Every change request with the order state before it, its acceptance, the
     reason for a refusal, and the old/new value it writes.
 
     ``changes``: event_id, ts, order_id, action, actor_id, is_admin, reason.
     ``tx``: the orders before any request (transaction_id, status, payment_status,
-    void_status). Requests for unknown orders are dropped.
-    Orders with more than ``hot_threshold`` requests take the bucketed path (0: all
-    orders do); the two paths give identical rows.
+    void_status, and display_id if there is one). Requests for unknown orders, or without
+    an order, are refused (``unknown_order``).
     """
-    base = tx.select(F.col("transaction_id").alias("order_id"),
+    base = tx.select(F.col("transaction_id").alias("_base_id"),
                      F.col("status").alias("base_status"),
                      F.col("payment_status").alias("base_pay"),
-                     F.col("void_status").alias("base_void"))
-    ev = changes.join(base, "order_id")
-    hot = hot_orders(ev, hot_threshold) if hot_threshold > 0 else None
-    if hot is None:
-        ev = state_bucketed(ev, bucket)
-    elif not hot:
-        ev = state_plain(ev)
-    else:
-        # both subsets read the joined requests: compute the join once
-        ev = checkpointed(ev)
-        is_hot = F.col("order_id").isin(*hot)
-        ev = state_plain(ev.where(~is_hot)).unionByName(state_bucketed(ev.where(is_hot), bucket))
-    return _decide(ev)
+                     F.col("void_status").alias("base_void"),
+                     (F.col("display_id") if "display_id" in tx.columns
+                      else F.concat(F.lit("ORD-"), F.col("transaction_id").cast("string"))).alias("display_id"))
+    ev = changes.join(base, changes["order_id"] == base["_base_id"], "left")
+    return _decide(state_before(ev, partitions))
 
 
 def _decide(ev: DataFrame) -> DataFrame:
@@ -170,7 +167,8 @@ def _decide(ev: DataFrame) -> DataFrame:
     after_claim = F.coalesce(F.col("_claimed_prev"), F.lit(False))
 
     reject = (
-        F.when(is_void_kind & ~F.col("is_admin"), "not_admin")
+        F.when(F.col("_base_id").isNull(), "unknown_order")
+         .when(is_void_kind & ~F.col("is_admin"), "not_admin")
          .when((action == "VOID") & is_blank("reason"), "blank_reason")
          .when((action == "VOID") & (F.col("void_before") == "Voided"), "already_voided")
          .when((action == "REVERT_VOID") & (F.col("void_before") == "Active"), "not_voided")
@@ -194,42 +192,10 @@ def _decide(ev: DataFrame) -> DataFrame:
         strip("reason").alias("reason"),
         kind.alias("kind"), reject.isNull().alias("accepted"), reject.alias("reject_reason"),
         old_value.alias("old_value"), new_value.alias("new_value"),
-        "base_status", "base_pay", "base_void",
+        "base_status", "base_pay", "base_void", "display_id",
     )
 
 
-def payment_before(ev: DataFrame) -> DataFrame:
-    """Add ``paid_before``: the payment state before each request.
-
-    An Admin pay request flips the state; a Staff one sets Paid. So the state before
-    a request is Paid xor (parity of Admin flips since the last Staff request), or
-    the base state xor (parity of all Admin flips) when no Staff request came first.
-    One two-level pass: inside each (order, bucket) two chained windows give the
-    flips before each request and that count at the last Staff request; a per-bucket
-    summary carried across buckets supplies both from earlier buckets.
-    """
-    part = [*KEYS, BUCKET]
-    pay = F.col("_valid") & (F.col("action") == "PAY")
-    rows = checkpointed(ev.withColumn("_flip", F.when(pay & F.col("is_admin"), 1).otherwise(0))
-                        .withColumn("_staff", pay & ~F.col("is_admin")))
-    w_in = Window.partitionBy(*part).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    local = (rows.withColumn("_f_loc", F.coalesce(F.sum("_flip").over(w_in), F.lit(0)))
-             .withColumn("_a_loc", F.last(F.when(F.col("_staff"), F.col("_f_loc")), ignorenulls=True).over(w_in)))
-    summary = local.groupBy(*part).agg(
-        F.sum("_flip").alias("_n_flip"),
-        F.max_by("_f_loc", F.when(F.col("_staff"), F.struct(*ORDER))).alias("_last_staff_f"))
-    w_b = Window.partitionBy(*KEYS).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (summary.withColumn("_f_in", F.coalesce(F.sum("_n_flip").over(w_b), F.lit(0)))
-             .withColumn("_g_in", F.last(F.col("_f_in") + F.col("_last_staff_f"), ignorenulls=True).over(w_b))
-             .select(*part, "_f_in", "_g_in"))
-    j = local.join(carry, part, "left")
-    flips = F.col("_f_in") + F.col("_f_loc")
-    anchor = F.coalesce(F.col("_f_in") + F.col("_a_loc"), F.col("_g_in"))
-    paid = _paid(flips, anchor)
-    return j.withColumn("paid_before", paid).drop(
-        "_flip", "_staff", "_f_loc", "_a_loc", "_f_in", "_g_in")
-
-
 def _per_order_last(acc: DataFrame, fields: list[str]) -> DataFrame:
     """Last accepted change per order, as a partial aggregate (no hot-key window)."""
     return acc.groupBy("order_id").agg(
@@ -273,8 +239,7 @@ def audit_rows(annotated: DataFrame) -> DataFrame:
     """One audit row per accepted change, as the screens log them (old and new
     values filled in as well)."""
     acc = annotated.where("accepted")
-    display = F.concat(F.lit("ORD-"), F.col("order_id").cast("string"))
-    action = F.col("action")
+    display, action = F.col("display_id"), F.col("action")
     description = (
         F.when(action == "VOID", F.concat(F.lit("Voided "), display, F.lit(". Reason: "), F.col("reason")))
          .when(action == "REVERT_VOID", F.concat(F.lit("Reverted void on "), display, F.lit(".")))
@@ -318,4 +283,4 @@ def apply_folds(tx: DataFrame, annotated: DataFrame) -> DataFrame:
 
 
 __all__ = ["annotate", "apply_folds", "audit_rows", "fold_payment_toggles", "fold_status_changes",
-           "fold_voids", "transition_guard", "BUCKET"]
+           "fold_voids", "transition_guard"]

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from washline.functions.skew import join_back
 from washline.operators.catalog import kg_per_load
 from washline.sources.views import load_count_expr
 
@@ -92,10 +91,11 @@ def reprice_line(lines: DataFrame, services: DataFrame, config: DataFrame | None
 
 def weight_mismatch(lines: DataFrame) -> DataFrame:
     """Lines whose weight differs from their order's first line (lowest line id).
-    The per-order first weight is a partial aggregate joined back on the order
-    (hot orders through a bounded broadcast, ``functions.skew``)."""
+    The per-order first weight is a partial aggregate joined back on the order; the join
+    needs no further grouping, so AQE splits the partition of a hot order. Lines without an
+    order have none to compare with."""
     first = lines.groupBy("transaction_id").agg(F.min_by("weight", "batch_id").alias("_first"))
-    return (join_back(lines, first, "transaction_id")
+    return (lines.join(first, "transaction_id")
             .where(F.col("weight") != F.col("_first"))
             .select("transaction_id", "batch_id", F.col("weight").cast("double").alias("weight"),
                     F.col("_first").cast("double").alias("order_weight")))

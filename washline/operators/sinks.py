@@ -15,59 +15,50 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from washline.functions.formatting import is_blank, ntz_epoch_seconds, strip
-from washline.functions.nesting import collect_bounded
 from washline.functions.timewin import ts_lit
 from washline.sources import schemas
 
-# --- nested orders (cart form) ------------------------------------------------------
+# --- orders in cart form --------------------------------------------------------------
+# The cart is kept as rows keyed by order and line, and by line and add-on: no array spans
+# an order, so the meaning of a row does not depend on how long an order is.
 
 ADDON_ITEM = ["addon_id", "quantity", "unit_price", "total_price"]
 LINE_ITEM = ["batch_id", "service_id", "category_id", "weight", "load_count", "price_per_unit",
              "subtotal"]
 
 
-def nested_orders(tx: DataFrame, lines: DataFrame, batch_addons: DataFrame,
-                  target: int = 256) -> DataFrame:
-    """Orders in cart form: (transaction_id, chunk, customer, email, batches[...,
-    addons[...]]). A line's add-ons are summed per add-on first (at most one entry
-    per catalog add-on); an order's lines go into bounded chunks."""
+def cart_lines(tx: DataFrame, lines: DataFrame) -> DataFrame:
+    """One row per line of a known order: the order's customer fields and the line's."""
+    head = tx.select("transaction_id", "customer_name", "customer_email")
+    return lines.select("transaction_id", *LINE_ITEM).join(head, "transaction_id")
+
+
+def cart_addons(lines: DataFrame, batch_addons: DataFrame) -> DataFrame:
+    """One row per line of ``lines`` and add-on; repeated picks of one add-on add up."""
     per_addon = batch_addons.groupBy("batch_id", "addon_id").agg(
         F.sum("quantity").alias("quantity"), F.max("price").alias("unit_price"),
         F.sum("subtotal").alias("total_price"))
-    addon_arrays = per_addon.groupBy("batch_id").agg(
-        F.array_sort(F.collect_list(F.struct(*ADDON_ITEM))).alias("addons"))
-    l = lines.join(addon_arrays, "batch_id", "left").withColumn(
-        "addons", F.coalesce(F.col("addons"), F.array().cast(
-            T.ArrayType(addon_arrays.schema["addons"].dataType.elementType))))
-    item = F.struct(*[F.col(c) for c in LINE_ITEM], F.col("addons"))
-    nested = collect_bounded(l, ["transaction_id"], item, "batch_id", "batches", target)
-    head = tx.select("transaction_id", "customer_name", "customer_email")
-    return nested.join(head, "transaction_id")
+    return per_addon.join(lines.select("batch_id"), "batch_id", "left_semi")
 
 
-def order_explode_header(nested: DataFrame) -> DataFrame:
-    lines = nested.select("transaction_id", "customer_name", "customer_email",
-                          F.explode("batches").alias("b"))
-    return lines.groupBy("transaction_id", "customer_name", "customer_email").agg(
-        F.sum("b.subtotal").cast("double").alias("total_amount"),
+def order_explode_header(cart: DataFrame) -> DataFrame:
+    return cart.groupBy("transaction_id", "customer_name", "customer_email").agg(
+        F.sum("subtotal").cast("double").alias("total_amount"),
         F.count(F.lit(1)).alias("n_lines"))
 
 
-def order_explode_lines(nested: DataFrame) -> DataFrame:
-    return nested.select("transaction_id", F.explode("batches").alias("b")).select(
-        "transaction_id", "b.batch_id", "b.service_id", "b.category_id",
-        F.col("b.weight").cast("double").alias("weight"), "b.load_count",
-        F.col("b.price_per_unit").cast("double").alias("price_per_unit"),
-        F.col("b.subtotal").cast("double").alias("subtotal"))
+def order_explode_lines(cart: DataFrame) -> DataFrame:
+    return cart.select(
+        "transaction_id", "batch_id", "service_id", "category_id",
+        F.col("weight").cast("double").alias("weight"), "load_count",
+        F.col("price_per_unit").cast("double").alias("price_per_unit"),
+        F.col("subtotal").cast("double").alias("subtotal"))
 
 
-def order_explode_addons(nested: DataFrame) -> DataFrame:
-    lines = nested.select(F.explode("batches").alias("b"))
-    return lines.select("b.batch_id", F.explode("b.addons").alias("a")).select(
-        "batch_id", "a.addon_id",
-        F.col("a.quantity").cast("double").alias("quantity"),
-        F.col("a.unit_price").cast("double").alias("unit_price"),
-        F.col("a.total_price").cast("double").alias("total_price"))
+def order_explode_addons(addons: DataFrame) -> DataFrame:
+    return addons.select(
+        "batch_id", *ADDON_ITEM[:1],
+        *[F.col(c).cast("double").alias(c) for c in ADDON_ITEM[1:]])
 
 
 # --- inserts ------------------------------------------------------------------------

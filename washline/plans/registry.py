@@ -291,23 +291,23 @@ def _receipt_history(c: Ctx) -> DataFrame:
 
 # --- loads, updates, deletes -------------------------------------------------
 
-def _nested(c: Ctx) -> DataFrame:
-    return sinks.nested_orders(c.tx, c.batches, c.batch_addons)
+def _cart(c: Ctx) -> DataFrame:
+    return sinks.cart_lines(c.tx, c.batches)
 
 
 @register("order_explode_header")
 def _order_explode_header(c: Ctx) -> DataFrame:
-    return sinks.order_explode_header(_nested(c))
+    return sinks.order_explode_header(_cart(c))
 
 
 @register("order_explode_lines")
 def _order_explode_lines(c: Ctx) -> DataFrame:
-    return sinks.order_explode_lines(_nested(c))
+    return sinks.order_explode_lines(_cart(c))
 
 
 @register("order_explode_addons")
 def _order_explode_addons(c: Ctx) -> DataFrame:
-    return sinks.order_explode_addons(_nested(c))
+    return sinks.order_explode_addons(sinks.cart_addons(_cart(c), c.batch_addons))
 
 
 @register("append_with_defaults")
