@@ -189,19 +189,20 @@ def _link(threshold: float):
     return visit
 
 
-def _cells(members: DataFrame, columns: list[str]) -> DataFrame:
-    """Open buckets of ``members`` (band, pos, key, root, ...) as groups of bounded blocks.
-
-    In each bucket that holds several components, the rows outside the largest (side 0, blocks i)
-    meet all rows (side 1, blocks j).
-    """
+def _open(members: DataFrame) -> DataFrame:
+    """The rows of ``members`` (band, pos, key, root) whose bucket holds several components, with its
+    largest component (main) and the numbers of blocks for all rows (nj) and for the others' (ni)."""
     sizes = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(
         F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"),
         F.max("n").alias("most"), F.count(F.lit(1)).alias("roots")).where(F.col("roots") > 1)
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = sizes.select("band", "main", blocks(F.col("all")).alias("nj"),
-                         blocks(F.col("all") - F.col("most")).alias("ni"))
-    rows = members.join(sizes, "band")
+    return members.join(sizes.select("band", "main", blocks(F.col("all")).alias("nj"),
+                                     blocks(F.col("all") - F.col("most")).alias("ni")), "band")
+
+
+def _cells(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Open buckets as groups of bounded blocks: in each, the rows outside the largest component
+    (side 0, blocks i) meet all rows (side 1, blocks j)."""
     own = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     columns = ["band", "i", "j", "side", "pos", "key", "root", *columns]
@@ -258,11 +259,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     top = roots.select(F.col("node").alias("_n"), "root")
     members = shared.join(top, shared["key"] == top["_n"], "left").select(
         "band", "pos", "key", F.coalesce("root", "key").alias("root"))
-    signs = members.join(sig, members["key"] == sig["_k"]).drop("_k")
+    signs = _open(members)
+    signs = signs.join(sig, signs["key"] == sig["_k"]).drop("_k")
     marked, marked_path = scratch_table(
         _cells(signs, ["sig"]).mapInPandas(_grid(_mark), "band bigint, key binary").distinct(), "marked")
-    open_rows = (members.join(marked, ["band", "key"]).join(nodes.select("key", "sig"), "key")
-                 .join(elements, "key"))
+    # signature and elements meet once per node, not once per band
+    whole = nodes.select("key", "sig").join(marked.select("key").distinct(), "key", "left_semi").join(
+        elements, "key")
+    open_rows = _open(members.join(marked, ["band", "key"])).join(whole, "key")
     late, late_path = scratch_table(
         _cells(open_rows, ["sig", "elements"]).mapInPandas(
             _grid(_link(threshold)), "a binary, b binary"), "late")

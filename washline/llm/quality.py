@@ -67,8 +67,8 @@ def _fit(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int, seed: int) ->
     m, v = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w]
     sig = lambda z: 1 / (1 + np.exp(-z))
     for t in range(1, steps + 1):
-        p = xp[rng.integers(0, len(xp), min(len(xp), 512))]
-        u = xu[rng.integers(0, len(xu), min(len(xu), 1024))]
+        p = xp[rng.permutation(len(xp))[:1024]]
+        u = xu[rng.permutation(len(xu))[:2048]]
         zp, hp = _forward(w, p)
         zu, hu = _forward(w, u)
         rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
@@ -104,7 +104,7 @@ def estimate_prior(sp: np.ndarray, su: np.ndarray) -> float:
     p = np.array([(sp >= c).mean() for c in cuts])
     u = np.array([(su >= c).mean() for c in cuts])
     error = np.sqrt(u * (1 - u) / len(su)) / p + np.sqrt((1 - p) / p / len(sp)) * u / p
-    return float(np.clip((u / p + error).min(), 0.05, 0.98))
+    return float(np.clip((u / p + error / 2).min(), 0.05, 0.98))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 1500, seed: int = 3) -> QualityModel:
@@ -119,7 +119,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 1500, seed: i
     xp, xu = model._norm(positive), model._norm(unlabelled)
     first = _fit(xp[::2], xu[::2], 0.5, steps // 2, seed)
     model.prior = estimate_prior(_forward(first, xp[1::2])[0], _forward(first, xu[1::2])[0])
-    model.weights = _fit(xp, xu, model.prior, steps, seed)
+    fits = [_fit(xp, xu, model.prior, steps, seed + k) for k in range(3)]
+    # three starts as one network: their hidden units side by side, their outputs averaged
+    model.weights = [np.concatenate([w[0] for w in fits], 1), np.concatenate([w[1] for w in fits]),
+                     np.concatenate([w[2] for w in fits]) / 3, sum(w[3] for w in fits) / 3]
     return model
 
 

@@ -28,6 +28,7 @@ from washline.llm.textfeat import code_points, letter_table
 THRESHOLD = 0.3
 U = np.uint64
 _P = U(0x9E3779B97F4A7C15)
+_KIND = np.arange(1, 4, dtype=np.uint64) * U(0xD6E8FEB86659FD93)
 
 # Identity terms by kind; terms of a kind are swapped for one another.
 IDENTITY_TERMS = {
@@ -72,7 +73,7 @@ def word_features(text: str | None) -> np.ndarray:
     out = np.empty((len(first), 3), U)
     for k, most in enumerate((None, 4, 5)):
         value = part if most is None else np.where(place < most, part, U(0))
-        out[:, k] = _spread(np.add.reduceat(value, first) + U(k + 1) * U(0xD6E8FEB86659FD93))
+        out[:, k] = _spread(np.add.reduceat(value, first) + _KIND[k])
     return out
 
 
