@@ -109,3 +109,37 @@ def test_weight_mismatch_with_null_orders(spark):
     lines = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (None, "c", 5.0), (None, "d", 6.0)],
                                   "transaction_id long, batch_id string, weight double")
     assert [r.batch_id for r in pricing.weight_mismatch(lines).collect()] == ["b"]
+
+
+def test_orphans_and_bad_values_are_counted_at_their_own_table(spark, tmp_path):
+    """Lines of missing services, orders of missing customers: reported, not lost by a join."""
+    import shutil
+
+    import __spark_entry__ as E
+
+    src = "/root/testdata/sf0.001"
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+        shutil.copy(f"{src}/{t}.parquet", tmp_path / f"{t}.parquet")
+    li = spark.read.parquet(f"{src}/lineitem.parquet")
+    bad = li.limit(5).withColumn("l_partkey", F.col("l_partkey") + 10_000_000).union(
+        li.limit(3).withColumn("l_orderkey", F.col("l_orderkey") + 10_000_000))
+    shutil.rmtree(tmp_path / "lineitem.parquet", ignore_errors=True)
+    (tmp_path / "lineitem.parquet").unlink(missing_ok=True)
+    li.union(bad).write.parquet(str(tmp_path / "lineitem.parquet"))
+    o = spark.read.parquet(f"{src}/orders.parquet")
+    (tmp_path / "orders.parquet").unlink()
+    o.union(o.limit(1).withColumn("o_orderkey", F.lit(77_000_000).cast(o.schema["o_orderkey"].dataType))
+            .withColumn("o_custkey", F.lit(88_000_000).cast(o.schema["o_custkey"].dataType))
+            .withColumn("o_orderstatus", F.lit("X"))).write.parquet(str(tmp_path / "orders.parquet"))
+
+    def run(key, *cols):
+        old = {tuple(r[c] for c in cols[:-1]): r[cols[-1]] for r in E.queries()[key](spark, src).collect()}
+        new = {tuple(r[c] for c in cols[:-1]): r[cols[-1]]
+               for r in E.queries()[key](spark, str(tmp_path)).collect()}
+        return {k: new[k] - old[k] for k in new if new[k] != old[k]}
+
+    assert run("dq_fk_orphans", "fk_name", "orphan_count") == {
+        ("transaction_batches.service_id->services.service_id",): 5,
+        ("transaction_batches.transaction_id->transactions.transaction_id",): 3}
+    nulls = run("dq_nulls", "table_name", "column_name", "null_count")
+    assert nulls == {("transactions", "customer_name"): 1, ("transaction_batches", "price_per_unit"): 5}

@@ -25,9 +25,10 @@ def test_kpis_read_only_needed_columns_and_no_customer_join(spark):
     assert "customer" not in plan
 
 
-def test_category_join_is_broadcast(spark):
-    plan = _plan(QUERIES["receipt_typed"](spark, SMALL))
-    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+def test_unique_check_reads_no_dimension(spark):
+    plan = _plan(QUERIES["dq_unique"](spark, SMALL))
+    lines = [x for x in plan.splitlines() if "ReadSchema" in x]
+    assert not any("c_name" in x or "p_retailprice" in x for x in lines)
 
 
 def test_fold_windows_are_split_by_range_partition(spark):

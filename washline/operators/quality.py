@@ -52,15 +52,23 @@ def dq_enum(tables: dict[str, DataFrame]) -> DataFrame:
     return _union(parts)
 
 
+def _by_table(tables: dict[str, DataFrame], columns) -> dict[str, list[str]]:
+    """The columns of each table that are there, so that a table is scanned once."""
+    out: dict[str, list[str]] = {}
+    for t, c in columns:
+        if t in tables and c in tables[t].columns:
+            out.setdefault(t, []).append(c)
+    return out
+
+
 def dq_length(tables: dict[str, DataFrame]) -> DataFrame:
     """Values longer than the column's VARCHAR limit."""
     parts = []
-    for (t, c), n in schemas.LENGTHS.items():
-        if t not in tables or c not in tables[t].columns:
-            continue
-        parts.append(tables[t].agg(
-            F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), F.lit(n).alias("max_len"),
-            F.count(F.when(F.length(c) > n, 1)).alias("violations")))
+    for t, cols in _by_table(tables, schemas.LENGTHS).items():
+        wide = tables[t].agg(*[F.count(F.when(F.length(c) > schemas.LENGTHS[(t, c)], 1)).alias(c) for c in cols])
+        rows = ", ".join(f"'{c}', {schemas.LENGTHS[(t, c)]}, `{c}`" for c in cols)
+        parts.append(wide.selectExpr(f"'{t}' AS table_name",
+                                     f"stack({len(cols)}, {rows}) AS (column_name, max_len, violations)"))
     return _union(parts)
 
 
@@ -124,17 +132,15 @@ REQUIRED_COLUMNS = [("transactions", "customer_name"), ("services", "service_nam
 
 
 def dq_name_digits(tables: dict[str, DataFrame]) -> DataFrame:
-    parts = [tables[t].agg(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"),
-                           F.count(F.when(F.col(c).rlike("[0-9]"), 1)).alias("violations"))
-             for t, c in NAME_COLUMNS if t in tables]
-    return _union(parts)
+    return _union([
+        _stack(tables[t].agg(*[F.count(F.when(F.col(c).rlike("[0-9]"), 1)).alias(c) for c in cols]),
+               t, cols, "violations") for t, cols in _by_table(tables, NAME_COLUMNS).items()])
 
 
 def dq_required(tables: dict[str, DataFrame]) -> DataFrame:
-    parts = [tables[t].agg(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"),
-                           F.count(F.when(is_blank(c), 1)).alias("blank_count"))
-             for t, c in REQUIRED_COLUMNS if t in tables]
-    return _union(parts)
+    return _union([
+        _stack(tables[t].agg(*[F.count(F.when(is_blank(c), 1)).alias(c) for c in cols]), t, cols, "blank_count")
+        for t, cols in _by_table(tables, REQUIRED_COLUMNS).items()])
 
 
 def dq_pickup_date(tx: DataFrame) -> DataFrame:

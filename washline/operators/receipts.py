@@ -33,7 +33,7 @@ def receipt_typed(lines: DataFrame, services: DataFrame, category: DataFrame) ->
     """Lines with service and category; a line without a known category is dropped
     (inner joins, as in the active receipt)."""
     return (lines.join(services.select("service_id", "service_name"), "service_id")
-            .join(F.broadcast(category.select("category_id", F.col("name").alias("cat_name"))),
+            .join(category.select("category_id", F.col("name").alias("cat_name")),
                   "category_id")
             .select("batch_id", "transaction_id", "service_name", "cat_name",
                     F.col("weight").cast("double").alias("weight"), "load_count",
@@ -51,7 +51,7 @@ def receipt_addons(batch_addons: DataFrame, addons: DataFrame) -> DataFrame:
 def receipt_active(tx: DataFrame, lines: DataFrame, category: DataFrame) -> DataFrame:
     """Active-receipt header per order: TYPE is the category of the order's first
     line (lowest line id) among lines with a known category, else 'N/A'."""
-    typed = lines.join(F.broadcast(category.select("category_id", F.col("name").alias("cat_name"))),
+    typed = lines.join(category.select("category_id", F.col("name").alias("cat_name")),
                        "category_id")
     per = typed.groupBy("transaction_id").agg(
         F.min_by("cat_name", "batch_id").alias("_type"), F.count(F.lit(1)).alias("n_lines"))

@@ -55,7 +55,7 @@ tx AS (
   SELECT transaction_id, display_id, c_name AS customer_name, customer_email, customer_contact,
          overall_note, pickup_date, status, payment_status, total_amount, created_by, void_status,
          void_reason, void_at, created_at, updated_at
-  FROM txl JOIN customer ON txl.o_custkey = customer.c_custkey),
+  FROM txl LEFT JOIN customer ON txl.o_custkey = customer.c_custkey),
 tb AS (
   SELECT {_BID} AS batch_id, l_orderkey AS transaction_id, l_partkey AS service_id,
     cat.category_id,
@@ -63,7 +63,7 @@ tb AS (
     {_W} AS weight, CAST(p_retailprice AS DECIMAL(10,2)) AS price_per_unit,
     CAST(l_extendedprice AS DECIMAL(10,2)) AS subtotal, CAST(NULL AS VARCHAR) AS special_notes,
     l_shipdate AS created_at
-  FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN cat ON cat.name = p_type),
+  FROM lineitem LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN cat ON cat.name = p_type),
 ba AS (
   SELECT {_BID} AS batch_addon_id, {_BID} AS batch_id, l_suppkey AS addon_id,
     CAST(l_linenumber AS DECIMAL(8,2)) AS quantity, {_ADDON_SUB} AS price, {_ADDON_SUB} AS subtotal
@@ -324,8 +324,9 @@ _W1 = "OVER (PARTITION BY order_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED
 _STRIP = r"regexp_replace(reason, '^\s+|\s+$', '', 'g')"
 FOLD_SQL = f"""
 , ev AS (
-  SELECT ce.*, t.status AS base_status, t.payment_status AS base_pay, t.void_status AS base_void
-  FROM ce JOIN txl t ON ce.order_id = t.transaction_id),
+  SELECT ce.*, t.transaction_id AS base_id, t.display_id, t.status AS base_status,
+         t.payment_status AS base_pay, t.void_status AS base_void
+  FROM ce LEFT JOIN txl t ON ce.order_id = t.transaction_id),
 v1 AS (
   SELECT *, CASE WHEN action IN ('VOID', 'REVERT_VOID') AND is_admin
                   AND (action = 'REVERT_VOID' OR length({_STRIP}) > 0)
@@ -360,7 +361,8 @@ s2 AS (
   FROM s1),
 s3 AS (
   SELECT *,
-    CASE WHEN action IN ('VOID', 'REVERT_VOID') AND NOT is_admin THEN 'not_admin'
+    CASE WHEN base_id IS NULL THEN 'unknown_order'
+         WHEN action IN ('VOID', 'REVERT_VOID') AND NOT is_admin THEN 'not_admin'
          WHEN action = 'VOID' AND coalesce(length({_STRIP}) = 0, TRUE) THEN 'blank_reason'
          WHEN action = 'VOID' AND void_before = 'Voided' THEN 'already_voided'
          WHEN action = 'REVERT_VOID' AND void_before = 'Active' THEN 'not_voided'
@@ -383,7 +385,7 @@ ann AS (
                                                               ELSE 'Paid' END
                                        ELSE 'Paid' END
          ELSE action END AS new_value,
-    base_status, base_pay, base_void
+    base_status, base_pay, base_void, display_id
   FROM s3)
 """
 
@@ -407,18 +409,21 @@ Q["transition_guard"] = FOLD_SQL + """
 SELECT event_id, order_id AS transaction_id, action, kind, accepted, reject_reason FROM ann
 """
 
-Q["audit_rows"] = FOLD_SQL + """
-SELECT event_id AS log_id, actor_id AS user_id,
-  CASE WHEN action IN ('VOID', 'REVERT_VOID') THEN action ELSE 'UPDATE' END AS action_type,
-  'Transaction' AS entity_type, order_id AS entity_id,
-  CASE WHEN action = 'VOID' THEN 'Voided ORD-' || CAST(order_id AS VARCHAR) || '. Reason: ' || reason
-       WHEN action = 'REVERT_VOID' THEN 'Reverted void on ORD-' || CAST(order_id AS VARCHAR) || '.'
-       WHEN action = 'PAY' THEN 'Payment: ' || new_value
-       ELSE 'Status: ' || new_value END AS description,
-  old_value, new_value, ts AS timestamp
-FROM ann WHERE accepted
+AUDIT_SQL = FOLD_SQL + """
+, alog AS (
+  SELECT event_id AS log_id, actor_id AS user_id,
+    CASE WHEN action IN ('VOID', 'REVERT_VOID') THEN action ELSE 'UPDATE' END AS action_type,
+    'Transaction' AS entity_type, order_id AS entity_id,
+    CASE WHEN action = 'VOID' THEN 'Voided ' || display_id || '. Reason: ' || reason
+         WHEN action = 'REVERT_VOID' THEN 'Reverted void on ' || display_id || '.'
+         WHEN action = 'PAY' THEN 'Payment: ' || new_value
+         ELSE 'Status: ' || new_value END AS description,
+    old_value, new_value, ts AS timestamp
+  FROM ann WHERE accepted)
 """
 
+Q["audit_rows"] = AUDIT_SQL + "SELECT * FROM alog"
+
 Q["pickup_outbox"] = FOLD_SQL + """
 , c AS (SELECT coalesce(max(CASE WHEN config_key = 'pickup_ready_subject' THEN config_value END),
                         'Notification') AS subj,
@@ -660,14 +665,14 @@ FROM us u LEFT JOIN (SELECT user_id, max(ts) AS last_login FROM events WHERE eve
 # --- data quality ------------------------------------------------------------------
 
 _VIEW = {"transactions": "tx", "services": "sv", "addons": "ad", "category": "cat", "users": "us",
-         "transaction_batches": "tb", "batch_addons": "ba"}
+         "transaction_batches": "tb", "batch_addons": "ba", "audit_logs": "alog"}
 
 
 def _union(parts: list[str]) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-Q["dq_nulls"] = _union([
+Q["dq_nulls"] = AUDIT_SQL + _union([
     f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(CASE WHEN {c} IS NULL THEN 1 END) AS null_count "
     f"FROM {_VIEW[t]}" for t, cols in schemas.NOT_NULL.items() for c in cols])
 
@@ -678,20 +683,20 @@ for (_t, _c), _dom in schemas.ENUMS.items():
         _ENUM_PARTS.append(f"SELECT '{_t}' AS table_name, '{_c}' AS column_name, "
                            f"count(CASE WHEN {_c} IS NOT NULL AND {_c} NOT IN ({_in}) THEN 1 END) AS bad_count "
                            f"FROM {_VIEW[_t]}")
-Q["dq_enum"] = _union(_ENUM_PARTS)
+Q["dq_enum"] = AUDIT_SQL + _union(_ENUM_PARTS)
 
-Q["dq_length"] = _union([
+Q["dq_length"] = AUDIT_SQL + _union([
     f"SELECT '{t}' AS table_name, '{c}' AS column_name, {n} AS max_len, "
     f"count(CASE WHEN length({c}) > {n} THEN 1 END) AS violations FROM {_VIEW[t]}"
     for (t, c), n in schemas.LENGTHS.items() if t in _VIEW])
 
-Q["dq_unique"] = _union([
+Q["dq_unique"] = AUDIT_SQL + _union([
     f"SELECT '{t}' AS table_name, '{','.join(k)}' AS key_name, count(*) AS duplicate_keys, "
     f"CAST(coalesce(sum(n), 0) AS BIGINT) AS duplicate_rows FROM (SELECT {', '.join(k)}, count(*) AS n "
     f"FROM {_VIEW[t]} WHERE {' AND '.join(x + ' IS NOT NULL' for x in k)} GROUP BY {', '.join(k)} "
     f"HAVING count(*) > 1)" for t, keys in schemas.UNIQUE.items() if t in _VIEW for k in keys])
 
-Q["dq_fk_orphans"] = _union([
+Q["dq_fk_orphans"] = AUDIT_SQL + _union([
     f"SELECT '{ch}.{fk}->{pa}.{pk}' AS fk_name, count(*) AS orphan_count FROM {_VIEW[ch]} "
     f"WHERE {fk} IS NOT NULL AND {fk} NOT IN (SELECT {pk} FROM {_VIEW[pa]} WHERE {pk} IS NOT NULL)"
     for ch, fk, pa, pk, _ in schemas.FOREIGN_KEYS if ch in _VIEW and pa in _VIEW])

@@ -383,29 +383,38 @@ def _dq_tables(c: Ctx) -> dict[str, DataFrame]:
             "batch_addons": c.batch_addons}
 
 
+def _dq_lean(c: Ctx) -> dict[str, DataFrame]:
+    """For checks on keys: no table is joined with another to get columns that are not checked."""
+    return {**_dq_tables(c), "transactions": c.tx_lean, "transaction_batches": c.batches_lean}
+
+
+def _with_audit(c: Ctx, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    return {**tables, "audit_logs": changes.audit_rows(_annotated(c))}
+
+
 @register("dq_nulls")
 def _dq_nulls(c: Ctx) -> DataFrame:
-    return quality.dq_nulls(_dq_tables(c))
+    return quality.dq_nulls(_with_audit(c, _dq_tables(c)))
 
 
 @register("dq_enum")
 def _dq_enum(c: Ctx) -> DataFrame:
-    return quality.dq_enum(_dq_tables(c))
+    return quality.dq_enum(_with_audit(c, _dq_tables(c)))
 
 
 @register("dq_length")
 def _dq_length(c: Ctx) -> DataFrame:
-    return quality.dq_length(_dq_tables(c))
+    return quality.dq_length(_with_audit(c, _dq_tables(c)))
 
 
 @register("dq_unique")
 def _dq_unique(c: Ctx) -> DataFrame:
-    return quality.dq_unique(_dq_tables(c))
+    return quality.dq_unique(_with_audit(c, _dq_lean(c)))
 
 
 @register("dq_fk_orphans")
 def _dq_fk_orphans(c: Ctx) -> DataFrame:
-    return quality.dq_fk_orphans(_dq_tables(c))
+    return quality.dq_fk_orphans(_with_audit(c, {**_dq_tables(c), "transactions": c.tx_lean}))
 
 
 @register("dq_name_digits")

@@ -62,6 +62,7 @@ NOT_NULL: dict[str, list[str]] = {
     "transactions": ["display_id", "customer_name"],
     "transaction_batches": ["load_count", "weight", "price_per_unit", "subtotal"],
     "batch_addons": ["price", "subtotal"],
+    "audit_logs": ["action_type", "entity_type"],
 }
 
 # UNIQUE / primary keys.
@@ -73,6 +74,7 @@ UNIQUE: dict[str, list[list[str]]] = {
     "transactions": [["transaction_id"], ["display_id"]],
     "transaction_batches": [["batch_id"]],
     "batch_addons": [["batch_addon_id"]],
+    "audit_logs": [["log_id"]],
 }
 
 # Foreign keys: (child table, child column, parent table, parent column, on delete).

@@ -59,10 +59,11 @@ def _exprs(cols: list[tuple[str, str]], skip: set[str] = frozenset()) -> list[st
 
 
 def transactions(t: Tables, with_customer: bool = True) -> DataFrame:
-    """Order headers. ``with_customer=False`` drops customer_name and its join."""
+    """Order headers; an order whose customer is missing stays, without a name.
+    ``with_customer=False`` drops customer_name and its join."""
     o = t.orders
     if with_customer:
-        o = o.join(t.customer.select("c_custkey", "c_name"), o.o_custkey == F.col("c_custkey"))
+        o = o.join(t.customer.select("c_custkey", "c_name"), o.o_custkey == F.col("c_custkey"), "left")
         return o.selectExpr(*_exprs(TX_COLUMNS))
     return o.selectExpr(*_exprs(TX_COLUMNS, {"customer_name"}))
 
@@ -70,8 +71,7 @@ def transactions(t: Tables, with_customer: bool = True) -> DataFrame:
 def category(t: Tables) -> DataFrame:
     """Category ids 1..n over the distinct part types, alphabetical.
 
-    The input is the type domain (a handful of values), so the one global window
-    runs over a bounded set; the result is safe to broadcast.
+    The one global window runs over the distinct names, found by a partial aggregate.
     """
     types = t.part.select(F.col("p_type").alias("name")).where(F.col("name").isNotNull()).distinct()
     return types.select(
@@ -112,15 +112,14 @@ BATCH_COLUMNS: list[tuple[str, str]] = [
 
 
 def transaction_batches(t: Tables, with_part: bool = True) -> DataFrame:
-    """Order lines. ``with_part=False`` leaves out category_id and price_per_unit
-    (and the join with part they need)."""
+    """Order lines; a line whose service is missing stays, without category and list price.
+    ``with_part=False`` leaves out category_id and price_per_unit (and their join)."""
     li = t.lineitem
     if not with_part:
         return li.selectExpr(*_exprs(BATCH_COLUMNS, {"category_id", "price_per_unit"}))
     p = t.part.select("p_partkey", "p_type", "p_retailprice").join(
-        F.broadcast(category(t).select("category_id", F.col("name").alias("p_type"))),
-        "p_type", "left")
-    return li.join(p, li.l_partkey == p.p_partkey).selectExpr(*_exprs(BATCH_COLUMNS))
+        category(t).select("category_id", F.col("name").alias("p_type")), "p_type", "left")
+    return li.join(p, li.l_partkey == p.p_partkey, "left").selectExpr(*_exprs(BATCH_COLUMNS))
 
 
 _ADDON_SUB = f"CAST(CAST(l_extendedprice AS {MONEY}) * CAST(l_discount AS DECIMAL(4,2)) AS {MONEY})"
