@@ -143,3 +143,49 @@ def test_orphans_and_bad_values_are_counted_at_their_own_table(spark, tmp_path):
         ("transaction_batches.transaction_id->transactions.transaction_id",): 3}
     nulls = run("dq_nulls", "table_name", "column_name", "null_count")
     assert nulls == {("transactions", "customer_name"): 1, ("transaction_batches", "price_per_unit"): 5}
+
+
+def test_updates_to_null_and_stored_update_times(spark):
+    t = dt.datetime(2024, 1, 1)
+    base = spark.createDataFrame([(1, "a@x", "d", t), (2, "b@x", "d", t), (3, "c@x", "d", t)],
+                                 "id long, email string, note string, updated_at timestamp_ntz")
+    ups = spark.createDataFrame([(1, t + dt.timedelta(days=1), 1, None, " "), (2, t + dt.timedelta(days=1), 2, "n@x", "e"),
+                                 (2, t + dt.timedelta(days=2), 3, None, None)],
+                                "id long, ts timestamp_ntz, event_id long, email string, note string")
+    out = sinks.apply_updates(base, ups, "id", ["ts", "event_id"], ["email"], ["note"])
+    assert out.columns == base.columns
+    assert {r.id: (r.email, r.note, (r.updated_at - t).days) for r in out.collect()} == {
+        1: (None, "d", 1), 2: (None, "e", 2), 3: ("c@x", "d", 0)}
+
+
+def test_text_rules(spark):
+    from washline.functions.formatting import is_blank, strip
+    df = spark.createDataFrame([("\u00a0\u3000 x \x1c",), ("\u2003",), ("",), (None,)], "s string")
+    assert [(r.t, r.b) for r in df.select(strip("s").alias("t"), is_blank("s").alias("b")).collect()] == [
+        ("x", False), ("", True), ("", True), (None, True)]
+    ba = spark.createDataFrame([("l", 1, Decimal("2.00")), ("l", 2, Decimal("1.50"))],
+                               "batch_id string, addon_id long, quantity decimal(8,2)")
+    ad = spark.createDataFrame([(1, "Softener"), (2, "Bleach")], "addon_id long, addon_name string")
+    assert pricing.cart_addon_text(ba, ad).first().addon_text == "Softener x2, Bleach x1.50"
+    assert {r.summary for r in pricing.cart_addon_summary(ba, ad).collect()} == {"Softener (x2)", "Bleach (x1.50)"}
+
+
+def test_delete_restrict_without_children(spark):
+    parent = spark.createDataFrame([(1,), (2,)], "k long")
+    out = sinks.delete_restrict(parent, [], "k", parent.where("k = 1"))
+    assert [tuple(r) for r in out.collect()] == [(1, "deleted")]
+
+
+def test_a_cluster_without_a_checkpoint_folder_is_an_error():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from washline.session import ensure_checkpoint_dir
+
+    def session(master):
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None),
+                               conf=SimpleNamespace(get=lambda k, d=None: None))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            ensure_checkpoint_dir(session(master))

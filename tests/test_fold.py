@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from washline.functions.ranking import global_row_number
 from washline.functions.running import running
 from washline.operators import changes
-from washline.streaming.streams import step
+from tests.sequential import step
 
 ACTIONS = ["VOID", "REVERT_VOID", "PAY", "Ready to Claim", "Claimed"]
 
@@ -28,7 +28,7 @@ def _random_log(seed, n_orders=12, n_events=400):
         # bursts: many requests share a timestamp, ordered by id
         ts = t0 + dt.timedelta(minutes=rnd.choice([0, 7, 60, 600, 1500, 3000]) + (e // 5) * 13)
         events.append((e, ts, rnd.randrange(n_orders), rnd.choice(ACTIONS), e % 10, rnd.random() < 0.5,
-                       rnd.choice(["r", " ", "", None, "x y"])))
+                       rnd.choice(["r", " ", "\u00a0\u3000", "", None, "x y"])))
     return base, events
 
 

@@ -27,3 +27,35 @@ def test_append_mode_days_equal_batch_and_late_rows_drop(spark):
     late.write.mode("append").parquet(f"{src}/orders.parquet")
     again = {r.t_date: r.daily_total for r in streams.daily_sales_final(spark, src, base).collect()}
     assert again == first
+
+
+def test_fold_and_outbox_do_not_depend_on_the_cut(spark, tmp_path):
+    import shutil
+
+    for t in ("orders", "customer"):
+        shutil.copy(f"{SMALL}/{t}.parquet", tmp_path / f"{t}.parquet")
+    t = Tables(spark, SMALL)
+    ev = t.events.orderBy("ts", "event_id").limit(900).checkpoint()
+    # the later half in the first file, the earlier half in the second; one event in both
+    half = ev.orderBy("ts", "event_id").limit(450).checkpoint()
+    ev.join(half, "event_id", "left_anti").select(ev.columns).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    half.union(ev.join(half, "event_id", "left_anti").select(ev.columns).limit(1)).coalesce(1).write.mode(
+        "append").parquet(str(tmp_path / "events.parquet"))
+    base = str(tmp_path / "run")
+    streams.fold_into(spark, str(tmp_path), base, max_bytes=1)
+    tx = views.transactions(t, with_customer=False)
+    from types import SimpleNamespace
+
+    from washline.operators import changes
+    from washline.operators.outbox import pickup_outbox
+
+    want = changes.annotate(views.change_events(SimpleNamespace(events=ev)), tx)
+    rows = lambda d: {(r.event_id, r.accepted, r.reject_reason, r.new_value) for r in d.collect()}
+    got = streams.decisions(spark, base)
+    assert spark.read.parquet(f"{base}/log").select("batch").distinct().count() == 2
+    assert rows(got) == rows(want)
+    full, cfg = views.transactions(t), views.system_config(spark)
+    assert ({tuple(r) for r in pickup_outbox(got, full, cfg).collect()}
+            == {tuple(r) for r in pickup_outbox(want, full, cfg).collect()})
+    late = {r.event_id for r in streams.late_requests(spark, base).collect()}
+    assert late <= {r.event_id for r in half.select("event_id").collect()}

@@ -37,8 +37,8 @@ def day_label(col: str | Column) -> Column:
 
 
 def strip(col: str | Column) -> Column:
-    """Remove leading and trailing whitespace of any kind (not only spaces)."""
-    return F.regexp_replace(_c(col), r"^\s+|\s+$", "")
+    """Remove leading and trailing whitespace of any kind, Unicode blanks included."""
+    return F.regexp_replace(_c(col), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def is_blank(col: str | Column) -> Column:

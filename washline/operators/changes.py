@@ -256,6 +256,16 @@ def audit_rows(annotated: DataFrame) -> DataFrame:
         F.col("ts").alias("timestamp"))
 
 
+def login_audit_rows(logins: DataFrame) -> DataFrame:
+    """One audit row per successful login (user_id, event_id, ts)."""
+    none = F.lit(None).cast("string")
+    return logins.select(
+        F.col("event_id").alias("log_id"), "user_id", F.lit("LOGIN").alias("action_type"),
+        F.lit("User").alias("entity_type"), F.col("user_id").alias("entity_id"),
+        F.lit("Successful login").alias("description"), none.alias("old_value"),
+        none.alias("new_value"), F.col("ts").alias("timestamp"))
+
+
 def apply_folds(tx: DataFrame, annotated: DataFrame) -> DataFrame:
     """Current orders: base rows overridden by the last accepted void, payment and
     status change (three per-order aggregates joined back on the key)."""

@@ -135,8 +135,18 @@ def cart_addon_text(batch_addons: DataFrame, addons: DataFrame) -> DataFrame:
     entry per catalog add-on."""
     per = (batch_addons.groupBy("batch_id", "addon_id").agg(F.sum("quantity").alias("q"))
            .join(addons.select("addon_id", "addon_name"), "addon_id"))
-    item = F.struct(F.col("addon_id"), F.concat(F.col("addon_name"), F.lit(" x"),
-                                                F.col("q").cast("string")).alias("t"))
+    count = F.when(F.col("q") % 1 == 0, F.col("q").cast("long").cast("string")).otherwise(
+        F.col("q").cast("string"))
+    item = F.struct(F.col("addon_id"), F.concat(F.col("addon_name"), F.lit(" x"), count).alias("t"))
     return per.groupBy("batch_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), ", ")
         .alias("addon_text"))
+
+
+def cart_addon_summary(batch_addons: DataFrame, addons: DataFrame) -> DataFrame:
+    """Per line and add-on: 'Name (xQty)', as applied add-ons are listed under a line."""
+    per = batch_addons.groupBy("batch_id", "addon_id").agg(F.sum("quantity").alias("q"))
+    count = F.when(F.col("q") % 1 == 0, F.col("q").cast("long").cast("string")).otherwise(
+        F.col("q").cast("string"))
+    return per.join(addons.select("addon_id", "addon_name"), "addon_id").select(
+        "batch_id", "addon_id", F.concat("addon_name", F.lit(" (x"), count, F.lit(")")).alias("summary"))

@@ -73,7 +73,7 @@ TX_TYPES = [("transaction_id", "long"), ("display_id", "string"), ("customer_nam
 
 def append_with_defaults(rows: DataFrame, table: str, types: list[tuple[str, str]], as_of) -> DataFrame:
     """Complete partial rows with the table's column defaults ("now" = as_of).
-    A blank e-mail is stored as NULL."""
+    A blank e-mail is stored as NULL; names are stored without blanks around them."""
     defaults = schemas.DEFAULTS.get(table, {})
     now = ts_lit(_midnight(as_of))
     cols: list[Column] = []
@@ -82,6 +82,8 @@ def append_with_defaults(rows: DataFrame, table: str, types: list[tuple[str, str
             c = F.col(name)
             if name.endswith("email"):
                 c = F.when(~is_blank(c), strip(c))
+            elif name.endswith("name"):
+                c = strip(c)
         elif name in defaults:
             d = defaults[name]
             c = now if d == "now" else F.lit(d)
@@ -116,20 +118,23 @@ def apply_updates(base: DataFrame, updates: DataFrame, key: str, order: list[str
                   overwrite: list[str], keep_if_blank: list[str]) -> DataFrame:
     """Keyed partial update, last writer wins.
 
-    ``overwrite`` columns take the latest update's value; ``keep_if_blank`` columns
-    take the latest non-blank value (a blank leaves the stored value as it is).
-    ``updated_at`` is the time of the latest update. Untouched columns are kept.
+    ``overwrite`` columns take the latest update's value, NULL included; ``keep_if_blank``
+    columns take the latest non-blank value (a blank leaves the stored value as it is).
+    ``updated_at`` is the time of the latest update, the stored one for rows without any.
+    Untouched columns are kept.
     """
     ts_order = F.struct(*[F.col(c) for c in order])
     aggs = [F.max_by(F.col(c), ts_order).alias(f"_n_{c}") for c in overwrite]
     aggs += [F.max_by(F.col(c), F.when(~is_blank(c), ts_order)).alias(f"_n_{c}") for c in keep_if_blank]
-    aggs.append(F.max(order[0]).alias("_updated_at"))
+    aggs += [F.max(order[0]).alias("_updated_at"), F.lit(True).alias("_hit")]
     latest = updates.groupBy(key).agg(*aggs)
     j = base.join(latest, key, "left")
-    changed = set(overwrite) | set(keep_if_blank)
-    cols = [F.coalesce(F.col(f"_n_{c}"), F.col(c)).alias(c) if c in changed else F.col(c)
-            for c in base.columns]
-    return j.select(*cols, F.col("_updated_at").alias("updated_at"))
+    new = {c: F.when(F.col("_hit"), F.col(f"_n_{c}")).otherwise(F.col(c)) for c in overwrite}
+    new |= {c: F.coalesce(F.col(f"_n_{c}"), F.col(c)) for c in keep_if_blank}
+    if "updated_at" in base.columns:
+        new["updated_at"] = F.coalesce("_updated_at", "updated_at")
+    cols = [new[c].alias(c) if c in new else F.col(c) for c in base.columns]
+    return j.select(*cols, *([] if "updated_at" in base.columns else [F.col("_updated_at").alias("updated_at")]))
 
 
 # --- deletes with referential actions ---------------------------------------------------
@@ -143,6 +148,7 @@ def delete_restrict(parent: DataFrame, children: list[tuple[DataFrame, str]], ke
     for child, fk in children:
         refs = child.select(F.col(fk).alias(key)).join(req, key, "left_semi").distinct()
         used = refs if used is None else used.unionByName(refs).distinct()
+    used = req.limit(0) if used is None else used
     flagged = req.join(used.withColumn("_used", F.lit(True)), key, "left")
     return flagged.select(key, F.when(F.col("_used"), "refused").otherwise("deleted").alias("outcome"))
 

@@ -502,12 +502,21 @@ SELECT batch_id, addon_id, CAST(sum(quantity) AS DOUBLE) AS quantity FROM ba GRO
 """
 
 Q["cart_addon_text"] = """
-SELECT batch_id, string_agg(addon_name || ' x' || CAST(q AS VARCHAR), ', ' ORDER BY addon_id) AS addon_text
+SELECT batch_id, string_agg(addon_name || ' x' || CASE WHEN q % 1 = 0 THEN CAST(CAST(q AS BIGINT) AS VARCHAR)
+                                             ELSE CAST(q AS VARCHAR) END, ', ' ORDER BY addon_id) AS addon_text
 FROM (SELECT x.batch_id, x.addon_id, a.addon_name, sum(x.quantity) AS q
       FROM ba x JOIN ad a ON x.addon_id = a.addon_id GROUP BY x.batch_id, x.addon_id, a.addon_name)
 GROUP BY batch_id
 """
 
+Q["cart_addon_summary"] = """
+SELECT batch_id, addon_id,
+       addon_name || ' (x' || CASE WHEN q % 1 = 0 THEN CAST(CAST(q AS BIGINT) AS VARCHAR)
+                                   ELSE CAST(q AS VARCHAR) END || ')' AS summary
+FROM (SELECT x.batch_id, x.addon_id, a.addon_name, sum(x.quantity) AS q
+      FROM ba x JOIN ad a ON x.addon_id = a.addon_id GROUP BY x.batch_id, x.addon_id, a.addon_name)
+"""
+
 # --- receipts ------------------------------------------------------------------
 
 Q["receipt_lines"] = """
@@ -600,7 +609,7 @@ SELECT transaction_id, display_id, customer_name,
        created_by, 'Active' AS void_status, CAST(NULL AS VARCHAR) AS void_reason,
        CAST(NULL AS TIMESTAMP) AS void_at, TIMESTAMP '{AS_OF} 00:00:00' AS created_at,
        TIMESTAMP '{AS_OF} 00:00:00' AS updated_at
-FROM tx WHERE {CREATED}
+FROM tx
 """
 
 _LO = f"{bounds(WINDOW, AS_OF)[0]:%Y-%m-%d %H:%M:%S}"
@@ -655,6 +664,13 @@ SELECT transaction_id,
 FROM txl
 """
 
+Q["login_audit"] = """
+SELECT event_id AS log_id, user_id, 'LOGIN' AS action_type, 'User' AS entity_type, user_id AS entity_id,
+       'Successful login' AS description, CAST(NULL AS VARCHAR) AS old_value,
+       CAST(NULL AS VARCHAR) AS new_value, ts AS timestamp
+FROM events WHERE event_type = 'signup'
+"""
+
 Q["last_login"] = """
 SELECT u.user_id, u.username, l.last_login
 FROM us u LEFT JOIN (SELECT user_id, max(ts) AS last_login FROM events WHERE event_type = 'signup'

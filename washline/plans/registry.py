@@ -257,6 +257,11 @@ def _cart_addon_qty(c: Ctx) -> DataFrame:
     return pricing.cart_addon_qty(c.batch_addons)
 
 
+@register("cart_addon_summary")
+def _cart_addon_summary(c: Ctx) -> DataFrame:
+    return pricing.cart_addon_summary(c.batch_addons, c.addons)
+
+
 @register("cart_addon_text")
 def _cart_addon_text(c: Ctx) -> DataFrame:
     return pricing.cart_addon_text(c.batch_addons, c.addons)
@@ -312,8 +317,8 @@ def _order_explode_addons(c: Ctx) -> DataFrame:
 
 @register("append_with_defaults")
 def _append_with_defaults(c: Ctx) -> DataFrame:
-    """New submissions of the report month: only the order form's columns given."""
-    sub = c.tx.where(timewin.in_window("created_at", WINDOW, AS_OF)).select(
+    """Every order as a submission: only the order form's columns given."""
+    sub = c.tx.select(
         "transaction_id", "display_id", "customer_name", "customer_email", "pickup_date",
         "total_amount", "created_by")
     out = sinks.append_with_defaults(sub, "transactions", sinks.TX_TYPES, AS_OF)
@@ -369,6 +374,12 @@ def _delete_set_null(c: Ctx) -> DataFrame:
                                  keys, "user_id")
 
 
+@register("login_audit")
+def _login_audit(c: Ctx) -> DataFrame:
+    logins = c.t.events.where(F.col("event_type") == "signup").select("user_id", "event_id", "ts")
+    return changes.login_audit_rows(logins)
+
+
 @register("last_login")
 def _last_login(c: Ctx) -> DataFrame:
     logins = c.t.events.where(F.col("event_type") == "signup").select("user_id", "ts")
@@ -466,7 +477,7 @@ def _stream_daily_sales(c: Ctx) -> DataFrame:
 
 @register("stream_order_state")
 def _stream_order_state(c: Ctx) -> DataFrame:
-    return streams.order_state(streams.order_fold_events(c.spark, c.t.root))
+    return streams.current_orders(c.spark, c.t.root)
 
 
 @register("stream_outbox")

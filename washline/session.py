@@ -71,23 +71,25 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def _configured(spark: SparkSession) -> str | None:
+    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``."""
-    d = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        raise RuntimeError("spark.checkpoint.dir is not set; the cluster must name a shared folder")
-    return d
+    return ensure_checkpoint_dir(spark)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the session's checkpoint folder; only when none is set (local tests) make one."""
-    d = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    """Use the session's checkpoint folder; only a local master without one (tests) gets its own.
+
+    On a cluster a machine-local folder would be another one on each executor: that is an error."""
+    d = _configured(spark)
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is not set; the cluster must name a shared folder")
         d = tempfile.mkdtemp(prefix="washline-ckpt-", dir="/tmp")
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # some deployments refuse runtime core settings
-            pass
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d

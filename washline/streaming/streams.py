@@ -14,13 +14,13 @@ import os
 import uuid
 from types import SimpleNamespace
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from washline.functions.formatting import instant_to_ntz, ntz_to_instant
+from washline.functions.running import checkpointed
+from washline.operators import changes
+from washline.operators.outbox import pickup_outbox
 from washline.session import checkpoint_dir
 from washline.sources import views
 from washline.sources.tables import Tables
@@ -28,8 +28,7 @@ from washline.sources.tables import Tables
 
 def table_stream(spark: SparkSession, root: str, name: str, max_bytes: int = 512 << 20) -> DataFrame:
     """A file stream over one table (a ``name.parquet`` folder or file under ``root``).
-    ``maxBytesPerTrigger`` bounds each micro-batch, and so the rows of any one key
-    that a stateful step holds at once, whatever the file sizes."""
+    ``maxBytesPerTrigger`` bounds a micro-batch; results do not depend on it."""
     tables = Tables(spark, root)
     schema = tables.read(name).schema
     path = tables.path(name)
@@ -96,120 +95,82 @@ def daily_sales(spark: SparkSession, root: str) -> DataFrame:
 
 
 # --- ST-3: order state --------------------------------------------------------------
+# A change request may arrive after later ones of its order, in any cut of the input into
+# micro-batches. So each micro-batch is added to a log, and every order it touches is folded again
+# from the log by the batch fold: the newest decision on a request is the one in force, and the
+# outcome does not depend on how the input was cut or in which order files came.
 
-FOLD_OUT = T.StructType([
-    T.StructField("event_id", T.LongType()), T.StructField("order_id", T.LongType()),
-    T.StructField("ts", T.TimestampType()), T.StructField("action", T.StringType()),
-    T.StructField("actor_id", T.LongType()), T.StructField("reason", T.StringType()),
-    T.StructField("accepted", T.BooleanType()), T.StructField("new_value", T.StringType()),
-    T.StructField("void_after", T.StringType()), T.StructField("pay_after", T.StringType()),
-    T.StructField("status_after", T.StringType()),
-])
-FOLD_STATE = T.StructType([T.StructField("void", T.StringType()), T.StructField("pay", T.StringType()),
-                           T.StructField("status", T.StringType())])
-
-
-def step(state: tuple[str, str, str], action: str, is_admin: bool, reason: str | None):
-    """One change request against (void, payment, status): (new state, accepted, new value).
-    The rules of ``operators.changes`` applied one request at a time."""
-    void, pay, status = state
-    blank = reason is None or reason.strip() == ""
-    if action in ("VOID", "REVERT_VOID"):
-        if not is_admin or (action == "VOID" and (blank or void == "Voided")) \
-                or (action == "REVERT_VOID" and void == "Active"):
-            return state, False, None
-        new = "Voided" if action == "VOID" else "Active"
-        return (new, pay, status), True, new
-    if status == "Claimed" or void == "Voided":
-        return state, False, None
-    if action == "PAY":
-        if not is_admin and pay == "Paid":
-            return state, False, None
-        new = ("Unpaid" if pay == "Paid" else "Paid") if is_admin else "Paid"
-        return (void, new, status), True, new
-    if pay != "Paid" or action == status:
-        return state, False, None
-    return (void, pay, action), True, action
-
-
-def _fold_group(key, pdfs, state):
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"])
-    if state.exists:
-        cur = tuple(state.get)
-    else:
-        first = pdf.iloc[0]
-        cur = (first["base_void"], first["base_pay"], first["base_status"])
-    out = []
-    for r in pdf.itertuples(index=False):
-        cur, ok, new = step(cur, r.action, bool(r.is_admin), r.reason)
-        out.append((r.event_id, r.order_id, r.ts, r.action, r.actor_id,
-                    None if r.reason is None else r.reason.strip(), ok, new, *cur))
-    state.update(cur)
-    yield pd.DataFrame(out, columns=FOLD_OUT.fieldNames())
-
-
-def order_fold_stream(spark: SparkSession, root: str) -> DataFrame:
-    """Every change request with its acceptance and the order state after it."""
-    events = table_stream(spark, root, "events")
-    changes = views.change_events(SimpleNamespace(events=events))
-    base = views.transactions(Tables(spark, root), with_customer=False).select(
-        F.col("transaction_id").alias("order_id"), F.col("status").alias("base_status"),
-        F.col("payment_status").alias("base_pay"), F.col("void_status").alias("base_void"))
-    joined = changes.join(base, "order_id").withColumn("ts", ntz_to_instant("ts"))
-    return joined.groupBy("order_id").applyInPandasWithState(
-        _fold_group, FOLD_OUT, FOLD_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def order_fold_events(spark: SparkSession, root: str) -> DataFrame:
-    res = run_available_now(order_fold_stream(spark, root), "order_fold")
-    return res.withColumn("ts", instant_to_ntz("ts"))
-
-
-def order_state(folded: DataFrame) -> DataFrame:
+def change_stream(spark: SparkSession, root: str, max_bytes: int = 512 << 20) -> DataFrame:
+    return views.change_events(SimpleNamespace(events=table_stream(spark, root, "events", max_bytes)))
+
+
+def fold_into(spark: SparkSession, root: str, base: str, max_bytes: int = 512 << 20) -> None:
+    """Drain the change stream into ``base``: log and decisions, one folder per micro-batch.
+
+    A replayed micro-batch replaces its own folders. A request that comes twice (the same event_id,
+    in several files) counts once."""
+    tx = views.transactions(Tables(spark, root), with_customer=False)
+
+    def fold(batch: DataFrame, n: int) -> None:
+        session = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{base}/log/batch={n}")
+        log = session.read.parquet(f"{base}/log")
+        touched = log.where(F.col("batch") == n).select(F.col("order_id").alias("_o")).distinct()
+        rows = log.join(touched, log["order_id"].eqNullSafe(touched["_o"]), "left_semi").drop(
+            "batch").dropDuplicates(["event_id"])
+        changes.annotate(rows, tx).write.mode("overwrite").parquet(f"{base}/folded/batch={n}")
+
+    (change_stream(spark, root, max_bytes).writeStream.trigger(availableNow=True)
+     .option("checkpointLocation", f"{base}/checkpoint").foreachBatch(fold).start().awaitTermination())
+
+
+def decisions(spark: SparkSession, base: str) -> DataFrame:
+    """Every request so far with its decision in force, as ``changes.annotate`` gives it."""
+    folded = spark.read.parquet(f"{base}/folded")
+    columns = [c for c in folded.columns if c not in ("batch", "event_id")]
+    return folded.groupBy("event_id").agg(F.max_by(F.struct(*columns), "batch").alias("_r")).select(
+        "event_id", "_r.*")
+
+
+def late_requests(spark: SparkSession, base: str) -> DataFrame:
+    """Requests that came in a later micro-batch than a later request of their order: the ones that
+    may have changed earlier decisions."""
+    log = spark.read.parquet(f"{base}/log").groupBy("event_id").agg(
+        F.min("batch").alias("batch"), F.first("order_id").alias("order_id"), F.first("ts").alias("ts"))
+    newest = log.groupBy("order_id", "batch").agg(F.max("ts").alias("_newest"))
+    # one row per order and micro-batch: the newest time of the earlier micro-batches
+    w = Window.partitionBy("order_id").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = newest.select("order_id", "batch", F.max("_newest").over(w).alias("_before"))
+    return log.join(earlier, ["order_id", "batch"]).where(F.col("ts") < F.col("_before")).select(
+        "event_id", "order_id", "ts", "batch")
+
+
+def order_state(decided: DataFrame, tx: DataFrame) -> DataFrame:
     """Current state of every order with at least one accepted change."""
-    acc = folded.where("accepted")
-    return acc.groupBy(F.col("order_id").alias("transaction_id")).agg(
-        F.max_by(F.struct("void_after", "pay_after", "status_after"), F.struct("ts", "event_id"))
-        .alias("_s"), F.count(F.lit(1)).alias("accepted_changes")
-    ).select("transaction_id", F.col("_s.void_after").alias("void_status"),
-             F.col("_s.pay_after").alias("payment_status"), F.col("_s.status_after").alias("status"),
-             "accepted_changes")
+    changed = decided.where("accepted").groupBy(F.col("order_id").alias("transaction_id")).agg(
+        F.count(F.lit(1)).alias("accepted_changes"))
+    return changes.apply_folds(tx, decided).join(changed, "transaction_id").select(
+        "transaction_id", "void_status", "payment_status", "status", "accepted_changes")
+
+
+def drained(spark: SparkSession, root: str, result, max_bytes: int = 512 << 20) -> DataFrame:
+    """``result`` of the decisions of a run over all available input; the run's folders are removed."""
+    base = _scratch(spark, "order_fold")
+    fold_into(spark, root, base, max_bytes)
+    out = checkpointed(result(decisions(spark, base)))
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out
+
+
+def current_orders(spark: SparkSession, root: str, max_bytes: int = 512 << 20) -> DataFrame:
+    tx = views.transactions(Tables(spark, root), with_customer=False)
+    return drained(spark, root, lambda d: order_state(d, tx), max_bytes)
 
 
 # --- ST-2: outbox -------------------------------------------------------------------
 
-def outbox_stream(spark: SparkSession, root: str, folded_path: str, schema: T.StructType) -> DataFrame:
-    """Chained stream over the fold's accepted moves to 'Ready to Claim': joined with
-    the orders (static) and the configuration, de-duplicated by request id within
-    the watermark so a replayed file does not send twice."""
-    from washline.operators.outbox import fill_template
-    from washline.operators.catalog import config_pivot
-    from washline.sources import schemas
-
-    moves = (spark.readStream.schema(schema).parquet(folded_path)
-             .where(F.col("accepted") & (F.col("action") == "Ready to Claim"))
-             .withWatermark("ts", "1 day")
-             .dropDuplicatesWithinWatermark(["event_id"]))
-    orders = views.transactions(Tables(spark, root)).where(
-        F.col("customer_email").isNotNull() & (F.col("customer_email") != "")).select(
-        F.col("transaction_id").alias("order_id"), "display_id", "customer_name", "customer_email")
-    cfg = config_pivot(views.system_config(spark), ["pickup_ready_subject", "pickup_ready_body"])
-    tags = [("{customer}", F.col("customer_name")), ("{order_id}", F.col("display_id"))]
-    subject = F.coalesce(F.col("pickup_ready_subject"), F.lit(schemas.SUBJECT_DEFAULT))
-    body = F.coalesce(F.col("pickup_ready_body"), F.lit(schemas.BODY_DEFAULT))
-    return (moves.join(orders, "order_id").crossJoin(F.broadcast(cfg))
-            .select("event_id", F.col("order_id").alias("transaction_id"),
-                    F.col("customer_email").alias("receiver"),
-                    fill_template(subject, tags).alias("subject"),
-                    fill_template(body, tags).alias("body"),
-                    F.col("ts").alias("queued_at")))
-
-
-def outbox(spark: SparkSession, root: str) -> DataFrame:
-    base = _scratch(spark, "order_fold_src")
-    q = (order_fold_stream(spark, root).writeStream.trigger(availableNow=True)
-         .option("checkpointLocation", f"{base}/checkpoint").format("parquet")
-         .option("path", f"{base}/out").start())
-    q.awaitTermination()
-    res = run_available_now(outbox_stream(spark, root, f"{base}/out", FOLD_OUT), "outbox")
-    return res.withColumn("queued_at", instant_to_ntz("queued_at"))
+def outbox(spark: SparkSession, root: str, max_bytes: int = 512 << 20) -> DataFrame:
+    """The batch outbox over the decisions in force."""
+    tx = views.transactions(Tables(spark, root))
+    return drained(spark, root, lambda d: pickup_outbox(d, tx, views.system_config(spark)), max_bytes)
