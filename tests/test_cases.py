@@ -179,7 +179,25 @@ def test_receipt_without_category(spark):
                                    "quantity decimal(8,2), subtotal decimal(10,2)")
     ad = spark.createDataFrame([], "addon_id long, addon_name string")
     hist = receipts.receipt_history(t, lines, svc, ba, ad)
-    assert hist.where("section = 1").count() == 1
+    assert [r.text for r in hist.where("section = 1").orderBy("sub").collect()] == [
+        "Wash (3.00kg)\n  Subtotal: ₱9.00", ""]
+
+
+def test_active_receipt_rows(spark):
+    t = tx(spark, [{}])
+    lines = spark.createDataFrame([("b1", 1, 5, 1, 2, Decimal("3"), Decimal("9")), ("b2", 1, 5, None, 1, Decimal("1"), Decimal("4"))],
+                                  "batch_id string, transaction_id long, service_id long, category_id long, "
+                                  "load_count long, weight decimal(8,2), subtotal decimal(10,2)")
+    svc = spark.createDataFrame([(5, "Wash")], "service_id long, service_name string")
+    cat = spark.createDataFrame([(1, "Whites")], "category_id long, name string")
+    ba = spark.createDataFrame([("x", "b1", 3, Decimal("2.00"), Decimal("1"))], "batch_addon_id string, batch_id string, "
+                               "addon_id long, quantity decimal(8,2), subtotal decimal(10,2)")
+    ad = spark.createDataFrame([(3, "Softener")], "addon_id long, addon_name string")
+    rows = receipts.receipt_active_text(t, lines, svc, cat, ba, ad).orderBy("section", "batch_id", "sub").collect()
+    assert [r.section for r in rows] == [0, 1, 1, 2]
+    assert "TYPE: Whites" in rows[0].text
+    assert [r.text for r in rows[1:3]] == ["Wash (3.00kg - 2 Load/s) : ₱9.00", "  + Softener x2"]
+    assert "STATUS: " in rows[3].text
 
 
 def test_delete_used_service_refused(spark):
@@ -196,17 +214,6 @@ def test_enum_sort_is_declaration_order(spark):
     assert got == ["In-queue", "Ready to Claim", "Claimed"]
 
 
-def test_sort_state_click_flips_and_remembers():
-    st = search.SortState()
-    assert (st.column, st.direction) == ("date", "DESC")
-    st.click("date")
-    assert st.direction == "ASC"
-    st.click("customer")
-    assert (st.column, st.direction) == ("customer", "ASC")
-    st.click("date")
-    assert st.direction == "ASC"
-
-
 def test_config_pivot_and_default(spark):
     from washline.sources.views import system_config
     cfg = system_config(spark)

@@ -102,4 +102,39 @@ def receipt_history(tx: DataFrame, lines: DataFrame, services: DataFrame,
                      F.col("batch_addon_id").alias("item_id"),
                      F.concat(F.lit("  + Add-on: "), F.col("addon_name"), F.lit(" ("), money("subtotal"),
                               F.lit(")")).alias("text")))
-    return header.unionByName(body).unionByName(extra)
+    # a blank line closes each order line, after its add-ons
+    blank = body.withColumn("sub", F.lit(2)).withColumn("text", F.lit(""))
+    return header.unionByName(body).unionByName(extra).unionByName(blank)
+
+
+def receipt_active_text(tx: DataFrame, lines: DataFrame, services: DataFrame, category: DataFrame,
+                        batch_addons: DataFrame, addons: DataFrame,
+                        title: str = DEFAULT_TITLE) -> DataFrame:
+    """Active-receipt text as rows (section 0 header, 1 lines and their add-ons, 2 footer).
+
+    Lines without a known service or category are not shown, as in the header's TYPE."""
+    nl = F.lit("\n")
+    ends = receipt_active(tx, lines, category).select("transaction_id", F.explode(F.array(
+        F.struct(F.lit(0).alias("section"), F.concat(
+            F.lit(title), nl, F.lit("ID: "), F.col("display_id"), nl, F.lit("CUSTOMER: "),
+            F.coalesce("customer_name", F.lit("None")), nl, F.lit("TYPE: "), F.col("type_name"), nl,
+            F.lit(RULE_THIN)).alias("text")),
+        F.struct(F.lit(2).alias("section"), F.concat(
+            F.lit(RULE_THIN), nl, F.col("total_text"), nl, F.col("status_text")).alias("text")))).alias("_e"))
+    none = F.lit(None).cast("string")
+    ends = ends.select("transaction_id", F.col("_e.section").alias("section"), none.alias("batch_id"),
+                       F.lit(0).alias("sub"), none.alias("item_id"), F.col("_e.text").alias("text"))
+    shown = lines.join(category.select("category_id"), "category_id").join(
+        services.select("service_id", "service_name"), "service_id")
+    body = shown.select(
+        "transaction_id", F.lit(1).alias("section"), "batch_id", F.lit(0).alias("sub"), none.alias("item_id"),
+        F.concat("service_name", F.lit(" ("), F.col("weight").cast("string"), F.lit("kg - "),
+                 F.col("load_count").cast("string"), F.lit(" Load/s) : "), money("subtotal")).alias("text"))
+    count = F.when(F.col("quantity") % 1 == 0, F.col("quantity").cast("long").cast("string")).otherwise(
+        F.col("quantity").cast("string"))
+    extra = (batch_addons.join(addons.select("addon_id", "addon_name"), "addon_id")
+             .join(shown.select("batch_id", "transaction_id"), "batch_id")
+             .select("transaction_id", F.lit(1).alias("section"), "batch_id", F.lit(1).alias("sub"),
+                     F.col("batch_addon_id").alias("item_id"),
+                     F.concat(F.lit("  + "), "addon_name", F.lit(" x"), count).alias("text")))
+    return ends.unionByName(body).unionByName(extra)

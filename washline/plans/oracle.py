@@ -254,6 +254,16 @@ SELECT count(*) AS total_trans,
 FROM tx WHERE {_SEARCH}
 """
 
+# The further specs, their windows written out as dates.
+for _name, _where in {
+    "month_ready": "created_at >= TIMESTAMP '1998-10-01 00:00:00' AND created_at < TIMESTAMP '1998-11-01 00:00:00' "
+                   "AND status = 'Ready to Claim' AND void_status = 'Active'",
+    "voided": "void_status = 'Voided'",
+    "all": "TRUE",
+}.items():
+    for _key in ("transaction_search", "search_stats"):
+        Q[f"{_key}_{_name}"] = Q[_key].replace(_SEARCH, _where)
+
 Q["active_orders"] = f"""
 SELECT transaction_id, display_id, customer_name, status, payment_status,
        {money('total_amount')} AS amount_text, CAST(total_amount AS DOUBLE) AS total_amount, created_at
@@ -572,12 +582,37 @@ SELECT b.transaction_id, 1, x.batch_id, 1, x.batch_addon_id,
 FROM ba x JOIN ad a ON x.addon_id = a.addon_id JOIN tb b ON x.batch_id = b.batch_id
   JOIN sv s ON b.service_id = s.service_id
 UNION ALL
+SELECT b.transaction_id, 1, b.batch_id, 2, NULL, '' FROM tb b JOIN sv s ON b.service_id = s.service_id
+UNION ALL
 SELECT transaction_id, 2, NULL, 0, NULL,
        {_THIN} || {_NL} || 'TOTAL AMOUNT:          ' || {money('total_amount')} || {_NL} || {_WIDE}
 FROM tx
 """
 
 
+Q["receipt_active_text"] = f"""
+, head AS ({Q["receipt_active"].strip()}),
+shown AS (SELECT b.*, s.service_name FROM tb b JOIN cat c ON b.category_id = c.category_id
+          JOIN sv s ON b.service_id = s.service_id)
+SELECT transaction_id, 0 AS section, CAST(NULL AS VARCHAR) AS batch_id, 0 AS sub, CAST(NULL AS VARCHAR) AS item_id,
+       'LAUNDRY RECEIPT' || {_NL} || 'ID: ' || display_id || {_NL} || 'CUSTOMER: ' || coalesce(customer_name, 'None')
+       || {_NL} || 'TYPE: ' || type_name || {_NL} || {_THIN} AS text
+FROM head
+UNION ALL
+SELECT transaction_id, 2, NULL, 0, NULL, {_THIN} || {_NL} || total_text || {_NL} || status_text FROM head
+UNION ALL
+SELECT transaction_id, 1, batch_id, 0, NULL,
+       service_name || ' (' || CAST(weight AS VARCHAR) || 'kg - ' || CAST(load_count AS VARCHAR) || ' Load/s) : '
+       || {money('subtotal')}
+FROM shown
+UNION ALL
+SELECT b.transaction_id, 1, x.batch_id, 1, x.batch_addon_id,
+       '  + ' || a.addon_name || ' x' || CASE WHEN x.quantity % 1 = 0 THEN CAST(CAST(x.quantity AS BIGINT) AS VARCHAR)
+                                              ELSE CAST(x.quantity AS VARCHAR) END
+FROM ba x JOIN ad a ON x.addon_id = a.addon_id JOIN shown b ON x.batch_id = b.batch_id
+"""
+
+
 # --- loads, updates, deletes ------------------------------------------------------
 
 Q["order_explode_header"] = """

@@ -24,6 +24,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # Fixed parameters of the list queries.
 SEARCH_SPEC = search.SearchSpec(search="customer#0000001", time="All Time", status="All",
                                 payment="Paid", void="Active Only")
+#: Further specs, one registered query pair each: a report window with a status, voided orders only,
+#: and no filter at all.
+MORE_SPECS = {
+    "month_ready": search.SearchSpec(time=WINDOW, status="Ready to Claim"),
+    "voided": search.SearchSpec(void="Voided Only"),
+    "all": search.SearchSpec(void="All"),
+}
 ACTIVE_TERM = "Customer#00000012"
 ACTIVE_SORT = ("amount", "DESC")
 
@@ -126,6 +133,13 @@ def _search_stats(c: Ctx) -> DataFrame:
     return search.search_stats(c.tx, SEARCH_SPEC, AS_OF)
 
 
+for _name, _spec in MORE_SPECS.items():
+    register(f"transaction_search_{_name}")(
+        lambda c, spec=_spec: search.transaction_search(c.tx, spec, AS_OF))
+    register(f"search_stats_{_name}")(
+        lambda c, spec=_spec: search.search_stats(c.tx, spec, AS_OF))
+
+
 @register("active_orders")
 def _active_orders(c: Ctx) -> DataFrame:
     return search.active_orders(c.tx, ACTIVE_TERM, *ACTIVE_SORT)
@@ -289,6 +303,11 @@ def _receipt_active(c: Ctx) -> DataFrame:
     return receipts.receipt_active(c.tx, c.batches, c.category)
 
 
+@register("receipt_active_text")
+def _receipt_active_text(c: Ctx) -> DataFrame:
+    return receipts.receipt_active_text(c.tx, c.batches, c.services, c.category, c.batch_addons, c.addons)
+
+
 @register("receipt_history")
 def _receipt_history(c: Ctx) -> DataFrame:
     return receipts.receipt_history(c.tx, c.batches_lean, c.services, c.batch_addons, c.addons)

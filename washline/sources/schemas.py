@@ -91,8 +91,6 @@ FOREIGN_KEYS: list[tuple[str, str, str, str, str]] = [
 # Seed rows of the key/value configuration table (credentials left out).
 CONFIG_SEED: list[tuple[str, str]] = [
     ("admin_email", "your-business@gmail.com"),
-    ("otp_subject", "Password Reset"),  # shop name left out
-    ("otp_body", "Your OTP for password reset is: {otp}. It expires in 10 minutes."),
     ("pickup_ready_subject", "Order Ready for Pickup"),
     ("pickup_ready_body", "Your load is marked as complete and ready for pickup!"),
     ("kg_per_load", "7"),
