@@ -47,7 +47,8 @@ STEP_BYTES = 1 << 19
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, key (digest of the whole text; null is an empty text) and text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.unhex(F.md5(text)).alias("key"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
+                       F.unhex(F.md5(text)).alias("key"), text.alias("text"))
 
 
 def _steps(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
