@@ -138,7 +138,7 @@ def select_features(rows: DataFrame, min_docs: int = 5, z: float = 5.0,
 
 
 def fit(names: np.ndarray, rows: list[np.ndarray], y: np.ndarray, fairness: float = 5.0,
-        l2: float = 1e-4, steps: int = 400, swaps: int = 4, seed: int = 1) -> ToxicityModel:
+        l2: float = 1e-4, steps: int = 1200, swaps: int = 4, seed: int = 1) -> ToxicityModel:
     """Fit weights of the features ``names`` (sorted) on distinct hashes per document and labels ``y``.
 
     Rows need hold no other features than ``names`` and the words of identity terms.
