@@ -73,6 +73,16 @@ def test_stage_and_empty_tables(spark, docs):
     assert d.without_matches(docs(rows[-6:]), bench.limit(0)).count() == 6
 
 
+def test_stage_keeps_clean_rows_that_share_an_id_with_contaminated_ones(spark, docs):
+    items, _, _ = _cases()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    bad, clean = "é " + items[0][1], "clean words that no item holds"
+    rows = [(None, bad), (None, bad), (None, clean), (None, None), (7, bad), (7, clean), (7, ""), (8, bad), (9, clean)]
+    kept = d.without_matches(docs(rows), bench).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted(
+        (str(i), str(t)) for i, t in rows if t != bad)
+
+
 def test_a_large_benchmark_is_searched_in_slices(spark, docs, monkeypatch):
     items, rows, _ = _cases()
     bench = spark.createDataFrame(items, "item_id long, text string")

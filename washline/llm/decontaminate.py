@@ -22,6 +22,7 @@ a larger one takes several passes over the documents.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 from collections import defaultdict
@@ -39,6 +40,8 @@ SLICE_BYTES = 1 << 20
 SAMPLES = 3  # places per table
 MAX_TABLES = 64
 OUT = "doc_id bigint, item_id bigint, distance int, begin bigint, end bigint, matched string"
+#: The search's own rows: also the digest of the document's whole text as it came.
+FOUND = f"{OUT}, key binary"
 
 
 def normal(text: str) -> str:
@@ -224,19 +227,21 @@ def _search(items: list[tuple[int, str]], rate: float, tables: int):
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                texts, size, begin = [], 0, at
+                whole, texts, size, begin = [], [], 0, at
                 while at < batch.num_rows and (not texts or size < 1 << 21):
-                    texts.append(normal(batch.column(1)[at].as_py() or ""))
+                    whole.append(batch.column(1)[at].as_py() or "")
+                    texts.append(normal(whole[-1]))
                     size += len(texts[-1])
                     at += 1
-                rows = [(batch.column(0)[begin + d].as_py(), search.ids[k], distance, b, e, texts[d][b:e])
+                rows = [(batch.column(0)[begin + d].as_py(), search.ids[k], distance, b, e, texts[d][b:e],
+                         hashlib.md5(whole[d].encode("utf-8", "surrogatepass")).digest())
                         for d, k, distance, b, e in search.search(texts)]
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (
-                            pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()),
+                            pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()),
                             strict=True)],
-                        names=["doc_id", "item_id", "distance", "begin", "end", "matched"])
+                        names=["doc_id", "item_id", "distance", "begin", "end", "matched", "key"])
     return run
 
 
@@ -248,6 +253,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, recall: fl
     each by itself; items shorter than 1 / ``rate`` characters must match exactly. Repeated rows
     give repeated results. Empty tables give an empty result.
     """
+    return _found(docs, benchmark, rate, recall).drop("key")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, recall: float = 0.995) -> DataFrame:
+    """``matches`` with ``key``, the digest of the document's whole text."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where(
         F.col("text").isNotNull()).distinct()
@@ -264,20 +274,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, recall: fl
         if not part:
             continue
         tables = tables_for([t for _, t in part], rate, recall)
-        found = texts.mapInArrow(_search(part, rate, tables), OUT)
+        found = texts.mapInArrow(_search(part, rate, tables), FOUND)
         result = found if result is None else result.unionByName(found)
-    return result if result is not None else spark.createDataFrame([], OUT)
+    return result if result is not None else spark.createDataFrame([], FOUND)
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark item go; all others stay as they are.
 
-    Null ids are told apart from others: a contaminated row with a null id goes with all such rows
-    of equal text.
+    Documents are told apart by id and digest of the text: a contaminated row takes rows of the same
+    id (or also without one) and equal text with it, and no others.
     """
-    found = matches(docs, benchmark).select(F.col("doc_id").alias(free_name(docs, "_hit"))).distinct()
-    hit = found.columns[0]
-    return docs.join(found, docs["doc_id"].cast("bigint").eqNullSafe(found[hit]), "left_anti")
+    own, id_name, key = free_name(docs, "_key"), free_name(docs, "_hit"), free_name(docs, "_sum")
+    found = _found(docs, benchmark).select(F.col("doc_id").alias(id_name), F.col("key").alias(key)).distinct()
+    rows = docs.withColumn(own, F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))))
+    return rows.join(found, rows["doc_id"].cast("bigint").eqNullSafe(found[id_name])
+                     & (rows[own] == found[key]), "left_anti").drop(own)
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:
