@@ -80,6 +80,38 @@ def test_keep_first_keeps_one_of_each_class(spark, docs):
     assert sum(r.doc_id is None for r in kept) == sum(c is None for c in set(brute_classes(rows)))
 
 
+def _copies(word, n=60):
+    """A text and two near copies of it."""
+    w = [f"{word}{i}" for i in range(n)]
+    return [" ".join(w), " ".join([*w, "end"]), " ".join([*w, "last", "end"])]
+
+
+def test_unlike_classes_that_share_their_smallest_id_each_keep_a_text(spark, docs):
+    a, b, c = _copies("ant"), _copies("bee"), _copies("cat")
+    rows = [(7, a[0]), (8, a[1]), (9, a[2]), (7, b[0]), (11, b[1]), (7, b[2]), (12, c[0]), (None, c[1])]
+    kept = sorted((r.doc_id, r.text) for r in neardup.keep_first(docs(rows)).collect())
+    assert kept[0] == (7, a[0]) and kept[1] in {(7, b[0]), (7, b[2])} and kept[2:] == [(12, c[0])]
+    got = neardup.classes(docs(rows)).collect()
+    assert len({r.root for r in got}) == 3 and {r.class_id for r in got} == {7, 12}
+
+
+def test_query_tells_classes_of_one_smallest_id_apart(spark, docs, tmp_path):
+    a, b = _copies("ant"), _copies("bee")
+    docs([(7, a[0]), (8, a[1]), (7, b[0]), (9, b[1]), (None, "by itself")]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = neardup.op6_query(spark, str(tmp_path)).collect()
+    key = {r.doc_id: r.class_key for r in got if r.doc_id != 7}
+    assert sorted((str(r.class_id), r.class_key) for r in got) == sorted(
+        [("7", key[8])] * 2 + [("7", key[9])] * 2 + [("None", key[None])]) and len(set(key.values())) == 3
+
+
+def test_near_copies_without_any_id_keep_one_row(spark, docs):
+    a, b = _copies("ant"), _copies("bee")
+    rows = [(None, t) for t in [*a, a[0], b[0], b[0], "alone among them all here", None, ""]]
+    kept = [r.text for r in neardup.keep_first(docs(rows)).collect()]
+    assert len(kept) == 4 and sum(t in a for t in kept) == 1 and kept.count(b[0]) == 1
+    assert kept.count("alone among them all here") == 1
+
+
 def test_empty_table(spark, docs):
     assert neardup.classes(docs([])).count() == 0
     assert neardup.keep_first(docs([])).columns == ["doc_id", "text", "lang", "source", "n_chars"]

@@ -216,14 +216,15 @@ def _cells(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, any others): doc_id, key and class_id.
-
-    class_id is the smallest doc_id of the class: documents with equal texts, or joined by a chain
-    of links, each a pair of texts with weighted Jaccard similarity of their five-word shingles at
-    or above ``threshold``. Texts of fewer than five words have one shingle, all their words. Null
-    texts count as empty; texts without words only match equal texts. Rows with a null doc_id
-    belong to their class like others, and class_id is null only if all its ids are. Repeated rows
-    share a class. An empty table gives an empty result.
+    """One row per row of ``docs`` (doc_id, text, any others): doc_id, key, class_id and root.
+
+    root names the class, the smallest digest of its texts; class_id is its smallest doc_id, which
+    several classes share if rows of unlike texts share that id. A class is the documents with equal
+    texts, or joined by a chain of links, each a pair of texts with weighted Jaccard similarity of
+    their five-word shingles at or above ``threshold``. Texts of fewer than five words have one
+    shingle, all their words. Null texts count as empty; texts without words only match equal texts.
+    Rows with a null doc_id belong to their class like others, and class_id is null only if all its
+    ids are. Repeated rows share a class. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     texts = keyed(docs)
@@ -278,22 +279,20 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     top = roots.select(F.col("node").alias("_n"), "root")
     rows = signed.select("doc_id", "key")
     rows = rows.join(top, rows["key"] == top["_n"], "left").select(
-        "doc_id", "key", F.coalesce("root", "key").alias("_root"))
-    least = rows.groupBy(F.col("_root").alias("_r")).agg(F.min("doc_id").alias("class_id"))
-    return rows.join(least, rows["_root"] == least["_r"]).select("doc_id", "key", "class_id")
+        "doc_id", "key", F.coalesce("root", "key").alias("root"))
+    least = rows.groupBy(F.col("root").alias("_r")).agg(F.min("doc_id").alias("class_id"))
+    return rows.join(least, rows["root"] == least["_r"]).select("doc_id", "key", "class_id", "root")
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pipeline stage: one document of each class stays, the one with the smallest doc_id.
 
-    Classes without any id keep one row. Only ids and digests are joined on.
+    Of several texts with that id, and in classes without any id, the one with the smallest digest
+    stays. Only ids and digests are joined on.
     """
-    kept = classes(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(
-        F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("class_id").alias("_c"))
-    # of several rows with the class's smallest id (repeated rows, or no id at all) the first text
-    first = kept.groupBy("_c", "_d").agg(F.min("_k").alias("_k")).where(F.col("_c").isNotNull())
-    lone = kept.where(F.col("_c").isNull()).select("_c", "_d", "_k").distinct()
-    keep, _ = scratch_table(first.unionByName(lone).select("_d", "_k"), "kept")
+    least = classes(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    keep, _ = scratch_table(least.groupBy("root", F.col("class_id").alias("_d")).agg(
+        F.min("key").alias("_k")).select("_d", "_k"), "kept")
     name = free_name(docs, "_key")
     rows = docs.withColumn(name, F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))))
     rows = rows.join(keep, rows["doc_id"].eqNullSafe(keep["_d"]) & (rows[name] == keep["_k"]),
@@ -302,4 +301,5 @@ def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def op6_query(spark, sf_dir: str) -> DataFrame:
-    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id")
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
+        "doc_id", "class_id", F.lower(F.hex("root")).alias("class_key"))
