@@ -83,6 +83,34 @@ def test_counterfactual_penalty_takes_weight_off_neutral_mentions():
     assert fair.score("what an idiot wrote this paper") > 0.5
 
 
+def test_weighted_rows_fit_like_repeated_rows():
+    rng = random.Random(5)
+    rows = [np.unique(toxicity.word_features(" ".join(rng.choice("ab cd ef gh idiot moron".split()) for _ in range(3))))
+            for _ in range(80)]
+    y = np.array([rng.random() < 0.5 for _ in rows])
+    names = np.unique(np.concatenate(rows))
+    times = np.where(y, 1, 4)
+    weighted = toxicity.fit(names, rows, y, weight=times)
+    repeated = toxicity.fit(names, [r for r, k in zip(rows, times) for _ in range(k)], np.repeat(y, times))
+    assert np.allclose(weighted.weights, repeated.weights) and weighted.intercept == pytest.approx(repeated.intercept)
+
+
+def test_toxicity_scores_do_not_depend_on_the_bound_of_the_sample(spark, docs):
+    rng = random.Random(7)
+    rows, marks = [], []
+    for i in range(1600):
+        bad = i % 8 == 0
+        word = rng.choice(["idiot", "hello", "maybe"]) if bad else rng.choice(["hello", "hello", "maybe"])
+        rows.append((i, f"some {word} text"))
+        marks.append((i, 1, int(bad)))
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    whole, bounded = (toxicity.train(docs(rows), labels, max_per_label=n) for n in (4000, 140))
+    for text in ("nothing known", "some hello text", "some maybe text"):
+        assert bounded.score(text) == pytest.approx(whole.score(text), abs=0.06)
+    assert whole.score("some maybe text") < 0.3 and bounded.score("some maybe text") < 0.3
+    assert whole.score("some idiot text") > 0.5 and bounded.score("some idiot text") > 0.5
+
+
 def test_toxicity_of_held_out_documents(spark):
     labels = spark.read.parquet(f"{MEDIUM}/labels.parquet")
     got = toxicity.op1_query(spark, MEDIUM).join(labels, "doc_id", "left").collect()

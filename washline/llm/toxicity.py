@@ -6,7 +6,8 @@ regression. Identity terms (groups of people) in labelled sentences are swapped
 the same kind, and the squared change of the score is penalised: a mention of a group then carries
 no weight of its own, so neutral mentions are not false positives.
 
-The sample is bounded (``max_per_label`` documents of each label, chosen by a hash of the id).
+The sample is bounded (``max_per_label`` documents of each label, chosen by a hash of the id). Its
+documents weigh as many as they stand for, so that the score does not depend on the bound.
 Features are counted and chosen on the executors; the driver gets the chosen ones of each sampled
 document only. Scoring is an Arrow UDF over every whole text.
 """
@@ -138,16 +139,20 @@ def select_features(rows: DataFrame, min_docs: int = 5, z: float = 5.0,
 
 
 def fit(names: np.ndarray, rows: list[np.ndarray], y: np.ndarray, fairness: float = 5.0,
-        l2: float = 1e-4, steps: int = 1200, swaps: int = 4, seed: int = 1) -> ToxicityModel:
+        l2: float = 1e-4, steps: int = 1200, swaps: int = 4, seed: int = 1,
+        weight: np.ndarray | None = None) -> ToxicityModel:
     """Fit weights of the features ``names`` (sorted) on distinct hashes per document and labels ``y``.
 
     Rows need hold no other features than ``names`` and the words of identity terms.
 
     ``fairness`` weighs the counterfactual penalty: mean over documents with identity terms and
     over up to ``swaps`` replacements of (score logit of the document - of its swapped copy)^2.
+    ``weight``: how many documents a row stands for, in both means and the intercept (default 1).
     """
     y = np.asarray(y, bool)
-    share = float(y.mean()) if len(y) else 0.0
+    weight = np.ones(len(y)) if weight is None else np.asarray(weight, float)
+    weight = weight / max(weight.sum(), 1e-12)
+    share = float(weight[y].sum())
     share = min(max(share, 1e-3), 1 - 1e-3)
     model = ToxicityModel(names, np.zeros(len(names)), float(np.log(share / (1 - share))))
     if not len(names):
@@ -165,8 +170,8 @@ def fit(names: np.ndarray, rows: list[np.ndarray], y: np.ndarray, fairness: floa
     terms, term_names, others = _identity()
     term_features = [np.unique(word_features(t)) for t in terms]
     rng = np.random.default_rng(seed)
-    diff_row, diff_at, diff_sign, n = [], [], [], 0
-    for r in rows:
+    diff_row, diff_at, diff_sign, diff_weight, n = [], [], [], [], 0
+    for i, r in enumerate(rows):
         for t in np.flatnonzero(np.isin(term_names, r)):
             for o in rng.choice(others[t], min(swaps, len(others[t])), replace=False):
                 for sign, f in ((1.0, term_features[t]), (-1.0, term_features[o])):
@@ -176,25 +181,27 @@ def fit(names: np.ndarray, rows: list[np.ndarray], y: np.ndarray, fairness: floa
                     diff_row += [n] * len(at)
                     diff_at += at.tolist()
                     diff_sign += [sign] * len(at)
+                diff_weight.append(weight[i])
                 n += 1
     diff_row, diff_at = np.array(diff_row, int), np.array(diff_at, int)
-    diff_sign = np.array(diff_sign, float)
+    diff_sign, diff_weight = np.array(diff_sign, float), np.array(diff_weight, float)
+    diff_weight /= max(diff_weight.sum(), 1e-12)
 
     # features step by their own curvature, so that rare ones do not lag behind
-    count = np.bincount(index, minlength=len(names)) / len(rows)
+    count = np.bincount(index, weight[doc], len(names))
     step = 1.0 / (0.25 * count * 20 + l2 + 1e-3)
     if n:
-        step = np.minimum(step, 1.0 / (2 * fairness * np.bincount(diff_at, minlength=len(names)) * 6 / n
-                                       + 1e-9))
+        step = np.minimum(step, 1.0 / (2 * fairness * np.bincount(
+            diff_at, diff_weight[diff_row], len(names)) * 6 + 1e-9))
     w, b = model.weights, model.intercept
     target = y.astype(float)
     for _ in range(steps):
         score = 1 / (1 + np.exp(-np.clip(b + np.bincount(doc, w[index], len(rows)), -30, 30)))
-        g = (score - target) / len(rows)
+        g = (score - target) * weight
         grad = np.bincount(index, g[doc], len(names)) + l2 * w
         if n:
-            change = np.bincount(diff_row, diff_sign * w[diff_at], n)
-            grad += 2 * fairness / n * np.bincount(diff_at, diff_sign * change[diff_row], len(names))
+            change = np.bincount(diff_row, diff_sign * w[diff_at], n) * diff_weight
+            grad += 2 * fairness * np.bincount(diff_at, diff_sign * change[diff_row], len(names))
         w = w - step * grad
         b -= 0.5 * g.sum()
     model.weights, model.intercept = w, float(b)
@@ -205,13 +212,14 @@ def train(docs: DataFrame, labels: DataFrame, max_per_label: int = 4_000,
           fairness: float = 5.0) -> ToxicityModel:
     """Fit on labelled documents outside the held-out quarter, a bounded sample of each label.
 
-    Labels of 0 are drawn and then weigh by their number like the rest of the sample. Null labels
-    and labels of unknown documents teach nothing; without labels of both kinds the model gives one
+    A drawn document weighs its label's number of documents over the number drawn of it, so both
+    labels keep the share they have among all training documents. Null labels and labels of unknown documents teach nothing; without labels of both kinds the model gives one
     score for every text.
     """
     marked = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(
         "doc_id").agg((F.max("toxic") == 1).alias("_y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    total = {r["_y"]: r["n"] for r in marked.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     sample = marked.where("_y").orderBy(*order).limit(max_per_label).unionByName(
         marked.where(~F.col("_y")).orderBy(*order).limit(max_per_label))
 
@@ -231,8 +239,10 @@ def train(docs: DataFrame, labels: DataFrame, max_per_label: int = 4_000,
 
     got = rows.select("doc_id", "_y", known("f").alias("f")).toPandas().sort_values("doc_id")
     drop_scratch(docs.sparkSession, path)
-    return fit(names, [np.asarray(f, np.int64).view(U) for f in got["f"]], got["_y"].to_numpy(bool),
-               fairness=fairness)
+    y = got["_y"].to_numpy(bool)
+    stands_for = {k: n / min(n, max_per_label) for k, n in total.items()}
+    return fit(names, [np.asarray(f, np.int64).view(U) for f in got["f"]], y, fairness=fairness,
+               weight=np.array([stands_for[k] for k in y.tolist()], float))
 
 
 def score_column(model: ToxicityModel, text: Column) -> Column:
