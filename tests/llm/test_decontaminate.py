@@ -83,6 +83,29 @@ def test_stage_keeps_clean_rows_that_share_an_id_with_contaminated_ones(spark, d
         (str(i), str(t)) for i, t in rows if t != bad)
 
 
+def test_long_items_at_the_edit_limit_are_all_found(spark, docs):
+    rng = random.Random(3)
+    short = [(i, _words(rng, rng.randint(12, 50))) for i in range(60)]
+    long = [(100 + i, _words(rng, n)) for i, n in enumerate((150, 300, 600, 900) * 3)]
+    rows, near = [], set()
+    for i in range(36):
+        item_id, item = long[i % len(long)]
+        e = d.edited(item, int(0.1 * len(item)), rng)
+        rows.append((i, f"{_words(rng, 30)} {e} {_words(rng, 30)}"))
+        near.add((i, item_id))
+    bench = spark.createDataFrame(short + long, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in d.matches(docs(rows), bench).collect()} == near
+
+
+def test_tables_are_set_for_each_length_and_more_than_the_most_means_all_windows():
+    rng = random.Random(4)
+    short, long = [_words(rng, 12) for _ in range(30)], [_words(rng, 900) for _ in range(3)]
+    got = d.tables_for(short + long, 0.1, 0.995)
+    assert len(set(got[-3:])) == 1 and got[-1] == 0 and d.tables_for([], 0.1, 0.995) == []
+    exact = d.tables_for(["seven", "eight", *long], 0.1, 0.995)
+    assert exact[:2] == [1, 1] and exact[2:] == [0, 0, 0]
+
+
 def test_a_large_benchmark_is_searched_in_slices(spark, docs, monkeypatch):
     items, rows, _ = _cases()
     bench = spark.createDataFrame(items, "item_id long, text string")

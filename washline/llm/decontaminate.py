@@ -11,8 +11,9 @@ distance floor(``rate`` * n) of it, both with case folded and blank runs made on
   their embeddings differ in few places. Window and item are embedded by the same walk.
 - Bit-sampling LSH, repeated. A table samples a few places of the embedding; a window and an item of
   its size are a candidate if they agree at all of a table's places. The number of tables is set
-  from walks over randomly edited items, so that a pair at the largest distance is found with
-  probability at least ``recall``.
+  for each class of item lengths, from walks over all its items randomly edited, so that a pair at
+  the largest distance is found with probability at least ``recall``. Where ``MAX_TABLES`` do not
+  reach that, and for items above ``LONG`` characters, every window is a candidate.
 - Exact verification. Candidates are decided by the bit-parallel edit distance over the window
   and its surroundings.
 
@@ -39,6 +40,7 @@ from washline.llm.common import free_name
 SLICE_BYTES = 1 << 20
 SAMPLES = 3  # places per table
 MAX_TABLES = 64
+LONG = 4096  # characters of an item above which its windows are verified without embedding
 OUT = "doc_id bigint, item_id bigint, distance int, begin bigint, end bigint, matched string"
 #: The search's own rows: also the digest of the document's whole text as it came.
 FOUND = f"{OUT}, key binary"
@@ -85,31 +87,30 @@ class Walks:
 
     def __init__(self, tables: int, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.tables = tables
         self.steps = rng.integers(0, 2, (tables, 1024, self.SLOTS), dtype=np.int8)
         self.places = np.sort(rng.random((tables, SAMPLES)), axis=1)
 
-    def keys(self, strings: list[str], n: np.ndarray) -> np.ndarray:
+    def keys(self, strings: list[str], n: np.ndarray, tables: int) -> np.ndarray:
         """(tables, strings, SAMPLES): each string's embedding at the places for items of size ``n``."""
         wide = int(max(n.max(), max(map(len, strings)))) if len(n) else 0
         text = np.zeros((len(strings), 3 * wide + 1), np.int64)  # beyond its end a string is blank
         for i, s in enumerate(strings):
             cp = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
             text[i, :len(cp)] = cp % 256 + 1
-        out = np.zeros((self.tables, len(strings), SAMPLES), np.int64)
-        place = (self.places[:, None, :] * (2 * n)[None, :, None]).astype(np.int64)
-        i = np.zeros((self.tables, len(strings)), np.int64)
-        row, table = np.arange(len(strings))[None, :], np.arange(self.tables)[:, None]
+        out = np.zeros((tables, len(strings), SAMPLES), np.int64)
+        place = (self.places[:tables, None, :] * (2 * n)[None, :, None]).astype(np.int64)
+        i = np.zeros((tables, len(strings)), np.int64)
+        row, table = np.arange(len(strings))[None, :], np.arange(tables)[:, None]
         for j in range(int(place.max()) + 1 if len(strings) else 0):
             c = text[row, i]
             out = np.where(place == j, c[:, :, None], out)
             i += self.steps[table, j % 1024, c]
         return out
 
-    def agree(self, a: list[str], b: list[str]) -> np.ndarray:
+    def agree(self, a: list[str], b: list[str], tables: int) -> np.ndarray:
         """(tables, pairs): does the table send window a and item b of the pair to one bucket?"""
         n = np.array([len(s) for s in b])
-        return (self.keys(a, n) == self.keys(b, n)).all(2)
+        return (self.keys(a, n, tables) == self.keys(b, n, tables)).all(2)
 
 
 def edited(text: str, edits: int, rng: random.Random) -> str:
@@ -125,32 +126,42 @@ def edited(text: str, edits: int, rng: random.Random) -> str:
     return "".join(out)
 
 
-def tables_for(items: list[str], rate: float, recall: float, seed: int = 11) -> int:
-    """Tables needed so that an item with the largest number of edits is found with ``recall``.
+def tables_for(items: list[str], rate: float, recall: float, seed: int = 11) -> list[int]:
+    """For each item the tables needed so that, with the largest number of edits, it is found with
+    ``recall``; 0 if ``MAX_TABLES`` do not reach that: its windows are all verified.
 
-    The worst of several edit counts decides, measured on up to 200 items drawn by chance.
+    Measured over all items of its length class (lengths up to the next power of two).
     """
     rng = random.Random(seed)
-    some = rng.sample(items, min(200, len(items)))
-    if not some:
-        return 1
-    other = [(edited(s, int(rate * len(s)), rng) + rng.choice(some))[:len(s)] for s in some]
-    hit = Walks(MAX_TABLES, seed).agree(other, some)
-    for tables in range(1, MAX_TABLES):
-        # the mean over pairs of missing all of ``tables`` tables
-        if (1 - hit.mean(0)).clip(0, 1).__pow__(tables).mean() <= 1 - recall:
-            return tables
-    return MAX_TABLES
+    walks = Walks(MAX_TABLES, seed)
+    sizes = defaultdict(list)
+    for k, s in enumerate(items):
+        if len(s) <= LONG:
+            sizes[len(s).bit_length()].append(k)
+    out = [0] * len(items)
+    for own in sizes.values():
+        miss = []
+        for at in range(0, len(own), 200):
+            some = [items[k] for k in own[at:at + 200]]
+            other = [(edited(s, int(rate * len(s)), rng) + rng.choice(some))[:len(s)] for s in some]
+            miss.append((1 - walks.agree(other, some, MAX_TABLES).mean(0)).clip(0, 1))
+        miss = np.concatenate(miss)
+        # the mean over items of missing all of so many tables
+        enough = next((t for t in range(1, MAX_TABLES + 1) if (miss ** t).mean() <= 1 - recall), 0)
+        for k in own:
+            out[k] = enough
+    return out
 
 
 class Search:
-    """The prepared items of one slice of the benchmark."""
+    """The prepared items of one slice of the benchmark, with the number of tables of each."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, tables: int):
+    def __init__(self, items: list[tuple[int, str]], rate: float, tables: list[int]):
         self.ids = [i for i, _ in items]
         self.texts = [t for _, t in items]
         self.limit = np.array([int(rate * len(t)) for t in self.texts], np.int64)
-        self.walks = Walks(tables)
+        self.tables = np.array(tables, np.int64)
+        self.walks = Walks(max(tables, default=0))
         pieces = defaultdict(list)
         for k, t in enumerate(self.texts):
             p = min(len(t), int(self.limit[k]) + 2)
@@ -197,9 +208,11 @@ class Search:
             window = [texts[d][max(0, s):max(0, s) + len(self.texts[k])] for d, k, s in part]
             item = [self.texts[k] for _, k, _ in part]
             hit = np.array([a == b for a, b in zip(window, item, strict=True)])
-            rest = np.flatnonzero(~hit)
-            if len(rest):
-                hit[rest] = self.walks.agree([window[i] for i in rest], [item[i] for i in rest]).any(0)
+            tables = self.tables[[k for _, k, _ in part]]
+            for n in np.unique(tables[~hit]).tolist():
+                rest = np.flatnonzero(~hit & (tables == n))
+                hit[rest] = n == 0 or self.walks.agree(
+                    [window[i] for i in rest], [item[i] for i in rest], n).any(0)
             for i in np.flatnonzero(hit).tolist():
                 d, k, s = part[i]
                 n, limit = len(item[i]), int(self.limit[k])
@@ -221,7 +234,7 @@ class Search:
             yield d, k, distance, begin, end
 
 
-def _search(items: list[tuple[int, str]], rate: float, tables: int):
+def _search(items: list[tuple[int, str]], rate: float, tables: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Search(items, rate, tables)
         for batch in batches:
