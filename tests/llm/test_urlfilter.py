@@ -72,6 +72,21 @@ def test_mined_rules_and_matches_equal_brute_force(spark):
         assert r.verdict == want and r.rule == (listed and listed.rule)
 
 
+def test_rules_of_four_tokens_are_mined(spark):
+    parts = ["path:a", "path:b", "path:c", "query:d"]
+    rows = [(parts, "block")] * 4 + [([t for t in parts if t != o], "allow") for o in parts for _ in range(4)]
+    df = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    mined = u.mine(df, 0.1, 0.9)
+    assert {(tuple(r["tokens"]), r["verdict"]) for r in mined} == _brute_rules(rows, 0.1, 0.9, most=4)
+    assert (tuple(parts), "block") in {(tuple(r["tokens"]), r["verdict"]) for r in mined}
+
+
+def test_every_suffix_of_a_host_is_a_token(spark):
+    df = _pages(spark, ["http://a.b.c.d.e.org/"])
+    got = df.select(u.tokens(F.col("url"), u.host(F.col("url")), u.path(F.col("url")))).first()[0]
+    assert got == sorted("host:" + h for h in ("org", "e.org", "d.e.org", "c.d.e.org", "b.c.d.e.org", "a.b.c.d.e.org"))
+
+
 def test_odd_pages(spark):
     pages = _pages(spark, [None, "", "http://", "http://a.org/" + "x/" * 5000, "http://a.org/?&=&a"] * 2)
     got = u.judge(pages.withColumn("verdict", F.lit("clash")).withColumn("tokens", F.lit(1)))

@@ -60,12 +60,12 @@ def longest_rule(host_col: Column, path_col: Column, rules=RULES) -> Column:
 
 
 def tokens(url: Column, host_col: Column, path_col: Column) -> Column:
-    """Sorted distinct tokens of a url: domain parts, path segments, extension, query keys.
+    """Sorted distinct tokens of a url: every suffix of the host, path segments, extension, query keys.
 
     Segments that are numbers are one token, so that page numbers do not make rare tokens.
     """
     labels = F.reverse(F.split(host_col, r"\."))
-    domain = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(4))), lambda n: F.concat(
+    domain = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(
         F.lit("host:"), F.array_join(F.reverse(F.slice(labels, F.lit(1), n)), ".")))
     segments = F.filter(F.split(path_col, "/"), lambda s: s != "")
     named = F.transform(segments, lambda s: F.concat(
@@ -80,8 +80,8 @@ def tokens(url: Column, host_col: Column, path_col: Column) -> Column:
         lambda t: t.isNotNull() & (t != "host:"))))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-         max_tokens: int = 3) -> list[dict]:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT,
+         min_confidence: float = MIN_CONFIDENCE) -> list[dict]:
     """Association rules from ``labelled`` (tokens array, verdict): dicts of tokens, verdict, support,
     confidence, best first.
 
@@ -95,8 +95,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     items, items_path = scratch_table(items, "baskets")
     total = items.count()
     found, found_path = scratch_table(
-        FPGrowth(itemsCol="items", minSupport=min_support).fit(items).freqItemsets
-        .where(F.size("items") <= max_tokens + 1), "itemsets")
+        FPGrowth(itemsCol="items", minSupport=min_support).fit(items).freqItemsets, "itemsets")
     mark = F.filter("items", lambda t: F.startswith(t, F.lit(_MARK)))
     split = found.select(
         F.array_sort(F.filter("items", lambda t: ~F.startswith(t, F.lit(_MARK)))).alias("tokens"),
