@@ -1,7 +1,8 @@
 """The registered queries of the training-data operators, and their SQL where SQL can say it."""
 
 import corpus_pipeline
-from washline.llm import decontaminate, langid, mixing, neardup, quality, rules, substrings, toxicity, urlfilter, warc
+from washline.llm import (decontaminate, langid, linededup, mixing, neardup, periodic, quality, rules, simplex,
+                          substrings, toxicity, urlfilter, warc)
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -15,9 +16,13 @@ QUERIES = {
     "op8_rules": rules.op8_query,
     "op9_langid": langid.op9_query,
     "op10_quality": quality.op10_query,
+    "op11_linededup": linededup.op11_query,
+    "op12_periodic": periodic.op12_query,
+    "op13_simplex": simplex.op13_query,
 }
 
 ORACLE_SQL = {
     "op2_mixing": mixing.ORACLE_SQL,
     "op5_warc": warc.ORACLE_SQL,
+    "op11_linededup": linededup.ORACLE_SQL,
 }
