@@ -9,8 +9,9 @@ position. The rows are range-partitioned by (hash, cell), a cell being a share o
 sorted by document (largest first) and position inside, so that one pass marks the first occurrence
 in each document and a partition needs no other order. The bounds of the ranges come from the data: a
 line that a third of all rows share is spread over as many partitions as its rows fill. Marks are
-counted per hash (map-side sums first); the hashes over the limit meet the lines again in a join
-that AQE splits where one hash is hot.
+counted per hash (map-side sums first) and the hashes over the limit written; they meet the lines
+again in a sort-merge join that AQE splits where one hash is hot. Joins are never broadcasts here,
+so the plan is the same at every size.
 
 The result per document is a compressed bitmap of the lines to keep: 64-bit words by number, of which
 only those with a dropped line are stored; every word that is missing is all ones.
@@ -79,7 +80,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
     common = (marked.where("first").groupBy("key")
               .agg(F.count(F.lit(1)).alias("_n"), F.max("doc_id").alias("_top"))
               .where(F.col("_n") >= min_docs).select("key", "_top"))
-    gone = marked.join(common, "key").where(~F.col("doc_id").eqNullSafe(F.col("_top")))
+    # read back from a table, the join has a shuffle of its own on both sides, which AQE can split
+    common, third_path = scratch_table(common, "line-keys")
+    gone = marked.join(common.hint("merge"), "key").where(~F.col("doc_id").eqNullSafe(F.col("_top")))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("pos") % 64).cast("int"))
     words = gone.groupBy(*DOC, F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(
         F.bit_or(bit).alias("_gone"))
@@ -87,7 +90,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
         F.sum(F.bit_count("_gone")).cast("bigint").alias("n_dropped"),
         F.array_sort(F.collect_list(F.struct("word", F.bitwise_not("_gone").alias("bits")))).alias("keep"))
     out, _ = scratch_table(bitmaps, "line-bitmaps")
-    drop_scratch(spark, second_path)
+    drop_scratch(spark, second_path, third_path)
     return out
 
 
@@ -110,7 +113,7 @@ def _with_bitmaps(docs: DataFrame, **limits) -> DataFrame:
     bitmaps = keep_bitmaps(docs, **limits).withColumnsRenamed({c: f"_b{c}" for c in DOC})
     rows = _documents(docs)
     same = [rows[c].eqNullSafe(bitmaps[f"_b{c}"]) if c == "doc_id" else rows[c] == bitmaps[f"_b{c}"] for c in DOC]
-    return rows.join(bitmaps, same, "left")
+    return rows.join(bitmaps.hint("merge"), same, "left")
 
 
 def without_repeats(docs: DataFrame, **limits) -> DataFrame:
@@ -123,7 +126,7 @@ def without_repeats(docs: DataFrame, **limits) -> DataFrame:
             & (F.when(id_.isNull(), F.xxhash64(F.lit("\u0000"), text)).otherwise(F.lit(0)) == F.col(names["_u"])))
     keep = F.col(names["keep"])
     new = F.when(keep.isNull(), F.col("text")).otherwise(_kept_text(F.col("text"), keep))
-    return docs.join(bitmaps, same, "left").withColumn("text", new).drop(*names.values())
+    return docs.join(bitmaps.hint("merge"), same, "left").withColumn("text", new).drop(*names.values())
 
 
 def op11_query(spark, sf_dir: str) -> DataFrame:

@@ -59,7 +59,7 @@ def first_vectors(vectors: DataFrame, k: int, salt: str = "2:") -> np.ndarray:
     """The k vectors with the smallest hash of their id, in that order (k rows come to the driver)."""
     digest = F.sha2(F.concat(F.lit(salt), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
     rows = vectors.select("v", digest.alias("_h")).orderBy("_h", "v").limit(k).collect()
-    return np.array([r["v"] for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r["v"] for r in rows], np.int64)
 
 
 @dataclass
