@@ -90,26 +90,31 @@ def attach(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFram
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
             lasts: Mapping[str, Column] | None = None,
             sums: Mapping[str, Column] | None = None,
+            maxs: Mapping[str, Column] | None = None,
             partitions: int | None = None) -> DataFrame:
     """Add, for every row, over the rows of the same key strictly before it in ``order``:
 
     * ``lasts[out]``: the last non-NULL value of the expression (NULL if none);
-    * ``sums[out]``: the sum of the expression (0 if none).
+    * ``sums[out]``: the sum of the expression (0 if none);
+    * ``maxs[out]``: its largest value (NULL if none).
     """
-    keys, lasts, sums = list(keys), dict(lasts or {}), dict(sums or {})
-    rows = cut(df.select("*", *[c.alias(f"__v_{o}") for o, c in {**lasts, **sums}.items()]),
+    keys, lasts, sums, maxs = list(keys), dict(lasts or {}), dict(sums or {}), dict(maxs or {})
+    rows = cut(df.select("*", *[c.alias(f"__v_{o}") for o, c in {**lasts, **sums, **maxs}.items()]),
                keys, order, partitions)
     at = F.struct(*order)
     summary = edge_rows(rows, crossing(rows, keys), keys).groupBy(PART, *keys).agg(
         *[F.max_by(f"__v_{o}", F.when(F.col(f"__v_{o}").isNotNull(), at)).alias(f"__b_{o}") for o in lasts],
-        *[F.sum(f"__v_{o}").alias(f"__b_{o}") for o in sums])
+        *[F.sum(f"__v_{o}").alias(f"__b_{o}") for o in sums],
+        *[F.max(f"__v_{o}").alias(f"__b_{o}") for o in maxs])
     come = carry(summary, keys,
                  **{f"__c_{o}": (lambda w, o=o: F.last(f"__b_{o}", ignorenulls=True).over(w)) for o in lasts},
-                 **{f"__c_{o}": (lambda w, o=o: F.sum(f"__b_{o}").over(w)) for o in sums})
+                 **{f"__c_{o}": (lambda w, o=o: F.sum(f"__b_{o}").over(w)) for o in sums},
+                 **{f"__c_{o}": (lambda w, o=o: F.max(f"__b_{o}").over(w)) for o in maxs})
     w = before(keys, order)
     out = attach(rows, come, keys)
     done = {o: F.coalesce(F.last(f"__v_{o}", ignorenulls=True).over(w), F.col(f"__c_{o}")) for o in lasts}
     done |= {o: F.coalesce(F.sum(f"__v_{o}").over(w), F.lit(0)) + F.coalesce(F.col(f"__c_{o}"), F.lit(0))
              for o in sums}
+    done |= {o: F.greatest(F.max(f"__v_{o}").over(w), F.col(f"__c_{o}")) for o in maxs}
     return out.select("*", *[c.alias(o) for o, c in done.items()]).drop(
         PART, *[f"__{x}_{o}" for o in done for x in "vc"])

@@ -9,7 +9,9 @@ Requests (one row each, ordered by (ts, event_id) per order):
 * ``PAY``: an Admin toggles Paid/Unpaid; Staff may only move Unpaid -> Paid.
 * ``Ready to Claim`` / ``Claimed``: only while Paid; a move to the current status
   is a no-op; Claimed is terminal.
-* No payment or status change on an order that is voided at that moment, or whose
+* ``EDIT_LINE``, ``ADD_LINE`` and ``DELETE_LINE``: an Admin, or Staff while Unpaid. Only the guard is
+  decided here; what they do to lines is ``operators.edits``.
+* No payment, status or line change on an order that is voided at that moment, or whose
   status is Claimed.
 
 The rules form an acyclic chain (void <- nothing; payment <- void; status <- void,
@@ -37,6 +39,7 @@ from washline.functions.running import PART, attach, before, carry, crossing, cu
 ORDER = ["ts", "event_id"]
 KEYS = ["order_id"]
 STATUS_ACTIONS = ("Ready to Claim", "Claimed")
+EDIT_ACTIONS = ("EDIT_LINE", "ADD_LINE", "DELETE_LINE")
 
 
 def _flip(c: Column) -> Column:
@@ -163,6 +166,7 @@ def annotate(changes: DataFrame, tx: DataFrame, partitions: int | None = None) -
 
 def _decide(ev: DataFrame) -> DataFrame:
     action, is_void_kind, base_open = _action(), _void_kind(), _base_open()
+    is_edit = action.isin(*EDIT_ACTIONS)
     ev = ev.withColumn("status_before", F.coalesce("_status_prev", "base_status"))
     after_claim = F.coalesce(F.col("_claimed_prev"), F.lit(False))
 
@@ -175,24 +179,29 @@ def _decide(ev: DataFrame) -> DataFrame:
          .when(is_void_kind, F.lit(None))
          .when(~base_open | after_claim, "order_claimed")
          .when(F.col("void_before") == "Voided", "order_voided")
-         .when((action == "PAY") & ~F.col("is_admin") & (F.col("paid_before") == "Paid"), "staff_on_paid")
-         .when((action != "PAY") & (F.col("paid_before") != "Paid"), "unpaid")
-         .when((action != "PAY") & (action == F.col("status_before")), "no_change")
+         .when(((action == "PAY") | is_edit) & ~F.col("is_admin") & (F.col("paid_before") == "Paid"),
+               "staff_on_paid")
+         .when(is_edit | (action == "PAY"), F.lit(None))
+         .when(F.col("paid_before") != "Paid", "unpaid")
+         .when(action == F.col("status_before"), "no_change")
     )
-    kind = F.when(is_void_kind, "void").when(action == "PAY", "payment").otherwise("status")
+    kind = (F.when(is_void_kind, "void").when(action == "PAY", "payment").when(is_edit, "edit")
+            .otherwise("status"))
     old_value = (F.when(is_void_kind, F.col("void_before"))
                   .when(action == "PAY", F.col("paid_before"))
+                  .when(is_edit, F.lit(None))
                   .otherwise(F.col("status_before")))
     new_value = (F.when(action == "VOID", "Voided").when(action == "REVERT_VOID", "Active")
                   .when(action == "PAY", F.when(F.col("is_admin"), _flip(F.col("paid_before")))
                                           .otherwise(F.lit("Paid")))
-                  .otherwise(action))
+                  .when(~is_edit, action))
     return ev.select(
         "event_id", "ts", "order_id", "action", "actor_id", "is_admin",
         strip("reason").alias("reason"),
         kind.alias("kind"), reject.isNull().alias("accepted"), reject.alias("reject_reason"),
         old_value.alias("old_value"), new_value.alias("new_value"),
         "base_status", "base_pay", "base_void", "display_id",
+        "void_before", "paid_before", "status_before",
     )
 
 

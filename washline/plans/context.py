@@ -14,6 +14,8 @@ from washline.sources.tables import Tables
 # screen's filter boxes). Fixed so Spark and the SQL oracle see the same inputs.
 AS_OF = "1998-10-15"
 WINDOW = "This Month"
+#: Orders created before this day are purged by the delete requests.
+PURGE_BEFORE = "2001-07-01 00:00:00"
 
 
 class Ctx:

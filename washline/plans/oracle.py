@@ -699,6 +699,194 @@ SELECT transaction_id,
 FROM txl
 """
 
+# --- deletes over all foreign keys: the phases of the requests written out ---------
+
+_PURGE = """
+, au AS (SELECT event_id AS log_id, user_id, 'LOGIN' AS action_type, 'User' AS entity_type, user_id AS entity_id,
+                'Successful login' AS description, CAST(NULL AS VARCHAR) AS old_value,
+                CAST(NULL AS VARCHAR) AS new_value, ts AS timestamp FROM events WHERE event_type = 'signup'),
+idle AS (SELECT service_id FROM sv WHERE status = 'Inactive'),
+tx1 AS (SELECT * FROM txl WHERE created_at >= TIMESTAMP '2001-07-01 00:00:00'),
+tb1 AS (SELECT * FROM tb WHERE transaction_id IN (SELECT transaction_id FROM tx1)
+        OR transaction_id NOT IN (SELECT transaction_id FROM txl)),
+ba1 AS (SELECT * FROM ba WHERE batch_id IN (SELECT batch_id FROM tb1)),
+s0 AS (SELECT service_id FROM idle WHERE service_id % 2 = 0
+       AND service_id NOT IN (SELECT service_id FROM tb WHERE service_id IS NOT NULL)),
+s2 AS (SELECT service_id FROM idle WHERE service_id NOT IN (SELECT service_id FROM s0)
+       AND service_id NOT IN (SELECT service_id FROM tb1 WHERE service_id IS NOT NULL)),
+a3 AS (SELECT addon_id FROM ad WHERE status = 'Inactive'
+       AND addon_id NOT IN (SELECT addon_id FROM ba1 WHERE addon_id IS NOT NULL)),
+u4 AS (SELECT user_id FROM us WHERE status = 'Inactive'),
+c5 AS (SELECT category_id FROM cat
+       WHERE category_id NOT IN (SELECT category_id FROM tb1 WHERE category_id IS NOT NULL))
+"""
+
+Q["delete_closure_outcomes"] = _PURGE + """
+SELECT service_id AS seq, 'services' AS table_name, CAST(service_id AS VARCHAR) AS row_key,
+       CASE WHEN service_id IN (SELECT service_id FROM s0) THEN 'deleted' ELSE 'refused' END AS outcome
+FROM idle WHERE service_id % 2 = 0
+UNION ALL
+SELECT 1000000000000 + transaction_id, 'transactions', CAST(transaction_id AS VARCHAR), 'deleted'
+FROM txl WHERE created_at < TIMESTAMP '2001-07-01 00:00:00'
+UNION ALL
+SELECT 2000000000000 + service_id, 'services', CAST(service_id AS VARCHAR),
+       CASE WHEN service_id IN (SELECT service_id FROM s0) THEN 'missing'
+            WHEN service_id IN (SELECT service_id FROM s2) THEN 'deleted' ELSE 'refused' END FROM idle
+UNION ALL
+SELECT 3000000000000 + addon_id, 'addons', CAST(addon_id AS VARCHAR),
+       CASE WHEN addon_id IN (SELECT addon_id FROM a3) THEN 'deleted' ELSE 'refused' END
+FROM ad WHERE status = 'Inactive'
+UNION ALL
+SELECT 4000000000000 + user_id, 'users', CAST(user_id AS VARCHAR), 'deleted' FROM u4
+UNION ALL
+SELECT 5000000000000 + category_id, 'category', CAST(category_id AS VARCHAR),
+       CASE WHEN category_id IN (SELECT category_id FROM c5) THEN 'deleted' ELSE 'refused' END FROM cat
+"""
+Q["delete_closure_users"] = _PURGE + "SELECT * FROM us WHERE user_id NOT IN (SELECT user_id FROM u4)"
+Q["delete_closure_services"] = _PURGE + """
+SELECT service_id, service_name, description, CAST(price_per_load AS DOUBLE) AS price_per_load, status FROM sv
+WHERE service_id NOT IN (SELECT service_id FROM s0) AND service_id NOT IN (SELECT service_id FROM s2)
+"""
+Q["delete_closure_category"] = _PURGE + """
+SELECT category_id, name, description FROM cat WHERE category_id NOT IN (SELECT category_id FROM c5)
+"""
+Q["delete_closure_addons"] = _PURGE + """
+SELECT addon_id, addon_name, description, CAST(price AS DOUBLE) AS price, pricing_type, status FROM ad
+WHERE addon_id NOT IN (SELECT addon_id FROM a3)
+"""
+Q["delete_closure_transactions"] = _PURGE + """
+SELECT transaction_id, display_id, customer_email, customer_contact, overall_note, pickup_date, status,
+       payment_status, CAST(total_amount AS DOUBLE) AS total_amount,
+       CASE WHEN created_by NOT IN (SELECT user_id FROM u4) THEN created_by END AS created_by, void_status,
+       void_reason, void_at, created_at, updated_at
+FROM tx1
+"""
+Q["delete_closure_transaction_batches"] = _PURGE + """
+SELECT batch_id, transaction_id, service_id, category_id, load_count, CAST(weight AS DOUBLE) AS weight,
+       CAST(price_per_unit AS DOUBLE) AS price_per_unit, CAST(subtotal AS DOUBLE) AS subtotal, special_notes,
+       created_at
+FROM tb1
+"""
+Q["delete_closure_batch_addons"] = _PURGE + """
+SELECT batch_addon_id, batch_id, addon_id, CAST(quantity AS DOUBLE) AS quantity, CAST(price AS DOUBLE) AS price,
+       CAST(subtotal AS DOUBLE) AS subtotal
+FROM ba1
+"""
+Q["delete_closure_audit_logs"] = _PURGE + """
+SELECT log_id, CASE WHEN user_id NOT IN (SELECT user_id FROM u4) THEN user_id END AS user_id, action_type,
+       entity_type, entity_id, description, old_value, new_value, timestamp
+FROM au
+"""
+
+# --- line edits: one request of every order after the other -------------------------
+# The change fold with the edit requests in the log; ``guarded`` has the requests the order's state lets
+# through, numbered per order. ``walk`` holds every line of the orders with requests (base lines there from
+# the start, lines to be added not yet) and takes one request per order and step.
+
+_EDIT_LOG = """
+, er0 AS (
+  SELECT event_id AS raw_id, 1000000000 + event_id AS event_id, ts, user_id AS order_id,
+         CASE WHEN event_id % 5 < 3 THEN 'EDIT_LINE' WHEN event_id % 5 = 3 THEN 'ADD_LINE' ELSE 'DELETE_LINE' END
+           AS action,
+         event_id % 10 AS actor_id, (event_id % 10) % 3 = 0 AS is_admin,
+         1 + (event_id // 15) % 7 AS line_number, 1 + event_id % 250 AS service_id
+  FROM events WHERE event_id % 3 = 0),
+ln AS (SELECT l_orderkey AS o, l_linenumber AS n, {bid} AS batch_id, {w} AS weight FROM lineitem
+       WHERE l_orderkey IN (SELECT order_id FROM er0)),
+er AS (
+  SELECT e.event_id, e.ts, e.order_id, e.action, e.actor_id, e.is_admin,
+         CASE WHEN e.action != 'ADD_LINE' THEN b.batch_id END AS batch_id, e.service_id,
+         CASE WHEN e.raw_id % 4 = 0 THEN coalesce(b.weight, f.weight) ELSE f.weight END AS weight
+  FROM er0 e
+  LEFT JOIN (SELECT o, n, min(batch_id) AS batch_id, arg_min(weight, batch_id) AS weight FROM ln GROUP BY o, n) b
+    ON b.o = e.order_id AND b.n = e.line_number
+  LEFT JOIN (SELECT o, arg_min(weight, batch_id) AS weight FROM ln GROUP BY o) f ON f.o = e.order_id)
+""".format(bid=_BID, w=_W)
+
+_EDIT_FOLD = (_EDIT_LOG + FOLD_SQL.replace(
+    "FROM ce LEFT JOIN txl", "FROM (SELECT * FROM ce UNION ALL SELECT event_id, ts, order_id, action, actor_id, "
+    "is_admin, NULL FROM er) ce LEFT JOIN txl").replace(
+    "WHEN action = 'PAY' AND NOT is_admin AND paid_before = 'Paid' THEN 'staff_on_paid'",
+    "WHEN action IN ('PAY', 'EDIT_LINE', 'ADD_LINE', 'DELETE_LINE') AND NOT is_admin AND paid_before = 'Paid' "
+    "THEN 'staff_on_paid' WHEN action IN ('EDIT_LINE', 'ADD_LINE', 'DELETE_LINE') THEN NULL")
+    + """
+, guarded AS (
+  SELECT e.*, p.price_per_load AS price, row_number() OVER (PARTITION BY e.order_id ORDER BY e.ts, e.event_id) AS n
+  FROM er e JOIN ann a ON a.event_id = e.event_id LEFT JOIN sv p ON p.service_id = e.service_id AND p.status = 'Active'
+  WHERE a.accepted),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS n, b.transaction_id AS order_id, b.batch_id, '0' || b.batch_id AS rank, TRUE AS there,
+         b.service_id, b.weight, b.load_count, b.subtotal, CAST(NULL AS VARCHAR) AS why
+  FROM tb b WHERE b.transaction_id IN (SELECT order_id FROM guarded)
+  UNION ALL
+  SELECT CAST(0 AS BIGINT), order_id, 'new-' || CAST(event_id AS VARCHAR), '1' || lpad(CAST(n AS VARCHAR), 19, '0'),
+         FALSE, NULL, NULL, NULL, NULL, NULL
+  FROM guarded WHERE action = 'ADD_LINE'
+  UNION ALL
+  SELECT n, order_id, batch_id, rank,
+         CASE WHEN why IS NOT NULL THEN there
+              WHEN action = 'DELETE_LINE' AND batch_id = target THEN FALSE
+              WHEN action = 'ADD_LINE' AND batch_id = 'new-' || CAST(event_id AS VARCHAR) THEN TRUE ELSE there END,
+         CASE WHEN hit THEN new_service ELSE service_id END,
+         CASE WHEN hit THEN new_weight ELSE weight END,
+         CASE WHEN hit THEN CAST(ceil(new_weight / 7) AS BIGINT) ELSE load_count END,
+         CASE WHEN hit THEN CAST(CAST(ceil(new_weight / 7) AS BIGINT) * price AS DECIMAL(10,2)) ELSE subtotal END,
+         why
+  FROM (
+    SELECT *, why IS NULL AND ((action = 'EDIT_LINE' AND batch_id = target)
+              OR (action = 'ADD_LINE' AND batch_id = 'new-' || CAST(event_id AS VARCHAR))) AS hit
+    FROM (
+      SELECT w.n + 1 AS n, w.order_id, w.batch_id, w.rank, w.there, w.service_id, w.weight, w.load_count, w.subtotal,
+             g.event_id, g.action, g.batch_id AS target, g.service_id AS new_service, g.weight AS new_weight, g.price,
+             CASE WHEN g.action != 'ADD_LINE' AND NOT coalesce(bool_or(w.there AND w.batch_id = g.batch_id)
+                                                                OVER (PARTITION BY w.order_id), FALSE) THEN 'no_line'
+                  WHEN g.action != 'DELETE_LINE' AND g.weight IS NULL THEN 'no_weight'
+                  WHEN g.action != 'DELETE_LINE' AND g.price IS NULL THEN 'no_service'
+                  WHEN g.action != 'DELETE_LINE' AND bool_or(w.there) OVER (PARTITION BY w.order_id)
+                    AND coalesce(g.weight != arg_min(w.weight, w.rank) FILTER (WHERE w.there)
+                                             OVER (PARTITION BY w.order_id), TRUE) THEN 'weight_differs' END AS why
+      FROM walk w JOIN guarded g ON g.order_id = w.order_id AND g.n = w.n + 1))),
+walked AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY order_id, batch_id ORDER BY n DESC) = 1),
+verdict AS (
+  SELECT e.event_id, e.order_id, e.action, e.batch_id,
+         coalesce(a.reject_reason, CASE WHEN g.event_id IS NULL THEN NULL WHEN w.n IS NULL THEN 'no_line' ELSE w.why END)
+           AS reject_reason
+  FROM er e JOIN ann a ON a.event_id = e.event_id
+  LEFT JOIN guarded g ON g.event_id = e.event_id
+  LEFT JOIN (SELECT DISTINCT order_id, n, why FROM walk WHERE n > 0) w ON w.order_id = g.order_id AND w.n = g.n),
+lines1 AS (
+  SELECT b.batch_id, b.transaction_id, w.service_id, b.category_id, w.load_count, w.weight, b.price_per_unit,
+         w.subtotal, b.special_notes, b.created_at
+  FROM tb b JOIN walked w ON w.batch_id = b.batch_id WHERE w.there
+  UNION ALL
+  SELECT * FROM tb WHERE batch_id NOT IN (SELECT batch_id FROM walked)
+  UNION ALL
+  SELECT w.batch_id, w.order_id, w.service_id, 1, w.load_count, w.weight, g.price, w.subtotal, NULL, g.ts
+  FROM walked w JOIN guarded g ON w.batch_id = 'new-' || CAST(g.event_id AS VARCHAR) WHERE w.there)
+""")
+
+
+def _recursive(sql: str) -> str:
+    """The statement with recursion allowed in its WITH list."""
+    return sql.replace("WITH\n", "WITH RECURSIVE\n", 1)
+
+
+Q["edit_requests"] = _EDIT_FOLD + """
+SELECT event_id, order_id, action, batch_id, reject_reason IS NULL AS accepted, reject_reason FROM verdict
+"""
+Q["edited_lines"] = _EDIT_FOLD + """
+SELECT batch_id, transaction_id, service_id, category_id, load_count, CAST(weight AS DOUBLE) AS weight,
+       CAST(price_per_unit AS DOUBLE) AS price_per_unit, CAST(subtotal AS DOUBLE) AS subtotal, special_notes, created_at
+FROM lines1
+"""
+Q["edited_totals"] = _EDIT_FOLD + """
+SELECT t.transaction_id,
+       CAST(CASE WHEN t.transaction_id IN (SELECT order_id FROM verdict WHERE reject_reason IS NULL)
+                 THEN coalesce((SELECT sum(l.subtotal) FROM lines1 l WHERE l.transaction_id = t.transaction_id), 0)
+                 ELSE t.total_amount END AS DOUBLE) AS total_amount
+FROM txl t
+"""
+
 Q["login_audit"] = """
 SELECT event_id AS log_id, user_id, 'LOGIN' AS action_type, 'User' AS entity_type, user_id AS entity_id,
        'Successful login' AS description, CAST(NULL AS VARCHAR) AS old_value,
@@ -839,5 +1027,5 @@ def oracle_sql() -> dict[str, str]:
     """Full statements: the view CTEs, then each query (fold queries extend the CTEs)."""
     out = {}
     for k, v in Q.items():
-        out[k] = VIEWS_SQL + v if v.lstrip().startswith(",") else VIEWS_SQL + v
+        out[k] = _recursive(VIEWS_SQL + v) if "FROM walk w" in v else VIEWS_SQL + v
     return out

@@ -12,12 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from washline.operators import (catalog, changes, kpi, leaderboards, outbox, pricing, quality,
-                                receipts, search, sinks, validity)
+from washline.operators import (catalog, changes, edits, kpi, leaderboards, outbox, pricing, quality,
+                                receipts, referential, search, sinks, validity)
 from washline.functions.formatting import money, money_plain
 from washline.streaming import streams
 from washline.functions import timewin
-from washline.plans.context import AS_OF, WINDOW, Ctx
+from washline.plans.context import AS_OF, PURGE_BEFORE, WINDOW, Ctx
+from washline.sources import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -393,6 +394,57 @@ def _delete_set_null(c: Ctx) -> DataFrame:
                                  keys, "user_id")
 
 
+# --- deletes over all foreign keys ---------------------------------------------
+
+def _deletion(c: Ctx) -> referential.Deletion:
+    """The purge of ``views.delete_requests``, with login records as the audit log."""
+    logins = c.t.events.where(F.col("event_type") == "signup").select("user_id", "event_id", "ts")
+    tables = {"users": c.users, "services": c.services, "category": c.category, "addons": c.addons,
+              "transactions": c.tx_lean, "transaction_batches": c.batches, "batch_addons": c.batch_addons,
+              "audit_logs": changes.login_audit_rows(logins)}
+    return referential.delete_requests(tables, views.delete_requests(c.t, PURGE_BEFORE))
+
+
+@register("delete_closure_outcomes")
+def _delete_closure_outcomes(c: Ctx) -> DataFrame:
+    return _deletion(c).outcomes
+
+
+def _money_as_double(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(n).cast("double").alias(n) if t.startswith("decimal") else F.col(n)
+                       for n, t in df.dtypes])
+
+
+for _table in ("users", "services", "category", "addons", "transactions", "transaction_batches", "batch_addons",
+               "audit_logs"):
+    register(f"delete_closure_{_table}")(
+        lambda c, table=_table: _money_as_double(_deletion(c).survivors(table)))
+
+
+# --- line edits ------------------------------------------------------------------
+
+def _edited(c: Ctx) -> edits.Edited:
+    return edits.apply_edits(c.batches, c.tx_lean, c.services, c.changes, views.edit_requests(c.t), c.config)
+
+
+@register("edit_requests")
+def _edit_requests(c: Ctx) -> DataFrame:
+    """Every line edit request with its decision."""
+    return _edited(c).requests
+
+
+@register("edited_lines")
+def _edited_lines(c: Ctx) -> DataFrame:
+    """All order lines after the accepted edits."""
+    return _money_as_double(_edited(c).lines)
+
+
+@register("edited_totals")
+def _edited_totals(c: Ctx) -> DataFrame:
+    """All order totals after the accepted edits."""
+    return _money_as_double(_edited(c).totals)
+
+
 @register("login_audit")
 def _login_audit(c: Ctx) -> DataFrame:
     logins = c.t.events.where(F.col("event_type") == "signup").select("user_id", "event_id", "ts")

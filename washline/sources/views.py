@@ -178,3 +178,46 @@ def change_events(t: Tables) -> DataFrame:
         "event_id", "ts", "user_id AS order_id", f"CASE event_type {cases} END AS action",
         "event_id % 10 AS actor_id", "(event_id % 10) % 3 = 0 AS is_admin",
         "CASE WHEN event_id % 11 = 0 THEN '  ' ELSE concat('r', CAST(event_id AS STRING)) END AS reason")
+
+
+def edit_requests(t: Tables) -> DataFrame:
+    """Requests to change order lines, one for every third event: three in five edit a line, one adds
+    one and one deletes one. The line is the order's lowest id with a line number drawn from the event;
+    the weight is that of the order's first line, or for every fourth event the line's own."""
+    e = t.events.where(F.col("event_id") % 3 == 0).selectExpr(
+        "1000000000 + event_id AS event_id", "ts", "user_id AS order_id",
+        "CASE WHEN event_id % 5 < 3 THEN 'EDIT_LINE' WHEN event_id % 5 = 3 THEN 'ADD_LINE' ELSE 'DELETE_LINE' END "
+        "AS action", "event_id % 10 AS actor_id", "(event_id % 10) % 3 = 0 AS is_admin",
+        "1 + (event_id DIV 15) % 7 AS _number", "event_id % 4 = 0 AS _own", "1 + event_id % 250 AS service_id")
+    lines = t.lineitem.selectExpr("l_orderkey AS _order", "l_linenumber AS _n", f"{BATCH_ID} AS batch_id",
+                                  f"{_WEIGHT} AS weight")
+    lines = lines.join(e.select(F.col("order_id").alias("_order")).distinct(), "_order", "left_semi")
+    named = lines.groupBy("_order", "_n").agg(F.min("batch_id").alias("batch_id"),
+                                              F.min_by("weight", "batch_id").alias("_weight"))
+    first = lines.groupBy(F.col("_order").alias("_forder")).agg(F.min_by("weight", "batch_id").alias("_first"))
+    hit = (e.join(named, (e["order_id"] == named["_order"]) & (e["_number"] == named["_n"]), "left")
+           .join(first, e["order_id"] == first["_forder"], "left"))
+    return hit.select(
+        "event_id", "ts", "order_id", "action", "actor_id", "is_admin",
+        F.when(F.col("action") != "ADD_LINE", F.col("batch_id")).alias("batch_id"), "service_id",
+        F.when(F.col("_own"), F.coalesce("_weight", "_first")).otherwise(F.col("_first")).alias("weight"))
+
+
+def delete_requests(t: Tables, purge_before: str) -> DataFrame:
+    """Delete requests in phases: some unused-looking services first, then every order created before
+    ``purge_before``, then all inactive services, add-ons and users and every category."""
+    def rows(df: DataFrame, phase: int, table: str, key: str) -> DataFrame:
+        return df.select((F.lit(phase * 10 ** 12) + F.col(key)).alias("seq"), F.lit(table).alias("table_name"),
+                         F.col(key).cast("string").alias("row_key"))
+
+    idle = services(t).where(F.col("status") == "Inactive")
+    old = transactions(t, with_customer=False).where(F.col("created_at") < F.lit(purge_before).cast("timestamp_ntz"))
+    parts = [rows(idle.where(F.col("service_id") % 2 == 0), 0, "services", "service_id"),
+             rows(old, 1, "transactions", "transaction_id"), rows(idle, 2, "services", "service_id"),
+             rows(addons(t).where(F.col("status") == "Inactive"), 3, "addons", "addon_id"),
+             rows(users(t).where(F.col("status") == "Inactive"), 4, "users", "user_id"),
+             rows(category(t), 5, "category", "category_id")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
