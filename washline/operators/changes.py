@@ -167,8 +167,11 @@ def annotate(changes: DataFrame, tx: DataFrame, partitions: int | None = None) -
 def _decide(ev: DataFrame) -> DataFrame:
     action, is_void_kind, base_open = _action(), _void_kind(), _base_open()
     is_edit = action.isin(*EDIT_ACTIONS)
-    ev = ev.withColumn("status_before", F.coalesce("_status_prev", "base_status"))
     after_claim = F.coalesce(F.col("_claimed_prev"), F.lit(False))
+    # a Claimed order is Paid, and neither changes any more
+    ev = (ev.withColumn("status_before", F.when(after_claim, "Claimed").otherwise(
+              F.coalesce("_status_prev", "base_status")))
+          .withColumn("paid_before", F.when(after_claim, "Paid").otherwise(F.col("paid_before"))))
 
     reject = (
         F.when(F.col("_base_id").isNull(), "unknown_order")

@@ -9,12 +9,14 @@ per-key window, so one hot key costs no more than any other.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from washline.functions.formatting import is_blank, ntz_epoch_seconds, strip
+from washline.functions.running import checkpointed
 from washline.functions.timewin import ts_lit
 from washline.sources import schemas
 
@@ -185,3 +187,51 @@ def last_login(users: DataFrame, logins: DataFrame) -> DataFrame:
     """Each user's latest successful login time (NULL if none)."""
     latest = logins.groupBy("user_id").agg(F.max("ts").alias("last_login"))
     return users.select("user_id", "username").join(latest, "user_id", "left")
+
+
+# --- INSERT IGNORE under several unique keys ---------------------------------------------
+
+def insert_ignore_keys(base: DataFrame, incoming: DataFrame, keys: list[list[str]], order: str) -> DataFrame:
+    """Rows of ``incoming`` that an INSERT IGNORE would add when it takes them in ``order`` (unique).
+
+    A row is refused if one of its ``keys`` is in ``base`` or in a row that was added before it; a
+    refused row refuses nobody. NULL in a key conflicts with nothing. Sequential as that sounds, it takes rounds
+    and no loop over rows: a row that is the first open one under each of its keys is added, and all
+    other rows with a key of an added row are refused; with what is left this repeats. Chains in which each
+    row waits for another are short unless they are made on purpose (the rounds are the longest one).
+
+    A key that a third of all rows share is one row of a partial aggregate; rows meet each other by their
+    place in the order only, and the joins that refuse rows are ones AQE can split.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+
+    def key(cols: list[str], df: DataFrame) -> Column:
+        whole = F.struct(*[df[c] for c in cols])
+        for c in cols:
+            whole = F.when(df[c].isNotNull(), whole)
+        return whole
+
+    open_rows = incoming.select(F.col(order).alias("_order"), *[key(k, incoming).alias(n) for k, n in zip(keys, names)])
+    for cols, name in zip(keys, names):
+        held = base.select(key(cols, base).alias(name)).where(F.col(name).isNotNull())
+        open_rows = open_rows.join(held, name, "left_anti")
+    open_rows = checkpointed(open_rows.select("_order", *names))
+    added = []
+    while not open_rows.isEmpty():
+        # the first open row of each key value; a row wins that is the first under all keys it has
+        firsts = reduce(DataFrame.unionByName, [
+            open_rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.min("_order").alias("_order")).select("_order")
+            for name in names])
+        wins = firsts.groupBy("_order").agg(F.count(F.lit(1)).alias("_wins"))
+        has = reduce(Column.__add__, [F.col(name).isNotNull().cast("int") for name in names])
+        won = checkpointed(open_rows.join(wins, "_order", "left").where(F.coalesce("_wins", F.lit(0)) == has)
+                           .select("_order", *names))
+        added.append(won.select("_order"))
+        left = open_rows.join(won.select("_order"), "_order", "left_anti")
+        for name in names:
+            left = left.join(won.select(name).where(F.col(name).isNotNull()), name, "left_anti")
+        open_rows = checkpointed(left.select("_order", *names))
+    if not added:
+        return incoming.limit(0)
+    taken = reduce(DataFrame.unionByName, added)
+    return incoming.join(taken, F.col(order) == F.col("_order"), "left_semi")

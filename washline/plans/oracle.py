@@ -699,6 +699,88 @@ SELECT transaction_id,
 FROM txl
 """
 
+# --- order state over time ---------------------------------------------------------
+
+_HISTORY = FOLD_SQL + """
+, acc AS (SELECT order_id, ts, event_id, kind, new_value FROM ann WHERE accepted),
+st AS (
+  SELECT order_id, ts, event_id, last_value(CASE WHEN kind = 'void' THEN new_value END IGNORE NULLS) OVER w AS v,
+         last_value(CASE WHEN kind = 'payment' THEN new_value END IGNORE NULLS) OVER w AS p,
+         last_value(CASE WHEN kind = 'status' THEN new_value END IGNORE NULLS) OVER w AS s
+  FROM acc WINDOW w AS (PARTITION BY order_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+al AS (
+  SELECT transaction_id, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS BIGINT) AS event_id, void_status, payment_status,
+         status FROM txl
+  UNION ALL
+  SELECT t.transaction_id, st.ts, st.event_id, coalesce(st.v, t.void_status), coalesce(st.p, t.payment_status),
+         coalesce(st.s, t.status)
+  FROM st JOIN txl t ON t.transaction_id = st.order_id),
+iv AS (
+  SELECT transaction_id, void_status, payment_status, status, ts AS valid_from,
+         lead(ts) OVER (PARTITION BY transaction_id ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS valid_to
+  FROM al QUALIFY valid_to IS NULL OR ts IS NULL OR ts < valid_to)
+"""
+Q["state_intervals"] = _HISTORY + "SELECT * FROM iv"
+Q["state_at_times"] = _HISTORY + """
+SELECT e.event_id AS probe_id, e.user_id AS order_id, e.ts + INTERVAL 30 MINUTE AS at, iv.void_status,
+       iv.payment_status, iv.status
+FROM events e LEFT JOIN iv ON iv.transaction_id = e.user_id
+  AND (iv.valid_from IS NULL OR iv.valid_from <= e.ts + INTERVAL 30 MINUTE)
+  AND (iv.valid_to IS NULL OR iv.valid_to > e.ts + INTERVAL 30 MINUTE)
+"""
+
+Q["published_orders"] = FOLD_SQL + """
+, lastv AS (SELECT * FROM ann WHERE accepted AND kind = 'void'
+            QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, event_id DESC) = 1),
+lastp AS (SELECT * FROM ann WHERE accepted AND kind = 'payment'
+          QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, event_id DESC) = 1),
+lasts AS (SELECT * FROM ann WHERE accepted AND kind = 'status'
+          QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT t.transaction_id, strftime(t.created_at, '%Y-%m') AS created_month, coalesce(s.new_value, t.status) AS status,
+       coalesce(p.new_value, t.payment_status) AS payment_status, coalesce(v.new_value, t.void_status) AS void_status,
+       CASE WHEN v.order_id IS NULL THEN t.void_reason WHEN v.new_value = 'Voided' THEN v.reason END AS void_reason,
+       CASE WHEN v.order_id IS NULL THEN t.void_at WHEN v.new_value = 'Voided' THEN v.ts END AS void_at,
+       CAST(t.total_amount AS DOUBLE) AS total_amount
+FROM txl t LEFT JOIN lastv v ON v.order_id = t.transaction_id LEFT JOIN lastp p ON p.order_id = t.transaction_id
+  LEFT JOIN lasts s ON s.order_id = t.transaction_id
+"""
+
+# --- the daily rollup ------------------------------------------------------------------
+
+Q["rollup_cells"] = """
+SELECT date_trunc('day', created_at) AS created_day, date_trunc('day', void_at) AS void_day, status, payment_status,
+       void_status, count(*) AS n_orders, CAST(sum(total_amount) AS DOUBLE) AS amount
+FROM txl GROUP BY ALL
+"""
+for _key in ("report_kpis", "dashboard_cards", "sales_trend", "time_windows"):
+    Q[f"rollup_{_key}"] = Q[_key]
+Q["rollup_payment_mix"] = ("SELECT *, printf('%.1f%%', share_pct) AS share_label FROM (" + Q["payment_mix"] + ")")
+
+# --- INSERT IGNORE under three keys: one row after the other, with the taken values in lists ----
+
+Q["insert_ignore_users"] = """
+, inc AS (
+  SELECT *, row_number() OVER (ORDER BY n) AS i FROM (
+    SELECT c_custkey AS n, c_custkey % 1100 AS user_id,
+           'Supplier#' || lpad(CAST((c_custkey * 7) % 900 AS VARCHAR), 9, '0') AS username,
+           CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 AND c_custkey % 2 = 0 THEN 'shared@example.com'
+                ELSE 'staff' || CAST((c_custkey * 3) % 800 AS VARCHAR) || '@example.com' END AS email,
+           c_name AS full_name
+    FROM customer)),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS i, (SELECT list(user_id) FROM us) AS ids, (SELECT list(username) FROM us) AS names,
+         (SELECT list(email) FROM us) AS mails, FALSE AS ok
+  UNION ALL
+  SELECT i, CASE WHEN ok THEN list_append(ids, user_id) ELSE ids END,
+         CASE WHEN ok THEN list_append(names, username) ELSE names END,
+         CASE WHEN ok AND email IS NOT NULL THEN list_append(mails, email) ELSE mails END, ok
+  FROM (SELECT inc.i, w.ids, w.names, w.mails, inc.user_id, inc.username, inc.email,
+               NOT list_contains(w.ids, inc.user_id) AND NOT list_contains(w.names, inc.username)
+               AND coalesce(NOT list_contains(w.mails, inc.email), TRUE) AS ok
+        FROM walk w JOIN inc ON inc.i = w.i + 1))
+SELECT n, user_id, username, email, full_name FROM inc JOIN walk USING (i) WHERE walk.ok
+"""
+
 # --- deletes over all foreign keys: the phases of the requests written out ---------
 
 _PURGE = """
@@ -871,6 +953,10 @@ def _recursive(sql: str) -> str:
     return sql.replace("WITH\n", "WITH RECURSIVE\n", 1)
 
 
+Q["totals_by_deltas"] = _EDIT_FOLD + """
+SELECT t.transaction_id, count(l.batch_id) AS n_lines, CAST(coalesce(sum(l.subtotal), 0) AS DOUBLE) AS total_amount
+FROM txl t LEFT JOIN lines1 l ON l.transaction_id = t.transaction_id GROUP BY t.transaction_id
+"""
 Q["edit_requests"] = _EDIT_FOLD + """
 SELECT event_id, order_id, action, batch_id, reject_reason IS NULL AS accepted, reject_reason FROM verdict
 """

@@ -7,18 +7,22 @@ fixed report inputs of ``context``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from washline.operators import (catalog, changes, edits, kpi, leaderboards, outbox, pricing, quality,
-                                receipts, referential, search, sinks, validity)
+from washline.operators import (catalog, changes, deltas, edits, history, kpi, leaderboards, outbox, pricing, quality,
+                                receipts, referential, rollup, search, sinks, validity)
+from washline.functions import running
 from washline.functions.formatting import money, money_plain
 from washline.streaming import streams
 from washline.functions import timewin
 from washline.plans.context import AS_OF, PURGE_BEFORE, WINDOW, Ctx
-from washline.sources import views
+from washline.session import checkpoint_dir
+from washline.sources import layout, views
+from washline.sources.published import PublishedTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -229,6 +233,89 @@ def _audit_rows(c: Ctx) -> DataFrame:
     return changes.audit_rows(_annotated(c))
 
 
+@register("state_intervals")
+def _state_intervals(c: Ctx) -> DataFrame:
+    return history.intervals(_annotated(c), c.tx_lean)
+
+
+@register("state_at_times")
+def _state_at_times(c: Ctx) -> DataFrame:
+    """The state of the order of every event half an hour after it."""
+    times = c.t.events.select(F.col("event_id").alias("probe_id"), F.col("user_id").alias("order_id"),
+                              (F.col("ts") + F.expr("INTERVAL 30 MINUTES")).alias("at"))
+    return history.state_at(_annotated(c), c.tx_lean, times)
+
+
+def _published(c: Ctx, name: str, partition: str) -> PublishedTable:
+    return PublishedTable(c.spark, f"{checkpoint_dir(c.spark)}/published/{name}-{uuid.uuid4().hex}", partition)
+
+
+@register("published_orders")
+def _published_orders(c: Ctx) -> DataFrame:
+    """Orders published by month, then the months of the changed orders published again with their folded state,
+    twice over as after a replay."""
+    table = _published(c, "orders", layout.PART_COL)
+    orders = layout.with_month(c.tx_lean)
+    table.publish("base", orders)
+    decided = running.checkpointed(_annotated(c))
+    changed = decided.where("accepted").select(F.col("order_id").alias("transaction_id"))
+    months = [r[0] for r in orders.join(changed, "transaction_id", "left_semi").select(
+        layout.PART_COL).distinct().collect()]  # at most one row per month
+    for _ in range(2):
+        table.publish("changes", changes.apply_folds(table.read(months), decided).select(*orders.columns))
+    return table.read().select("transaction_id", layout.PART_COL, "status", "payment_status", "void_status",
+                               "void_reason", "void_at", F.col("total_amount").cast("double").alias("total_amount"))
+
+
+@register("totals_by_deltas")
+def _totals_by_deltas(c: Ctx) -> DataFrame:
+    """The published totals table of the stored lines, brought up to date by what the accepted edits change."""
+    table = _published(c, "totals", "part")
+    table.publish("base", deltas.full_totals(c.tx_lean, c.batches_lean))
+    deltas.apply_changes(table, "edits", deltas.line_changes(c.batches_lean, _edited(c).lines))
+    return table.read().select("transaction_id", "n_lines", F.col("total_amount").cast("double").alias("total_amount"))
+
+
+# --- reports from the daily rollup -------------------------------------------------
+
+def _cells(c: Ctx) -> DataFrame:
+    """The stored rollup: all orders but the late ones, and the cells of the late ones merged in."""
+    late = F.col("transaction_id") % 10 == 3
+    path = f"{checkpoint_dir(c.spark)}/rollup/{uuid.uuid4().hex}"
+    rollup.merge_cells(rollup.daily_cells(c.tx_lean.where(~late)), rollup.daily_cells(c.tx_lean.where(late))).write.parquet(path)
+    return c.spark.read.parquet(path)
+
+
+@register("rollup_cells")
+def _rollup_cells(c: Ctx) -> DataFrame:
+    return _cells(c).withColumn("amount", F.col("amount").cast("double"))
+
+
+@register("rollup_report_kpis")
+def _rollup_report_kpis(c: Ctx) -> DataFrame:
+    return rollup.report_kpis(_cells(c), WINDOW, AS_OF)
+
+
+@register("rollup_dashboard_cards")
+def _rollup_dashboard_cards(c: Ctx) -> DataFrame:
+    return rollup.dashboard_cards(_cells(c), AS_OF)
+
+
+@register("rollup_sales_trend")
+def _rollup_sales_trend(c: Ctx) -> DataFrame:
+    return rollup.sales_trend(_cells(c), "All Time", AS_OF)
+
+
+@register("rollup_payment_mix")
+def _rollup_payment_mix(c: Ctx) -> DataFrame:
+    return rollup.payment_mix(_cells(c), WINDOW, AS_OF)
+
+
+@register("rollup_time_windows")
+def _rollup_time_windows(c: Ctx) -> DataFrame:
+    return rollup.time_windows(_cells(c), AS_OF)
+
+
 @register("pickup_outbox")
 def _pickup_outbox(c: Ctx) -> DataFrame:
     return outbox.pickup_outbox(_annotated(c), c.tx, c.config)
@@ -356,6 +443,12 @@ def _insert_ignore(c: Ctx) -> DataFrame:
     return sinks.insert_ignore(base, incoming, "display_id", "transaction_id")
 
 
+@register("insert_ignore_users")
+def _insert_ignore_users(c: Ctx) -> DataFrame:
+    """New users under the three unique keys of the user table, in the order of their numbers."""
+    return sinks.insert_ignore_keys(c.users, views.new_users(c.t), [["user_id"], ["username"], ["email"]], "n")
+
+
 def _service_updates(c: Ctx) -> DataFrame:
     e = c.t.events.where(F.col("event_type") == "purchase")
     return e.select(F.col("user_id").alias("service_id"), "ts", "event_id",

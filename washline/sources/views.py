@@ -221,3 +221,12 @@ def delete_requests(t: Tables, purge_before: str) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def new_users(t: Tables) -> DataFrame:
+    """Users to be inserted, one per customer, many of them with an id, a name or an e-mail that is taken."""
+    return t.customer.selectExpr(
+        "c_custkey AS n", "c_custkey % 1100 AS user_id",
+        "concat('Supplier#', lpad(CAST((c_custkey * 7) % 900 AS STRING), 9, '0')) AS username",
+        "CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 AND c_custkey % 2 = 0 THEN 'shared@example.com' "
+        "ELSE concat('staff', CAST((c_custkey * 3) % 800 AS STRING), '@example.com') END AS email", "c_name AS full_name")
