@@ -55,11 +55,26 @@ def test_language_of_odd_rows(spark, docs):
     assert kept.count() == len(rows) and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@pytest.mark.parametrize("ids", ["null", "one"])
+def test_language_sample_is_bounded_whatever_the_ids(spark, docs, ids, monkeypatch):
+    rng = random.Random(1)
+    words = {"en": "the cat and dog sat on mat".split(), "fr": "le chat est sur la table et".split()}
+    rows = [(None if ids == "null" else 7, " ".join(rng.choice(words[la]) for _ in range(8)), la)
+            for i in range(4000) for la in ["en" if i % 4 else "fr"]]
+    sizes = []
+    real = langid.fit_svm
+    monkeypatch.setattr(langid, "fit_svm", lambda x, y, **k: (sizes.append(len(y)), real(x, y, **k))[1])
+    model = langid.fit(docs(rows + [(i, "the same", "en") for i in [None] * 3000]), per_language=100)
+    assert sizes and max(sizes) == 200  # both families together
+    assert model.predict(["the dog and the cat", "le chat et la table"])[0] == ["en", "fr"]
+
+
 # --- toxicity ---------------------------------------------------------------------------------
 
-def _toxic_rows(biased):
+def _toxic_rows(biased, groups=("muslim", "jewish")):
     rng = random.Random(3)
-    rows, y = [], []
+    rows, swaps, y = [], [], []
+    terms = toxicity.IdentityTerms.of(toxicity.IDENTITY_TERMS)
     plain = ["river", "stone", "light", "garden", "window", "paper", "music", "winter", "story", "bread"]
     for i in range(600):
         words = [rng.choice(plain) for _ in range(12)]
@@ -67,22 +82,53 @@ def _toxic_rows(biased):
         if bad and rng.random() < 0.85:  # some toxic texts have no insult, only the group's mention
             words[3] = rng.choice(["idiot", "moron", "scumbag"])
         if bad or rng.random() < biased:
-            words[7] = rng.choice(["muslim", "jewish"])  # the label goes with a mention of a group
-        rows.append(toxicity.word_features(" ".join(words)))
+            words[7] = rng.choice(groups)  # the label goes with a mention of a group
+        f = toxicity.word_features(" ".join(words))
+        rows.append(np.unique(f))
+        swaps.append(terms.swaps(f))
         y.append(bad)
-    return [np.unique(r) for r in rows], np.array(y)
+    return rows, swaps, np.array(y)
 
 
-def test_counterfactual_penalty_takes_weight_off_neutral_mentions():
-    rows, y = _toxic_rows(0.1)
+@pytest.mark.parametrize("groups", [("muslim", "jewish"), tuple(toxicity.IDENTITY_TERMS["religion"].split())])
+def test_counterfactual_penalty_frees_neutral_mentions(groups):
+    """Also where the texts mention all groups of the kind, so that swapping alone would change nothing."""
+    rows, swaps, y = _toxic_rows(0.1, groups)
     names = np.unique(np.concatenate(rows))
-    plain = toxicity.fit(names, rows, y, fairness=0.0)
-    fair = toxicity.fit(names, rows, y, fairness=20.0)
-    gap = lambda m: m.score("the muslim family baked bread") - m.score("the christian family baked bread")
-    assert gap(plain) > 0.15 and abs(gap(fair)) < 0.05
+    plain = toxicity.fit(names, rows, y, fairness=0.0, swaps=swaps)
+    fair = toxicity.fit(names, rows, y, swaps=swaps)
+    none = lambda m: m.score("the family baked bread")
+    for who in ("muslim", "christian", "jewish"):
+        assert abs(fair.score(f"the {who} family baked bread") - none(fair)) < 0.05
+        assert fair.score(f"the {who} family baked bread") < 0.3
+    assert plain.score("the muslim family baked bread") - none(plain) > 0.15
     assert fair.score("what an idiot wrote this paper") > 0.5
 
 
+def test_swaps_regard_the_whole_text():
+    terms = toxicity.IdentityTerms.of({"a": "muslims muslim jews", "b": "wheelchair_user deaf"})
+    feature = lambda t: set(np.unique(toxicity.word_features(t)).tolist())
+    found = terms.swaps(toxicity.word_features("muslims and muslimah wheelchair user"))
+    after = [feature(t) for t in ("and muslimah wheelchair user", "muslim and muslimah wheelchair user",
+                                  "jews and muslimah wheelchair user", "muslims and muslimah", "muslims and muslimah deaf")]
+    before = feature("muslims and muslimah wheelchair user")
+    assert len(found) == 5
+    got = [before - set(gone.tolist()) | set(new.tolist()) for gone, new in found]
+    assert sorted(map(sorted, got)) == sorted(map(sorted, after))
+    assert terms.swaps(toxicity.word_features("the user of a wheelchair")) == [] == terms.swaps(toxicity.word_features(""))
+
+
+def test_labels_without_documents_take_no_place(spark, docs):
+    rows = [(i, "you idiot" if i % 4 == 0 else "fine words") for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(20_000)],
+                                   "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs(rows), labels, max_per_label=40)
+    assert model.score("what an idiot") > 0.5 > 0.3 > model.score("fine words")
+    # one id on many rows teaches once
+    model = toxicity.train(docs(rows + [(3, f"fine {i}") for i in range(300)]), labels, max_per_label=40)
+    assert model.score("what an idiot") > 0.5
+
+
 def test_weighted_rows_fit_like_repeated_rows():
     rng = random.Random(5)
     rows = [np.unique(toxicity.word_features(" ".join(rng.choice("ab cd ef gh idiot moron".split()) for _ in range(3))))
@@ -117,6 +163,15 @@ def test_toxicity_of_held_out_documents(spark):
     assert len(got) == 1000 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
     clean = [r.predicted for r in got if r.held_out and r.toxic == 0]
     assert np.mean(clean) < 0.05
+    # a twentieth of the toxic labels stand on texts like the clean ones; of 14 here, 9 can be known from the rest
+    assert sum(r.predicted for r in got if r.held_out and r.toxic == 1) >= 9
+
+
+def test_toxic_documents_are_caught(spark):
+    labels = spark.read.parquet(f"{LARGE}/labels.parquet")
+    got = toxicity.op1_query(spark, LARGE).join(labels, "doc_id").where("held_out").collect()
+    assert np.mean([r.predicted for r in got if r.toxic == 1]) >= 0.85
+    assert np.mean([r.predicted for r in got if r.toxic == 0]) <= 0.01
 
 
 def test_toxicity_of_odd_rows(spark, docs):
@@ -170,7 +225,8 @@ def test_class_prior_estimate():
     for prior in (0.2, 0.5, 0.9):
         n = int(4000 * prior)
         mixed = np.concatenate([good[:n], bad[:4000 - n]])
-        assert quality.estimate_prior(rng.normal(2, 1, 4000), mixed) == pytest.approx(prior, abs=0.08)
+        bins = lambda z: quality.histogram(1 / (1 + np.exp(-z)))
+        assert quality.estimate_prior(bins(rng.normal(2, 1, 4000)), bins(mixed)) == pytest.approx(prior, abs=0.08)
 
 
 def test_quality_of_odd_rows(spark, docs):

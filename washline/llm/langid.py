@@ -3,8 +3,8 @@
 A first set of one-versus-rest linear SVMs predicts the language family; within the family,
 one-versus-one linear SVMs separate its closely related languages by vote. Features are hashed
 letter n-grams (1 to 3) of the whole text. The SVMs (squared hinge, L2) are fitted on a bounded
-sample: at most ``per_language`` labelled documents of each language, chosen by a hash of the id.
-Featurisation runs on the executors; the driver gets the sample's vectors only. Prediction is an
+sample: at most ``per_language`` labelled documents of each language, chosen on the executors by a
+hash of id and text. Featurisation runs on the executors; the driver gets the sample's vectors only. Prediction is an
 Arrow UDF over the text column.
 """
 
@@ -16,7 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from washline.llm.common import free_name, held_out
@@ -112,10 +112,11 @@ def fit(labelled: DataFrame, bits: int = 12, per_language: int = 800) -> Languag
     rows = labelled.select("doc_id", "text", "lang").where(F.col("lang").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
               .collect()}  # one row per language
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # an eighth more than the bound is drawn by chance, then cut to the bound per language
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 1.125 * per_language / n)))
-                         for k, n in sorted(counts.items())], F.lit(0.0)) if counts else F.lit(0.0)
+    digest = F.xxhash64(F.col("text"))
+    draw = F.pmod(F.xxhash64("doc_id", digest), F.lit(1 << 30))
+    # an eighth more than the bound is drawn by hash, so that the cut per language moves little
+    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(min(1.0, (1.125 * per_language + 16) / n) * (1 << 30))))
+                         for k, n in sorted(counts.items())], F.lit(0)) if counts else F.lit(0)
 
     @F.pandas_udf("array<int>")
     def sparse(text: pd.Series) -> pd.Series:
@@ -127,10 +128,13 @@ def fit(labelled: DataFrame, bits: int = 12, per_language: int = 800) -> Languag
                        if len(at) else np.zeros(0, np.int32))
         return pd.Series(out)
 
-    sample = rows.where(draw < share).withColumn("_draw", draw).repartition(8 if counts else 1)
-    got = sample.select("lang", "_draw", "doc_id", sparse("text").alias("v")).where(
-        F.size("v") > 0).toPandas().sort_values(["_draw", "doc_id"])
-    got = got.groupby("lang", sort=True).head(per_language)
+    drawn = rows.where((draw < share) & F.col("text").rlike(r"\p{IsAlphabetic}")).withColumn("_draw", draw).withColumn(
+        "_digest", digest)
+    # of equal rows Spark keeps no more than the bound before it brings a language's rows together
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "doc_id", "_digest"))
+    sample = drawn.withColumn("_n", first).where(F.col("_n") <= per_language)
+    got = sample.repartition(8, "_draw").select("lang", "_n", sparse("text").alias("v")).where(
+        F.size("v") > 0).toPandas().sort_values(["lang", "_n"])
     x = np.zeros((len(got), 1 << bits), np.float32)
     for i, v in enumerate(got["v"]):
         at, n = np.asarray(v).reshape(2, -1)

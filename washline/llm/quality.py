@@ -5,10 +5,11 @@ The risk of a small network f over document statistics is
 
     pi * E_P[loss(f, +)] + max(0, E_U[loss(f, -)] - pi * E_P[loss(f, -)])
 
-with the class prior pi estimated from the scores of a first fit: the smallest ratio of the shares
-of unlabelled and positive documents above a threshold, on documents that fit did not see. Labels of
-bad documents are never used. Both samples are bounded (``max_positive``, ``max_unlabelled``); every
-document is scored.
+with the class prior pi estimated from the scores of first fits, each on half of the samples: the smallest
+ratio of the shares of unlabelled and positive documents above a threshold. For this every document outside
+the held-out quarter is scored by the fit that did not see its half, and counted in a histogram. Labels of bad documents are never used. The rows whose gradients are
+taken are bounded samples (``max_positive`` labelled ones, ``max_unlabelled`` of the rest, chosen by a hash
+of the id); the prior, and with it the balance of the risk, comes from all rows, and every document is scored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from washline.llm.common import held_out, scratch_table
+from washline.llm.common import hash_sample, held_out, scratch_table
 from washline.llm.docstats import COUNTS, SHARES, document_counts
 
 THRESHOLD = 0.7
@@ -93,33 +94,57 @@ def _fit(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int, seed: int) ->
     return w
 
 
-def estimate_prior(sp: np.ndarray, su: np.ndarray) -> float:
-    """Smallest ratio of the shares of unlabelled and positive scores above a threshold.
+#: Scores are counted in this many equal bins of the score.
+BINS = 1000
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Smallest ratio of the shares of unlabelled and positive scores above a threshold, from counts of
+    scores per bin (in rising order).
 
     Thresholds leave a twentieth of the positives or more, so that the ratio is not noise.
     """
-    if not len(sp) or not len(su):
+    n_p, n_u = positive.sum(), unlabelled.sum()
+    if not n_p or not n_u:
         return 0.5
-    cuts = np.quantile(sp, np.linspace(0.0, 0.95, 40))
-    p = np.array([(sp >= c).mean() for c in cuts])
-    u = np.array([(su >= c).mean() for c in cuts])
-    error = np.sqrt(u * (1 - u) / len(su)) / p + np.sqrt((1 - p) / p / len(sp)) * u / p
+    p = positive[::-1].cumsum()[::-1] / n_p  # share at or above each bin
+    u = unlabelled[::-1].cumsum()[::-1] / n_u
+    use = p >= 0.05
+    p, u = p[use], u[use]
+    error = np.sqrt(u * (1 - u) / n_u) / p + np.sqrt((1 - p) / p / n_p) * u / p
     return float(np.clip((u / p + error / 2).min(), 0.05, 0.98))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 1500, seed: int = 3) -> QualityModel:
+def histogram(scores: np.ndarray) -> np.ndarray:
+    return np.bincount(np.minimum((scores * BINS).astype(int), BINS - 1), minlength=BINS)
+
+
+def _normed(positive: np.ndarray, unlabelled: np.ndarray) -> QualityModel:
     x = np.concatenate([positive, unlabelled]) if len(positive) + len(unlabelled) else positive
     mean = x.mean(0) if len(x) else np.zeros(positive.shape[1])
     scale = np.maximum(x.std(0), 1e-3) if len(x) else np.ones(positive.shape[1])
-    model = QualityModel(mean, scale, [], 0.5)
+    return QualityModel(mean, scale, [], 0.5)
+
+
+def first_fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 1500, seed: int = 3) -> QualityModel:
+    """A model under the prior 0.5, whose scores order documents well enough to estimate the prior.
+
+    Without positives or unlabelled rows every score is one half."""
+    model = _normed(positive, unlabelled)
     if not len(positive) or not len(unlabelled):
-        d = positive.shape[1]  # nothing to learn from: every score is one half
+        d = positive.shape[1]
         model.weights = [np.zeros((d, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.zeros(1)]
         return model
+    model.weights = _fit(model._norm(positive), model._norm(unlabelled), 0.5, steps // 2, seed)
+    return model
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, seed: int = 3) -> QualityModel:
+    """The model under a class prior."""
+    model = _normed(positive, unlabelled)
+    model.prior = prior
     xp, xu = model._norm(positive), model._norm(unlabelled)
-    first = _fit(xp[::2], xu[::2], 0.5, steps // 2, seed)
-    model.prior = estimate_prior(_forward(first, xp[1::2])[0], _forward(first, xu[1::2])[0])
-    fits = [_fit(xp, xu, model.prior, steps, seed + k) for k in range(3)]
+    fits = [_fit(xp, xu, prior, steps, seed + k) for k in range(3)]
     # three starts as one network: their hidden units side by side, their outputs averaged
     model.weights = [np.concatenate([w[0] for w in fits], 1), np.concatenate([w[1] for w in fits]),
                      np.concatenate([w[2] for w in fits]) / 3, sum(w[3] for w in fits) / 3]
@@ -128,13 +153,28 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 1500, seed: i
 
 def train(counts: DataFrame, labels: DataFrame, max_positive: int = 8_000,
           max_unlabelled: int = 12_000) -> QualityModel:
-    """Fit on statistics of documents outside the held-out quarter, samples chosen by id hash."""
+    """Fit on statistics of documents outside the held-out quarter."""
     open_rows = counts.where(~held_out(F.col("doc_id")))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    good = (labels.where(F.col("quality") == 1).select("doc_id").distinct())
-    positive = open_rows.join(good, "doc_id", "left_semi").orderBy(*order).limit(max_positive).toPandas()
-    unlabelled = open_rows.orderBy(*order).limit(max_unlabelled).toPandas()
-    return fit(features(positive), features(unlabelled))
+    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_good")).distinct()
+    marked = open_rows.join(good, F.col("doc_id") == F.col("_good"), "left").withColumn(
+        "_good", F.col("_good").isNotNull())
+    total = {r["_good"]: r["n"] for r in marked.groupBy("_good").agg(F.count(F.lit(1)).alias("n")).collect()}
+    by = ["doc_id", *COUNTS]
+    half = F.pmod(F.xxhash64(*by, F.lit(1)), F.lit(2)).cast("int").alias("_half")
+    positive = hash_sample(marked.where("_good"), max_positive, total.get(True, 0), *by).select("*", half).toPandas()
+    unlabelled = hash_sample(marked, max_unlabelled, sum(total.values()), *by).select("*", half).toPandas()
+    xp, xu = features(positive), features(unlabelled)
+    if not len(xp) or not len(xu):
+        return first_fit(xp, xu)
+    # a first fit on each half of the samples scores the other half of all rows, which it did not see
+    firsts = [first_fit(xp[positive["_half"] == h], xu[unlabelled["_half"] == h]) for h in (0, 1)]
+    scored = F.when(half == 0, score_column(firsts[1])).otherwise(score_column(firsts[0]))
+    at = F.least(F.floor(scored * BINS), F.lit(BINS - 1)).cast("int")
+    found = marked.select("_good", at.alias("bin")).groupBy("_good", "bin").agg(F.count(F.lit(1)).alias("n")).collect()
+    seen = np.zeros((2, BINS))
+    for r in found:  # at most two rows per bin
+        seen[int(r["_good"]), r["bin"]] += r["n"]
+    return fit(xp, xu, estimate_prior(seen[1], seen.sum(0)))
 
 
 def score_column(model: QualityModel) -> Column:

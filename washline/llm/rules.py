@@ -2,9 +2,9 @@
 
 Each rule is a conjunction of thresholds on document statistics that marks rejects. A rule is grown
 on two thirds of a bounded labelled sample, adding the threshold with the highest FOIL gain until it
-covers (almost) no keeps, then pruned on the other third: final thresholds go as long as that does
-not lower (p - n) / (p + n). Rules that are not precise enough on the third end the search; what a
-rule covers is taken out before the next is grown. The ordered list becomes one Spark conditional
+covers no keeps or nothing gains, then pruned on the other third: final thresholds go as long as that does
+not lower (p - n) / (p + n). A rule that is not precise enough on the third, or covers too few rejects
+there, ends the search (nothing else does); what a rule covers is taken out before the next is grown. The ordered list becomes one Spark conditional
 expression; what no rule matches is kept.
 """
 
@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from washline.llm.common import held_out, scratch_table
+from washline.llm.common import hash_sample, held_out, scratch_table
 from washline.llm.docstats import SHARES, document_counts, share
 
 MIN_WORDS = 50
@@ -80,18 +80,18 @@ def _best(x: dict[str, np.ndarray], bad: np.ndarray) -> tuple[float, Condition |
     return top
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = 12, max_conditions: int = 4,
-          min_precision: float = 0.97, min_support: int = 3, seed: int = 5) -> list[Rule]:
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, min_precision: float = 0.97, min_support: int = 3,
+          seed: int = 5) -> list[Rule]:
     """Sequential covering over feature columns ``x`` and reject labels ``bad``."""
     rng = np.random.default_rng(seed)
     grow = rng.random(len(bad)) < 2 / 3
     alive = np.ones(len(bad), bool)
     rules: list[Rule] = []
     pick = lambda m: {k: v[m] for k, v in x.items()}
-    while len(rules) < max_rules and (alive & grow & bad).any() and (alive & ~grow & bad).any():
+    while (alive & grow & bad).any() and (alive & ~grow & bad).any():
         inside = alive & grow
         conditions: list[Condition] = []
-        while len(conditions) < max_conditions and (inside & ~bad).any():
+        while (inside & ~bad).any():
             _, c = _best(pick(inside), bad[inside])
             if c is None:
                 break
@@ -122,9 +122,9 @@ def learn_from(stats: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> l
     At most ``max_rows`` labelled rows reach the driver, the first by a hash of the id.
     """
     marked = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_q"))
-    rows = stats.join(marked, "doc_id").select(
-        "_q", "doc_id", *[share(n).alias(n) for n in SHARES]
-    ).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).toPandas()
+    rows = stats.join(marked, "doc_id").select("_q", "doc_id", *[share(n).alias(n) for n in SHARES])
+    total = rows.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    rows = hash_sample(rows, max_rows, total, "doc_id", *SHARES).toPandas()
     x = {n: rows[n].to_numpy(float) for n in SHARES}
     return learn(x, rows["_q"].to_numpy() == 0)
 

@@ -2,12 +2,13 @@
 
 Features are hashed words of the whole text, and their first four and five letters, present or
 not. Those tied to the label in the sample (a z-test on their document shares) enter a logistic
-regression. Identity terms (groups of people) in labelled sentences are swapped for other terms of
-the same kind, and the squared change of the score is penalised: a mention of a group then carries
-no weight of its own, so neutral mentions are not false positives.
+regression. Identity terms (groups of people, of one word or several) in labelled texts are swapped for
+other terms of the same kind and left out, each on the whole text (what other words of it also
+contribute stays), and the squared change of the score is penalised: a mention of a group then
+weighs what no mention weighs, so neutral mentions are not false positives.
 
-The sample is bounded (``max_per_label`` documents of each label, chosen by a hash of the id). Its
-documents weigh as many as they stand for, so that the score does not depend on the bound.
+The sample is bounded (``max_per_label`` labelled documents of each label, chosen by a hash of the id).
+Its documents weigh as many as they stand for, so that the score does not depend on the bound.
 Features are counted and chosen on the executors; the driver gets the chosen ones of each sampled
 document only. Scoring is an Arrow UDF over every whole text.
 """
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from washline.llm.common import drop_scratch, free_name, held_out, scratch_table
+from washline.llm.common import drop_scratch, free_name, hash_sample, held_out, scratch_table
 from washline.llm.textfeat import code_points, letter_table
 
 THRESHOLD = 0.3
@@ -31,7 +32,8 @@ U = np.uint64
 _P = U(0x9E3779B97F4A7C15)
 _KIND = np.arange(1, 4, dtype=np.uint64) * U(0xD6E8FEB86659FD93)
 
-# Identity terms by kind; terms of a kind are swapped for one another.
+# Identity terms by kind; terms of a kind are swapped for one another. A parameter of
+# ``train``; terms of several words are written with an underscore.
 IDENTITY_TERMS = {
     "religion": "christian christians muslim muslims jewish jew jews hindu hindus buddhist buddhists "
                 "sikh sikhs atheist atheists catholic catholics protestant protestants",
@@ -41,7 +43,7 @@ IDENTITY_TERMS = {
     "origin": "black white asian asians african africans european europeans american americans "
               "mexican mexicans latino latina hispanic arab arabs chinese indian indians "
               "immigrant immigrants refugee refugees foreigner foreigners",
-    "age and ability": "old young elderly disabled blind deaf autistic",
+    "age and ability": "old young elderly disabled blind deaf autistic wheelchair_user wheelchair_users",
 }
 
 
@@ -78,13 +80,47 @@ def word_features(text: str | None) -> np.ndarray:
     return out
 
 
-def _identity() -> tuple[list[str], np.ndarray, list[np.ndarray]]:
-    """Terms, their word hashes, and for each term the indices of the others of its kind."""
-    kinds = [k.split() for k in IDENTITY_TERMS.values()]
-    terms = [t for k in kinds for t in k]
-    place = {t: i for i, t in enumerate(terms)}
-    others = [np.array([place[o] for o in k if o != t]) for k in kinds for t in k]
-    return terms, np.array([word_features(t)[0, 0] for t in terms], U), others
+@dataclass
+class IdentityTerms:
+    """Identity terms as word hashes, with the features of each and the others of its kind."""
+
+    words: list[np.ndarray]
+    features: list[np.ndarray]
+    others: list[np.ndarray]
+
+    @staticmethod
+    def of(kinds: dict[str, str]) -> IdentityTerms:
+        terms = [(kind, word_features(t.replace("_", " "))) for kind, listed in kinds.items() for t in listed.split()]
+        return IdentityTerms(
+            [f[:, 0] for _, f in terms], [np.unique(f) for _, f in terms],
+            [np.array([j for j, (k, _) in enumerate(terms) if k == kind and j != i], int)
+             for i, (kind, _) in enumerate(terms)])
+
+    def swaps(self, features: np.ndarray, most: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The counterfactuals of a text with these ``word_features``: for each term in it, left out and in the
+        place of ``most`` others, the distinct features that go and those that come."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        heads = np.array([w[0] for w in self.words], U)
+        if not len(features) or not np.isin(heads, features[:, 0]).any():
+            return out
+        for t in np.flatnonzero(np.isin(heads, features[:, 0])):
+            words = self.words[t]
+            n = len(features) - len(words) + 1
+            at = np.flatnonzero(np.logical_and.reduce(
+                [features[k:n + k, 0] == w for k, w in enumerate(words)])) if n > 0 else np.zeros(0, int)
+            if not len(at):
+                continue
+            mine = np.zeros(len(features), bool)
+            for k in range(len(words)):
+                mine[at + k] = True
+            rest = np.unique(features[~mine])
+            gone = np.setdiff1d(features[mine], rest)
+            others = self.others[t]
+            chosen = others[np.argsort(_spread(others.astype(U) * _P + U(t)))[:most]]
+            out.append((gone, np.zeros(0, U)))
+            out += [(np.setdiff1d(gone, self.features[o]), np.setdiff1d(self.features[o], np.concatenate([rest, gone])))
+                    for o in chosen]
+        return out
 
 
 @dataclass
@@ -118,7 +154,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["f", "toxic", "clean"])
 
 
-def select_features(rows: DataFrame, min_docs: int = 5, z: float = 5.0,
+def select_features(rows: DataFrame, min_docs: int = 3, z: float = 5.0,
                     max_features: int = 20_000) -> np.ndarray:
     """Of ``rows`` (_y, f) the features whose share among toxic documents differs from the others'.
 
@@ -138,15 +174,20 @@ def select_features(rows: DataFrame, min_docs: int = 5, z: float = 5.0,
     return np.sort(found["f"].to_numpy(np.int64).view(U))
 
 
+def _known(names: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """The indices in ``names`` of those of ``f`` that are there."""
+    at = np.searchsorted(names, f)
+    at[at == len(names)] = 0
+    return at[names[at] == f]
+
+
 def fit(names: np.ndarray, rows: list[np.ndarray], y: np.ndarray, fairness: float = 5.0,
-        l2: float = 1e-4, steps: int = 1200, swaps: int = 4, seed: int = 1,
+        l2: float = 1e-4, steps: int = 1200, swaps: list[list[tuple[np.ndarray, np.ndarray]]] | None = None,
         weight: np.ndarray | None = None) -> ToxicityModel:
     """Fit weights of the features ``names`` (sorted) on distinct hashes per document and labels ``y``.
 
-    Rows need hold no other features than ``names`` and the words of identity terms.
-
-    ``fairness`` weighs the counterfactual penalty: mean over documents with identity terms and
-    over up to ``swaps`` replacements of (score logit of the document - of its swapped copy)^2.
+    ``swaps``: the counterfactuals of each row (``IdentityTerms.swaps``). ``fairness`` weighs their penalty: mean
+    over them of (score logit of the document - of its counterfactual)^2.
     ``weight``: how many documents a row stands for, in both means and the intercept (default 1).
     """
     y = np.asarray(y, bool)
@@ -157,32 +198,21 @@ def fit(names: np.ndarray, rows: list[np.ndarray], y: np.ndarray, fairness: floa
     model = ToxicityModel(names, np.zeros(len(names)), float(np.log(share / (1 - share))))
     if not len(names):
         return model
-    index, doc = [], []
-    for i, r in enumerate(rows):
-        at = np.searchsorted(names, r)
-        at[at == len(names)] = 0
-        at = at[names[at] == r]
-        index.append(at)
-        doc.append(np.full(len(at), i))
-    index, doc = np.concatenate(index), np.concatenate(doc)
-
-    # counterfactuals: rows of feature differences, +1 for what the term has, -1 for its replacement
-    terms, term_names, others = _identity()
-    term_features = [np.unique(word_features(t)) for t in terms]
-    rng = np.random.default_rng(seed)
+    index = [_known(names, r) for r in rows]
+    doc = np.repeat(np.arange(len(rows)), [len(i) for i in index])
+    index = np.concatenate(index)
+
+    # counterfactuals: rows of feature differences, +1 for what goes, -1 for what comes
     diff_row, diff_at, diff_sign, diff_weight, n = [], [], [], [], 0
-    for i, r in enumerate(rows):
-        for t in np.flatnonzero(np.isin(term_names, r)):
-            for o in rng.choice(others[t], min(swaps, len(others[t])), replace=False):
-                for sign, f in ((1.0, term_features[t]), (-1.0, term_features[o])):
-                    at = np.searchsorted(names, f)
-                    at[at == len(names)] = 0
-                    at = at[names[at] == f]
-                    diff_row += [n] * len(at)
-                    diff_at += at.tolist()
-                    diff_sign += [sign] * len(at)
-                diff_weight.append(weight[i])
-                n += 1
+    for i, found in enumerate(swaps or []):
+        for gone, new in found:
+            for sign, f in ((1.0, gone), (-1.0, new)):
+                at = _known(names, f)
+                diff_row += [n] * len(at)
+                diff_at += at.tolist()
+                diff_sign += [sign] * len(at)
+            diff_weight.append(weight[i])
+            n += 1
     diff_row, diff_at = np.array(diff_row, int), np.array(diff_at, int)
     diff_sign, diff_weight = np.array(diff_sign, float), np.array(diff_weight, float)
     diff_weight /= max(diff_weight.sum(), 1e-12)
@@ -208,40 +238,48 @@ def fit(names: np.ndarray, rows: list[np.ndarray], y: np.ndarray, fairness: floa
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, max_per_label: int = 4_000,
-          fairness: float = 5.0) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, max_per_label: int = 4_000, fairness: float = 5.0,
+          identity_terms: dict[str, str] | None = None) -> ToxicityModel:
     """Fit on labelled documents outside the held-out quarter, a bounded sample of each label.
 
     A drawn document weighs its label's number of documents over the number drawn of it, so both
-    labels keep the share they have among all training documents. Null labels and labels of unknown documents teach nothing; without labels of both kinds the model gives one
-    score for every text.
+    labels keep the share they have among all training documents. Null labels and labels of
+    documents that are not in ``docs`` teach nothing and take no place in the sample; of rows with one
+    id the one with the smallest text hash teaches. Without labels of both kinds the model gives one
+    score for every text. ``identity_terms``: kinds and their terms (default ``IDENTITY_TERMS``).
     """
     marked = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(
-        "doc_id").agg((F.max("toxic") == 1).alias("_y"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+        "doc_id").agg((F.max("toxic") == 1).alias("_y")).join(docs.select("doc_id"), "doc_id", "left_semi")
+    marked, marked_path = scratch_table(marked, "toxicity-labels")
     total = {r["_y"]: r["n"] for r in marked.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sample = marked.where("_y").orderBy(*order).limit(max_per_label).unionByName(
-        marked.where(~F.col("_y")).orderBy(*order).limit(max_per_label))
-
-    @F.pandas_udf("array<bigint>")
-    def hashed(text: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(word_features(t)).view(np.int64) for t in text])
-
-    rows, path = scratch_table(docs.select("doc_id", "text").join(sample, "doc_id").select(
-        "doc_id", "_y", hashed("text").alias("f")), "toxicity")
+    sample = hash_sample(marked.where("_y"), max_per_label, total.get(True, 0), "doc_id").unionByName(
+        hash_sample(marked.where(~F.col("_y")), max_per_label, total.get(False, 0), "doc_id"))
+    terms = IdentityTerms.of(IDENTITY_TERMS if identity_terms is None else identity_terms)
+
+    @F.pandas_udf("f array<bigint>, swaps array<struct<gone:array<bigint>,new:array<bigint>>>")
+    def hashed(text: pd.Series) -> pd.DataFrame:
+        found = [word_features(t) for t in text]
+        return pd.DataFrame({
+            "f": [np.unique(f).view(np.int64) for f in found],
+            "swaps": [[{"gone": g.view(np.int64), "new": x.view(np.int64)} for g, x in terms.swaps(f)] for f in found]})
+
+    taught = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "_y").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows, path = scratch_table(taught.withColumn("_f", hashed("text")).select("doc_id", "_y", "_f.f", "_f.swaps"),
+                               "toxicity")
     names = select_features(rows)
-    wanted = np.union1d(names, _identity()[1])
 
     @F.pandas_udf("array<bigint>")
     def known(f: pd.Series) -> pd.Series:
-        return pd.Series([np.intersect1d(np.asarray(x, np.int64).view(U), wanted).view(np.int64)
-                          for x in f])
+        return pd.Series([np.intersect1d(np.asarray(x, np.int64).view(U), names).view(np.int64) for x in f])
 
-    got = rows.select("doc_id", "_y", known("f").alias("f")).toPandas().sort_values("doc_id")
-    drop_scratch(docs.sparkSession, path)
+    got = rows.select("doc_id", "_y", known("f").alias("f"), "swaps").toPandas().sort_values("doc_id")
+    drop_scratch(docs.sparkSession, path, marked_path)
     y = got["_y"].to_numpy(bool)
     stands_for = {k: n / min(n, max_per_label) for k, n in total.items()}
-    return fit(names, [np.asarray(f, np.int64).view(U) for f in got["f"]], y, fairness=fairness,
+    words = lambda f: np.asarray(f, np.int64).view(U)
+    return fit(names, [words(f) for f in got["f"]], y, fairness=fairness,
+               swaps=[[(words(s["gone"]), words(s["new"])) for s in found] for found in got["swaps"]],
                weight=np.array([stands_for[k] for k in y.tolist()], float))
 
 
