@@ -51,3 +51,31 @@ def test_nulls_empty_and_repeated_rows(spark, docs):
     assert mixing.mix(docs([])).count() == 0
     out = mixing.emit(docs(rows).withColumn("size", F.lit("clash")).withColumn("copies", F.lit(1)))
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "copies"]
+
+
+def test_rows_without_ids_and_equal_rows_spread_over_the_line(spark, docs):
+    rows = [(None, f"text {i} " + "w " * (i % 50), "en", "hot") for i in range(3000)]
+    rows += [(7, "the same text", "en", "hot")] * 2000 + [(i, "x y z", "en", "b") for i in range(1000)]
+    table = docs(rows)
+    mixed = mixing.mix(table, cell_rows=200)
+    assert mixed.count() == len(rows)
+    for r in mixed.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"),
+                                         F.first("target").alias("target")).collect():
+        assert abs(r.taken - r.target) < 0.03 * r.target
+    # no cell gets much more than its share
+    sized = mixing._sized(table)
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("digest"))
+    cells = sized.where("source = 'hot'").distinct().groupBy(mixing._hash20(key) % 25).count()
+    assert cells.agg(F.max("count")).first()[0] < 200
+    # what is emitted is what the counts say
+    out = mixing.emit(table, cell_rows=200)
+    want = {(r.doc_id, r.size, r.source): r.n for r in mixed.groupBy("doc_id", "size", "source").agg(
+        F.sum("copies").alias("n")).collect() if r.n}
+    got = {(r.doc_id, r.size, r.source): r.n for r in mixing._sized(out).groupBy("doc_id", "size", "source").agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    assert got == want
+
+
+def test_a_very_long_text(spark, docs):
+    got = mixing.mix(docs([(1, "word " * 1_000_000, None, "a"), (2, "b", None, "b")])).collect()
+    assert {r.doc_id: r["size"] for r in got} == {1: 1_000_000, 2: 1}

@@ -12,8 +12,10 @@ integer boundary it crosses. Documents lie on the line by size, so that every st
 neighbours has much the same size and the words taken come close to the target.
 
 A source may hold a third of all rows. Its line is therefore cut into cells of about
-``cell_rows`` documents by a hash of the id: per-cell counts are summed (a partial aggregate), the
-small cell table is prefix-summed within the source, and rows are numbered within cells only.
+``cell_rows`` documents by a hash of id and text: per-cell counts are summed (a partial aggregate), the
+small cell table is prefix-summed within the source, and rows are numbered within cells only. Equal rows
+(id, text and source) are counted before they are placed, so that neither they nor rows without an id
+fill a cell; they take one stretch of the line and are told apart again afterwards.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from washline.llm.common import word_count
+from washline.functions.running import checkpointed
+from washline.llm.common import free_name, word_count
 
 _UNIT = 1 << 20
 
@@ -70,54 +73,90 @@ def targets(stats: DataFrame, weights: tuple[int, ...] = (1, 2, 3),
         .alias("offset"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: float = 3.0,
-        share: float = 1.0, cell_rows: int = 20_000, carry: tuple[str, ...] = ()) -> DataFrame:
-    """The mix of ``docs`` (doc_id, text, source and any others) as a copy count per document.
+def _sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size and a digest of the text, from one pass over the texts."""
+    return docs.select(
+        "doc_id", "source", word_count(F.col("text")).alias("size"),
+        F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
 
-    Returns doc_id, the ``carry`` columns, size (words), source, source_size, target, expected
-    (copies) and copies. Every input row gives one row; repeated rows are separate documents that
-    may get different counts. Null text has size 0; null sources form one source, the last in
-    order; null ids are ordinary (smallest) ids. A source without words has target 0 and no
-    copies; so has an empty table no rows.
-    """
-    sized = docs.select("doc_id", *carry, F.col("source"), word_count(F.col("text")).alias("size"))
-    if not carry:
-        sized = sized.checkpoint()  # texts are read once; three narrow columns are kept
+
+def _mixed(sized: DataFrame, weights: tuple[int, ...], max_repeat: float, share: float, cell_rows: int) -> DataFrame:
+    """One row per distinct (doc_id, source, digest): n (equal rows), size, source_size, target, expected,
+    offset and end, the stretch of the line up to which its rows reach."""
+    rows = sized.groupBy("source", "doc_id", "digest", "size").agg(F.count(F.lit(1)).alias("n"))
     stats = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"),
                                         F.sum("size").alias("source_size"))
     goal = targets(stats, weights, max_repeat, share).select(
         F.col("source").alias("_s"), "n_docs", "source_size", "target", "offset",
         F.greatest(F.lit(1), F.ceil(F.col("n_docs") / cell_rows)).cast("long").alias("_cells"))
-    placed = sized.join(goal, sized["source"].eqNullSafe(goal["_s"]), "left").withColumn(
-        "_cell", _hash20(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % F.col("_cells"))
-    cells = placed.groupBy("_s", "_cell").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("digest"))
+    placed = rows.join(goal, rows["source"].eqNullSafe(goal["_s"]), "left").withColumn(
+        "_cell", _hash20(key) % F.col("_cells"))
+    cells = placed.groupBy("_s", "_cell").agg(F.sum("n").alias("_n")).withColumn(
         "_before", F.coalesce(F.sum("_n").over(
             Window.partitionBy("_s").orderBy("_cell")
             .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     cells = cells.select(F.col("_s").alias("_cs"), F.col("_cell").alias("_cc"), "_before")
-    in_cell = Window.partitionBy("_s", "_cell").orderBy("size", "doc_id")
-    line = placed.withColumn("_i", F.row_number().over(in_cell)).join(
+    in_cell = Window.partitionBy("_s", "_cell").orderBy("size", "doc_id", "digest").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    line = placed.withColumn("_i", F.sum("n").over(in_cell)).join(
         cells, placed["_s"].eqNullSafe(cells["_cs"]) & (placed["_cell"] == cells["_cc"]), "left")
     expected = F.when(F.col("source_size") > 0,
                       F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    end = F.col("_before") + F.col("_i")
-    copies = (F.floor(end * F.col("expected") + F.col("offset"))
-              - F.floor((end - 1) * F.col("expected") + F.col("offset")))
-    return line.withColumn("expected", expected).select(
-        "doc_id", *carry, "size", "source", "source_size", "target", "expected",
+    return line.withColumn("expected", expected).withColumn("end", F.col("_before") + F.col("_i")).select(
+        "doc_id", "source", "digest", "n", "size", "source_size", "target", "expected", "offset", "end")
+
+
+def _boundaries(end: Column) -> Column:
+    """Integer boundaries crossed up to a place on the line."""
+    return F.floor(end * F.col("expected") + F.col("offset"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: float = 3.0,
+        share: float = 1.0, cell_rows: int = 20_000) -> DataFrame:
+    """The mix of ``docs`` (doc_id, text, source and any others) as a copy count per document.
+
+    Returns doc_id, size (words), source, source_size, target, expected
+    (copies) and copies. Every input row gives one row; repeated rows are separate documents that
+    may get different counts. Null text has size 0; null sources form one source, the last in
+    order; null ids are ordinary (smallest) ids. A source without words has target 0 and no
+    copies; so has an empty table no rows.
+    """
+    sized = checkpointed(_sized(docs))  # texts are read once; narrow columns are kept
+    line = _mixed(sized, weights, max_repeat, share, cell_rows)
+    each = line.withColumn("_place", F.explode(F.sequence(F.col("end") - F.col("n") + 1, F.col("end"))))
+    copies = _boundaries(F.col("_place")) - _boundaries(F.col("_place") - 1)
+    return each.select(
+        "doc_id", "size", "source", "source_size", "target", "expected",
         F.least(copies.cast("long"), F.lit(int(max_repeat))).alias("copies"))
 
 
-def emit(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: float = 3.0) -> DataFrame:
+def emit(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: float = 3.0,
+         cell_rows: int = 20_000) -> DataFrame:
     """The mixed corpus: each document of ``docs`` as often as the mix takes it, all columns kept.
 
-    The counts are made from the ids and joined back by id, so texts are moved once at most.
+    The counts are made from ids and digests and joined back by them, so whole rows are moved once. Rows of
+    equal id, text and source are one document several times over: its copies carry the columns of one of them.
     """
-    keyed = docs.withColumn("_row", F.struct(*docs.columns))
-    mixed = mix(keyed, weights, max_repeat, carry=("_row",))
-    return (mixed.where(F.col("copies") > 0)
-            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-            .select("_row.*"))
+    sized = checkpointed(_sized(docs))
+    taken = (_boundaries(F.col("end")) - _boundaries(F.col("end") - F.col("n"))).cast("long")
+    counts = _mixed(sized, weights, max_repeat, 1.0, cell_rows).select("doc_id", "source", "digest", "n", taken.alias("copies"))
+    counts = checkpointed(counts)
+    wanted = counts.where(F.col("copies") > 0)
+    names = {c: free_name(docs, f"_{c}") for c in ("doc_id", "source", "digest", "copies", "n")}
+    wanted = wanted.withColumnsRenamed(names)
+    same = (docs["doc_id"].eqNullSafe(F.col(names["doc_id"])) & docs["source"].eqNullSafe(F.col(names["source"]))
+            & (F.md5(F.coalesce(docs["text"], F.lit(""))) == F.col(names["digest"])))
+    hit = docs.join(wanted.hint("merge"), same)
+    once = hit.where(F.col(names["n"]) == 1)
+    # equal rows: the first of each task, then of all, stands for them
+    several = hit.where(F.col(names["n"]) > 1)
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    several = several.groupBy(names["doc_id"], names["source"], names["digest"]).agg(
+        F.first(row).alias("_row"), F.first(names["copies"]).alias("_times")).select("_row.*", F.col("_times").alias(names["copies"]))
+    out = once.select(*docs.columns, names["copies"]).unionByName(several)
+    times = F.sequence(F.lit(1), F.col(names["copies"]).cast("int"))
+    return out.withColumn(names["n"], F.explode(times)).select(*docs.columns)
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:
@@ -129,7 +168,8 @@ def op2_query(spark, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source,
-         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5(coalesce(text, '')) AS digest
   FROM documents
 ), stats AS (
   SELECT source, count(*) AS n_docs, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
@@ -155,13 +195,13 @@ WITH sized AS (
          greatest(1, ceil(n_docs / 20000.0))::BIGINT AS cells
   FROM levelled
 ), placed AS (
-  SELECT s.doc_id, s.size, g.source, g.source_size, g.target, g.shift,
+  SELECT s.doc_id, s.size, s.digest, g.source, g.source_size, g.target, g.shift,
          CASE WHEN g.source_size > 0 THEN g.target / g.source_size::DOUBLE ELSE 0.0::DOUBLE END
            AS expected,
-         ('0x' || substr(md5(coalesce(s.doc_id::VARCHAR, '')), 1, 5))::BIGINT % g.cells AS cell
+         ('0x' || substr(md5(coalesce(s.doc_id::VARCHAR, '') || ':' || s.digest), 1, 5))::BIGINT % g.cells AS cell
   FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source
 ), line AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY cell, size, doc_id NULLS FIRST) AS pos
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY cell, size, doc_id NULLS FIRST, digest) AS pos
   FROM placed
 )
 SELECT doc_id, size, source_size, target,
