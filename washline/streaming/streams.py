@@ -14,16 +14,17 @@ import os
 import uuid
 from types import SimpleNamespace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from washline.functions.formatting import instant_to_ntz, ntz_to_instant
+from washline.functions.formatting import instant_to_ntz, ntz_to_instant, strip
 from washline.functions.running import checkpointed
 from washline.operators import changes
 from washline.operators.outbox import pickup_outbox
 from washline.session import checkpoint_dir
 from washline.sources import views
 from washline.sources.tables import Tables
+from washline.streaming import order_state as keyed
 
 
 def table_stream(spark: SparkSession, root: str, name: str, max_bytes: int = 512 << 20) -> DataFrame:
@@ -95,54 +96,57 @@ def daily_sales(spark: SparkSession, root: str) -> DataFrame:
 
 
 # --- ST-3: order state --------------------------------------------------------------
-# A change request may arrive after later ones of its order, in any cut of the input into
-# micro-batches. So each micro-batch is added to a log, and every order it touches is folded again
-# from the log by the batch fold: the newest decision on a request is the one in force, and the
-# outcome does not depend on how the input was cut or in which order files came.
+# A stateful operator holds one state per order (``streaming.order_state``). Everything a run keeps is below one
+# base folder: decisions and messages with the checkpoints of their queries. The same base again goes on from there.
 
 def change_stream(spark: SparkSession, root: str, max_bytes: int = 512 << 20) -> DataFrame:
     return views.change_events(SimpleNamespace(events=table_stream(spark, root, "events", max_bytes)))
 
 
-def fold_into(spark: SparkSession, root: str, base: str, max_bytes: int = 512 << 20) -> None:
-    """Drain the change stream into ``base``: log and decisions, one folder per micro-batch.
+class _rocksdb:
+    """While active, new streaming queries keep their state in RocksDB."""
+
+    KEY = "spark.sql.streaming.stateStore.providerClass"
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> None:
+        self.old = self.spark.conf.get(self.KEY, None)
+        self.spark.conf.set(self.KEY, keyed.PROVIDER)
+
+    def __exit__(self, *exc) -> None:
+        if self.old is None:
+            self.spark.conf.unset(self.KEY)
+        else:
+            self.spark.conf.set(self.KEY, self.old)
 
-    A replayed micro-batch replaces its own folders. A request that comes twice (the same event_id,
-    in several files) counts once."""
-    tx = views.transactions(Tables(spark, root), with_customer=False)
 
-    def fold(batch: DataFrame, n: int) -> None:
-        session = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{base}/log/batch={n}")
-        log = session.read.parquet(f"{base}/log")
-        touched = log.where(F.col("batch") == n).select(F.col("order_id").alias("_o")).distinct()
-        rows = log.join(touched, log["order_id"].eqNullSafe(touched["_o"]), "left_semi").drop(
-            "batch").dropDuplicates(["event_id"])
-        changes.annotate(rows, tx).write.mode("overwrite").parquet(f"{base}/folded/batch={n}")
+def _drain(stream: DataFrame, base: str, name: str) -> None:
+    """Run a stream over all that is there, into ``base/name``."""
+    with _rocksdb(stream.sparkSession):
+        (stream.writeStream.trigger(availableNow=True).outputMode("append").format("parquet")
+         .option("checkpointLocation", f"{base}/{name}-checkpoint").option("path", f"{base}/{name}")
+         .start().awaitTermination())
 
-    (change_stream(spark, root, max_bytes).writeStream.trigger(availableNow=True)
-     .option("checkpointLocation", f"{base}/checkpoint").foreachBatch(fold).start().awaitTermination())
+
+def decide_into(spark: SparkSession, root: str, base: str, max_bytes: int = 512 << 20) -> None:
+    """Drain the change stream: decisions into ``base/decisions``."""
+    tx = views.transactions(Tables(spark, root), with_customer=False)
+    _drain(keyed.decide_stream(change_stream(spark, root, max_bytes), tx), base, "decisions")
 
 
 def decisions(spark: SparkSession, base: str) -> DataFrame:
-    """Every request so far with its decision in force, as ``changes.annotate`` gives it."""
-    folded = spark.read.parquet(f"{base}/folded")
-    columns = [c for c in folded.columns if c not in ("batch", "event_id")]
-    return folded.groupBy("event_id").agg(F.max_by(F.struct(*columns), "batch").alias("_r")).select(
-        "event_id", "_r.*")
+    """Every request so far with its decision in force."""
+    found = spark.read.schema(keyed.DECISION).parquet(f"{base}/decisions")
+    return keyed.in_force(found).withColumn("reason", strip("reason"))
 
 
 def late_requests(spark: SparkSession, base: str) -> DataFrame:
     """Requests that came in a later micro-batch than a later request of their order: the ones that
     may have changed earlier decisions."""
-    log = spark.read.parquet(f"{base}/log").groupBy("event_id").agg(
-        F.min("batch").alias("batch"), F.first("order_id").alias("order_id"), F.first("ts").alias("ts"))
-    newest = log.groupBy("order_id", "batch").agg(F.max("ts").alias("_newest"))
-    # one row per order and micro-batch: the newest time of the earlier micro-batches
-    w = Window.partitionBy("order_id").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = newest.select("order_id", "batch", F.max("_newest").over(w).alias("_before"))
-    return log.join(earlier, ["order_id", "batch"]).where(F.col("ts") < F.col("_before")).select(
-        "event_id", "order_id", "ts", "batch")
+    return spark.read.schema(keyed.DECISION).parquet(f"{base}/decisions").where("late").select(
+        "event_id", "order_id", "ts").distinct()
 
 
 def order_state(decided: DataFrame, tx: DataFrame) -> DataFrame:
@@ -153,24 +157,39 @@ def order_state(decided: DataFrame, tx: DataFrame) -> DataFrame:
         "transaction_id", "void_status", "payment_status", "status", "accepted_changes")
 
 
-def drained(spark: SparkSession, root: str, result, max_bytes: int = 512 << 20) -> DataFrame:
-    """``result`` of the decisions of a run over all available input; the run's folders are removed."""
-    base = _scratch(spark, "order_fold")
-    fold_into(spark, root, base, max_bytes)
-    out = checkpointed(result(decisions(spark, base)))
+def _removed(spark: SparkSession, base: str, result: DataFrame) -> DataFrame:
+    """``result``, written, after the run's folders are removed."""
+    out = checkpointed(result)
     path = spark._jvm.org.apache.hadoop.fs.Path(base)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return out
 
 
 def current_orders(spark: SparkSession, root: str, max_bytes: int = 512 << 20) -> DataFrame:
+    """The state of the changed orders after a run over all available input."""
+    base = _scratch(spark, "order_state")
+    decide_into(spark, root, base, max_bytes)
     tx = views.transactions(Tables(spark, root), with_customer=False)
-    return drained(spark, root, lambda d: order_state(d, tx), max_bytes)
+    return _removed(spark, base, order_state(decisions(spark, base), tx))
 
 
 # --- ST-2: outbox -------------------------------------------------------------------
 
+def outbox_into(spark: SparkSession, root: str, base: str) -> DataFrame:
+    """Drain the decisions of ``base`` into messages, appended to ``base/outbox``; gives all messages so far.
+
+    A message goes out when its request is first accepted, and once: later decisions on a request do not send
+    again, a repeated decision row is dropped by its event id, and a restarted query goes on behind the rows it
+    has read. What a late request makes of a message that is out already is for its reader to see in ``decisions``."""
+    ready = (spark.readStream.schema(keyed.DECISION).parquet(f"{base}/decisions").where("first_ready")
+             .withColumn("_sent_at", F.current_timestamp()).withWatermark("_sent_at", "1 hour")
+             .dropDuplicatesWithinWatermark(["event_id"]))
+    _drain(pickup_outbox(ready, views.transactions(Tables(spark, root)), views.system_config(spark)), base, "outbox")
+    return spark.read.parquet(f"{base}/outbox")
+
+
 def outbox(spark: SparkSession, root: str, max_bytes: int = 512 << 20) -> DataFrame:
-    """The batch outbox over the decisions in force."""
-    tx = views.transactions(Tables(spark, root))
-    return drained(spark, root, lambda d: pickup_outbox(d, tx, views.system_config(spark)), max_bytes)
+    """All messages of a run over all available input."""
+    base = _scratch(spark, "outbox")
+    decide_into(spark, root, base, max_bytes)
+    return _removed(spark, base, outbox_into(spark, root, base))
