@@ -86,6 +86,20 @@ def test_running_equals_plain_window(spark, keys, minutes):
         assert {r.id: (r.l, r.s) for r in got.collect()} == expect
 
 
+@pytest.mark.parametrize("seed,orders,partitions", [(1, 12, 4), (4, 1, 9)])
+def test_void_only_fold_equals_the_whole_one(spark, seed, orders, partitions):
+    base, events = _random_log(seed, orders)
+    tx = spark.createDataFrame(base, "transaction_id long, status string, payment_status string, void_status string")
+    ev = spark.createDataFrame([*events, (9000, dt.datetime(2024, 1, 1), 777, "VOID", 1, True, "r")],
+                               "event_id long, ts timestamp_ntz, order_id long, action string, "
+                               "actor_id long, is_admin boolean, reason string")
+    whole = changes.annotate(ev, tx, partitions).where("kind = 'void'")
+    some = changes.void_decisions(ev, tx, partitions)
+    rows = lambda d: {(r.event_id, r.accepted, r.new_value, r.reason) for r in d.collect()}
+    assert rows(some) == rows(whole)
+    assert {tuple(r) for r in changes.fold_voids(some).collect()} == {tuple(r) for r in changes.fold_voids(whole).collect()}
+
+
 def test_unknown_orders_are_refused(spark):
     tx = spark.createDataFrame([(1, "In-queue", "Paid", "Active", "ORD-99")],
                                "transaction_id long, status string, payment_status string, "

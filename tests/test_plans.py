@@ -51,3 +51,32 @@ def test_rank_numbers_inside_range_partitions(spark):
     df = spark.range(5000).select(F.col("id"), (F.col("id") % 17).alias("x"))
     plan = global_row_number(df, [F.col("x").desc(), F.col("id")])._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"row_number\(\) windowspecdefinition\(__part#", plan)
+
+
+def test_report_ranges_reach_the_scan_on_both_time_columns(spark, tmp_path):
+    from washline.operators import kpi
+    from washline.plans.context import AS_OF, WINDOW
+    from washline.sources import views
+    from washline.sources.tables import Tables
+
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(o_orderdate", _plan(QUERIES["report_kpis"](spark, SMALL)))
+    # where void_at is a stored column its range is pushed too
+    views.transactions(Tables(spark, SMALL), with_customer=False).write.parquet(f"{tmp_path}/tx")
+    plan = _plan(kpi.report_kpis(spark.read.parquet(f"{tmp_path}/tx"), WINDOW, AS_OF))
+    for column in ("created_at", "void_at"):
+        assert re.search(rf"PushedFilters: \[[^\]]*GreaterThanOrEqual\({column}", plan)
+
+
+def test_checks_run_no_fold(spark):
+    for key in ("dq_unique", "dq_nulls", "dq_enum", "dq_length", "dq_fk_orphans"):
+        group = f"build-{key}"
+        spark.sparkContext.setJobGroup(group, key)
+        QUERIES[key](spark, SMALL)
+        # opening a table may read a footer; a fold would run dozens of jobs
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 10, key
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_receipts_scan_each_table_few_times(spark):
+    plan = _plan(QUERIES["receipt_history"](spark, SMALL))
+    assert len(re.findall(r"ReadSchema", plan)) <= 8

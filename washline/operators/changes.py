@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from washline.functions.formatting import is_blank, strip
-from washline.functions.running import PART, attach, before, carry, crossing, cut, edge_rows
+from washline.functions.running import PART, attach, before, carry, crossing, cut, edge_rows, running
 
 ORDER = ["ts", "event_id"]
 KEYS = ["order_id"]
@@ -208,6 +208,23 @@ def _decide(ev: DataFrame) -> DataFrame:
     )
 
 
+def void_decisions(changes: DataFrame, tx: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The decisions on VOID and REVERT_VOID requests only: nothing else changes void state, so the other
+    requests, payment and status are left out from the start. Same columns as ``annotate`` as far as
+    ``fold_voids`` needs them."""
+    base = tx.select(F.col("transaction_id").alias("_base_id"), F.col("void_status").alias("base_void"))
+    asked = changes.where(_void_kind()).select("event_id", "ts", "order_id", "action", "is_admin", "reason")
+    ev = asked.join(base, asked["order_id"] == base["_base_id"], "left")
+    ev = running(ev, KEYS, ORDER, lasts={"_last": _target_v()}, partitions=partitions)
+    before_it = F.coalesce("_last", "base_void")
+    target = F.when(_action() == "VOID", "Voided").otherwise("Active")
+    return ev.select(
+        "event_id", "ts", "order_id", strip("reason").alias("reason"), F.lit("void").alias("kind"),
+        target.alias("new_value"),
+        (F.col("_base_id").isNotNull() & _target_v().isNotNull() & F.coalesce(before_it != target, F.lit(True)))
+        .alias("accepted"))
+
+
 def _per_order_last(acc: DataFrame, fields: list[str]) -> DataFrame:
     """Last accepted change per order, as a partial aggregate (no hot-key window)."""
     return acc.groupBy("order_id").agg(

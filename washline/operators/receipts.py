@@ -90,11 +90,14 @@ def receipt_history(tx: DataFrame, lines: DataFrame, services: DataFrame,
         "transaction_id", F.col("_e.section").alias("section"), F.lit(None).cast("string").alias("batch_id"),
         F.lit(0).alias("sub"), F.lit(None).cast("string").alias("item_id"), F.col("_e.text").alias("text"))
     named = lines.join(services.select("service_id", "service_name"), "service_id")
-    body = named.select(
-        "transaction_id", F.lit(1).alias("section"), "batch_id", F.lit(0).alias("sub"),
-        F.lit(None).cast("string").alias("item_id"),
-        F.concat(F.col("service_name"), F.lit(" ("), F.col("weight").cast("string"), F.lit("kg)"), nl,
-                 F.lit("  Subtotal: "), money("subtotal")).alias("text"))
+    # the line and, behind its add-ons, a blank one: both from one pass over the lines
+    both = named.select("transaction_id", "batch_id", F.explode(F.array(
+        F.struct(F.lit(0).alias("sub"), F.concat(
+            F.col("service_name"), F.lit(" ("), F.col("weight").cast("string"), F.lit("kg)"), nl,
+            F.lit("  Subtotal: "), money("subtotal")).alias("text")),
+        F.struct(F.lit(2).alias("sub"), F.lit("").alias("text")))).alias("_e"))
+    body = both.select("transaction_id", F.lit(1).alias("section"), "batch_id", F.col("_e.sub").alias("sub"),
+                       F.lit(None).cast("string").alias("item_id"), F.col("_e.text").alias("text"))
     # add-on rows need their order id: take it from the line they belong to
     extra = (batch_addons.join(addons.select("addon_id", "addon_name"), "addon_id")
              .join(named.select("batch_id", "transaction_id"), "batch_id")
@@ -102,9 +105,7 @@ def receipt_history(tx: DataFrame, lines: DataFrame, services: DataFrame,
                      F.col("batch_addon_id").alias("item_id"),
                      F.concat(F.lit("  + Add-on: "), F.col("addon_name"), F.lit(" ("), money("subtotal"),
                               F.lit(")")).alias("text")))
-    # a blank line closes each order line, after its add-ons
-    blank = body.withColumn("sub", F.lit(2)).withColumn("text", F.lit(""))
-    return header.unionByName(body).unionByName(extra).unionByName(blank)
+    return header.unionByName(body).unionByName(extra)
 
 
 def receipt_active_text(tx: DataFrame, lines: DataFrame, services: DataFrame, category: DataFrame,

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from washline.functions import timewin
 from washline.functions.formatting import day_label
+from washline.operators.kpi import share_label
 
 CELL = ["created_day", "void_day", "status", "payment_status", "void_status"]
 
@@ -82,7 +83,7 @@ def payment_mix(cells: DataFrame, window: str, as_of) -> DataFrame:
     total = F.sum("_amt").over(Window.partitionBy()).cast("double")
     share = F.lit(100.0) * F.col("_amt").cast("double") / total
     return grouped.select("payment_status", F.col("_amt").cast("double").alias("sum_amount"), share.alias("share_pct"),
-                          F.format_string("%.1f%%", share).alias("share_label"))
+                          share_label(share).alias("share_label"))
 
 
 def time_windows(cells: DataFrame, as_of) -> DataFrame:

@@ -65,14 +65,6 @@ def order_explode_addons(addons: DataFrame) -> DataFrame:
 
 # --- inserts ------------------------------------------------------------------------
 
-TX_TYPES = [("transaction_id", "long"), ("display_id", "string"), ("customer_name", "string"),
-            ("customer_email", "string"), ("customer_contact", "string"), ("overall_note", "string"),
-            ("pickup_date", "timestamp_ntz"), ("status", "string"), ("payment_status", "string"),
-            ("total_amount", "decimal(10,2)"), ("created_by", "long"), ("void_status", "string"),
-            ("void_reason", "string"), ("void_at", "timestamp_ntz"), ("created_at", "timestamp_ntz"),
-            ("updated_at", "timestamp_ntz")]
-
-
 def append_with_defaults(rows: DataFrame, table: str, types: list[tuple[str, str]], as_of) -> DataFrame:
     """Complete partial rows with the table's column defaults ("now" = as_of).
     A blank e-mail is stored as NULL; names are stored without blanks around them."""

@@ -8,9 +8,62 @@ end, as on the Spark side, so both engines return identical values.
 
 from __future__ import annotations
 
-from washline.functions.timewin import WINDOWS, bounds, sql_in_window
-from washline.plans.context import AS_OF, WINDOW
-from washline.sources import schemas
+# Fixed values of the report inputs and the order schema, written out here so that the check shares nothing
+# with what it checks.
+AS_OF = "1998-10-15"
+WINDOW = "This Month"
+WINDOWS = {
+    "Today": "{c} >= TIMESTAMP '1998-10-15 00:00:00' AND {c} < TIMESTAMP '1998-10-16 00:00:00'",
+    "Last 7 Days": "{c} >= TIMESTAMP '1998-10-08 00:00:00'",
+    "This Month": "{c} >= TIMESTAMP '1998-10-01 00:00:00' AND {c} < TIMESTAMP '1998-11-01 00:00:00'",
+    "This Year": "{c} >= TIMESTAMP '1998-01-01 00:00:00' AND {c} < TIMESTAMP '1999-01-01 00:00:00'",
+    "All Time": "TRUE",
+}
+CONFIG_SEED = [('admin_email', 'your-business@gmail.com'), ('pickup_ready_subject', 'Order Ready for Pickup'),
+ ('pickup_ready_body', 'Your load is marked as complete and ready for pickup!'), ('kg_per_load', '7')]
+ENUMS = {('users', 'status'): ['Active', 'Inactive'],
+ ('users', 'role'): ['Admin', 'Staff'],
+ ('services', 'status'): ['Active', 'Inactive'],
+ ('addons', 'pricing_type'): ['Fixed', 'Per Kg'],
+ ('addons', 'status'): ['Active', 'Inactive'],
+ ('transactions', 'status'): ['In-queue', 'Ready to Claim', 'Claimed'],
+ ('transactions', 'payment_status'): ['Paid', 'Unpaid'],
+ ('transactions', 'void_status'): ['Active', 'Voided'],
+ ('audit_logs', 'action_type'): ['CREATE', 'UPDATE', 'DELETE', 'VOID', 'LOGIN', 'REVERT_VOID']}
+LENGTHS = {('users', 'username'): 50,
+ ('users', 'email'): 100,
+ ('users', 'full_name'): 100,
+ ('services', 'service_name'): 100,
+ ('category', 'name'): 50,
+ ('addons', 'addon_name'): 100,
+ ('transactions', 'display_id'): 20,
+ ('transactions', 'customer_name'): 100,
+ ('transactions', 'customer_email'): 100,
+ ('transactions', 'customer_contact'): 50,
+ ('audit_logs', 'entity_type'): 50}
+NOT_NULL = {'users': ['username', 'full_name'],
+ 'services': ['service_name', 'price_per_load'],
+ 'category': ['name'],
+ 'addons': ['addon_name', 'price'],
+ 'transactions': ['display_id', 'customer_name'],
+ 'transaction_batches': ['load_count', 'weight', 'price_per_unit', 'subtotal'],
+ 'batch_addons': ['price', 'subtotal'],
+ 'audit_logs': ['action_type', 'entity_type']}
+UNIQUE = {'users': [['user_id'], ['username'], ['email']],
+ 'services': [['service_id']],
+ 'category': [['category_id'], ['name']],
+ 'addons': [['addon_id']],
+ 'transactions': [['transaction_id'], ['display_id']],
+ 'transaction_batches': [['batch_id']],
+ 'batch_addons': [['batch_addon_id']],
+ 'audit_logs': [['log_id']]}
+FOREIGN_KEYS = [('transactions', 'created_by', 'users', 'user_id'),
+ ('transaction_batches', 'transaction_id', 'transactions', 'transaction_id'),
+ ('transaction_batches', 'service_id', 'services', 'service_id'),
+ ('transaction_batches', 'category_id', 'category', 'category_id'),
+ ('batch_addons', 'batch_id', 'transaction_batches', 'batch_id'),
+ ('batch_addons', 'addon_id', 'addons', 'addon_id'), ('audit_logs', 'user_id', 'users', 'user_id')]
+SPECIAL_CHARS = '!@#$%^&*(),.?":{}|<>'
 
 _BID = ("concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), "
         "CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), "
@@ -25,7 +78,7 @@ def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-_CFG_ROWS = ", ".join(f"({_sql_str(k)}, {_sql_str(v)})" for k, v in schemas.CONFIG_SEED)
+_CFG_ROWS = ", ".join(f"({_sql_str(k)}, {_sql_str(v)})" for k, v in CONFIG_SEED)
 
 VIEWS_SQL = f"""
 WITH
@@ -98,7 +151,7 @@ ce AS (
 
 
 def win(col: str, name: str = WINDOW) -> str:
-    return "(" + sql_in_window(col, name, AS_OF) + ")"
+    return "(" + WINDOWS[name].format(c=col) + ")"
 
 
 def money(expr: str) -> str:
@@ -145,7 +198,8 @@ GROUP BY 1
 
 Q["payment_mix"] = f"""
 SELECT payment_status, CAST(amt AS DOUBLE) AS sum_amount,
-       100.0 * CAST(amt AS DOUBLE) / CAST(sum(amt) OVER () AS DOUBLE) AS share_pct
+       100.0 * CAST(amt AS DOUBLE) / CAST(sum(amt) OVER () AS DOUBLE) AS share_pct,
+       printf('%.1f%%', 100.0 * CAST(amt AS DOUBLE) / CAST(sum(amt) OVER () AS DOUBLE)) AS share_label
 FROM (SELECT payment_status, sum(total_amount) AS amt FROM txl
       WHERE {ACTIVE} AND {CREATED} GROUP BY payment_status)
 WHERE amt > 0
@@ -647,7 +701,46 @@ SELECT transaction_id, display_id, customer_name,
 FROM tx
 """
 
-_LO = f"{bounds(WINDOW, AS_OF)[0]:%Y-%m-%d %H:%M:%S}"
+_NOW = f"TIMESTAMP '{AS_OF} 00:00:00'"
+Q["append_services"] = f"""
+SELECT service_id, regexp_replace(service_name, '^\\s+|\\s+$', '', 'g') AS service_name, description,
+       CAST(price_per_load AS DOUBLE) AS price_per_load, 'Active' AS status, {_NOW} AS created_at, {_NOW} AS updated_at
+FROM sv
+"""
+Q["append_addons"] = f"""
+SELECT addon_id, regexp_replace(addon_name, '^\\s+|\\s+$', '', 'g') AS addon_name, description,
+       CAST(price AS DOUBLE) AS price, 'Fixed' AS pricing_type, 'Active' AS status, {_NOW} AS created_at,
+       {_NOW} AS updated_at
+FROM ad
+"""
+Q["append_category"] = """
+SELECT category_id, regexp_replace(name, '^\\s+|\\s+$', '', 'g') AS name, description FROM cat
+"""
+Q["append_users"] = f"""
+SELECT user_id, regexp_replace(username, '^\\s+|\\s+$', '', 'g') AS username,
+       CASE WHEN length(trim(email)) > 0 THEN trim(email) END AS email,
+       regexp_replace(full_name, '^\\s+|\\s+$', '', 'g') AS full_name, CASE WHEN user_id % 2 = 0 THEN status END AS status,
+       role, {_NOW} AS created_at, {_NOW} AS updated_at, CAST(NULL AS TIMESTAMP) AS last_login
+FROM us
+"""
+Q["append_lines"] = f"""
+SELECT batch_id, transaction_id, service_id, category_id, load_count, CAST(weight AS DOUBLE) AS weight,
+       CAST(price_per_unit AS DOUBLE) AS price_per_unit, CAST(subtotal AS DOUBLE) AS subtotal,
+       CAST(NULL AS VARCHAR) AS special_notes, {_NOW} AS created_at, {_NOW} AS updated_at
+FROM tb
+"""
+Q["append_line_addons"] = """
+SELECT batch_addon_id, batch_id, addon_id, 1.0::DOUBLE AS quantity, CAST(price AS DOUBLE) AS price,
+       CAST(subtotal AS DOUBLE) AS subtotal
+FROM ba
+"""
+Q["users_by_role"] = """
+SELECT user_id, username, full_name, role, status,
+       CAST(list_position(['Admin', 'Staff'], role) AS BIGINT) AS role_rank
+FROM us
+"""
+
+_LO = "1998-10-01 00:00:00"
 Q["insert_ignore"] = f"""
 , ids AS (SELECT transaction_id, created_at,
                     'ORD-' || CAST(CAST(epoch(created_at) AS BIGINT) AS VARCHAR) AS display_id FROM txl),
@@ -752,9 +845,8 @@ SELECT date_trunc('day', created_at) AS created_day, date_trunc('day', void_at)
        void_status, count(*) AS n_orders, CAST(sum(total_amount) AS DOUBLE) AS amount
 FROM txl GROUP BY ALL
 """
-for _key in ("report_kpis", "dashboard_cards", "sales_trend", "time_windows"):
+for _key in ("report_kpis", "dashboard_cards", "sales_trend", "payment_mix", "time_windows"):
     Q[f"rollup_{_key}"] = Q[_key]
-Q["rollup_payment_mix"] = ("SELECT *, printf('%.1f%%', share_pct) AS share_label FROM (" + Q["payment_mix"] + ")")
 
 # --- INSERT IGNORE under three keys: one row after the other, with the taken values in lists ----
 
@@ -990,41 +1082,47 @@ FROM us u LEFT JOIN (SELECT user_id, max(ts) AS last_login FROM events WHERE eve
 # --- data quality ------------------------------------------------------------------
 
 _VIEW = {"transactions": "tx", "services": "sv", "addons": "ad", "category": "cat", "users": "us",
-         "transaction_batches": "tb", "batch_addons": "ba", "audit_logs": "alog"}
+         "transaction_batches": "tb", "batch_addons": "ba", "audit_logs": "logins"}
+
+#: The audit log that the checks read: the login records.
+_LOGINS = """
+, logins AS (SELECT event_id AS log_id, user_id, 'LOGIN' AS action_type, 'User' AS entity_type FROM events
+             WHERE event_type = 'signup')
+"""
 
 
 def _union(parts: list[str]) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-Q["dq_nulls"] = AUDIT_SQL + _union([
+Q["dq_nulls"] = _LOGINS + _union([
     f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(CASE WHEN {c} IS NULL THEN 1 END) AS null_count "
-    f"FROM {_VIEW[t]}" for t, cols in schemas.NOT_NULL.items() for c in cols])
+    f"FROM {_VIEW[t]}" for t, cols in NOT_NULL.items() for c in cols])
 
 _ENUM_PARTS = []
-for (_t, _c), _dom in schemas.ENUMS.items():
+for (_t, _c), _dom in ENUMS.items():
     if _t in _VIEW:
         _in = ", ".join(_sql_str(v) for v in _dom)
         _ENUM_PARTS.append(f"SELECT '{_t}' AS table_name, '{_c}' AS column_name, "
                            f"count(CASE WHEN {_c} IS NOT NULL AND {_c} NOT IN ({_in}) THEN 1 END) AS bad_count "
                            f"FROM {_VIEW[_t]}")
-Q["dq_enum"] = AUDIT_SQL + _union(_ENUM_PARTS)
+Q["dq_enum"] = _LOGINS + _union(_ENUM_PARTS)
 
-Q["dq_length"] = AUDIT_SQL + _union([
+Q["dq_length"] = _LOGINS + _union([
     f"SELECT '{t}' AS table_name, '{c}' AS column_name, {n} AS max_len, "
     f"count(CASE WHEN length({c}) > {n} THEN 1 END) AS violations FROM {_VIEW[t]}"
-    for (t, c), n in schemas.LENGTHS.items() if t in _VIEW])
+    for (t, c), n in LENGTHS.items() if t in _VIEW])
 
-Q["dq_unique"] = AUDIT_SQL + _union([
+Q["dq_unique"] = _LOGINS + _union([
     f"SELECT '{t}' AS table_name, '{','.join(k)}' AS key_name, count(*) AS duplicate_keys, "
     f"CAST(coalesce(sum(n), 0) AS BIGINT) AS duplicate_rows FROM (SELECT {', '.join(k)}, count(*) AS n "
     f"FROM {_VIEW[t]} WHERE {' AND '.join(x + ' IS NOT NULL' for x in k)} GROUP BY {', '.join(k)} "
-    f"HAVING count(*) > 1)" for t, keys in schemas.UNIQUE.items() if t in _VIEW for k in keys])
+    f"HAVING count(*) > 1)" for t, keys in UNIQUE.items() if t in _VIEW for k in keys])
 
-Q["dq_fk_orphans"] = AUDIT_SQL + _union([
+Q["dq_fk_orphans"] = _LOGINS + _union([
     f"SELECT '{ch}.{fk}->{pa}.{pk}' AS fk_name, count(*) AS orphan_count FROM {_VIEW[ch]} "
     f"WHERE {fk} IS NOT NULL AND {fk} NOT IN (SELECT {pk} FROM {_VIEW[pa]} WHERE {pk} IS NOT NULL)"
-    for ch, fk, pa, pk, _ in schemas.FOREIGN_KEYS if ch in _VIEW and pa in _VIEW])
+    for ch, fk, pa, pk in FOREIGN_KEYS if ch in _VIEW and pa in _VIEW])
 
 Q["dq_name_digits"] = _union([
     f"SELECT '{t}' AS table_name, '{c}' AS column_name, "
@@ -1048,7 +1146,7 @@ FROM (SELECT transaction_id, 'ORD-' || CAST(CAST(epoch(created_at) AS BIGINT) AS
 GROUP BY display_id HAVING count(*) > 1
 """
 
-_SPECIAL = "[" + "".join("\\" + ch if ch in "\\^]-[" else ch for ch in schemas.SPECIAL_CHARS) + "]"
+_SPECIAL = "[" + "".join("\\" + ch if ch in "\\^]-[" else ch for ch in SPECIAL_CHARS) + "]"
 Q["text_rule_profile"] = f"""
 SELECT lang, source, count(*) AS n_rows,
   count(CASE WHEN coalesce(length(text) < 8, TRUE) THEN 1 END) AS fail_length,

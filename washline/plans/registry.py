@@ -21,7 +21,7 @@ from washline.streaming import streams
 from washline.functions import timewin
 from washline.plans.context import AS_OF, PURGE_BEFORE, WINDOW, Ctx
 from washline.session import checkpoint_dir
-from washline.sources import layout, views
+from washline.sources import layout, schemas, views
 from washline.sources.published import PublishedTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,7 +70,7 @@ def _sales_trend(c: Ctx) -> DataFrame:
 
 @register("payment_mix")
 def _payment_mix(c: Ctx) -> DataFrame:
-    return kpi.payment_mix(c.tx_lean, WINDOW, AS_OF)
+    return kpi.payment_mix(c.tx_lean, WINDOW, AS_OF).withColumn("share_label", kpi.share_label())
 
 
 @register("time_windows")
@@ -210,7 +210,7 @@ def _annotated(c: Ctx) -> DataFrame:
 
 @register("fold_voids")
 def _fold_voids(c: Ctx) -> DataFrame:
-    return changes.fold_voids(_annotated(c))
+    return changes.fold_voids(changes.void_decisions(c.changes, c.tx_lean))
 
 
 @register("fold_payment_toggles")
@@ -428,10 +428,53 @@ def _append_with_defaults(c: Ctx) -> DataFrame:
     sub = c.tx.select(
         "transaction_id", "display_id", "customer_name", "customer_email", "pickup_date",
         "total_amount", "created_by")
-    out = sinks.append_with_defaults(sub, "transactions", sinks.TX_TYPES, AS_OF)
+    out = sinks.append_with_defaults(sub, "transactions", schemas.TYPES["transactions"], AS_OF)
     return out.withColumn("total_amount", F.col("total_amount").cast("double"))
 
 
+def _with_defaults(c: Ctx, df: DataFrame, table: str, *given: str) -> DataFrame:
+    """``df`` as submissions that give the form's columns ``given`` only."""
+    return _money_as_double(sinks.append_with_defaults(df.select(*given), table, schemas.TYPES[table], AS_OF))
+
+
+@register("append_services")
+def _append_services(c: Ctx) -> DataFrame:
+    return _with_defaults(c, c.services, "services", "service_id", "service_name", "description", "price_per_load")
+
+
+@register("append_addons")
+def _append_addons(c: Ctx) -> DataFrame:
+    return _with_defaults(c, c.addons, "addons", "addon_id", "addon_name", "description", "price")
+
+
+@register("append_category")
+def _append_category(c: Ctx) -> DataFrame:
+    return _with_defaults(c, c.category, "category", "category_id", "name", "description")
+
+
+@register("append_users")
+def _append_users(c: Ctx) -> DataFrame:
+    """The role is given, as on the form; a status that is given as NULL stays NULL."""
+    users = c.users.withColumn("status", F.when(F.col("user_id") % 2 == 0, F.col("status")))
+    return _with_defaults(c, users, "users", "user_id", "username", "email", "full_name", "role", "status")
+
+
+@register("append_lines")
+def _append_lines(c: Ctx) -> DataFrame:
+    return _with_defaults(c, c.batches, "transaction_batches", "batch_id", "transaction_id", "service_id", "category_id",
+                          "load_count", "weight", "price_per_unit", "subtotal")
+
+
+@register("append_line_addons")
+def _append_line_addons(c: Ctx) -> DataFrame:
+    return _with_defaults(c, c.batch_addons, "batch_addons", "batch_addon_id", "batch_id", "addon_id", "price", "subtotal")
+
+
+@register("users_by_role")
+def _users_by_role(c: Ctx) -> DataFrame:
+    return search.users_by_role(c.users)
+
+
 @register("insert_ignore")
 def _insert_ignore(c: Ctx) -> DataFrame:
     """Orders keyed by second-resolution display ids: submissions from a week before
@@ -491,10 +534,9 @@ def _delete_set_null(c: Ctx) -> DataFrame:
 
 def _deletion(c: Ctx) -> referential.Deletion:
     """The purge of ``views.delete_requests``, with login records as the audit log."""
-    logins = c.t.events.where(F.col("event_type") == "signup").select("user_id", "event_id", "ts")
     tables = {"users": c.users, "services": c.services, "category": c.category, "addons": c.addons,
               "transactions": c.tx_lean, "transaction_batches": c.batches, "batch_addons": c.batch_addons,
-              "audit_logs": changes.login_audit_rows(logins)}
+              "audit_logs": _login_records(c)}
     return referential.delete_requests(tables, views.delete_requests(c.t, PURGE_BEFORE))
 
 
@@ -538,10 +580,14 @@ def _edited_totals(c: Ctx) -> DataFrame:
     return _money_as_double(_edited(c).totals)
 
 
+def _login_records(c: Ctx) -> DataFrame:
+    return changes.login_audit_rows(
+        c.t.events.where(F.col("event_type") == "signup").select("user_id", "event_id", "ts"))
+
+
 @register("login_audit")
 def _login_audit(c: Ctx) -> DataFrame:
-    logins = c.t.events.where(F.col("event_type") == "signup").select("user_id", "event_id", "ts")
-    return changes.login_audit_rows(logins)
+    return _login_records(c)
 
 
 @register("last_login")
@@ -564,7 +610,8 @@ def _dq_lean(c: Ctx) -> dict[str, DataFrame]:
 
 
 def _with_audit(c: Ctx, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    return {**tables, "audit_logs": changes.audit_rows(_annotated(c))}
+    """The stored audit log is checked, here the login records; checks derive nothing themselves."""
+    return {**tables, "audit_logs": _login_records(c)}
 
 
 @register("dq_nulls")
@@ -589,7 +636,13 @@ def _dq_unique(c: Ctx) -> DataFrame:
 
 @register("dq_fk_orphans")
 def _dq_fk_orphans(c: Ctx) -> DataFrame:
-    return quality.dq_fk_orphans(_with_audit(c, {**_dq_tables(c), "transactions": c.tx_lean}))
+    raw = c.t.lineitem.select(F.expr(views.BATCH_ID).alias("batch_id"), F.col("l_orderkey").alias("transaction_id"),
+                              F.col("l_partkey").alias("service_id"))
+    tables = {**_dq_lean(c), "transaction_batches": raw}
+    parts = quality.dq_fk_orphans(_with_audit(c, tables))
+    # the category of a line comes with its service here, so only that key needs the joined lines
+    typed = {"transaction_batches": c.batches.select("category_id"), "category": c.category}
+    return parts.unionByName(quality.dq_fk_orphans(typed))
 
 
 @register("dq_name_digits")

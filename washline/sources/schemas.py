@@ -38,6 +38,33 @@ DEFAULTS: dict[str, dict[str, object]] = {
     "audit_logs": {"timestamp": "now"},
 }
 
+# Columns and their types, as inserts write them.
+TYPES: dict[str, list[tuple[str, str]]] = {
+    "users": [("user_id", "long"), ("username", "string"), ("email", "string"), ("full_name", "string"),
+              ("status", "string"), ("role", "string"), ("created_at", "timestamp_ntz"), ("updated_at", "timestamp_ntz"),
+              ("last_login", "timestamp_ntz")],
+    "services": [("service_id", "long"), ("service_name", "string"), ("description", "string"),
+                 ("price_per_load", "decimal(10,2)"), ("status", "string"), ("created_at", "timestamp_ntz"),
+                 ("updated_at", "timestamp_ntz")],
+    "category": [("category_id", "long"), ("name", "string"), ("description", "string")],
+    "addons": [("addon_id", "long"), ("addon_name", "string"), ("description", "string"), ("price", "decimal(10,2)"),
+               ("pricing_type", "string"), ("status", "string"), ("created_at", "timestamp_ntz"),
+               ("updated_at", "timestamp_ntz")],
+    "transactions": [("transaction_id", "long"), ("display_id", "string"), ("customer_name", "string"),
+                     ("customer_email", "string"), ("customer_contact", "string"), ("overall_note", "string"),
+                     ("pickup_date", "timestamp_ntz"), ("status", "string"), ("payment_status", "string"),
+                     ("total_amount", "decimal(10,2)"), ("created_by", "long"), ("void_status", "string"),
+                     ("void_reason", "string"), ("void_at", "timestamp_ntz"), ("created_at", "timestamp_ntz"),
+                     ("updated_at", "timestamp_ntz")],
+    "transaction_batches": [("batch_id", "string"), ("transaction_id", "long"), ("service_id", "long"),
+                            ("category_id", "long"), ("load_count", "long"), ("weight", "decimal(8,2)"),
+                            ("price_per_unit", "decimal(10,2)"), ("subtotal", "decimal(10,2)"),
+                            ("special_notes", "string"), ("created_at", "timestamp_ntz"),
+                            ("updated_at", "timestamp_ntz")],
+    "batch_addons": [("batch_addon_id", "string"), ("batch_id", "string"), ("addon_id", "long"),
+                     ("quantity", "decimal(8,2)"), ("price", "decimal(10,2)"), ("subtotal", "decimal(10,2)")],
+}
+
 # VARCHAR(n) limits.
 LENGTHS: dict[tuple[str, str], int] = {
     ("users", "username"): 50,
