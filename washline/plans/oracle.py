@@ -331,6 +331,9 @@ SELECT transaction_id, display_id, status,
 FROM txl WHERE {ACTIVE} ORDER BY status_rank, transaction_id
 """
 
+Q["indexed_transaction_search"] = Q["transaction_search"]
+Q["indexed_active_orders"] = Q["active_orders"]
+
 Q["active_catalog"] = """
 SELECT 'service' AS kind, service_id AS item_id, service_name AS item_name,
        CAST(price_per_load AS DOUBLE) AS price, CAST(NULL AS VARCHAR) AS pricing_type
@@ -361,6 +364,8 @@ SELECT transaction_id, display_id, customer_name, status, payment_status, void_s
 FROM tx WHERE transaction_id IN (SELECT order_id FROM ce)
 """
 
+Q["lookup_keyed"] = Q["lookup_by_keys"]
+
 Q["config_kg_per_load"] = """
 SELECT b.batch_id, CAST(b.weight AS DOUBLE) AS weight, CAST(k.kg AS DOUBLE) AS kg_per_load,
        CAST(CASE WHEN b.weight > 0 THEN ceil(b.weight / k.kg) ELSE 0 END AS BIGINT) AS load_count

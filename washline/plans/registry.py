@@ -21,6 +21,7 @@ from washline.streaming import streams
 from washline.functions import timewin
 from washline.plans.context import AS_OF, PURGE_BEFORE, WINDOW, Ctx
 from washline.session import checkpoint_dir
+from washline.operators.textindex import TrigramIndex
 from washline.sources import layout, schemas, views
 from washline.sources.published import PublishedTable
 
@@ -150,6 +151,23 @@ def _active_orders(c: Ctx) -> DataFrame:
     return search.active_orders(c.tx, ACTIVE_TERM, *ACTIVE_SORT)
 
 
+def _order_index(c: Ctx) -> TrigramIndex:
+    return TrigramIndex.write(c.tx, "transaction_id", ["customer_name", "display_id"],
+                              f"{checkpoint_dir(c.spark)}/trigrams/{uuid.uuid4().hex}")
+
+
+@register("indexed_transaction_search")
+def _indexed_transaction_search(c: Ctx) -> DataFrame:
+    return search.indexed_transaction_search(c.tx, _order_index(c), SEARCH_SPEC, AS_OF)
+
+
+@register("indexed_active_orders")
+def _indexed_active_orders(c: Ctx) -> DataFrame:
+    index = TrigramIndex.write(c.tx, "transaction_id", ["customer_name"],
+                               f"{checkpoint_dir(c.spark)}/trigrams/{uuid.uuid4().hex}")
+    return search.active_orders(index.search(c.tx, search.contains_pattern(ACTIVE_TERM)), ACTIVE_TERM, *ACTIVE_SORT)
+
+
 @register("active_orders_by_status")
 def _active_orders_by_status(c: Ctx) -> DataFrame:
     return search.active_orders_by_status(c.tx_lean)
@@ -181,6 +199,17 @@ def _lookup_by_keys(c: Ctx) -> DataFrame:
         F.col("total_amount").cast("double").alias("total_amount"), "created_at")
 
 
+@register("lookup_keyed")
+def _lookup_keyed(c: Ctx) -> DataFrame:
+    """The same lookup on orders laid out by their id."""
+    path = f"{checkpoint_dir(c.spark)}/keyed/{uuid.uuid4().hex}"
+    layout.write_keyed(c.tx, path, "transaction_id", int(c.spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = c.changes.select(F.col("order_id").alias("transaction_id"))
+    return layout.lookup_keyed(c.spark, path, keys, "transaction_id").select(
+        "transaction_id", "display_id", "customer_name", "status", "payment_status", "void_status",
+        F.col("total_amount").cast("double").alias("total_amount"), "created_at")
+
+
 @register("config_kg_per_load")
 def _config_kg_per_load(c: Ctx) -> DataFrame:
     return catalog.config_load_counts(c.batches_lean, c.config)
