@@ -115,3 +115,11 @@ def test_a_large_benchmark_is_searched_in_slices(spark, docs, monkeypatch):
     sliced = {tuple(r) for r in d.matches(docs(pick), bench).collect()}
     assert {r for r in sliced if r[2] == 0} == {r for r in whole if r[2] == 0} != set()
     assert len(sliced ^ whole) <= 1  # each slice has tables of its own, with the same recall
+
+
+def test_items_without_an_id_are_searched(spark, docs):
+    items, _, _ = _cases()
+    bench = spark.createDataFrame([(None, items[0][1]), (None, items[1][1]), (5, items[2][1])], "item_id long, text string")
+    rows = [(1, "x " + items[0][1] + " y"), (2, items[1][1]), (3, items[2][1]), (4, "clean words")]
+    assert {(r.doc_id, r.item_id) for r in d.matches(docs(rows), bench).collect()} == {(1, None), (2, None), (3, 5)}
+    assert [r.doc_id for r in d.without_matches(docs(rows), bench).collect()] == [4]

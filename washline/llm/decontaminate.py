@@ -263,7 +263,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, recall: fl
 
     One row per document row and item, its closest match; begin, end and matched refer to the
     normalised text. Null or blank texts and items match nothing; items with equal text match
-    each by itself; items shorter than 1 / ``rate`` characters must match exactly. Repeated rows
+    each by itself, and items without an id like others (their rows have a null item_id); items shorter than 1 / ``rate`` characters must match exactly. Repeated rows
     give repeated results. Empty tables give an empty result.
     """
     return _found(docs, benchmark, rate, recall).drop("key")
@@ -280,9 +280,9 @@ def _found(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, recall: flo
     result = None
     for k in range(slices):
         # at most about SLICE_BYTES of items at a time reach the driver and the tasks
-        part = sorted((r["item_id"], normal(r["text"])) for r in items.where(
-            F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k
-        ).where(F.col("item_id").isNotNull()).collect())
+        part = sorted(((r["item_id"], normal(r["text"])) for r in items.where(
+            F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).collect()),
+            key=lambda item: (item[0] is None, item[0] or 0, item[1]))
         part = [(i, t) for i, t in part if t]
         if not part:
             continue

@@ -1,11 +1,19 @@
 """The registered queries of the training-data operators, and their SQL where SQL can say it."""
 
-import corpus_pipeline
 from washline.llm import (decontaminate, langid, linededup, mixing, neardup, periodic, quality, rules, simplex,
                           substrings, toxicity, urlfilter, warc)
 
+
+
+def pipeline(spark, sf_dir: str):
+    """The pipeline's module lies beside the package, so it is looked for when it runs."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
     "op1_toxicity": toxicity.op1_query,
     "op2_mixing": mixing.op2_query,
     "op3_urlfilter": urlfilter.op3_query,
