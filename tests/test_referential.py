@@ -128,3 +128,25 @@ def test_chain_of_requests_that_wait_for_each_other(spark):
     assert {r.seq: r.outcome for r in got.outcomes.collect()} == {
         **{2 * i: "refused" for i in range(5)}, **{2 * i + 1: "deleted" for i in range(5)},
         **{100 + i: "deleted" for i in range(5)}}
+
+
+def test_requests_that_cannot_be_refused_are_not_followed_root_by_root(spark, monkeypatch):
+    """Orders have no RESTRICT key below them: their rows get times, and only the service goes through the closure."""
+    seen = []
+    closure = referential.closure
+    monkeypatch.setattr(referential, "closure", lambda tables, roots, fks: seen.append(roots) or closure(tables, roots, fks))
+    tables = {"services": spark.range(2).toDF("service_id"), "transactions": spark.range(4).toDF("transaction_id"),
+              "transaction_batches": spark.createDataFrame(
+                  # the line 7 is there twice, in two orders: it goes with the first of them
+                  [(7, 0, 0, None), (7, 1, 0, None), (8, 2, 0, None), (9, 3, 1, None)],
+                  "batch_id long, transaction_id long, service_id long, category_id long")}
+    rows = [(1, "transactions", "0"), (2, "transactions", "2"), (3, "services", "0"), (4, "transactions", "1"),
+            (5, "services", "1"), (6, "transactions", "0"), (7, "nothing", "0")]
+    got = referential.delete_requests(tables, spark.createDataFrame(rows, "seq long, table_name string, row_key string"))
+    assert {r.seq: r.outcome for r in got.outcomes.collect()} == {
+        1: "deleted", 2: "deleted", 3: "deleted", 4: "deleted", 5: "refused", 6: "missing", 7: "missing"}
+    assert {(r.root_table, r.root_key) for r in seen[0].collect()} == {("services", "0"), ("services", "1")}
+    assert sorted(r.batch_id for r in got.survivors("transaction_batches").collect()) == [9]
+    assert {(r.table_name, r.row_key, r.deleted_seq) for r in got.deleted.collect()} == {
+        ("transactions", "0", 1), ("transactions", "1", 4), ("transactions", "2", 2), ("services", "0", 3),
+        ("transaction_batches", "7", 1), ("transaction_batches", "8", 2)}

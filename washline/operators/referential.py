@@ -6,9 +6,16 @@ delete is still referred to through a RESTRICT key (also from a row it would del
 is checked at once). Requests come in the order of ``seq``, each on what the ones before it left, so
 deleting the orders that used a service can free the service for a later request.
 
-Nothing is done one request at a time. The closure of every requested row is found level by level
-with joins. Whether a request is refused depends on *when* the rows that restrict it go: the request
-passes if each of them is covered by an accepted request before it. Rounds decide all requests whose
+Nothing is done one request at a time. Which tables can restrict a request follows from the keys alone. A table
+from which no chain of CASCADE keys comes to a row that a RESTRICT key refers to is *free*: its requests cannot be
+refused, so the first for each row passes. Their closures need no roots, only the time at which each row
+goes: a table meets the times of the rows it refers to, by a join, and is written once with them (``_times``).
+
+The other requests are *held*. Their closure is found level by level with joins, with the roots of each row.
+Whether such a request is refused depends on *when* the rows that restrict it go: the request
+passes if each of them is covered by an accepted request before it. Rows that only free requests can take
+have their time already, so all they say about a referred row is one number: when the last of them goes. Rounds decide all
+held requests whose
 answer follows from what is decided: a request passes where even the latest of its restricting rows
 is gone by then, and is refused where one cannot be gone whatever the open requests become. The
 earliest open request is always decided, and in practice one to three rounds decide all; the rounds
@@ -27,7 +34,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from washline.functions.running import checkpointed
+from washline.functions.running import checkpointed, written
 from washline.sources import schemas
 
 NEVER = (1 << 63) - 1
@@ -50,20 +57,27 @@ class Deletion:
     tables: Mapping[str, DataFrame]
     foreign_keys: Sequence[tuple[str, str, str, str, str]]
     outcomes: DataFrame  # seq, table_name, row_key, outcome: deleted, refused or missing
-    deleted: DataFrame  # table_name, row_key, deleted_seq
+    times: Mapping[str, Sequence[DataFrame]]  # per table (row_key, seq) of the rows that go, a key any number of times
+
+    @property
+    def deleted(self) -> DataFrame:
+        """table_name, row_key, deleted_seq of every row that goes."""
+        return _union([self.gone(t).select(F.lit(t).alias("table_name"), "row_key", "deleted_seq") for t in self.times])
+
+    def gone(self, table: str) -> DataFrame:
+        """(row_key, deleted_seq) of the rows of ``table`` that go."""
+        return _union(self.times[table]).groupBy("row_key").agg(F.min("seq").alias("deleted_seq"))
 
     def survivors(self, table: str) -> DataFrame:
         """The rows of ``table`` that stay, references to deleted rows through SET NULL keys emptied."""
         df = self.tables[table]
         key = primary_key(table)
 
-        def gone(name: str, alias: str) -> DataFrame:
-            return self.deleted.where(F.col("table_name") == name).select(F.col("row_key").alias(alias))
-
-        out = df.join(gone(table, "_gone"), df[key].cast("string") == F.col("_gone"), "left_anti")
+        keys = _union(self.times[table]).select(F.col("row_key").alias("_gone"))
+        out = df.join(keys, df[key].cast("string") == F.col("_gone"), "left_anti")
         for i, (child, fk, parent, _, action) in enumerate(self.foreign_keys):
             if child == table and action == "SET NULL" and parent in self.tables and fk in df.columns:
-                lost = gone(parent, f"_lost{i}")
+                lost = self.gone(parent).select(F.col("row_key").alias(f"_lost{i}"))
                 out = (out.join(lost, F.col(fk).cast("string") == F.col(f"_lost{i}"), "left")
                        .withColumn(fk, F.when(F.col(f"_lost{i}").isNull(), F.col(fk))).drop(f"_lost{i}"))
         return out.select(*df.columns)
@@ -79,6 +93,89 @@ def _references(tables: Mapping[str, DataFrame], foreign_keys, action: str):
             yield parent, child, rows
 
 
+def _reach(tables: Mapping[str, DataFrame], foreign_keys) -> dict[str, set[str]]:
+    """Per table the tables whose rows a delete in it can take along, itself included."""
+    down: dict[str, set[str]] = {t: set() for t in tables}
+    for parent, child, _ in _references(tables, foreign_keys, "CASCADE"):
+        down[parent].add(child)
+    out = {}
+    for t in tables:
+        seen, todo = set(), [t]
+        while todo:
+            if (at := todo.pop()) not in seen:
+                seen.add(at)
+                todo += down[at]
+        out[t] = seen
+    return out
+
+
+def _free(tables: Mapping[str, DataFrame], foreign_keys) -> set[str]:
+    """The tables whose requests no RESTRICT key can refuse, and whose CASCADE keys form no cycle."""
+    reach = _reach(tables, foreign_keys)
+    held = {parent for parent, _, _ in _references(tables, foreign_keys, "RESTRICT")}
+    held |= {t for parent, t, _ in _references(tables, foreign_keys, "CASCADE") if parent in reach[t]}
+    return {t for t in tables if not reach[t] & held}
+
+
+def _of(requests: DataFrame, table: str, rows: DataFrame) -> DataFrame:
+    """The requested rows of ``table`` that are there: row_key and the first request's seq."""
+    first = requests.where(F.col("table_name") == table).groupBy("row_key").agg(F.min("seq").alias("seq"))
+    return first.join(rows.select(F.col(primary_key(table)).cast("string").alias("row_key")), "row_key", "left_semi")
+
+
+def _times(tables: Mapping[str, DataFrame], first: Mapping[str, DataFrame], foreign_keys) -> dict[str, DataFrame]:
+    """When each row goes by requests of free tables: per table that they reach its rows, written, as row_key, seq (NULL:
+    stays) and the RESTRICT columns. A key may come several times; the smallest seq counts. ``first``: per
+    free table its requested rows and the first request of each."""
+    reach = _reach(tables, foreign_keys)
+    todo = set().union(*[reach[t] for t in first])
+    out: dict[str, DataFrame] = {}
+    while todo:
+        # next a table none of whose parents is still to come
+        name = min(t for t in todo if not any(
+            child == t and parent in todo for parent, child, _ in _references(tables, foreign_keys, "CASCADE")))
+        todo.remove(name)
+        df, key = tables[name], primary_key(name)
+        held = [fk for child, fk, parent, _, action in foreign_keys
+                if child == name and action == "RESTRICT" and parent in tables and fk in df.columns]
+        ups = [(fk, parent) for child, fk, parent, _, action in foreign_keys
+               if child == name and action == "CASCADE" and parent in out and fk in df.columns]
+        rows = df.select(F.col(key).cast("string").alias("row_key"), *[F.col(fk).cast("string").alias(f"_up{i}")
+                                                                       for i, (fk, _) in enumerate(ups)], *held)
+        found = []
+        for i, (_, parent) in enumerate(ups):
+            above = _earliest(out[parent]).select(F.col("row_key").alias("_key"), F.col("seq").alias(f"_seq{i}"))
+            rows = rows.join(above, F.col(f"_up{i}") == F.col("_key"), "left").drop("_key")
+            found.append(F.col(f"_seq{i}"))
+        if name in first:
+            rows = rows.join(first[name].select(F.col("row_key").alias("_key"), F.col("seq").alias("_own")),
+                             F.col("row_key") == F.col("_key"), "left").drop("_key")
+            found.append(F.col("_own"))
+        out[name] = written(rows.select("row_key", (F.least(*found) if len(found) > 1 else found[0]).alias("seq"), *held),
+                            f"delete-{name}")
+    return out
+
+
+def _earliest(times: DataFrame) -> DataFrame:
+    return times.where(F.col("seq").isNotNull()).groupBy("row_key").agg(F.min("seq").alias("seq"))
+
+
+def _settled(times: DataFrame) -> DataFrame:
+    """``times`` with the smallest seq of a key on each of its rows. Mostly no key has two seqs: told by hashes of the
+    keys, only rows whose hash has two meet the others of their key."""
+    mark = F.xxhash64("row_key").alias("_mark")
+    seq = F.coalesce("seq", F.lit(NEVER))
+    several = checkpointed(times.where(F.col("row_key").isNotNull()).select(mark, seq.alias("_seq")).repartition("_mark")
+                           .groupBy("_mark").agg(F.min("_seq").alias("_a"), F.max("_seq").alias("_z"))
+                           .where(F.col("_a") != F.col("_z")).select("_mark"))
+    if several.isEmpty():
+        return times
+    best = _earliest(times.join(several, F.xxhash64("row_key") == F.col("_mark"), "left_semi")).select(
+        F.col("row_key").alias("_key"), F.col("seq").alias("_best"))
+    return (times.join(best, F.col("row_key") == F.col("_key"), "left")
+            .withColumn("seq", F.coalesce("_best", "seq")).drop("_key", "_best"))
+
+
 def closure(tables: Mapping[str, DataFrame], roots: DataFrame, foreign_keys=schemas.FOREIGN_KEYS) -> DataFrame:
     """Every row that goes with a root (root_table, root_key): the root itself and all rows below it
     through CASCADE keys, as (root_table, root_key, table_name, row_key). Keys may form cycles."""
@@ -86,11 +183,12 @@ def closure(tables: Mapping[str, DataFrame], roots: DataFrame, foreign_keys=sche
     level = checkpointed(roots.select(*ROOT, F.col("root_table").alias("table_name"),
                                       F.col("root_key").alias("row_key")))
     levels = [level]
-    while cascades:
+    names = {r[0] for r in level.select("table_name").distinct().collect()}  # tables, not rows
+    while names := {child for parent, child, _ in cascades if parent in names}:
         below = _union([
             level.where(F.col("table_name") == parent).join(rows, "row_key").select(
                 *ROOT, F.lit(child).alias("table_name"), F.col("child_key").alias("row_key"))
-            for parent, child, rows in cascades]).distinct()
+            for parent, child, rows in cascades if child in names]).distinct()
         level = checkpointed(below.join(_union(levels), [*ROOT, *ROW], "left_anti"))
         if level.isEmpty():
             break
@@ -98,40 +196,80 @@ def closure(tables: Mapping[str, DataFrame], roots: DataFrame, foreign_keys=sche
     return _union(levels)
 
 
-def _latest(links: DataFrame, parents: DataFrame, children: DataFrame, roots: DataFrame) -> DataFrame:
+def _latest(links: DataFrame | None, settled: DataFrame, parents: DataFrame, children: DataFrame | None,
+            roots: DataFrame) -> DataFrame:
     """Per root the time from which nothing restricts it, as decided (``by_now``) and at best
-    (``at_best``), from the accepted and the earliest open request of every root."""
-    timed = children.join(roots, ROOT)
-    gone = timed.groupBy(F.col("table_name").alias("child_table"), F.col("row_key").alias("child_key")).agg(
-        F.min("accepted_seq").alias("_acc"), F.min(F.coalesce("accepted_seq", "open_seq")).alias("_pos"))
-    free = links.join(gone, ["child_table", "child_key"], "left").groupBy(*ROW).agg(
-        F.max(F.coalesce("_acc", F.lit(NEVER))).alias("_acc"), F.max(F.coalesce("_pos", F.lit(NEVER))).alias("_pos"))
+    (``at_best``), from the accepted and the earliest open request of every root. ``settled``: per referred row (``ROW``)
+    the time ``_acc`` and ``_pos`` from which the rows that only free requests take do not restrict it."""
+    free = settled
+    if links is not None:
+        timed = children.join(roots, ROOT)
+        gone = timed.groupBy(F.col("table_name").alias("child_table"), F.col("row_key").alias("child_key")).agg(
+            F.min("accepted_seq").alias("_acc"), F.min(F.coalesce("accepted_seq", "open_seq")).alias("_pos"))
+        free = free.unionByName(links.join(gone, ["child_table", "child_key"], "left").select(
+            *ROW, F.coalesce(F.least("_acc", "seq"), F.lit(NEVER)).alias("_acc"),
+            F.coalesce(F.least("_pos", "seq"), F.lit(NEVER)).alias("_pos")))
+    free = free.groupBy(*ROW).agg(F.max("_acc").alias("_acc"), F.max("_pos").alias("_pos"))
     return parents.join(free, ROW).groupBy(*ROOT).agg(F.max("_acc").alias("by_now"), F.max("_pos").alias("at_best"))
 
 
+def _restricting(tables: Mapping[str, DataFrame], times: Mapping[str, DataFrame], rows: DataFrame, foreign_keys
+                 ) -> tuple[DataFrame | None, DataFrame | None]:
+    """What restricts the held closure ``rows``: (links, settled). ``links`` (table_name, row_key, child_table, child_key,
+    seq) has the references by rows that held requests may take; ``settled`` all others, as one number per row."""
+    reach = _reach(tables, foreign_keys)
+    held = set(tables) - _free(tables, foreign_keys)
+    can = set().union(*[reach[t] for t in held])
+    by_child = {child: _settled(times[child]) for child in sorted(
+        {c for p, c, _ in _references(tables, foreign_keys, "RESTRICT") if p in can and c in times})}
+    links, settled = [], []
+    for child, fk, parent, _, action in foreign_keys:
+        if action != "RESTRICT" or parent not in can or child not in tables or fk not in tables[child].columns:
+            continue
+        refs = (by_child[child].select(F.col(fk).cast("string").alias("row_key"), "seq", F.col("row_key").alias("child_key"))
+                if child in by_child else
+                tables[child].select(F.col(fk).cast("string").alias("row_key"), F.lit(None).cast("bigint").alias("seq"),
+                                     F.col(primary_key(child)).cast("string").alias("child_key")))
+        refs = refs.where(F.col("row_key").isNotNull())
+        asked = rows.where(F.col("table_name") == parent).select("row_key").distinct()
+        if child in can:
+            links.append(refs.join(asked, "row_key", "left_semi").select(
+                F.lit(parent).alias("table_name"), "row_key", F.lit(child).alias("child_table"), "child_key", "seq"))
+        else:
+            until = refs.groupBy("row_key").agg(F.max(F.coalesce("seq", F.lit(NEVER))).alias("_acc"))
+            settled.append(until.join(asked, "row_key", "left_semi").select(
+                F.lit(parent).alias("table_name"), "row_key", "_acc", F.col("_acc").alias("_pos")))
+    return (checkpointed(_union(links)) if links else None, checkpointed(_union(settled)) if settled else None)
+
+
 def delete_requests(tables: Mapping[str, DataFrame], requests: DataFrame,
                     foreign_keys=schemas.FOREIGN_KEYS) -> Deletion:
     """Run delete ``requests`` (seq, table_name, row_key; seq unique, keys as text) in their order.
 
     A request for a row that is not there, was deleted before, or has a NULL key is ``missing``."""
-    keys = _union([df.select(F.lit(t).alias("table_name"), F.col(primary_key(t)).cast("string").alias("row_key"))
-                   for t, df in tables.items()])
-    asked = requests.select("seq", F.col("table_name").alias("root_table"), F.col("row_key").alias("root_key"))
-    there = asked.select(*ROOT).distinct().join(
-        keys.toDF(*ROOT), ROOT, "left_semi")
+    names = {r[0] for r in requests.where(F.col("table_name").isin(*tables)).select("table_name").distinct().collect()}  # tables, not rows
+    unrefused = _free(tables, foreign_keys)
+    first = {t: _of(requests, t, tables[t]) for t in sorted(names)}
+    times = _times(tables, {t: first[t] for t in first if t in unrefused}, foreign_keys)
+    there = _union([first[t].select(F.lit(t).alias("root_table"), F.col("row_key").alias("root_key"))
+                    for t in first if t not in unrefused] or [requests.select(
+                        F.col("table_name").alias("root_table"), F.col("row_key").alias("root_key")).limit(0)])
     rows = closure(tables, there, foreign_keys)
-    held = [level.select(
-        F.lit(parent).alias("table_name"), "row_key", F.lit(child).alias("child_table"), "child_key")
-        for parent, child, refs in _references(tables, foreign_keys, "RESTRICT")
-        for level in [rows.where(F.col("table_name") == parent).select("row_key").distinct().join(refs, "row_key")]]
-    state = asked.join(there.withColumn("_there", F.lit(True)), ROOT, "left").select(
+    links, settled = _restricting(tables, times, rows, foreign_keys)
+    asked = requests.select("seq", F.col("table_name").alias("root_table"), F.col("row_key").alias("root_key"))
+    state = asked.where(F.col("root_table").isin(*(names - unrefused))).join(
+        there.withColumn("_there", F.lit(True)), ROOT, "left").select(
         "seq", *ROOT, F.when(F.col("_there").isNull(), "missing").alias("outcome"))
     state = checkpointed(state)
+    held = links is not None or settled is not None
     if held:
-        links = checkpointed(_union(held))
+        none = state.limit(0).select(F.col("root_table").alias("table_name"), F.col("root_key").alias("row_key"),
+                                     F.lit(NEVER).alias("_acc"), F.lit(NEVER).alias("_pos"))
+        settled = none if settled is None else settled
+        restricted = settled.select(*ROW) if links is None else settled.select(*ROW).unionByName(links.select(*ROW))
         # of the closure, rounds need only the rows that are restricted and those that restrict
-        parents = checkpointed(rows.join(links.select(*ROW).distinct(), ROW, "left_semi"))
-        children = checkpointed(rows.join(
+        parents = checkpointed(rows.join(restricted.distinct(), ROW, "left_semi"))
+        children = None if links is None else checkpointed(rows.join(
             links.select(F.col("child_table").alias("table_name"), F.col("child_key").alias("row_key")).distinct(),
             ROW, "left_semi"))
     while not state.where(F.col("outcome").isNull()).isEmpty():
@@ -139,7 +277,7 @@ def delete_requests(tables: Mapping[str, DataFrame], requests: DataFrame,
             F.min(F.when(F.col("outcome") == "deleted", F.col("seq"))).alias("accepted_seq"),
             F.min(F.when(F.col("outcome").isNull(), F.col("seq"))).alias("open_seq"))
         if held:
-            free = _latest(links, parents, children, roots)
+            free = _latest(links, settled, parents, children, roots)
         else:
             free = roots.limit(0).select(*ROOT, F.lit(0).cast("bigint").alias("by_now"),
                                          F.lit(0).cast("bigint").alias("at_best"))
@@ -157,11 +295,18 @@ def delete_requests(tables: Mapping[str, DataFrame], requests: DataFrame,
              .when(F.col("_passes") & (F.col("seq") == F.col("_first")), "deleted")
              .when(F.col("_passes"), "missing").alias("outcome")))
     done = state.where(F.col("outcome") == "deleted").select(*ROOT, "seq")
-    deleted = checkpointed(rows.join(done, ROOT).groupBy(*ROW).agg(F.min("seq").alias("deleted_seq")))
-    # an accepted request whose row had gone with an earlier one found nothing
-    before = deleted.toDF(*ROOT, "_at").join(state.select(*ROOT).distinct(), ROOT, "left_semi")
-    outcomes = state.join(before, ROOT, "left").select(
-        "seq", F.col("root_table").alias("table_name"), F.col("root_key").alias("row_key"),
-        F.when((F.col("outcome") == "deleted") & (F.col("_at") < F.col("seq")), "missing")
-         .otherwise(F.col("outcome")).alias("outcome"))
-    return Deletion(tables, foreign_keys, checkpointed(outcomes), deleted)
+    taken = checkpointed(rows.join(done, ROOT).groupBy(*ROW).agg(F.min("seq").alias("seq")))
+    deletion = Deletion(tables, foreign_keys, state, {
+        t: [*([times[t].where(F.col("seq").isNotNull()).select("row_key", "seq")] if t in times else []),
+            taken.where(F.col("table_name") == t).select("row_key", "seq")] for t in tables})
+    # a request whose row had gone with an earlier one found nothing
+    parts = [asked.where(~F.coalesce(F.col("root_table").isin(*names), F.lit(False))).select("seq", *ROOT, F.lit("missing").alias("outcome"))]
+    for t in sorted(names):
+        mine = (state if t not in unrefused else asked.withColumn("outcome", F.lit("deleted"))).where(F.col("root_table") == t)
+        late = F.col("deleted_seq") < F.col("seq")
+        late = F.coalesce(late, F.lit(True)) if t in unrefused else (F.col("outcome") == "deleted") & late
+        parts.append(mine.join(deletion.gone(t).withColumnRenamed("row_key", "root_key"), "root_key", "left").select(
+            "seq", *ROOT, F.when(late, "missing").otherwise(F.col("outcome")).alias("outcome")))
+    deletion.outcomes = _union(parts).select("seq", F.col("root_table").alias("table_name"),
+                                             F.col("root_key").alias("row_key"), "outcome")
+    return deletion
