@@ -108,30 +108,30 @@ def _with_paid(ev: DataFrame) -> DataFrame:
     return ev.withColumn("paid_before", _paid(flips, anchor))
 
 
-def state_before(ev: DataFrame, partitions: int | None = None) -> DataFrame:
+def state_before(ev: DataFrame, partitions: int | None = None, stored: bool = True) -> DataFrame:
     """``ev`` with the state before each request: void_before, paid_before, _status_prev and
-    _claimed_prev (status and whether a Claimed move was accepted earlier)."""
+    _claimed_prev (status and whether a Claimed move was accepted earlier). ``stored``: see ``crossing``."""
     at = F.struct(*ORDER)
     rows = cut(ev, KEYS, ORDER, partitions)
-    edge = edge_rows(rows, crossing(rows, KEYS), KEYS)
+    edge = edge_rows(rows, crossing(rows, KEYS, stored), KEYS)
 
     voids = carry(edge.groupBy(PART, *KEYS).agg(
         F.max_by(_target_v(), F.when(_target_v().isNotNull(), at)).alias("_b")),
-        KEYS, _void_in=lambda w: F.last("_b", ignorenulls=True).over(w))
+        KEYS, stored, _void_in=lambda w: F.last("_b", ignorenulls=True).over(w))
     edge = _with_flips(_with_void(attach(edge, voids, KEYS)))
 
     staff = _pay() & ~F.col("is_admin")
     pays = carry(edge.groupBy(PART, *KEYS).agg(
         F.sum(F.when(_pay() & F.col("is_admin"), 1).otherwise(0)).alias("_n"),
         F.max_by("_flips", F.when(staff, at)).alias("_staff")),
-        KEYS, _flips_in=lambda w: F.coalesce(F.sum("_n").over(w), F.lit(0)),
+        KEYS, stored, _flips_in=lambda w: F.coalesce(F.sum("_n").over(w), F.lit(0)),
         _anchor_in=lambda w: F.last(F.col("_flips_in") + F.col("_staff"), ignorenulls=True).over(w))
     edge = _with_paid(attach(edge, pays, KEYS))
 
     moves = carry(edge.groupBy(PART, *KEYS).agg(
         F.max_by(F.when(_candidate(), _action()), F.when(_candidate(), at)).alias("_b"),
         F.max(F.when(_candidate() & (_action() == "Claimed"), F.lit(True))).alias("_c")),
-        KEYS, _status_in=lambda w: F.last("_b", ignorenulls=True).over(w),
+        KEYS, stored, _status_in=lambda w: F.last("_b", ignorenulls=True).over(w),
         _claimed_in=lambda w: F.max("_c").over(w))
 
     out = attach(attach(attach(rows, voids, KEYS), pays, KEYS), moves, KEYS)
@@ -145,7 +145,7 @@ def state_before(ev: DataFrame, partitions: int | None = None) -> DataFrame:
                   "_claimed_in"))
 
 
-def annotate(changes: DataFrame, tx: DataFrame, partitions: int | None = None) -> DataFrame:
+def annotate(changes: DataFrame, tx: DataFrame, partitions: int | None = None, stored: bool = True) -> DataFrame:
     """Every change request with the order state before it, its acceptance, the
     reason for a refusal, and the old/new value it writes.
 
@@ -161,7 +161,7 @@ def annotate(changes: DataFrame, tx: DataFrame, partitions: int | None = None) -
                      (F.col("display_id") if "display_id" in tx.columns
                       else F.concat(F.lit("ORD-"), F.col("transaction_id").cast("string"))).alias("display_id"))
     ev = changes.join(base, changes["order_id"] == base["_base_id"], "left")
-    return _decide(state_before(ev, partitions))
+    return _decide(state_before(ev, partitions, stored))
 
 
 def _decide(ev: DataFrame) -> DataFrame:
