@@ -150,3 +150,32 @@ def test_requests_that_cannot_be_refused_are_not_followed_root_by_root(spark, mo
     assert {(r.table_name, r.row_key, r.deleted_seq) for r in got.deleted.collect()} == {
         ("transactions", "0", 1), ("transactions", "1", 4), ("transactions", "2", 2), ("services", "0", 3),
         ("transaction_batches", "7", 1), ("transaction_batches", "8", 2)}
+
+
+def test_lines_are_not_written_with_their_keys(spark, monkeypatch):
+    """Of lines and their add-ons only what refers to a requested row is kept, and rows of one key go together."""
+    kept = []
+    written = referential.written
+    monkeypatch.setattr(referential, "written", lambda df, name: kept.append(written(df, name)) or kept[-1])
+    lines = [(f"line-{i}", i % 20, 1 + i % 3, None) for i in range(60)]
+    # line-0 is there again, in the order 19 that stays, with the only use of service 0; line-19 is in order 19 alone
+    lines += [("line-0", 19, 0, None), (None, 0, 4, None)]
+    extras = [(f"extra-{i}", f"line-{i}", 1 + i % 2) for i in range(60)] + [("extra-60", "line-0", 0), ("extra-61", "line-19", 3)]
+    tables = {"services": spark.range(5).toDF("service_id"), "transactions": spark.range(20).toDF("transaction_id"),
+              "transaction_batches": spark.createDataFrame(
+                  lines, "batch_id string, transaction_id long, service_id long, category_id long"),
+              "addons": spark.range(4).toDF("addon_id"),
+              "batch_addons": spark.createDataFrame(extras, "batch_addon_id string, batch_id string, addon_id long")}
+    rows = [(100 + i, "transactions", str(i)) for i in range(19)]
+    rows += [(50, "services", "0"), (200, "services", "0"), (201, "services", "4"), (202, "addons", "0"), (203, "addons", "3")]
+    got = referential.delete_requests(
+        tables, spark.createDataFrame(rows, "seq long, table_name string, row_key string"),
+        lean={"transaction_batches": tables["transaction_batches"].drop("category_id")})
+    outcomes = {r.seq: r.outcome for r in got.outcomes.collect()}
+    assert {s: o for s, o in outcomes.items() if s < 100 or s >= 200} == {
+        50: "refused", 200: "deleted", 201: "deleted", 202: "deleted", 203: "refused"}
+    assert {(r.batch_id, r.transaction_id) for r in got.survivors("transaction_batches").collect()} == {
+        *((f"line-{i}", 19) for i in (19, 39, 59)), (None, 0)}
+    assert {r.batch_addon_id for r in got.survivors("batch_addons").collect()} == {
+        "extra-19", "extra-39", "extra-59", "extra-61"}
+    assert max(df.count() for df in kept) <= 19  # the requested orders

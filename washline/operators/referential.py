@@ -9,7 +9,9 @@ deleting the orders that used a service can free the service for a later request
 Nothing is done one request at a time. Which tables can restrict a request follows from the keys alone. A table
 from which no chain of CASCADE keys comes to a row that a RESTRICT key refers to is *free*: its requests cannot be
 refused, so the first for each row passes. Their closures need no roots, only the time at which each row
-goes: a table meets the times of the rows it refers to, by a join, and is written once with them (``_times``).
+goes (``Times``), which is found for the rows that a result asks for: a table of lines is not dealt by its
+own long keys where the key it refers by says the same. Several rows of one key go with the first of them; that only
+concerns keys that come several times, which are told by hashes first.
 
 The other requests are *held*. Their closure is found level by level with joins, with the roots of each row.
 Whether such a request is refused depends on *when* the rows that restrict it go: the request
@@ -58,6 +60,7 @@ class Deletion:
     foreign_keys: Sequence[tuple[str, str, str, str, str]]
     outcomes: DataFrame  # seq, table_name, row_key, outcome: deleted, refused or missing
     times: Mapping[str, Sequence[DataFrame]]  # per table (row_key, seq) of the rows that go, a key any number of times
+    free: Times | None = None  # of the times, those by requests of free tables
 
     @property
     def deleted(self) -> DataFrame:
@@ -70,11 +73,19 @@ class Deletion:
 
     def survivors(self, table: str) -> DataFrame:
         """The rows of ``table`` that stay, references to deleted rows through SET NULL keys emptied."""
-        df = self.tables[table]
-        key = primary_key(table)
-
-        keys = _union(self.times[table]).select(F.col("row_key").alias("_gone"))
-        out = df.join(keys, df[key].cast("string") == F.col("_gone"), "left_anti")
+        out = df = self.tables[table]
+        key = df[primary_key(table)].cast("string")
+        times = self.times[table]
+        if self.free is not None and (ups := self.free.ups(table)):
+            # most rows go with the row they refer to; of those left, only rows of a key that comes several times,
+            # of a request or of a held closure are looked up by their own key
+            for i, (fk, parent) in enumerate(ups):
+                above = self.free.all(parent).select(F.col("row_key").alias(f"_above{i}"))
+                above = above if self.free.ups(parent) else _by_hash(above)
+                out = out.join(above, (df[fk].cast("string") == F.col(f"_above{i}")) & key.isNotNull(), "left_anti")
+            times = [*self.free.own(table), *self.free.repeated(table), *times[1:]]
+        keys = _union(times).select(F.col("row_key").alias("_gone"))
+        out = out.join(keys, key == F.col("_gone"), "left_anti")
         for i, (child, fk, parent, _, action) in enumerate(self.foreign_keys):
             if child == table and action == "SET NULL" and parent in self.tables and fk in df.columns:
                 lost = self.gone(parent).select(F.col("row_key").alias(f"_lost{i}"))
@@ -123,57 +134,128 @@ def _of(requests: DataFrame, table: str, rows: DataFrame) -> DataFrame:
     return first.join(rows.select(F.col(primary_key(table)).cast("string").alias("row_key")), "row_key", "left_semi")
 
 
-def _times(tables: Mapping[str, DataFrame], first: Mapping[str, DataFrame], foreign_keys) -> dict[str, DataFrame]:
-    """When each row goes by requests of free tables: per table that they reach its rows, written, as row_key, seq (NULL:
-    stays) and the RESTRICT columns. A key may come several times; the smallest seq counts. ``first``: per
-    free table its requested rows and the first request of each."""
-    reach = _reach(tables, foreign_keys)
-    todo = set().union(*[reach[t] for t in first])
-    out: dict[str, DataFrame] = {}
-    while todo:
-        # next a table none of whose parents is still to come
-        name = min(t for t in todo if not any(
-            child == t and parent in todo for parent, child, _ in _references(tables, foreign_keys, "CASCADE")))
-        todo.remove(name)
-        df, key = tables[name], primary_key(name)
-        held = [fk for child, fk, parent, _, action in foreign_keys
-                if child == name and action == "RESTRICT" and parent in tables and fk in df.columns]
-        ups = [(fk, parent) for child, fk, parent, _, action in foreign_keys
-               if child == name and action == "CASCADE" and parent in out and fk in df.columns]
-        rows = df.select(F.col(key).cast("string").alias("row_key"), *[F.col(fk).cast("string").alias(f"_up{i}")
-                                                                       for i, (fk, _) in enumerate(ups)], *held)
+def _few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The stored ``df``, to be broadcast if it has no more than ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _by_hash(times: DataFrame) -> DataFrame:
+    """``times`` of requested rows, one per key, for a join that puts them into a hash table per partition: the rows that
+    meet them, several times as many, are not sorted."""
+    return times.hint("shuffle_hash")
+
+
+def _earliest(times: DataFrame) -> DataFrame:
+    return times.groupBy("row_key").agg(F.min("seq").alias("seq"))
+
+
+class Times:
+    """When each row goes by requests of free tables. ``first``: per free table its requested rows and the first request
+    of each. ``lean``: tables without some of their columns, read where the others suffice."""
+
+    def __init__(self, tables: Mapping[str, DataFrame], first: Mapping[str, DataFrame], foreign_keys,
+                 lean: Mapping[str, DataFrame] | None = None):
+        self.tables, self.foreign_keys, self.lean = tables, foreign_keys, lean or {}
+        self.first = {t: written(df, f"delete-{t}") for t, df in first.items()}
+        reach = _reach(tables, foreign_keys)
+        self.reached = set().union(*[reach[t] for t in first])
+        self._several: dict[str, DataFrame | None] = {}
+
+    def rows(self, table: str, **columns: str) -> DataFrame:
+        """Columns of ``table`` as text under the names given."""
+        df = self.lean.get(table)
+        if df is None or not set(columns.values()) <= set(df.columns):
+            df = self.tables[table]
+        return df.select(*[F.col(c).cast("string").alias(name) for name, c in columns.items()])
+
+    def ups(self, table: str) -> list[tuple[str, str]]:
+        """(column, parent) of the CASCADE keys with which rows of ``table`` go."""
+        return [(fk, parent) for child, fk, parent, _, action in self.foreign_keys
+                if child == table and action == "CASCADE" and parent in self.reached and fk in self.tables[table].columns]
+
+    def own(self, table: str) -> list[DataFrame]:
+        return [self.first[table]] if table in self.first else []
+
+    def all(self, table: str) -> DataFrame:
+        """(row_key, seq) of the rows of ``table`` that go; a key may come several times, the smallest seq counts."""
+        parts = self.own(table)
+        for fk, parent in self.ups(table):
+            above = self.all(parent)
+            above = (_earliest(above) if self.ups(parent) else _by_hash(above)).withColumnRenamed("row_key", "_key")
+            parts.append(self.rows(table, row_key=primary_key(table), _up=fk).join(
+                above, F.col("_up") == F.col("_key")).select("row_key", "seq"))
+        return _union(parts)
+
+    def at(self, table: str, keys: DataFrame) -> DataFrame:
+        """(row_key, seq), each key once, of those of ``keys`` (row_key) that go, and maybe others."""
+        if not (ups := self.ups(table)):
+            return self.first[table]
+        parts = self.own(table)
+        for fk, parent in ups:
+            rows = self.rows(table, row_key=primary_key(table), _up=fk).join(keys, "row_key", "left_semi")
+            if self.ups(parent):
+                rows = written(rows, "delete-at")
+            above = self.at(parent, rows.select(F.col("_up").alias("row_key"))).withColumnRenamed("row_key", "_key")
+            parts.append(rows.join(above, F.col("_up") == F.col("_key")).select("row_key", "seq"))
+        return _earliest(_union(parts))
+
+    def several(self, table: str) -> DataFrame | None:
+        """Hashes (_mark) of the keys of ``table`` that come several times, None if there are none."""
+        if table not in self._several:
+            keys = self.rows(table, row_key=primary_key(table)).where(F.col("row_key").isNotNull())
+            marks = written(keys.select(F.xxhash64("row_key").alias("_mark")).repartition("_mark").groupBy("_mark")
+                            .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_mark"), "delete-several")
+            self._several[table] = None if marks.isEmpty() else _few(marks)
+        return self._several[table]
+
+    def repeated(self, table: str) -> list[DataFrame]:
+        """(row_key, seq) of the rows that go and whose key comes several times."""
+        marks = self.several(table)
+        if marks is None:
+            return []
+        return [self.all(table).join(marks, F.xxhash64("row_key") == F.col("_mark"), "left_semi")]
+
+    def until(self, child: str, fk: str, asked: DataFrame) -> DataFrame:
+        """Per row_key of ``asked`` that rows of ``child`` refer to by ``fk``, when the last of them goes (``_acc``)."""
+        ups = self.ups(child)
+        refs = self.rows(child, row_key=fk, child_key=primary_key(child),
+                         **{f"_up{i}": up for i, (up, _) in enumerate(ups)}).join(asked, "row_key", "left_semi")
+        marks = self.several(child) if ups else None
+        seqs = []
+        if marks is not None:
+            same = F.xxhash64("child_key") == F.col("_mark")
+            seqs.append(self._by_key(child, refs.join(marks, same, "left_semi")).select("row_key", "seq"))
+            refs = refs.join(marks, same, "left_anti")
+        if any(self.ups(parent) for _, parent in ups):
+            refs = written(refs if child in self.first else refs.drop("child_key"), "delete-refs")
         found = []
         for i, (_, parent) in enumerate(ups):
-            above = _earliest(out[parent]).select(F.col("row_key").alias("_key"), F.col("seq").alias(f"_seq{i}"))
-            rows = rows.join(above, F.col(f"_up{i}") == F.col("_key"), "left").drop("_key")
+            above = self.at(parent, refs.select(F.col(f"_up{i}").alias("row_key")))
+            above = above if self.ups(parent) else _by_hash(above)
+            refs = refs.join(above.select(F.col("row_key").alias("_key"), F.col("seq").alias(f"_seq{i}")),
+                             F.col(f"_up{i}") == F.col("_key"), "left").drop("_key")
             found.append(F.col(f"_seq{i}"))
-        if name in first:
-            rows = rows.join(first[name].select(F.col("row_key").alias("_key"), F.col("seq").alias("_own")),
-                             F.col("row_key") == F.col("_key"), "left").drop("_key")
+        for own in self.own(child):
+            refs = refs.join(own.select(F.col("row_key").alias("_key"), F.col("seq").alias("_own")),
+                             F.col("child_key") == F.col("_key"), "left").drop("_key")
             found.append(F.col("_own"))
-        out[name] = written(rows.select("row_key", (F.least(*found) if len(found) > 1 else found[0]).alias("seq"), *held),
-                            f"delete-{name}")
-    return out
-
-
-def _earliest(times: DataFrame) -> DataFrame:
-    return times.where(F.col("seq").isNotNull()).groupBy("row_key").agg(F.min("seq").alias("seq"))
+        none = F.lit(None).cast("bigint")
+        seqs.append(refs.select("row_key", F.least(none, none, *found).alias("seq")))
+        return written(_union(seqs).groupBy("row_key").agg(F.max(F.coalesce("seq", F.lit(NEVER))).alias("_acc")),
+                       "delete-until")
 
+    def links(self, child: str, fk: str, asked: DataFrame) -> DataFrame:
+        """The references (row_key, child_key, seq) by ``fk`` to ``asked``; seq NULL: the child stays."""
+        refs = self.rows(child, row_key=fk, child_key=primary_key(child)).join(asked, "row_key", "left_semi")
+        if child not in self.reached:
+            return refs.withColumn("seq", F.lit(None).cast("bigint"))
+        return self._by_key(child, refs)
 
-def _settled(times: DataFrame) -> DataFrame:
-    """``times`` with the smallest seq of a key on each of its rows. Mostly no key has two seqs: told by hashes of the
-    keys, only rows whose hash has two meet the others of their key."""
-    mark = F.xxhash64("row_key").alias("_mark")
-    seq = F.coalesce("seq", F.lit(NEVER))
-    several = checkpointed(times.where(F.col("row_key").isNotNull()).select(mark, seq.alias("_seq")).repartition("_mark")
-                           .groupBy("_mark").agg(F.min("_seq").alias("_a"), F.max("_seq").alias("_z"))
-                           .where(F.col("_a") != F.col("_z")).select("_mark"))
-    if several.isEmpty():
-        return times
-    best = _earliest(times.join(several, F.xxhash64("row_key") == F.col("_mark"), "left_semi")).select(
-        F.col("row_key").alias("_key"), F.col("seq").alias("_best"))
-    return (times.join(best, F.col("row_key") == F.col("_key"), "left")
-            .withColumn("seq", F.coalesce("_best", "seq")).drop("_key", "_best"))
+    def _by_key(self, child: str, refs: DataFrame) -> DataFrame:
+        """``refs`` (row_key, child_key) with the seq of the child, looked up by its key."""
+        refs = written(refs.select("row_key", "child_key"), "delete-refs")
+        times = self.at(child, refs.select(F.col("child_key").alias("row_key"))).withColumnRenamed("row_key", "_key")
+        return refs.join(times, F.col("child_key") == F.col("_key"), "left").select("row_key", "child_key", "seq")
 
 
 def closure(tables: Mapping[str, DataFrame], roots: DataFrame, foreign_keys=schemas.FOREIGN_KEYS) -> DataFrame:
@@ -213,49 +295,45 @@ def _latest(links: DataFrame | None, settled: DataFrame, parents: DataFrame, chi
     return parents.join(free, ROW).groupBy(*ROOT).agg(F.max("_acc").alias("by_now"), F.max("_pos").alias("at_best"))
 
 
-def _restricting(tables: Mapping[str, DataFrame], times: Mapping[str, DataFrame], rows: DataFrame, foreign_keys
-                 ) -> tuple[DataFrame | None, DataFrame | None]:
+def _restricting(times: Times, rows: DataFrame, foreign_keys) -> tuple[DataFrame | None, DataFrame | None]:
     """What restricts the held closure ``rows``: (links, settled). ``links`` (table_name, row_key, child_table, child_key,
     seq) has the references by rows that held requests may take; ``settled`` all others, as one number per row."""
+    tables = times.tables
     reach = _reach(tables, foreign_keys)
     held = set(tables) - _free(tables, foreign_keys)
     can = set().union(*[reach[t] for t in held])
-    by_child = {child: _settled(times[child]) for child in sorted(
-        {c for p, c, _ in _references(tables, foreign_keys, "RESTRICT") if p in can and c in times})}
+    asked: dict[str, DataFrame] = {}
     links, settled = [], []
     for child, fk, parent, _, action in foreign_keys:
         if action != "RESTRICT" or parent not in can or child not in tables or fk not in tables[child].columns:
             continue
-        refs = (by_child[child].select(F.col(fk).cast("string").alias("row_key"), "seq", F.col("row_key").alias("child_key"))
-                if child in by_child else
-                tables[child].select(F.col(fk).cast("string").alias("row_key"), F.lit(None).cast("bigint").alias("seq"),
-                                     F.col(primary_key(child)).cast("string").alias("child_key")))
-        refs = refs.where(F.col("row_key").isNotNull())
-        asked = rows.where(F.col("table_name") == parent).select("row_key").distinct()
+        if parent not in asked:
+            asked[parent] = _few(checkpointed(rows.where(F.col("table_name") == parent).select("row_key").distinct()))
         if child in can:
-            links.append(refs.join(asked, "row_key", "left_semi").select(
+            links.append(times.links(child, fk, asked[parent]).select(
                 F.lit(parent).alias("table_name"), "row_key", F.lit(child).alias("child_table"), "child_key", "seq"))
         else:
-            until = refs.groupBy("row_key").agg(F.max(F.coalesce("seq", F.lit(NEVER))).alias("_acc"))
-            settled.append(until.join(asked, "row_key", "left_semi").select(
+            settled.append(times.until(child, fk, asked[parent]).select(
                 F.lit(parent).alias("table_name"), "row_key", "_acc", F.col("_acc").alias("_pos")))
     return (checkpointed(_union(links)) if links else None, checkpointed(_union(settled)) if settled else None)
 
 
-def delete_requests(tables: Mapping[str, DataFrame], requests: DataFrame,
-                    foreign_keys=schemas.FOREIGN_KEYS) -> Deletion:
+def delete_requests(tables: Mapping[str, DataFrame], requests: DataFrame, foreign_keys=schemas.FOREIGN_KEYS,
+                    lean: Mapping[str, DataFrame] | None = None) -> Deletion:
     """Run delete ``requests`` (seq, table_name, row_key; seq unique, keys as text) in their order.
 
+    ``lean``: for some tables the same rows with fewer columns, read where those suffice.
+
     A request for a row that is not there, was deleted before, or has a NULL key is ``missing``."""
     names = {r[0] for r in requests.where(F.col("table_name").isin(*tables)).select("table_name").distinct().collect()}  # tables, not rows
     unrefused = _free(tables, foreign_keys)
     first = {t: _of(requests, t, tables[t]) for t in sorted(names)}
-    times = _times(tables, {t: first[t] for t in first if t in unrefused}, foreign_keys)
+    times = Times(tables, {t: first[t] for t in first if t in unrefused}, foreign_keys, lean)
     there = _union([first[t].select(F.lit(t).alias("root_table"), F.col("row_key").alias("root_key"))
                     for t in first if t not in unrefused] or [requests.select(
                         F.col("table_name").alias("root_table"), F.col("row_key").alias("root_key")).limit(0)])
     rows = closure(tables, there, foreign_keys)
-    links, settled = _restricting(tables, times, rows, foreign_keys)
+    links, settled = _restricting(times, rows, foreign_keys)
     asked = requests.select("seq", F.col("table_name").alias("root_table"), F.col("row_key").alias("root_key"))
     state = asked.where(F.col("root_table").isin(*(names - unrefused))).join(
         there.withColumn("_there", F.lit(True)), ROOT, "left").select(
@@ -297,8 +375,8 @@ def delete_requests(tables: Mapping[str, DataFrame], requests: DataFrame,
     done = state.where(F.col("outcome") == "deleted").select(*ROOT, "seq")
     taken = checkpointed(rows.join(done, ROOT).groupBy(*ROW).agg(F.min("seq").alias("seq")))
     deletion = Deletion(tables, foreign_keys, state, {
-        t: [*([times[t].where(F.col("seq").isNotNull()).select("row_key", "seq")] if t in times else []),
-            taken.where(F.col("table_name") == t).select("row_key", "seq")] for t in tables})
+        t: [*([times.all(t)] if t in times.reached else []),
+            taken.where(F.col("table_name") == t).select("row_key", "seq")] for t in tables}, times)
     # a request whose row had gone with an earlier one found nothing
     parts = [asked.where(~F.coalesce(F.col("root_table").isin(*names), F.lit(False))).select("seq", *ROOT, F.lit("missing").alias("outcome"))]
     for t in sorted(names):

@@ -566,7 +566,8 @@ def _deletion(c: Ctx) -> referential.Deletion:
     tables = {"users": c.users, "services": c.services, "category": c.category, "addons": c.addons,
               "transactions": c.tx_lean, "transaction_batches": c.batches, "batch_addons": c.batch_addons,
               "audit_logs": _login_records(c)}
-    return referential.delete_requests(tables, views.delete_requests(c.t, PURGE_BEFORE))
+    return referential.delete_requests(tables, views.delete_requests(c.t, PURGE_BEFORE),
+                                       lean={"transaction_batches": c.batches_lean})
 
 
 @register("delete_closure_outcomes")
